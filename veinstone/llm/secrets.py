@@ -63,7 +63,7 @@ def lex_literals(text: str) -> list[tuple[int, int]]:
         for part in _PART.finditer(text, m.start(2), m.end(2)):
             if part[0][0] in "\"'":
                 spans.append((part.start() + 1, part.end() - 1))
-            else:
+            elif part[0] != "+":
                 spans += known.get(part[0]) or [part.span()]
         spans = [s for s in dict.fromkeys(spans) if s[1] > s[0]]
         known[m[1]] = spans
