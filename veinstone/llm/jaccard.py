@@ -35,7 +35,7 @@ NUM, DEN = 75, 100
 #: Bytes of text hashed at once; common tokens kept as a fixed-size list; least count in one batch to be common.
 CHUNK, COMMON, REPEATED = 1 << 20, 1 << 16, 3
 #: Size limits of one group in one task, and rows in an R-tree leaf.
-CLUSTER, TOKENS, LEAF = 4096, 1 << 22, 32
+CLUSTER, TOKENS, LEAF = 4096, 1 << 23, 32
 #: 64-bit words of the fixed-size filter in front of the join that fetches sets.
 FILTER_WORDS = 1 << 17
 
@@ -286,34 +286,32 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             last_token, last_key, last_size = token[before[-1]], key[before[-1]], size[before[-1]]
 
 
-def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for ids, sets in _batches(batches):
-        yield pa.RecordBatch.from_arrays([ids, pa.array(map(set_key, sets), pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["rep", "key", "tokens"])
-
-
 def _join_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links (a, b) of each group of rows (cluster, left, right, block, key, n, tokens), sorted by group and size."""
+    """Links (a, b) of each group of rows (cluster, left, right, block, key, text), sorted by group, size and key."""
     group, rows = None, []
 
     def close() -> list[tuple[int, int]]:
-        if len(rows) < 2:
+        # Texts travel, for they are smaller than their sets. A repeated id can bring a text of another set.
+        sets = shingle_sets([r[2] for r in rows])
+        kept = [k for k in range(len(rows)) if set_key(sets[k]) == rows[k][1]]
+        kept = [k for i, k in enumerate(kept) if not i or rows[k][1] != rows[kept[i - 1]][1]]
+        if len(kept) < 2:
             return []
-        left, right = group[1:]
-        side = None if left == right else np.array([r[0] for r in rows])
-        sets = [np.frombuffer(r[2], np.uint64) for r in rows]
-        return [(rows[i][1], rows[j][1]) for i, j in cluster_links(sets, side)]
+        side = None if group[1] == group[2] else np.array([rows[k][0] for k in kept])
+        return [(rows[kept[i]][1], rows[kept[j]][1]) for i, j in cluster_links([sets[k] for k in kept], side)]
+
+    def links_of(links: list[tuple[int, int]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([x[0] for x in links], pa.int64()), pa.array([x[1] for x in links], pa.int64())], ["a", "b"])
 
     for batch in batches:
-        links = []
-        cols = [batch.column(i).to_pylist() for i in range(5)]
+        links, cols = [], [batch.column(i).to_pylist() for i in range(5)]
         for k, (cluster, left, right, block, key) in enumerate(zip(*cols)):
             if (cluster, left, right) != group:
                 links += close()
                 group, rows = (cluster, left, right), []
-            rows.append((block, key, batch.column(6)[k].as_py()))
-        yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in links], pa.int64()), pa.array([x[1] for x in links], pa.int64())], ["a", "b"])
-    links = close()
-    yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in links], pa.int64()), pa.array([x[1] for x in links], pa.int64())], ["a", "b"])
+            rows.append((block, key, batch.column(5)[k].as_py()))
+        yield links_of(links)
+    yield links_of(close())
 
 
 def maybe_in(df: DataFrame, col: str, ids: DataFrame, id_col: str, words: int = FILTER_WORDS) -> DataFrame:
@@ -355,9 +353,9 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     dealt = members.join(limits.select("cluster", blocks.alias("blocks")), "cluster").withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select("key", "rep", "n", "cluster", "block", F.least("block", "other").alias("left"), F.greatest("block", "other").alias("right"))
-    sets = maybe_in(texts, "doc_id", members, "rep").mapInArrow(_fetch, "rep long, key long, tokens binary").dropDuplicates(["rep", "key"])
-    grouped = dealt.join(sets, ["rep", "key"]).repartition("cluster", "left", "right").sortWithinPartitions("cluster", "left", "right", "n", "key")
-    links = grouped.select("cluster", "left", "right", "block", "key", "n", "tokens").mapInArrow(_join_groups, "a long, b long")
+    fetched = maybe_in(texts, "doc_id", members, "rep").withColumnRenamed("doc_id", "rep").join(dealt, "rep")
+    grouped = fetched.repartition("cluster", "left", "right").sortWithinPartitions("cluster", "left", "right", "n", "key")
+    links = grouped.select("cluster", "left", "right", "block", "key", "raw").mapInArrow(_join_groups, "a long, b long")
     roots = components(links, scratch, "link").withColumnsRenamed({"node": "key", "root": "class"})
 
     named = slim.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("least")).join(roots, "key", "left").withColumn("class", F.coalesce("class", "key"))
