@@ -9,8 +9,7 @@ Two texts link when their sets of word shingles overlap by JACCARD or more (exac
 3.  In each cluster, tokens are hashed into groups and the group counts are points of an R-tree, whose nodes hold the
     greatest counts below them. The sum of coordinate minima bounds the overlap with a node or point; what passes is
     verified on the sets. Pairs that are already connected are skipped, so a large group of copies does not cost
-    all its pairs. A cluster beyond CLUSTER classes or TOKENS tokens is dealt into blocks, and each pair of blocks of
-    compatible sizes is one group.
+    all its pairs. A cluster beyond CLUSTER classes or TOKENS tokens is dealt by size and hash, see deal().
 4.  The links' components are the result.
 
 Defined cases: null and empty texts, and texts of white space, have n_shingles 0 and stand alone; a text of fewer words
@@ -33,7 +32,7 @@ WORDS = 5
 #: The threshold as a fraction: 75 / 100.
 NUM, DEN = 75, 100
 #: Bytes of text hashed at once; common tokens kept as a fixed-size list; least count in one batch to be common.
-CHUNK, COMMON, REPEATED = 1 << 20, 1 << 16, 3
+CHUNK, COMMON, REPEATED = 1 << 20, 1 << 18, 2
 #: Size limits of one group in one task, and rows in an R-tree leaf.
 CLUSTER, TOKENS, LEAF = 4096, 1 << 23, 32
 #: 64-bit words of the fixed-size filter in front of the join that fetches sets.
@@ -223,12 +222,14 @@ def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, list
 def _survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows of (doc_id, n, key), and rows of (token, times) for tokens that several texts of a batch share."""
     for ids, sets in _batches(batches):
-        token, times = np.unique(np.concatenate(sets), return_counts=True) if sets else (np.empty(0, np.uint64), np.empty(0, int))
+        keys = [set_key(s) for s in sets]
+        once = {key: s for key, s in zip(keys, sets)}  # copies do not make a token common
+        token, times = np.unique(np.concatenate(list(once.values())), return_counts=True) if sets else (np.empty(0, np.uint64), np.empty(0, int))
         token, times = token[times >= REPEATED].view(np.int64), times[times >= REPEATED]
         n, t = len(sets), len(token)
         yield pa.RecordBatch.from_arrays(
             [
-                pa.concat_arrays([ids, pa.nulls(t, pa.int64())]), pa.array([len(s) for s in sets] + [None] * t, pa.int64()), pa.array([set_key(s) for s in sets] + [None] * t, pa.int64()),
+                pa.concat_arrays([ids, pa.nulls(t, pa.int64())]), pa.array([len(s) for s in sets] + [None] * t, pa.int64()), pa.array(keys + [None] * t, pa.int64()),
                 pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array(token)]), pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array(times.astype(np.int64))]),
             ],
             ["doc_id", "n", "key", "token", "times"],
@@ -287,7 +288,7 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _join_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links (a, b) of each group of rows (cluster, left, right, block, key, text), sorted by group, size and key."""
+    """Links (a, b) of each group of rows (cluster, band, left, right, side, key, text), sorted by group, size and key."""
     group, rows = None, []
 
     def close() -> list[tuple[int, int]]:
@@ -297,19 +298,19 @@ def _join_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept = [k for i, k in enumerate(kept) if not i or rows[k][1] != rows[kept[i - 1]][1]]
         if len(kept) < 2:
             return []
-        side = None if group[1] == group[2] else np.array([rows[k][0] for k in kept])
+        side = None if group[2] == group[3] else np.array([rows[k][0] for k in kept])
         return [(rows[kept[i]][1], rows[kept[j]][1]) for i, j in cluster_links([sets[k] for k in kept], side)]
 
     def links_of(links: list[tuple[int, int]]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array([x[0] for x in links], pa.int64()), pa.array([x[1] for x in links], pa.int64())], ["a", "b"])
 
     for batch in batches:
-        links, cols = [], [batch.column(i).to_pylist() for i in range(5)]
-        for k, (cluster, left, right, block, key) in enumerate(zip(*cols)):
-            if (cluster, left, right) != group:
+        links, cols = [], [batch.column(i).to_pylist() for i in range(6)]
+        for k, (*now, side, key) in enumerate(zip(*cols)):
+            if now != group:
                 links += close()
-                group, rows = (cluster, left, right), []
-            rows.append((block, key, batch.column(5)[k].as_py()))
+                group, rows = now, []
+            rows.append((side, key, batch.column(6)[k].as_py()))
         yield links_of(links)
     yield links_of(close())
 
@@ -323,6 +324,31 @@ def maybe_in(df: DataFrame, col: str, ids: DataFrame, id_col: str, words: int =
     return df.join(F.broadcast(made), slot(col) == F.col("_slot")).where(F.col("_bits").bitwiseAND(bit(col)) != 0).drop("_slot", "_bits")
 
 
+def deal(members: DataFrame, cluster_limit: int, token_limit: int) -> DataFrame:
+    """Members (key, rep, n, cluster) with the groups (cluster, band, left, right) in which they meet their partners.
+
+    A cluster within the limits is one group. A larger one is cut into bands of sizes, which only meet themselves and
+    the next band, and a band that is still too large into blocks, dealt by hash. Groups with left = right compare all
+    their members; others compare the two sides.
+    """
+    count = [F.count(F.lit(1)).alias("m"), F.sum("n").alias("t")]
+    blocks = F.ceil(F.greatest(F.col("m") / cluster_limit, F.col("t") / token_limit)).cast("int")
+    limits = members.groupBy("cluster").agg(*count).select("cluster", (blocks > 1).alias("over"))
+    # Linked sizes differ by a factor of DEN / NUM at most, so by one band at most; a little more guards the rounding.
+    banded = members.join(limits, "cluster").withColumn("band", F.when(F.col("over"), F.floor(F.log("n") / F.log(F.lit(DEN / NUM + 0.01)))).otherwise(0).cast("int"))
+    units = banded.groupBy("cluster", "band").agg(*count).select("cluster", "band", blocks.alias("blocks"))
+    home = banded.join(units, ["cluster", "band"]).withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1)).alias("other")
+    kept = ["key", "rep", "n", "cluster"]
+    own = home.select(*kept, "band", "block", each("blocks")).select(*kept, "band", F.least("block", "other").alias("left"), F.greatest("block", "other").alias("right"), F.col("block").alias("side"))
+    big = home.where("over")
+    near = lambda step: units.select("cluster", (F.col("band") + step).alias("band"), F.col("blocks").alias("near"))
+    far = F.lit(1 << 20)  # numbers of blocks of the next band start here
+    low = big.join(near(-1), ["cluster", "band"]).select(*kept, "band", "block", each("near")).select(*kept, "band", F.col("block").alias("left"), (F.col("other") + far).alias("right"), F.lit(0).alias("side"))
+    high = big.join(near(1), ["cluster", "band"]).select(*kept, (F.col("band") - 1).alias("band"), "block", each("near")).select(*kept, "band", F.col("other").alias("left"), (F.col("block") + far).alias("right"), F.lit(1).alias("side"))
+    return own.unionByName(low).unionByName(high)
+
+
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", cluster_limit: int = CLUSTER, token_limit: int = TOKENS) -> DataFrame:
     """One row for each input row: doc_id, n_shingles, component_id."""
     spark: SparkSession = docs.sparkSession
@@ -334,9 +360,9 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     # The commonest tokens, as a list of at most COMMON entries: the order need not be exact, only the same for all.
     parts = 64
     ranked = survey.where("token is not null").groupBy("token").agg(F.sum("times").alias("times")).selectExpr("token", "times", f"row_number() over (partition by pmod(token, {parts}) order by times desc, token) as place")
-    common = ranked.where(F.col("place") <= COMMON // parts).select("token", "times").collect()
-    common = sorted((r.times, r.token) for r in common)
-    tokens = np.array([t for _, t in common], np.int64).view(np.uint64)
+    common = ranked.where(F.col("place") <= COMMON // parts).select("token", "times").toArrow()
+    tokens, times = (np.array(common.column(c).to_numpy(), np.int64) for c in ("token", "times"))
+    tokens = tokens[np.lexsort((tokens, times))].view(np.uint64)
     order = np.argsort(tokens)
 
     routed = texts.mapInArrow(_router(tokens[order], order), "token long, key long, size long")
@@ -347,15 +373,10 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     reps = slim.where("key is not null and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"))
     members = scratch.save(members.join(reps, "key"), "members")
 
-    # Blocks: running numbers would need each cluster in order, so a hash deals its members out evenly.
-    limits = members.groupBy("cluster").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("t"))
-    blocks = F.ceil(F.greatest(F.col("m") / cluster_limit, F.col("t") / token_limit)).cast("int")
-    dealt = members.join(limits.select("cluster", blocks.alias("blocks")), "cluster").withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("key", "rep", "n", "cluster", "block", F.least("block", "other").alias("left"), F.greatest("block", "other").alias("right"))
+    dealt = deal(members, cluster_limit, token_limit)
     fetched = maybe_in(texts, "doc_id", members, "rep").withColumnRenamed("doc_id", "rep").join(dealt, "rep")
-    grouped = fetched.repartition("cluster", "left", "right").sortWithinPartitions("cluster", "left", "right", "n", "key")
-    links = grouped.select("cluster", "left", "right", "block", "key", "raw").mapInArrow(_join_groups, "a long, b long")
+    group = ["cluster", "band", "left", "right"]
+    links = fetched.repartition(*group).sortWithinPartitions(*group, "n", "key").select(*group, "side", "key", "raw").mapInArrow(_join_groups, "a long, b long")
     roots = components(links, scratch, "link").withColumnsRenamed({"node": "key", "root": "class"})
 
     named = slim.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("least")).join(roots, "key", "left").withColumn("class", F.coalesce("class", "key"))
