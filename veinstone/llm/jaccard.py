@@ -3,9 +3,10 @@
 Two texts link when their sets of word shingles overlap by JACCARD or more (exact integer arithmetic).
 
 1.  Every text's shingles are hashed to 64 bits. Texts with one set are one class.
-2.  Each class gives its rarest tokens (as many as every linked partner must share one of) as routing rows; tokens
-    that are common in some batch come last in the order. Classes that meet on a token, and are near enough in size,
-    are tied by one edge for each row, and the components of these edges are the clusters: no link leaves a cluster.
+2.  Each class gives its rarest tokens (so many that linked partners must share a few of them, the more the larger
+    they are) as routing rows; tokens that are common in some batch come last in the order. Classes that meet on enough
+    tokens, or on one token that many have, and are near enough in size, are tied by an edge, and the components of
+    these edges are the clusters: no link leaves a cluster.
 3.  In each cluster, tokens are hashed into groups and the group counts are points of an R-tree, whose nodes hold the
     greatest counts below them. The sum of coordinate minima bounds the overlap with a node or point; what passes is
     verified on the sets. Pairs that are already connected are skipped, so a large group of copies does not cost
@@ -33,6 +34,8 @@ WORDS = 5
 NUM, DEN = 75, 100
 #: Bytes of text hashed at once; common tokens kept as a fixed-size list; least count in one batch to be common.
 CHUNK, COMMON, REPEATED = 1 << 20, 1 << 18, 2
+#: Runs of a routing token up to this length give all pairs, which count their votes; longer ones give a chain, whose edges always hold.
+RUN, ENOUGH = 8, 1 << 40
 #: Size limits of one group in one task, and rows in an R-tree leaf.
 CLUSTER, TOKENS, LEAF = 4096, 1 << 23, 32
 #: 64-bit words of the fixed-size filter in front of the join that fetches sets.
@@ -138,6 +141,11 @@ def need_of_smaller(n: int) -> int:
     return -(-2 * n * NUM // (NUM + DEN))
 
 
+def shared_at_least(n):
+    """Routing tokens that two linked classes share at least, by the smaller one's size: a longer prefix, more in common."""
+    return 1 + n // 64
+
+
 def linked(a: np.ndarray, b: np.ndarray) -> bool:
     """Whether DEN * intersection >= NUM * union, of sorted distinct arrays."""
     if len(a) > len(b):
@@ -247,7 +255,8 @@ def _router(common: np.ndarray, rank: np.ndarray) -> Callable:
                 if not n or (key := set_key(s)) in seen:
                     continue
                 seen.add(key)
-                take, first = n - need_of(n) + 1, n - need_of_smaller(n) + 1
+                more = shared_at_least(n)
+                take, first = min(n, n - need_of(n) + more), n - need_of_smaller(n) + more
                 if len(common):
                     at = np.minimum(np.searchsorted(common, s), len(common) - 1)
                     hit = common[at] == s
@@ -264,27 +273,56 @@ def _router(common: np.ndarray, rank: np.ndarray) -> Callable:
     return run
 
 
+def _pairs(token: np.ndarray, key: np.ndarray, size: np.ndarray, long_token: int | None) -> list[np.ndarray]:
+    """Columns (a, b, votes, need) of complete runs of one token; size also says whether a row is indexed."""
+    n, indexed = size // 2, (size & 1) == 0
+    start = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
+    length = np.diff(np.r_[start, len(token)])
+    run, rows = np.repeat(np.arange(len(start)), length), np.arange(len(token))
+    is_long = (np.repeat(length, length) > RUN) | (token == long_token if long_token is not None else False)
+    low, high, votes = [], [], []
+    for d in range(1, RUN):  # short runs: all pairs of an indexed row and a later one
+        i = rows[: max(0, len(rows) - d)]
+        i = i[(run[i] == run[i + d]) & ~is_long[i] & indexed[i] & (DEN * n[i] >= NUM * n[i + d])]
+        low, high, votes = [*low, i], [*high, i + d], [*votes, np.ones(len(i), np.int64)]
+    before = np.maximum.accumulate(np.where(indexed, rows, -1))
+    prev = np.r_[-1, before[:-1]]
+    p = np.maximum(prev, 0)
+    j = rows[(prev >= 0) & (run[p] == run) & is_long & (DEN * n[p] >= NUM * n)]  # long runs: the last indexed row before
+    low, high, votes = np.concatenate([*low, p[j]]), np.concatenate([*high, j]), np.concatenate([*votes, np.full(len(j), ENOUGH)])
+    return [np.minimum(key[low], key[high]), np.maximum(key[low], key[high]), votes, shared_at_least(n[low])]
+
+
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Edges (a, b) between rows sorted by (token, size, key): each row and the last indexed row before it."""
-    last_token, last_key, last_size = None, 0, 0  # the last indexed row so far
+    """(a, b, votes, need) of classes that share a routing token, from rows sorted by (token, size, key)."""
+    held, long_token = [np.empty(0, np.int64)] * 3, None
+
+    def made(cols: list[np.ndarray]) -> pa.RecordBatch:
+        # Votes of one pair are added up here as far as they are in one batch.
+        order = np.lexsort((cols[1], cols[0]))
+        a, b, votes, need = (c[order] for c in cols)
+        first = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])]) if len(a) else np.empty(0, np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(a[first]), pa.array(b[first]), pa.array(np.add.reduceat(votes, first) if len(a) else votes), pa.array(need[first])], ["a", "b", "votes", "need"])
+
     for batch in batches:
-        token, key, size = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
-        if not len(token):
+        cols = [np.r_[h, batch.column(i).to_numpy(zero_copy_only=False)] for i, h in enumerate(held)]
+        if not len(cols[0]):
             continue
-        if last_token is not None:
-            token, key, size = np.r_[last_token, token], np.r_[last_key, key], np.r_[last_size, size]
-        n, indexed = size // 2, (size & 1) == 0
-        before = np.maximum.accumulate(np.where(indexed, np.arange(len(n)), -1))
-        prev = np.r_[-1, before[:-1]]
-        ok = prev >= 0
-        p = np.maximum(prev, 0)
-        ok &= (token[p] == token) & (key[p] != key) & (DEN * n[p] >= NUM * n)
-        a, b = np.minimum(key, key[p])[ok], np.maximum(key, key[p])[ok]
-        if len(a):
-            pairs = np.unique(np.stack([a, b], axis=1), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, 0])), pa.array(np.ascontiguousarray(pairs[:, 1]))], ["a", "b"])
-        if before[-1] >= 0:
-            last_token, last_key, last_size = token[before[-1]], key[before[-1]], size[before[-1]]
+        again = (cols[0][1:] == cols[0][:-1]) & (cols[1][1:] == cols[1][:-1])
+        token, key, size = (c[np.r_[True, ~again]] for c in cols)
+        # The last run may go on in the next batch: a short one waits, of a long one only its last indexed row does.
+        last = int(np.searchsorted(token, token[-1]))
+        if len(token) - last > RUN or token[-1] == long_token:
+            yield made(_pairs(token, key, size, long_token))
+            long_token = token[-1]
+            keep = last + np.flatnonzero((size[last:] & 1) == 0)[-1:]
+        else:
+            if last:
+                yield made(_pairs(token[:last], key[:last], size[:last], long_token))
+            keep = np.arange(last, len(token))
+        held = [c[keep] for c in (token, key, size)]
+    if len(held[0]):
+        yield made(_pairs(*held, long_token))
 
 
 def _join_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -344,8 +382,12 @@ def deal(members: DataFrame, cluster_limit: int, token_limit: int) -> DataFrame:
     big = home.where("over")
     near = lambda step: units.select("cluster", (F.col("band") + step).alias("band"), F.col("blocks").alias("near"))
     far = F.lit(1 << 20)  # numbers of blocks of the next band start here
-    low = big.join(near(-1), ["cluster", "band"]).select(*kept, "band", "block", each("near")).select(*kept, "band", F.col("block").alias("left"), (F.col("other") + far).alias("right"), F.lit(0).alias("side"))
-    high = big.join(near(1), ["cluster", "band"]).select(*kept, (F.col("band") - 1).alias("band"), "block", each("near")).select(*kept, "band", F.col("other").alias("left"), (F.col("block") + far).alias("right"), F.lit(1).alias("side"))
+    split = (F.col("blocks") > 1) | (F.col("near") > 1)
+    low = big.join(near(-1), ["cluster", "band"]).where(split).select(*kept, "band", "block", each("near")).select(*kept, "band", F.col("block").alias("left"), (F.col("other") + far).alias("right"), F.lit(0).alias("side"))
+    guest = big.join(near(1), ["cluster", "band"])
+    high = guest.where(split).select(*kept, (F.col("band") - 1).alias("band"), "block", each("near")).select(*kept, "band", F.col("other").alias("left"), (F.col("block") + far).alias("right"), F.lit(1).alias("side"))
+    # Whole bands take the next band's members into their own group.
+    high = high.unionByName(guest.where(~split).select(*kept, (F.col("band") - 1).alias("band"), F.lit(0).alias("left"), F.lit(0).alias("right"), F.lit(1).alias("side")))
     return own.unionByName(low).unionByName(high)
 
 
@@ -366,7 +408,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     order = np.argsort(tokens)
 
     routed = texts.mapInArrow(_router(tokens[order], order), "token long, key long, size long")
-    edges = routed.repartition("token").sortWithinPartitions("token", "size", "key").mapInArrow(_meet, "a long, b long").distinct()
+    edges = routed.repartition("token").sortWithinPartitions("token", "size", "key").mapInArrow(_meet, "a long, b long, votes long, need long")
+    edges = edges.groupBy("a", "b").agg(F.sum("votes").alias("votes"), F.max("need").alias("need")).where("votes >= need").select("a", "b")
     clusters = components(edges, scratch, "cluster")
     members = clusters.select(F.col("node").alias("key"), F.col("root").alias("cluster"))
     members = members.unionByName(members.select(F.col("cluster").alias("key"), "cluster").distinct())
