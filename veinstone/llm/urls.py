@@ -18,6 +18,8 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from .scratch import Scratch
+
 #: (verdict, host, path); the longest host and path wins.
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
 ORDER, SMOOTH, ALPHABET = 3, 4.0, 256.0
@@ -46,9 +48,9 @@ def fitting_rule(host: Column, path: Column, rules=RULES) -> tuple[Column, Colum
     return pick([h + p for _, h, p in ordered]), pick([v for v, _, _ in ordered])
 
 
-def _log_ratios(grams: DataFrame) -> DataFrame:
-    """(ctx, ch, ratio) from (ctx, ch, a, b): ln P(ch | ctx) under the accepted model less that under the rejected one."""
-    level = {ORDER: grams.groupBy("ctx", "ch").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))}
+def _log_ratios(counts: DataFrame) -> DataFrame:
+    """(gram, ratio) from (ctx, ch, a, b): ln P(ch | ctx) under the accepted model less that under the rejected one."""
+    level = {ORDER: counts}
     for k in range(ORDER - 1, -1, -1):
         up = level[k + 1]
         level[k] = up.groupBy((F.substring("ctx", 2, k) if k else F.lit("")).alias("ctx"), "ch").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
@@ -63,12 +65,13 @@ def _log_ratios(grams: DataFrame) -> DataFrame:
             short = made.select(F.col("ctx").alias("short"), "ch", F.col("pa").alias("qa"), F.col("pb").alias("qb"))
             lower = here.withColumn("short", F.substring("ctx", 2, k - 1) if k > 1 else F.lit("")).join(short, ["short", "ch"])
         made = lower.select("ctx", "ch", ((F.col("a") + SMOOTH * F.col("qa")) / (F.col("ta") + SMOOTH)).alias("pa"), ((F.col("b") + SMOOTH * F.col("qb")) / (F.col("tb") + SMOOTH)).alias("pb"))
-    return made.select("ctx", "ch", (F.log("pa") - F.log("pb")).alias("ratio"))
+    return made.select(F.xxhash64("ctx", "ch").alias("gram"), (F.log("pa") - F.log("pb")).alias("ratio"))
 
 
 def judge_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules=RULES) -> DataFrame:
     """One row for each page: page_id, host, path, rule and verdict."""
     url = F.col("url")
+    scratch = Scratch(pages.sparkSession, "urls")
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"))
     rows = rows.select("page_id", host_of(url).alias("host"), path_of(url).alias("path"), F.translate(_rest(url), _UPPER, _LOWER).alias("line"))
     rule, verdict = fitting_rule(F.col("host"), F.col("path"), rules)
@@ -78,11 +81,13 @@ def judge_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     lines = rows.where("line is not null and line != ''").groupBy("line").agg(F.sum(F.when(F.col("ruled") == "allow", 1).otherwise(0)).alias("a"), F.sum(F.when(F.col("ruled") == "block", 1).otherwise(0)).alias("b"))
     padded = F.concat(F.lit(_PAD), F.col("line"))
     grams = lines.select("line", "a", "b", F.posexplode(F.split("line", "")).alias("i", "ch")).where("ch != ''")
-    grams = grams.select(F.xxhash64("line").alias("key"), "a", "b", padded.substr(F.col("i") + 1, F.lit(ORDER)).alias("ctx"), "ch")
-    # A text's repeated grams are added up before the join, so a common gram has a row for each text at most.
-    counted = grams.groupBy("key", "ctx", "ch", "a", "b").agg(F.count(F.lit(1)).alias("n"))
-    ratios = _log_ratios(counted.select("ctx", "ch", (F.col("a") * F.col("n")).alias("a"), (F.col("b") * F.col("n")).alias("b")))
-    scores = counted.join(ratios, ["ctx", "ch"]).groupBy("key").agg((F.sum(F.col("n") * F.col("ratio")) / F.sum("n")).alias("score"), F.first("a").alias("a"), F.first("b").alias("b"))
+    ctx = padded.substr(F.col("i") + 1, F.lit(ORDER))
+    counts = scratch.save(grams.groupBy(ctx.alias("ctx"), "ch").agg(F.sum("a").alias("a"), F.sum("b").alias("b")), "counts")
+    ratios = scratch.save(_log_ratios(counts), "ratios")
+    # A url's characters travel as two numbers each; its class counts come along once.
+    coded = grams.select(F.xxhash64("line").alias("key"), F.xxhash64(ctx, F.col("ch")).alias("gram"))
+    means = coded.join(ratios, "gram").groupBy("key").agg(F.avg("ratio").alias("score"))
+    scores = scratch.save(means.join(lines.select(F.xxhash64("line").alias("key"), "a", "b"), "key"), "scores")
     cut = scores.agg(((F.sum(F.col("score") * F.col("a")) / F.sum("a") + F.sum(F.col("score") * F.col("b")) / F.sum("b")) / 2).alias("cut"))
     judged = scores.crossJoin(F.broadcast(cut)).select("key", (F.col("score") < F.col("cut")).alias("bad"))
     out = rows.join(judged, F.xxhash64(rows.line) == judged.key, "left")
