@@ -38,6 +38,12 @@ def test_url_rules(spark):
     assert urls.judge_urls(df.limit(0)).count() == 0
 
 
+def test_urls_of_one_class_are_allowed(spark):
+    rows = [(1, "https://a.example.net/en/x"), (2, "http://foo.io/q"), (3, None)]
+    for df in (spark.createDataFrame(rows, "page_id long, url string"), spark.createDataFrame(rows[1:], "page_id long, url string")):
+        assert {r.verdict for r in urls.judge_urls(df).collect()} == {"allow"}
+
+
 def test_url_models_tell_classes_apart(spark):
     rows = [(k, f"http://good{k}.org/fr/article/{k}") for k in range(40)] + [(100 + k, f"http://win{k}.net/casino/{k}") for k in range(40)] + [(200, "http://good.info/article/1"), (201, "http://win.info/casino/1")]
     got = {r.page_id: r.verdict for r in urls.judge_urls(spark.createDataFrame(rows, "page_id long, url string")).collect()}
@@ -58,6 +64,15 @@ def test_mixture_fits_targets(spark):
     assert kept.columns == docs.columns and 0.4 < kept.count() / 600 < 0.65 and kept.subtract(docs).count() == 0
 
 
+def test_mixture_drops_values_without_a_target(spark):
+    docs = spark.createDataFrame([(k, "a b c", ("x", "y", "z")[k % 3], "en") for k in range(30)] + [(99, None, "y", "en")], "doc_id long, text string, source string, lang string")
+    shares = {"source": {"x": 1.0, "y": 0.0}, "lang": {"en": 1.0}, "topic": {"prose": 1.0}}
+    targets = {m: spark.createDataFrame(list(v.items()), f"{m} string, target double") for m, v in shares.items()}
+    got = {r._source: r._rate for r in mixing.mix(docs, targets, budget=0.2).where("_tokens > 0").collect()}
+    assert got["y"] == got["z"] == 0.0 and got["x"] == pytest.approx(0.6)
+    assert [r.doc_id for r in mixing.mix(docs, targets, budget=0.2).where("_keep and source != 'x'").collect()] == [99]
+
+
 def test_mixture_edge_cases(spark):
     docs = spark.createDataFrame([(1, None, None, None, 1), (None, "", "s", "en", 1), (3, "a b\u00a0c", "s", None, 1), (3, "a b\u00a0c", "s", None, 1), (4, "x " * 40_000, "s", "en", 1)], "doc_id long, text string, source string, lang string, topic int")
     got = mixing.mix(docs)

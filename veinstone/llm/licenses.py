@@ -97,10 +97,11 @@ def base_places(words: list[bytes]) -> list[tuple[int, str]]:
     line, out = b" " + b" ".join(words) + b" ", []
     for phrase, label in PHRASES.items():
         sought = b" " + phrase.encode() + b" "
-        at = line.find(sought)
+        at, seen, n = line.find(sought), 0, 0
         while at >= 0:
-            out.append((line.count(b" ", 0, at), label))
-            at = line.find(sought, at + 1)
+            n += line.count(b" ", seen, at)  # words before this place
+            out.append((n, label))
+            seen, at = at, line.find(sought, at + 1)
     return sorted(out)
 
 

@@ -8,7 +8,8 @@ Only the table of cells is iterated on, and it is written between rounds; docume
 once to sample. Nothing is collected but each round's largest deviation.
 
 Defined cases: null sources and languages form cells of their own, written as an empty string; a null text has no
-tokens, the empty topic and probability 1, and so has an empty one; rows with equal ids share their decision; a null
+tokens, the empty topic and probability 1, and so has an empty one; a value that given targets do not name, or name
+with 0, gets weight 0, so its documents go; rows with equal ids share their decision; a null
 id hashes as an empty string; an empty table gives an empty result; other columns are kept.
 """
 
@@ -48,26 +49,29 @@ def cells_of(docs: DataFrame) -> DataFrame:
     return docs.groupBy(*MARGINS).agg(F.sum("tokens").alias("tokens")).where("tokens > 0")
 
 
+def total_of(cells: DataFrame) -> Column:
+    """All cells' tokens, as a scalar subquery."""
+    return cells.agg(F.sum("tokens").cast("double").alias("all")).scalar()
+
+
 def targets_of(cells: DataFrame, margin: str, alpha: float = ALPHA) -> DataFrame:
     """The margin's target shares: observed shares to the power alpha, made to add up to 1."""
     sums = cells.groupBy(margin).agg(F.sum("tokens").cast("double").alias("t")).withColumn("p", F.pow("t", F.lit(alpha)))
-    total = sums.agg(F.sum("p").alias("all"))
-    return sums.crossJoin(F.broadcast(total)).select(margin, (F.col("p") / F.col("all")).alias("target"))
+    return sums.select(margin, (F.col("p") / sums.agg(F.sum("p").alias("all")).scalar()).alias("target"))
 
 
 def rake(cells: DataFrame, targets: dict[str, DataFrame], scratch: Scratch, rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> DataFrame:
     """The cells with fitted weights that add up to 1."""
-    total = cells.agg(F.sum("tokens").cast("double").alias("all"))
-    now = cells.crossJoin(F.broadcast(total)).select(*MARGINS, "tokens", (F.col("tokens") / F.col("all")).alias("weight"))
+    now = cells.select(*MARGINS, "tokens", (F.col("tokens") / total_of(cells)).alias("weight"))
     for k in range(rounds):
         for margin, target in targets.items():
             sums = now.groupBy(margin).agg(F.sum("weight").alias("sum"))
-            factor = sums.join(target, margin).select(margin, (F.col("target") / F.col("sum")).alias("factor"))
+            factor = sums.join(target, margin, "left").select(margin, F.coalesce(F.try_divide("target", "sum"), F.lit(0.0)).alias("factor"))
             now = now.join(factor, margin).select(*MARGINS, "tokens", (F.col("weight") * F.col("factor")).alias("weight"))
         now = scratch.save(now, f"round{k}")
         if k:
             scratch.drop(f"round{k - 1}")
-        off = [now.groupBy(m).agg(F.sum("weight").alias("sum")).join(t, m).agg(F.max(F.abs(F.col("sum") / F.col("target") - 1)).alias("off")) for m, t in targets.items()]
+        off = [now.groupBy(m).agg(F.sum("weight").alias("sum")).join(t, m).agg(F.max(F.abs(F.try_divide("sum", "target") - 1)).alias("off")) for m, t in targets.items()]
         if (reduce(DataFrame.unionByName, off).agg(F.max("off")).first()[0] or 0.0) <= tolerance:
             break
     return now
@@ -80,8 +84,7 @@ def mix(docs: DataFrame, targets: dict[str, DataFrame] | None = None, budget: fl
     marked = docs.withColumns(added)
     cells = scratch.save(cells_of(marked.select(*(F.col(f"_{m}").alias(m) for m in MARGINS), F.col("_tokens").alias("tokens"))), "cells")
     fitted = rake(cells, {m: scratch.save(t, f"target_{m}") for m, t in (targets or {m: targets_of(cells, m, alpha) for m in MARGINS}).items()}, scratch, rounds)
-    total = cells.agg(F.sum("tokens").cast("double").alias("all"))
-    rates = fitted.crossJoin(F.broadcast(total)).select(*(F.col(m).alias(f"_{m}") for m in MARGINS), F.least(F.lit(1.0), F.lit(budget) * F.col("weight") * F.col("all") / F.col("tokens")).alias("_rate"))
+    rates = fitted.select(*(F.col(m).alias(f"_{m}") for m in MARGINS), F.least(F.lit(1.0), F.lit(budget) * F.col("weight") * total_of(cells) / F.col("tokens")).alias("_rate"))
     # The cells are far fewer than the documents; Spark broadcasts them only below its size threshold.
     out = marked.join(rates, [f"_{m}" for m in MARGINS], "left").withColumn("_rate", F.coalesce("_rate", F.lit(1.0)))
     draw = F.conv(F.substring(F.md5(F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit(f":{seed}"))), 1, 8), 16, 10).cast("double") / 4294967296.0

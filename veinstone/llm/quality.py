@@ -6,8 +6,8 @@ thresholds cut its score. The expected grade and the tail probability P(grade >=
 Training reads at most SAMPLE labelled rows, those with the smallest hash of their id; scoring reads every row.
 
 Defined cases: a null text counts as empty; an empty text has no features and gets the thresholds' prior; without
-labelled rows every row is kept; several labels of one id each count; repeated rows each get their own row; null
-grades are not used; other columns are ignored by score() and kept by select_quality().
+labelled rows every row is kept; different labels of one id each count, equal ones once, and of several texts of one
+labelled id the least is used; repeated rows each get their own row; null grades are not used; other columns are ignored by score() and kept by select_quality().
 """
 
 from __future__ import annotations
@@ -147,7 +147,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([i.tobytes() for i, _ in made], pa.binary()), pa.array([v.tobytes() for _, v in made], pa.binary())], ["_id", "grade", "slots", "vals"])
 
     texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("text"))
-    rated = texts.join(F.broadcast(chosen), "_id").select("_id", "text", "grade")  # at most `sample` ids
+    # One row for each labelled id and grade, so at most `sample` rows are trained on and collected.
+    rated = texts.join(F.broadcast(chosen), "_id").groupBy("_id", "grade").agg(F.min("text").alias("text")).select("_id", "text", "grade")
     got = sorted(rated.mapInArrow(run, "_id long, grade int, slots binary, vals binary").collect(), key=lambda r: (zlib.crc32(str(r[0]).encode()), r[0], r[1]))
     rows = [(np.frombuffer(r.slots, np.int32), np.frombuffer(r.vals, np.float32)) for r in got]
     grades, k = np.array([r.grade for r in got], int), len(got) * 4 // 5

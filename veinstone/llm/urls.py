@@ -88,8 +88,9 @@ def judge_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     coded = grams.select(F.xxhash64("line").alias("key"), F.xxhash64(ctx, F.col("ch")).alias("gram"))
     means = coded.join(ratios, "gram").groupBy("key").agg(F.avg("ratio").alias("score"))
     scores = scratch.save(means.join(lines.select(F.xxhash64("line").alias("key"), "a", "b"), "key"), "scores")
-    cut = scores.agg(((F.sum(F.col("score") * F.col("a")) / F.sum("a") + F.sum(F.col("score") * F.col("b")) / F.sum("b")) / 2).alias("cut"))
-    judged = scores.crossJoin(F.broadcast(cut)).select("key", (F.col("score") < F.col("cut")).alias("bad"))
+    mean = lambda times: F.try_divide(F.sum(F.col("score") * F.col(times)), F.sum(times))
+    cut = scores.agg(((mean("a") + mean("b")) / 2).alias("cut")).scalar()  # null where either class has no examples
+    judged = scores.select("key", (F.col("score") < cut).alias("bad"))
     out = rows.join(judged, F.xxhash64(rows.line) == judged.key, "left")
     return out.select("page_id", "host", "path", "rule", F.coalesce("ruled", F.when(F.col("bad"), "block").otherwise("allow")).alias("verdict"))
 
