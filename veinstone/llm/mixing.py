@@ -15,8 +15,6 @@ id hashes as an empty string; an empty table gives an empty result; other column
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .scratch import Scratch
@@ -64,16 +62,20 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], scratch: Scratch, roun
     """The cells with fitted weights that add up to 1."""
     now = cells.select(*MARGINS, "tokens", (F.col("tokens") / total_of(cells)).alias("weight"))
     for k in range(rounds):
+        now = now.withColumn("off", F.lit(0.0))
         for margin, target in targets.items():
             sums = now.groupBy(margin).agg(F.sum("weight").alias("sum"))
             factor = sums.join(target, margin, "left").select(margin, F.coalesce(F.try_divide("target", "sum"), F.lit(0.0)).alias("factor"))
-            now = now.join(factor, margin).select(*MARGINS, "tokens", (F.col("weight") * F.col("factor")).alias("weight"))
+            # A cell that no target names stays at weight 0 and says nothing about the fit.
+            off = F.when(F.col("weight") > 0, F.abs(F.col("factor") - 1)).otherwise(0.0)
+            now = now.join(factor, margin).select(*MARGINS, "tokens", (F.col("weight") * F.col("factor")).alias("weight"), F.greatest("off", off).alias("off"))
         now = scratch.save(now, f"round{k}")
         if k:
             scratch.drop(f"round{k - 1}")
-        off = [now.groupBy(m).agg(F.sum("weight").alias("sum")).join(t, m).agg(F.max(F.abs(F.try_divide("sum", "target") - 1)).alias("off")) for m, t in targets.items()]
-        if (reduce(DataFrame.unionByName, off).agg(F.max("off")).first()[0] or 0.0) <= tolerance:
+        # The largest change that any factor of this round made; none left means that all margins fit.
+        if (now.agg(F.max("off")).first()[0] or 0.0) <= tolerance:
             break
+        now = now.drop("off")
     return now
 
 
