@@ -60,15 +60,19 @@ def targets_of(cells: DataFrame, margin: str, alpha: float = ALPHA) -> DataFrame
 
 def rake(cells: DataFrame, targets: dict[str, DataFrame], scratch: Scratch, rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> DataFrame:
     """The cells with fitted weights that add up to 1."""
+    goals = {margin: f"target_{margin}" for margin in targets}
     now = cells.select(*MARGINS, "tokens", (F.col("tokens") / total_of(cells)).alias("weight"))
+    # Each cell carries its targets, so that a margin takes one aggregation and one join.
+    for margin, target in targets.items():
+        now = now.join(target.withColumnRenamed("target", goals[margin]), margin, "left")
     for k in range(rounds):
         now = now.withColumn("off", F.lit(0.0))
-        for margin, target in targets.items():
-            sums = now.groupBy(margin).agg(F.sum("weight").alias("sum"))
-            factor = sums.join(target, margin, "left").select(margin, F.coalesce(F.try_divide("target", "sum"), F.lit(0.0)).alias("factor"))
+        for margin, goal in goals.items():
+            now = now.join(now.groupBy(margin).agg(F.sum("weight").alias("sum")), margin)
+            factor = F.coalesce(F.try_divide(goal, "sum"), F.lit(0.0))
             # A cell that no target names stays at weight 0 and says nothing about the fit.
-            off = F.when(F.col("weight") > 0, F.abs(F.col("factor") - 1)).otherwise(0.0)
-            now = now.join(factor, margin).select(*MARGINS, "tokens", (F.col("weight") * F.col("factor")).alias("weight"), F.greatest("off", off).alias("off"))
+            off = F.when(F.col("weight") > 0, F.abs(factor - 1)).otherwise(0.0)
+            now = now.select(*MARGINS, "tokens", *goals.values(), (F.col("weight") * factor).alias("weight"), F.greatest("off", off).alias("off"))
         now = scratch.save(now, f"round{k}")
         if k:
             scratch.drop(f"round{k - 1}")
