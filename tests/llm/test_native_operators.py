@@ -81,6 +81,23 @@ def test_mixture_edge_cases(spark):
     assert mixing.sample_mixture(docs).columns == docs.columns and mixing.mix(docs.limit(0)).count() == 0
 
 
+def test_sample_meets_targets_with_the_set_parameters(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    got = mixing.mix(docs).where("_tokens > 0").cache()
+    cells = got.groupBy(*(F.col(f"_{m}").alias(m) for m in mixing.MARGINS)).agg(F.sum("_tokens").alias("tokens")).cache()
+    assert got.where("_expected > 1").count() and got.where("_keep != (_copies > 0)").count() == 0
+    tokens, expected = got.agg(F.sum("_tokens"), F.sum(F.col("_tokens") * F.col("_expected"))).first()
+    assert expected / tokens == pytest.approx(mixing.BUDGET, abs=1e-6)
+    sample = mixing.sample_mixture(docs).withColumns({"source": F.coalesce("source", F.lit("")), "lang": F.coalesce("lang", F.lit("")), "topic": mixing.topic_of(F.col("text")), "tokens": mixing.tokens_of(F.col("text"))}).select(*mixing.MARGINS, "tokens").cache()
+    all_kept = sample.agg(F.sum("tokens")).first()[0]
+    assert all_kept / tokens == pytest.approx(mixing.BUDGET, abs=0.03)
+    for m in mixing.MARGINS:
+        want = {r[0]: r.target for r in mixing.targets_of(cells, m).collect()}
+        mean = {r[0]: r[1] / expected for r in got.groupBy(f"_{m}").agg(F.sum(F.col("_tokens") * F.col("_expected"))).collect()}
+        real = {r[0]: r[1] / all_kept for r in sample.where("tokens > 0").groupBy(m).agg(F.sum("tokens")).collect()}
+        assert mean == pytest.approx(want, abs=1e-4) and real == pytest.approx(want, abs=0.03)
+
+
 def call(i, name, arguments, after=()):
     return {"id": i, "name": name, "arguments": arguments, "depends_on": list(after)}
 

@@ -1,14 +1,16 @@
 """Mixing sources to target weights by iterative proportional fitting.
 
 Token counts are added up by cell (source, language, topic). Each round scales the cells' weights to the target
-shares of one margin after the other until all three fit. A document's probability is its cell's fitted share of the
-token budget over the cell's tokens, at most 1, and a hash of its id decides, so the sample is repeatable.
+shares of one margin after the other until all three fit. A document's expected copies are its cell's fitted share of
+the token budget over the cell's tokens. A hash of its id decides on the fraction, so the sample is repeatable; a cell
+that has fewer tokens than its share gives each document the whole copies as well, so that the sample meets the targets
+and the budget. The rate is the probability of one copy at least.
 
 Only the table of cells is iterated on, and it is written between rounds; documents are read once to add up and
 once to sample. Nothing is collected but each round's largest deviation.
 
 Defined cases: null sources and languages form cells of their own, written as an empty string; a null text has no
-tokens, the empty topic and probability 1, and so has an empty one; a value that given targets do not name, or name
+tokens, the empty topic and one copy, and so has an empty one; a value that given targets do not name, or name
 with 0, gets weight 0, so its documents go; rows with equal ids share their decision; a null
 id hashes as an empty string; an empty table gives an empty result; other columns are kept.
 """
@@ -84,22 +86,25 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], scratch: Scratch, roun
 
 
 def mix(docs: DataFrame, targets: dict[str, DataFrame] | None = None, budget: float = BUDGET, alpha: float = ALPHA, rounds: int = ROUNDS, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The input rows with their topic, tokens, probability and decision. targets: margin -> (value, target) tables."""
+    """The input rows with their topic, tokens, expected copies, probability, decision and copies. targets: margin -> (value, target) tables."""
     scratch = Scratch(docs.sparkSession, "mixing")
     added = {"_source": F.coalesce(F.col("source"), F.lit("")), "_lang": F.coalesce(F.col("lang"), F.lit("")), "_topic": topic_of(F.col(text_col)), "_tokens": tokens_of(F.col(text_col))}
     marked = docs.withColumns(added)
     cells = scratch.save(cells_of(marked.select(*(F.col(f"_{m}").alias(m) for m in MARGINS), F.col("_tokens").alias("tokens"))), "cells")
     fitted = rake(cells, {m: scratch.save(t, f"target_{m}") for m, t in (targets or {m: targets_of(cells, m, alpha) for m in MARGINS}).items()}, scratch, rounds)
-    rates = fitted.select(*(F.col(m).alias(f"_{m}") for m in MARGINS), F.least(F.lit(1.0), F.lit(budget) * F.col("weight") * total_of(cells) / F.col("tokens")).alias("_rate"))
+    rates = fitted.select(*(F.col(m).alias(f"_{m}") for m in MARGINS), (F.lit(budget) * F.col("weight") * total_of(cells) / F.col("tokens")).alias("_expected"))
     # The cells are far fewer than the documents; Spark broadcasts them only below its size threshold.
-    out = marked.join(rates, [f"_{m}" for m in MARGINS], "left").withColumn("_rate", F.coalesce("_rate", F.lit(1.0)))
+    out = marked.join(rates, [f"_{m}" for m in MARGINS], "left").withColumn("_expected", F.coalesce("_expected", F.lit(1.0)))
+    out = out.withColumn("_rate", F.least(F.lit(1.0), "_expected"))
     draw = F.conv(F.substring(F.md5(F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit(f":{seed}"))), 1, 8), 16, 10).cast("double") / 4294967296.0
-    return out.withColumn("_keep", draw < F.col("_rate"))
+    whole = F.floor("_expected")
+    return out.withColumns({"_keep": draw < F.col("_rate"), "_copies": (whole + (draw < F.col("_expected") - whole).cast("int")).cast("int")})
 
 
 def sample_mixture(docs: DataFrame, **how) -> DataFrame:
-    """The rows that the mixture keeps, with all their columns."""
-    return mix(docs, **how).where("_keep").select(*docs.columns)
+    """The rows that the mixture keeps, with all their columns, each as often as it has copies."""
+    kept = mix(docs, **how).where("_keep")
+    return kept.withColumn("_copy", F.explode(F.array_repeat(F.lit(True), F.col("_copies")))).select(*docs.columns)
 
 
 def oracle_sql(budget: float = BUDGET, alpha: float = ALPHA, rounds: int = ROUNDS, seed: int = SEED) -> str:
