@@ -159,6 +159,23 @@ def test_quality_on_held_out_rows(spark):
     assert good.expected_grade.mean() > got[(got.quality == 1) & (got.toxic == 1)].expected_grade.mean() > poor.expected_grade.mean()
 
 
+def test_quality_rejects_held_out_toxic_rows(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    held = labels.where("pmod(hash(doc_id), 4) = 0")
+    model = quality.train(docs, labels.where("pmod(hash(doc_id), 4) != 0"))
+    got = quality.score(docs, model).join(held, "doc_id").toPandas()
+    kept = {g: got[(got.quality == q) & (got.toxic == t)].keep.mean() for g, q, t in ((1, 1, 1), (2, 1, 0))} | {0: got[got.quality == 0].keep.mean()}
+    print("kept", kept, "cut", model.cut, "rejected in calibration", model.rejected)
+    assert kept[1] < 0.65 and kept[0] < 0.05 and kept[2] > 0.98
+    assert model.rejected[1] > 0.35 and model.rejected[0] > 0.95 and model.rejected[2] <= 0.01
+
+
+def test_calibration_uses_all_grades():
+    tails = np.array([0.1, 0.6, 0.99, 0.9, 0.95, 0.97])  # of grades 0, 1, 1, 2, 2, 2
+    got = quality.calibrate(quality.OrdinalModel(np.zeros(1), np.zeros(2)), tails, np.array([0, 1, 1, 2, 2, 2]))
+    assert 0.6 < got.cut < 0.9 and got.rejected == {0: 1.0, 1: 0.5, 2: 0.0}
+
+
 def test_quality_edge_cases(spark):
     docs = spark.createDataFrame([(1, None, "x"), (2, "", "x"), (3, "w " * 60_000, "x"), (None, "a b", "x"), (3, "w", "x")], "doc_id long, text string, keep string")
     labels = spark.createDataFrame([(3, 1, None), (3, 0, 1), (None, 1, 0), (4, None, 0)], "doc_id long, quality int, toxic int")

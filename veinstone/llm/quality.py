@@ -15,13 +15,13 @@ from __future__ import annotations
 import zlib
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-BITS, SAMPLE, GRADES = 17, 8000, 3
+BITS, SAMPLE, GRADES, FOLDS = 17, 8000, 3, 5
 #: Share of good held-out rows that the decision keeps at least.
 KEEP_GOOD = 0.995
 _SIZE = 1 << BITS
@@ -52,7 +52,7 @@ def text_features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     for w, n in counts.items():
         if (slots := _cache.get(w)) is None:
             slots = _cache[w] = (zlib.crc32(w.lower().strip(".,;:!?").encode()) & (_SIZE - 1), _shape(w))
-        values[slots[0]] = 0.4
+        values[slots[0]] = 0.2
         values[slots[1]] = values.get(slots[1], 0.0) + 4.0 * n / len(words)
     base = _SIZE + _SHAPES
     values[base + min(9, int(10 * (1 - len(counts) / len(words))))] = 1.0
@@ -63,11 +63,12 @@ def text_features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass
 class OrdinalModel:
-    """weights over the slots, ordered thresholds, and the least tail probability that is kept."""
+    """weights over the slots, ordered thresholds, the least tail probability that is kept, and the share of held-out rows of each grade that it rejects."""
 
     weights: np.ndarray
     thresholds: np.ndarray
     cut: float = 0.0
+    rejected: dict[int, float] = field(default_factory=dict)
 
     def tails(self, score: np.ndarray) -> np.ndarray:
         """P(grade >= k) for k = 1, 2, ... of each score."""
@@ -77,10 +78,16 @@ class OrdinalModel:
         return np.array([float(self.weights[i] @ v) if len(i) else 0.0 for i, v in rows], np.float64)
 
 
-def fit(rows: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray, n_grades: int = GRADES, epochs: int = 12, batch: int = 128, decay: float = 1e-4) -> OrdinalModel:
-    """Minimises the ordinal negative log-likelihood with Adam. Gaps between thresholds are kept positive as exponents."""
+def fit(rows: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray, n_grades: int = GRADES, epochs: int = 200, batch: int = 128, decay: float = 3e-4) -> OrdinalModel:
+    """Minimises the ordinal negative log-likelihood with Adam. Gaps between thresholds are kept positive as exponents.
+
+    Slots of few rows keep weight 0: they would learn single documents by heart."""
     rng = np.random.default_rng(0)
-    dim, m = _SIZE + _SHAPES + _OTHER, n_grades - 1
+    full, m = _SIZE + _SHAPES + _OTHER, n_grades - 1
+    used = np.flatnonzero(np.bincount(np.concatenate([i for i, _ in rows]), minlength=full) >= max(2, min(10, len(rows) // 300))) if len(rows) else np.empty(0, int)
+    place, dim = np.full(full, -1), len(used)
+    place[used] = np.arange(dim)
+    rows = [(place[i][on], v[on]) for i, v in rows for on in [place[i] >= 0]]
     w = np.zeros(dim, np.float32)
     share = np.clip([np.mean(grades <= k) if len(grades) else 0.5 for k in range(m)], 0.01, 0.99)
     start = np.log(share / (1 - share))
@@ -120,24 +127,42 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray, n_grades:
             a, b = 1 - 0.9**step, 1 - 0.999**step
             w -= (rate * (mw / a) / (np.sqrt(vw / b) + 1e-6)).astype(np.float32)
             raw -= rate * (mr / a) / (np.sqrt(vr / b) + 1e-8)
-    return OrdinalModel(w, raw[0] + np.concatenate([[0], np.cumsum(np.exp(raw[1:]))]))
+    weights = np.zeros(full, np.float32)
+    weights[used] = w
+    return OrdinalModel(weights, raw[0] + np.concatenate([[0], np.cumsum(np.exp(raw[1:]))]))
+
 
+def calibrate(model: OrdinalModel, tail: np.ndarray, grades: np.ndarray, top: int = GRADES - 1) -> OrdinalModel:
+    """Sets the cut from held-out rows' tail probabilities and notes the share of each grade that it rejects.
 
-def calibrate(model: OrdinalModel, rows: list, grades: np.ndarray, top: int = GRADES - 1) -> OrdinalModel:
-    """Sets the cut at one half, or lower where held-out rows of the top grade would fall below it."""
-    if len(rows) and np.any(grades == top):
-        tail = model.tails(model.score_rows([r for r, y in zip(rows, grades) if y == top]))[:, top - 1]
-        model.cut = float(min(0.5, np.quantile(tail, 1 - KEEP_GOOD) * 0.5))
+    KEEP_GOOD of the top grade bounds the cut from above. Below that bound it lies halfway down to the highest row of a
+    lower grade, so that it rejects as many of those as the bound does. Without such a row it is one half at most."""
+    if np.any(grades == top):
+        bound = np.quantile(tail[grades == top], 1 - KEEP_GOOD)
+        below = tail[(grades < top) & (tail < bound)]
+        model.cut = float((below.max() + bound) / 2 if len(below) else min(0.5, bound))
+        model.rejected = {int(k): float(np.mean(tail[grades == k] < model.cut)) for k in np.unique(grades)}
     return model
 
 
+def held_out_tails(rows: list, grades: np.ndarray) -> np.ndarray:
+    """Each row's tail probability by a model that was fitted on the other folds."""
+    tail, fold = np.zeros(len(rows)), np.arange(len(rows)) % FOLDS
+    for k in range(FOLDS):
+        some = [r for r, f in zip(rows, fold) if f == k]
+        if some:
+            model = fit([r for r, f in zip(rows, fold) if f != k], grades[fold != k])
+            tail[fold == k] = model.tails(model.score_rows(some))[:, -1]
+    return tail
+
+
 def grade_of(quality: Column, toxic: Column) -> Column:
     """0: poor; 1: good but toxic; 2: good. Null where the quality is null."""
     return F.when(quality == 0, 0).when(quality.isNotNull() & (F.coalesce(toxic, F.lit(0)) == 1), 1).when(quality.isNotNull(), 2)
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> OrdinalModel:
-    """Fits on at most `sample` labelled rows; the last fifth of them only calibrates the cut."""
+    """Fits on at most `sample` labelled rows; models of all folds but one give the tails that calibrate the cut."""
     chosen = labels.select(F.col("doc_id").alias("_id"), grade_of(F.col("quality"), F.col("toxic")).alias("grade")).where("_id is not null and grade is not null")
     chosen = chosen.orderBy(F.xxhash64("_id"), "_id", "grade").limit(sample)
 
@@ -151,8 +176,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str
     rated = texts.join(F.broadcast(chosen), "_id").groupBy("_id", "grade").agg(F.min("text").alias("text")).select("_id", "text", "grade")
     got = sorted(rated.mapInArrow(run, "_id long, grade int, slots binary, vals binary").collect(), key=lambda r: (zlib.crc32(str(r[0]).encode()), r[0], r[1]))
     rows = [(np.frombuffer(r.slots, np.int32), np.frombuffer(r.vals, np.float32)) for r in got]
-    grades, k = np.array([r.grade for r in got], int), len(got) * 4 // 5
-    return calibrate(fit(rows[:k], grades[:k]), rows[k:], grades[k:])
+    grades = np.array([r.grade for r in got], int)
+    return calibrate(fit(rows, grades), held_out_tails(rows, grades), grades)
 
 
 SCHEMA = "doc_id long, expected_grade double, tail_probability double, keep boolean"
