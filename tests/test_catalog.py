@@ -41,3 +41,11 @@ def test_same_as_sql(spark, con, name):
     order = [want.columns.index(c) for c in columns]
     left = sorted(repr([plain(r[c]) for c in columns]) for r in got.collect())
     assert left == sorted(repr([plain(r[k]) for k in order]) for r in want.fetchall())
+
+
+def test_collection_last_orders_all_keys(spark, tmp_path):
+    orders = spark.range(1, 251).selectExpr("id * 1000 o_orderkey", "timestamp_ntz'2020-01-01' o_orderdate", "1.0D o_totalprice")
+    orders.write.parquet(f"{tmp_path}/orders.parquet")
+    orders.selectExpr("o_orderkey l_orderkey", "1 l_linenumber", "o_orderdate l_shipdate", "1.0D l_extendedprice").write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = [(r.id, r._root_, r.sort_isi) for r in catalog.QUERIES["o3_collection_last"](spark, str(tmp_path)).collect()]
+    assert got == [(k * 100_000 + 1, k * 1000, 1) for k in range(1, 201)]

@@ -262,10 +262,7 @@ def o2_text_sort(spark, sf):
 
 @query(f"with {BLOCKS} select id, _root_, sort_isi from b where _root_ <= (select min(o_orderkey) + 400 from orders) order by case when sort_isi = 0 then 0.0 else 1.0 / sort_isi end desc, _root_, id limit 200")
 def o3_collection_last(spark, sf):
-    b = blocks(spark, sf)
-    first = table(spark, sf, "orders").agg((F.min("o_orderkey") + 400).alias("top"))  # one row
-    some = b.join(F.broadcast(first), F.col("_root_") <= F.col("top")).select("id", "_root_", "sort_isi")
-    return R.page(some, R.collection_last(), F.col("_root_"), F.col("id"), rows=200)
+    return R.page(blocks(spark, sf).select("id", "_root_", "sort_isi"), R.collection_last(), F.col("_root_"), F.col("id"), rows=200)
 
 
 @query("select o_orderkey, o_totalprice from orders order by o_totalprice desc, o_orderkey limit 10 offset 20")
