@@ -2,8 +2,9 @@
 
 A block is any run of BLOCK times a template's token count. Template tokens are ordered by their frequency over the
 whole corpus, rarest first. A block that contains THRESHOLD of a template holds at least one token of the template's
-prefix (prefix filter), is never longer than its window (length filter), and can gain no more than the tokens that
-are left after a position (positional filter). What passes is counted exactly.
+prefix (prefix filter), is never longer than its window, and lies in a text that holds THRESHOLD of the template's
+tokens. What passes is counted exactly in one sweep over the places of the template's tokens; there is no positional
+filter. The best containment of each label is kept, not the places of the blocks.
 
 Defined cases: a null text counts as empty; an empty text has no words, null positions, empty labels and score 0;
 equal places of several phrases count each; repeated rows each get their own row; other columns are ignored.
