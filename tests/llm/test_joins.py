@@ -75,9 +75,9 @@ def test_component_edge_cases(spark):
 
 def test_word_hashes_do_not_depend_on_chunks(monkeypatch):
     text = b" ".join(b"w%d" % (k * k) for k in range(3000))
-    whole = jaccard.shingle_sets([text, b"a b", text])
+    whole = jaccard.shingle_sets([text, b"a b", text], 7)
     monkeypatch.setattr(jaccard, "CHUNK", 100)
-    cut = jaccard.shingle_sets([text, b"a b", text])
+    cut = jaccard.shingle_sets([text, b"a b", text], 7)
     assert all(np.array_equal(a, b) for a, b in zip(whole, cut)) and len(whole[0]) == 2996 and np.array_equal(whole[0], whole[2])
 
 
@@ -101,17 +101,83 @@ def test_graph_components(spark):
 
 
 def brute_leaks(docs, items):
-    out = set()
+    """Every unit of every item against every passage with full scores, then the whole item's parts against the whole text."""
+    df, units = {}, []
     for item, text in items:
         words, cut = leaks.split_item(text or "")
-        q, a = leaks.shingles(words[:cut]), leaks.shingles(words[cut:])
-        for doc, body in docs:
-            found = leaks.words_of((body or "").encode())
-            if words and all(len(p & leaks.shingles(found, len(next(iter(p))))) >= 0.5 * len(p) for p in (q, a) if p):
+        n = max(1, round(len(words) / leaks.UNIT))
+        if len(words) >= 5:
+            units += [(words[k * len(words) // n : (k + 1) * len(words) // n], item, words, cut) for k in range(n)]
+    for u, *_ in units:
+        for w in set(u):
+            df[w] = df.get(w, 0) + 1
+    mean, span = sum(len(u[0]) for u in units) / max(1, len(units)), max((len(u[0]) for u in units), default=1)
+    grams = lambda words, n: {tuple(words[k : k + n]) for k in range(len(words) - n + 1)}
+    out = set()
+    short = {(tuple(leaks.words_of((t or "").encode())), i) for i, t in items}
+    for doc, body in docs:
+        found = leaks.words_of((body or "").encode())
+        out |= {(doc, i) for w, i in short if 0 < len(w) < 5 and w == tuple(found)}
+        whole = {}
+        passages = [set(found[p : p + 2 * span]) for p in range(0, len(found), span)]
+        for u, item, words, cut in units:
+            parts = [(p, min(5, len(p))) for p in (words[:cut], words[cut:]) if p]
+            for _, n in parts:
+                whole.setdefault(n, grams(found, n))
+            if not all(len(grams(p, n) & whole[n]) >= 0.5 * len(grams(p, n)) for p, n in parts):
+                continue
+            norm = 1.2 * (0.25 + 0.75 * len(u) / mean)
+            gain = {w: np.log(1 + (len(units) - df[w] + 0.5) / (df[w] + 0.5)) * u.count(w) * 2.2 / (u.count(w) + norm) for w in set(u)}
+            if any(sum(g for w, g in gain.items() if w in p) >= 0.6 * sum(gain.values()) - 1e-9 for p in passages):
                 out.add((doc, item))
     return out
 
 
+def test_long_and_short_items(spark):
+    rng = np.random.default_rng(8)
+    word = lambda n: " ".join(f"w{x}" for x in rng.integers(0, 4000, n))
+    question, answer = word(150) + "?", word(150)
+    items = [(1, f"{question} {answer}"), (2, "the"), (3, "what is dna"), (4, word(64)), (5, f"{word(100)}? {word(6)}")]
+    docs = [(1, f"{word(300)} {question} {word(50)}"), (2, f"{word(99)} {answer}"), (3, f"{question} {word(400)} {answer}"), (4, "the end of the story"), (5, "What is DNA?"), (6, "so what is dna then"), (7, word(3000) + " " + items[4][1]), (8, items[4][1][:300]), (9, "The")]
+    got = {(r.doc_id, r.item_id) for r in leaks.find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == brute_leaks(docs, items) == {(3, 1), (5, 3), (7, 5), (9, 2)}
+
+
+def test_words_that_collide_in_polynomial_hashes(spark):
+    first = "a"
+    while len(first) < 2048:
+        first += first.translate(str.maketrans("ab", "ba"))
+    other = first.translate(str.maketrans("ab", "ba"))
+    docs = spark.createDataFrame([(1, first), (2, other), (3, first), (4, "x\x00"), (5, "x"), (6, "abcdefghi"), (7, "abcdefghj")], "doc_id long, text string")
+    assert sorted((r.doc_id, r.component_id) for r in jaccard.jaccard_components(docs).collect()) == [(1, 1), (2, 2), (3, 1), (4, 4), (5, 5), (6, 6), (7, 7)]
+
+
+def test_links_by_words():
+    rng = np.random.default_rng(3)
+    for _ in range(200):
+        base = [f"w{x}" for x in rng.integers(0, 30, int(rng.integers(3, 60)))]
+        a, b = edited(rng, base, 0.02), edited(rng, base, 0.05)
+        x, y = brute_sets(a), brute_sets(b)
+        assert jaccard.same_words_link(a.encode(), b.encode()) == (100 * len(x & y) >= 75 * len(x | y))
+
+
+def test_hot_tokens_and_wrong_hashes(spark, monkeypatch):
+    """Ties through hot tokens lose no link, and words decide where hashes say that all is equal."""
+    rng = np.random.default_rng(11)
+    base = [f"h{k}" for k in range(40)]
+    rows = [(k, edited(rng, base[: int(rng.integers(25, 41))], rng.choice([0, 0.03]))) for k in range(150)]
+    got = jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), hot=2, cluster_limit=40)
+    assert sorted(map(tuple, got.collect())) == brute_components(rows)
+    same = np.arange(3, dtype=np.uint64)
+    assert jaccard.cluster_links([same, same], verify=lambda q, r: False) == [] and jaccard.cluster_links([same, same]) == [(0, 1)]
+
+
+def test_tree_is_packed_by_coordinates():
+    sets = [np.unique(np.concatenate([np.arange(200, dtype=np.uint64) * np.uint64(2**40) + np.uint64(k % 2) * np.uint64(2**63)])) for k in range(64)]
+    leaves = jaccard.CountTree(sets).leaf
+    assert len(set(leaves)) == 2 and all(len({k % 2 for k in np.flatnonzero(leaves == x)}) == 1 for x in set(leaves))
+
+
 def test_leaks_against_brute_force(spark):
     docs, items = (spark.read.parquet(f"{SF1}/{t}.parquet") for t in ("documents", "benchmark"))
     got = {(r.doc_id, r.item_id) for r in leaks.find_leaks(docs, items).collect()}
@@ -128,6 +194,7 @@ def test_leak_edge_cases(spark, monkeypatch):
     assert leaks.find_leaks(docs, items.limit(0)).count() == 0 and leaks.drop_leaks(docs, items.limit(0)).count() == 7
     monkeypatch.setattr(leaks, "SHARD_BYTES", 60)
     assert leaks.find_leaks(docs, items).count() == 4
+    assert leaks.find_leaks(docs.limit(0), items).count() == 0 and leaks.drop_leaks(docs, items).columns == docs.columns
 
 
 def test_wand_against_full_scores():

@@ -11,19 +11,22 @@ def components(edges: DataFrame, scratch: Scratch, name: str, a: str = "a", b: s
     """(node, root) of each node that is not its component's smallest; edges: two long columns.
 
     Large-star and small-star rounds alternate until the table no longer changes; the rounds grow with the logarithm
-    of a component's diameter. Each round is aggregations and joins by node and is written to the shared folder.
-    Null ends and loops are ignored; an empty table has no components.
+    of a component's diameter. Each round is aggregations and joins by node and one write to the shared folder, which
+    also measures the table, so that no job is needed to see the end. A node of very many edges is a skewed join key,
+    which Spark splits; its minimum is a partial aggregation.
+    Null ends and loops are ignored; equal edges count once; an empty table has no components.
     """
-    now = scratch.save(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where(f"{a} is not null and {b} is not null and u != v").distinct(), f"{name}0")
-    state = lambda df: df.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first()
+    state = [F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x")]
+    first = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where(f"{a} is not null and {b} is not null and u != v")
+    now, found = scratch.save_measured(first, f"{name}0", *state)
     k, seen = 0, None
-    while (found := state(now)) != seen and found[0]:
+    while found != seen and found["n"]:
         k, seen = k + 1, found
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        now = scratch.save(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), f"{name}{k}")
+        now, found = scratch.save_measured(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), f"{name}{k}", *state)
         scratch.drop(f"{name}{k - 1}")
     return now.select(F.col("u").alias("node"), F.col("v").alias("root"))

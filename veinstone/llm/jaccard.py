@@ -2,24 +2,31 @@
 
 Two texts link when their sets of word shingles overlap by JACCARD or more (exact integer arithmetic).
 
-1.  Every text's shingles are hashed to 64 bits. Texts with one set are one class.
+1.  Every text's shingles are hashed to 64 bits under a key that is drawn anew for each call. Texts whose sets have the
+    same 128-bit name are one class, which goes by its smallest doc_id.
 2.  Each class gives its rarest tokens (so many that linked partners must share a few of them, the more the larger
     they are) as routing rows; tokens that are common in some batch come last in the order. Classes that meet on enough
     tokens, or on one token that many have, and are near enough in size, are tied by an edge, and the components of
-    these edges are the clusters: no link leaves a cluster.
-3.  In each cluster, tokens are hashed into groups and the group counts are points of an R-tree, whose nodes hold the
-    greatest counts below them. The sum of coordinate minima bounds the overlap with a node or point; what passes is
-    verified on the sets. Pairs that are already connected are skipped, so a large group of copies does not cost
-    all its pairs. A cluster beyond CLUSTER classes or TOKENS tokens is dealt by size and hash, see deal().
+    these edges are the clusters: no link leaves a cluster. Classes with a hot token (HOT times or more) are tied to a
+    node that stands for the token and a band of sizes, so that no task gathers all rows of such a token.
+3.  In each cluster, tokens are hashed into groups and the group counts are points of an R-tree, which is packed by the
+    coordinates that spread most and whose nodes hold the greatest counts below them. The sum of coordinate minima
+    bounds the overlap with a node or point; what passes is verified on the hashed sets, and a link then on the words
+    themselves. Pairs that are already connected are skipped, so a large group of copies does not cost all its pairs. A
+    cluster beyond CLUSTER classes or TOKENS tokens is dealt by size and hash, see deal().
 4.  The links' components are the result.
 
 Defined cases: null and empty texts, and texts of white space, have n_shingles 0 and stand alone; a text of fewer words
-than a shingle has one, the whole sequence; repeated rows each get a row with the same component; rows with a null id
-take the component of equal texts, or null, and link nothing else; other columns are ignored by the join and kept by keep_one().
+than a shingle has one, the whole sequence; very long texts are hashed in pieces; repeated rows each get a row with the
+same component; different texts under one id are told apart unless that id is the smallest of both classes; rows with a
+null id take the component of equal texts, or null, and link nothing else; an empty table has no rows; other columns
+are ignored by the join and kept by keep_one().
 """
 
 from __future__ import annotations
 
+import hashlib
+import secrets
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -34,16 +41,21 @@ WORDS = 5
 NUM, DEN = 75, 100
 #: Bytes of text hashed at once; common tokens kept as a fixed-size list; least count in one batch to be common.
 CHUNK, COMMON, REPEATED = 1 << 20, 1 << 18, 2
-#: Runs of a routing token up to this length give all pairs, which count their votes; longer ones give a chain, whose edges always hold.
+#: Times that a token was seen among others of its batch from which on it is tied without meeting.
+HOT = 2048
+#: Runs of a routing token up to this length give all pairs, which count their votes; longer ones give stars, whose edges always hold.
 RUN, ENOUGH = 8, 1 << 40
 #: Size limits of one group in one task, and rows in an R-tree leaf.
-CLUSTER, TOKENS, LEAF = 4096, 1 << 23, 32
+CLUSTER, TOKENS, LEAF = 512, 1 << 22, 32
 #: 64-bit words of the fixed-size filter in front of the join that fetches sets.
 FILTER_WORDS = 1 << 17
 
-_rng = np.random.default_rng(20240601)
-_BYTE = _rng.integers(0, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_BASE, _STEP = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
+_STEP, _LENGTH = np.uint64(0xD6E8FEB86659FD93), np.uint64(0x9E3779B97F4A7C15)
+#: The lowest 0 to 7 bytes of a lane; words beyond LONG_WORD bytes are hashed one by one.
+_MASKS = np.array([(1 << 8 * k) - 1 for k in range(8)], np.uint64)
+LONG_WORD = 256
+#: Sizes that can link differ by a factor of DEN / NUM, so by one band at most; a little more guards the rounding.
+_BAND = float(np.log(DEN / NUM + 0.01))
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -55,19 +67,11 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-_powers: list[np.ndarray] = []
+def _word_hashes(line: bytes, key: int) -> np.ndarray:
+    """One keyed hash for each word of a line whose words stand one space apart.
 
-
-def _power_tables(n: int) -> list[np.ndarray]:
-    """Powers of the base and of its inverse, 0 to n at least."""
-    if not _powers or len(_powers[0]) <= n:
-        back = np.uint64(pow(int(_BASE), -1, 1 << 64))
-        _powers[:] = [np.multiply.accumulate(np.r_[np.uint64(1), np.full(max(n, CHUNK), x, np.uint64)]) for x in (_BASE, back)]
-    return _powers
-
-
-def _word_hashes(line: bytes) -> np.ndarray:
-    """One hash for each word of a line whose words stand one space apart, from running sums over its bytes."""
+    Words of up to eight bytes and one length never collide; longer ones are chained eight bytes at a time.
+    """
     out, at = [], 0
     while at < len(line):
         end = len(line)
@@ -75,17 +79,27 @@ def _word_hashes(line: bytes) -> np.ndarray:
             end = line.rfind(b" ", at, at + CHUNK)
             end = line.find(b" ", at + CHUNK) if end < 0 else end
             end = len(line) if end < 0 else end
-        raw = np.frombuffer(line, np.uint8, end - at, at)
-        up, back = _power_tables(len(raw))
-        sums = np.r_[np.uint64(0), np.cumsum(_BYTE[raw] * up[: len(raw)], dtype=np.uint64)]
-        gaps = np.flatnonzero(raw == 32)
-        first, stop = np.r_[0, gaps + 1], np.r_[gaps, len(raw)]
-        out.append(_mix((sums[stop] - sums[first]) * back[first]))
+        piece = line[at:end] + bytes(8)
+        gaps = np.flatnonzero(np.frombuffer(piece, np.uint8, end - at) == 32)
+        first, stop = np.r_[0, gaps + 1], np.r_[gaps, end - at]
+        size = stop - first
+        lanes = np.ndarray((end - at + 1,), "<u8", piece, strides=(1,))
+        h = _mix(size.astype(np.uint64) * _LENGTH + np.uint64(key))
+        rows, k = np.flatnonzero(size <= LONG_WORD), 0
+        while len(rows):
+            lane, left = lanes[first[rows] + 8 * k], size[rows] - 8 * k
+            cut = left < 8
+            lane[cut] &= _MASKS[left[cut]]
+            h[rows] = _mix(h[rows] ^ lane)
+            rows, k = rows[left > 8], k + 1
+        for w in np.flatnonzero(size > LONG_WORD):
+            h[w] = int.from_bytes(hashlib.blake2b(piece[first[w] : stop[w]], digest_size=8, key=key.to_bytes(8, "little")).digest(), "little")
+        out.append(h)
         at = end + 1
     return np.concatenate(out)
 
 
-def shingle_sets(texts: list[bytes | None]) -> list[np.ndarray]:
+def shingle_sets(texts: list[bytes | None], key: int = 0) -> list[np.ndarray]:
     """The sorted, distinct shingle hashes of each text."""
     out: list[np.ndarray] = []
     lines = [b" ".join(t.lower().split()) if t else b"" for t in texts]
@@ -98,7 +112,7 @@ def shingle_sets(texts: list[bytes | None]) -> list[np.ndarray]:
             k += 1
         full = [x for x in some if x]
         if full:
-            words = _word_hashes(b" ".join(full))
+            words = _word_hashes(b" ".join(full), key)
             ends = np.cumsum([x.count(b" ") + 1 for x in full])
             rolled = words[: max(0, len(words) - WORDS + 1)].copy()
             for j in range(1, WORDS):
@@ -122,13 +136,30 @@ def shingle_sets(texts: list[bytes | None]) -> list[np.ndarray]:
     return out
 
 
-def set_key(tokens: np.ndarray) -> int | None:
-    """A 64-bit name of the set; null for the empty set."""
+def set_key(tokens: np.ndarray) -> tuple[int, int] | tuple[None, None]:
+    """A 128-bit name of the set as two numbers; nulls for the empty set."""
     if not len(tokens):
-        return None
+        return None, None
     with np.errstate(over="ignore"):
-        h = _mix(_mix(tokens + np.uint64(0x5851F42D4C957F2D)) + np.uint64(len(tokens))).sum(dtype=np.uint64)
-        return int(_mix(np.array([h ^ np.uint64(len(tokens))], np.uint64)).view(np.int64)[0])
+        n = np.uint64(len(tokens))
+        sums = [_mix(_mix(tokens + np.uint64(c)) + n).sum(dtype=np.uint64) ^ n for c in (0x5851F42D4C957F2D, 0xA0761D6478BD642F)]
+        return tuple(_mix(np.array(sums, np.uint64)).view(np.int64).tolist())
+
+
+def same_words_link(a: bytes, b: bytes) -> bool:
+    """Whether two texts link by the words of their shingles, without any hash."""
+    both, number = [t.lower().split() for t in (a, b)], {}
+    ids = [np.array([number.setdefault(w, len(number)) for w in words], np.int64) for words in both]
+    if min(map(len, ids)) < WORDS:
+        return both[0] == both[1] and len(both[0]) > 0
+    # Runs of 1, 2, ... words are numbered one after the other, so that equal numbers are equal runs.
+    code = np.concatenate(ids)
+    for j in range(1, WORDS):
+        parts = np.split(code, [len(ids[0]) - j + 1])
+        pair = [p[:-1] * len(number) + own[j:] for p, own in zip(parts, ids)]
+        code = np.unique(np.concatenate(pair), return_inverse=True)[1]
+    left, right = (np.unique(p) for p in np.split(code, [len(ids[0]) - WORDS + 1]))
+    return linked(left, right)
 
 
 def need_of(n: int) -> int:
@@ -155,8 +186,23 @@ def linked(a: np.ndarray, b: np.ndarray) -> bool:
     return DEN * same >= NUM * (len(a) + len(b) - same)
 
 
+def _packed(points: np.ndarray) -> np.ndarray:
+    """Each point's leaf: halves are cut at the median of the coordinate that spreads most, until LEAF points are left."""
+    leaf, done, todo = np.zeros(len(points), np.int64), 0, [np.arange(len(points))]
+    while todo:
+        rows = todo.pop()
+        if len(rows) <= LEAF:
+            leaf[rows], done = done, done + 1
+            continue
+        widest = int(np.argmax(np.ptp(points[rows], axis=0)))
+        rows = rows[np.argsort(points[rows, widest], kind="stable")]
+        half = -(-len(rows) // (2 * LEAF)) * LEAF
+        todo += [rows[half:], rows[:half]]
+    return leaf
+
+
 class CountTree:
-    """An R-tree of group-count vectors: leaves of LEAF points, nodes of LEAF leaves, each with its greatest counts."""
+    """An R-tree of group-count vectors: leaves of LEAF points at most, nodes of LEAF leaves, each with its greatest counts."""
 
     def __init__(self, sets: list[np.ndarray]):
         self.n = np.array([len(s) for s in sets])
@@ -166,8 +212,10 @@ class CountTree:
         for k, s in enumerate(sets):
             points[k] = np.bincount((s >> shift).astype(np.int64), minlength=groups)
         self.points = points if points.max(initial=0) > 255 else points.astype(np.uint8)
-        starts = np.arange(0, len(sets), LEAF)  # the points come sorted by size, so leaves are narrow in size
-        self.leaf_max = np.maximum.reduceat(self.points, starts, axis=0)
+        self.leaf = _packed(self.points)
+        order = np.argsort(self.leaf, kind="stable")
+        starts = np.flatnonzero(np.r_[True, np.diff(self.leaf[order]) > 0])
+        self.leaf_max = np.maximum.reduceat(self.points[order], starts, axis=0)
         self.node_max = np.maximum.reduceat(self.leaf_max, np.arange(0, len(starts), LEAF), axis=0)
 
     @staticmethod
@@ -175,32 +223,25 @@ class CountTree:
         return np.minimum(point, others).sum(axis=1, dtype=np.int64)
 
     def search(self, q: int, wanted: np.ndarray) -> np.ndarray:
-        """The wanted points whose bound allows a link with point q, the most promising first."""
-        least = need_of(int(self.n[q]))
-        leaves = np.unique(wanted // LEAF)
-        if len(leaves) > LEAF:
-            nodes = np.unique(leaves // LEAF)
-            nodes = nodes[self.bound(self.points[q], self.node_max[nodes]) >= least]
-            leaves = leaves[np.isin(leaves // LEAF, nodes)]
-        if len(leaves) > 1:
-            leaves = leaves[self.bound(self.points[q], self.leaf_max[leaves]) >= least]
-            wanted = wanted[np.isin(wanted // LEAF, leaves)]
-        if not len(wanted):
-            return wanted
+        """The wanted points, none smaller than q, whose bound allows a link with point q, the most promising first."""
+        least = need_of_smaller(int(self.n[q]))
+        leaves = np.unique(self.leaf[wanted])
+        nodes = np.unique(leaves // LEAF)
+        nodes = nodes[self.bound(self.points[q], self.node_max[nodes]) >= least]
+        leaves = leaves[np.isin(leaves // LEAF, nodes)]
+        leaves = leaves[self.bound(self.points[q], self.leaf_max[leaves]) >= least]
+        wanted = wanted[np.isin(self.leaf[wanted], leaves)]
         got = self.bound(self.points[q], self.points[wanted])
         ok = DEN * got >= NUM * (self.n[q] + self.n[wanted] - got)
         return wanted[ok][np.argsort(-got[ok], kind="stable")]
 
 
-def cluster_links(sets: list[np.ndarray], side: np.ndarray | None = None) -> list[tuple[int, int]]:
+def cluster_links(sets: list[np.ndarray], side: np.ndarray | None = None, verify: Callable[[int, int], bool] = lambda q, r: True) -> list[tuple[int, int]]:
     """A spanning forest of the links among sets that are sorted by size; with sides, only of links between sides.
 
-    Every pair that is not connected by the forest has been excluded by the bound or by verification.
+    Every pair that is not connected by the forest has been excluded by the tree's bound or by verification.
     """
-    m, out = len(sets), []
-    if m == 2:
-        return [(0, 1)] if linked(sets[0], sets[1]) and (side is None or side[0] != side[1]) else []
-    tree = CountTree(sets)
+    m, out, tree = len(sets), [], CountTree(sets)
     label = np.arange(m)
     for q in range(m - 1):
         # Partners that are not smaller and come later: sizes are sorted, so they are one stretch.
@@ -212,7 +253,7 @@ def cluster_links(sets: list[np.ndarray], side: np.ndarray | None = None) -> lis
         if not len(wanted):
             continue
         for r in tree.search(q, wanted):
-            if label[r] != label[q] and linked(sets[q], sets[r]):
+            if label[r] != label[q] and linked(sets[q], sets[r]) and verify(q, r):
                 out.append((q, int(r)))
                 label[label == label[r]] = label[q]
     return out
@@ -222,53 +263,86 @@ def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").cast("binary").alias("raw"))
 
 
-def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, list[np.ndarray]]]:
+def _batches(batches: Iterator[pa.RecordBatch], key: int) -> Iterator[tuple[pa.Array, list[np.ndarray]]]:
     for batch in batches:
-        yield batch.column(0), shingle_sets(batch.column(1).to_pylist())
+        yield batch.column(0), shingle_sets(batch.column(1).to_pylist(), key)
+
+
+def _survey(secret: int) -> Callable:
+    """Rows of (doc_id, n, key, key2), and rows of (token, times) for tokens that several texts of a batch share."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, sets in _batches(batches, secret):
+            keys = [set_key(s) for s in sets]
+            once = {key: s for key, s in zip(keys, sets)}  # copies do not make a token common
+            token, times = np.unique(np.concatenate(list(once.values())), return_counts=True) if sets else (np.empty(0, np.uint64), np.empty(0, int))
+            token, times = token[times >= REPEATED].view(np.int64), times[times >= REPEATED]
+            n, t = len(sets), len(token)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.concat_arrays([ids, pa.nulls(t, pa.int64())]),
+                    pa.array([len(s) for s in sets] + [None] * t, pa.int64()),
+                    *(pa.array([k[i] for k in keys] + [None] * t, pa.int64()) for i in (0, 1)),
+                    pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array(token)]),
+                    pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array(times.astype(np.int64))]),
+                ],
+                ["doc_id", "n", "key", "key2", "token", "times"],
+            )
 
+    return run
 
-def _survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of (doc_id, n, key), and rows of (token, times) for tokens that several texts of a batch share."""
-    for ids, sets in _batches(batches):
-        keys = [set_key(s) for s in sets]
-        once = {key: s for key, s in zip(keys, sets)}  # copies do not make a token common
-        token, times = np.unique(np.concatenate(list(once.values())), return_counts=True) if sets else (np.empty(0, np.uint64), np.empty(0, int))
-        token, times = token[times >= REPEATED].view(np.int64), times[times >= REPEATED]
-        n, t = len(sets), len(token)
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.concat_arrays([ids, pa.nulls(t, pa.int64())]), pa.array([len(s) for s in sets] + [None] * t, pa.int64()), pa.array(keys + [None] * t, pa.int64()),
-                pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array(token)]), pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array(times.astype(np.int64))]),
-            ],
-            ["doc_id", "n", "key", "token", "times"],
-        )
 
+def _router(secret: int, common: np.ndarray, rank: np.ndarray, hot: np.ndarray) -> Callable:
+    """common: sorted tokens; rank: their places among the common ones, rarest first; hot: which of them are hot.
 
-def _router(common: np.ndarray, rank: np.ndarray) -> Callable:
-    """common: sorted tokens; rank: their places among the common ones, rarest first."""
+    Rows of (token, key, size) meet on their token. Rows with a node in `to` are edges already; their token is the
+    class's own key, which spreads them evenly.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, sets in _batches(batches):
-            seen, rows = set(), []
+        for _, sets in _batches(batches, secret):
+            seen, rows, ties = set(), [], []
             for s in sets:
                 n = len(s)
-                if not n or (key := set_key(s)) in seen:
+                if not n or (name := set_key(s)) in seen:
                     continue
-                seen.add(key)
+                seen.add(name)
+                key = name[0]
                 more = shared_at_least(n)
                 take, first = min(n, n - need_of(n) + more), n - need_of_smaller(n) + more
-                if len(common):
-                    at = np.minimum(np.searchsorted(common, s), len(common) - 1)
-                    hit = common[at] == s
-                    if hit.any():
-                        s = np.concatenate([s[~hit], s[hit][np.argsort(rank[at[hit]], kind="stable")]])
-                rows.append((s[:take], key, 2 * n, first))
-            if not rows:
+                if not len(common):
+                    rows.append((s[:take], key, 2 * n + (np.arange(take) >= first)))
+                    continue
+                at = np.minimum(np.searchsorted(common, s), len(common) - 1)
+                hit = common[at] == s
+                if hit.any():
+                    order = np.argsort(rank[at[hit]], kind="stable")
+                    s = np.concatenate([s[~hit], s[hit][order]])
+                    is_hot = np.concatenate([np.zeros(n - len(order), bool), hot[at[hit]][order]])[:take]
+                else:
+                    is_hot = np.zeros(take, bool)
+                # size: twice the set's size, plus 1 where no larger partner needs to meet it
+                size = 2 * n + (np.arange(take) >= first)
+                rows.append((s[:take][~is_hot], key, size[~is_hot]))
+                # A linked pair shares a band of sizes: its own or the smaller one's next.
+                band = int(np.log(n) / _BAND)
+                ties += [(key, _mix(s[:take][is_hot] + np.uint64(b) * _LENGTH)) for b in (band, band + 1) if is_hot.any()]
+            keys = np.array([r[1] for r in rows] + [t[0] for t in ties], np.int64)
+            sizes = [len(r[0]) for r in rows] + [len(t[1]) for t in ties]
+            key, plain = np.repeat(keys, sizes), int(sum(len(r[0]) for r in rows))
+            if not len(key):
                 continue
-            sizes = [len(r[0]) for r in rows]
-            # size: twice the set's size, plus 1 where no larger partner needs to meet it
-            size = np.concatenate([r[2] + (np.arange(k) >= r[3]) for r, k in zip(rows, sizes)]).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([r[0] for r in rows]).view(np.int64)), pa.array(np.repeat(np.array([r[1] for r in rows], np.int64), sizes)), pa.array(size)], ["token", "key", "size"])
+            token = np.concatenate([*(r[0] for r in rows), np.empty(0, np.uint64)]).view(np.int64)
+            to = np.concatenate([*(t[1] for t in ties), np.empty(0, np.uint64)]).view(np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(np.r_[token, key[plain:]]),
+                    pa.array(key),
+                    pa.array(np.concatenate([*(r[2] for r in rows), np.zeros(len(to), np.int64)]).astype(np.int64)),
+                    pa.concat_arrays([pa.nulls(plain, pa.int64()), pa.array(to)]),
+                ],
+                ["token", "key", "size", "to"],
+            )
 
     return run
 
@@ -285,14 +359,30 @@ def _pairs(token: np.ndarray, key: np.ndarray, size: np.ndarray, long_token: int
         i = rows[: max(0, len(rows) - d)]
         i = i[(run[i] == run[i + d]) & ~is_long[i] & indexed[i] & (DEN * n[i] >= NUM * n[i + d])]
         low, high, votes = [*low, i], [*high, i + d], [*votes, np.ones(len(i), np.int64)]
+    # Long runs: a star around the first indexed row of each band of sizes, and an edge to the band before it. A row
+    # before its band's star, if any, is tied to the last indexed row before it.
+    centre = _centres(run, n, indexed)
     before = np.maximum.accumulate(np.where(indexed, rows, -1))
     prev = np.r_[-1, before[:-1]]
     p = np.maximum(prev, 0)
-    j = rows[(prev >= 0) & (run[p] == run) & is_long & (DEN * n[p] >= NUM * n)]  # long runs: the last indexed row before
-    low, high, votes = np.concatenate([*low, p[j]]), np.concatenate([*high, j]), np.concatenate([*votes, np.full(len(j), ENOUGH)])
+    own = is_long & (centre >= 0) & (centre < rows)
+    j = rows[own | (is_long & (prev >= 0) & (run[p] == run) & (DEN * n[p] >= NUM * n))]
+    i = np.where(own, centre, p)[j]
+    low, high, votes = np.concatenate([*low, i]), np.concatenate([*high, j]), np.concatenate([*votes, np.full(len(j), ENOUGH)])
     return [np.minimum(key[low], key[high]), np.maximum(key[low], key[high]), votes, shared_at_least(n[low])]
 
 
+def _centres(run: np.ndarray, n: np.ndarray, indexed: np.ndarray) -> np.ndarray:
+    """The first indexed row of each row's run and band of sizes; -1 where there is none."""
+    band = run * 4096 + (np.log(n) / _BAND).astype(np.int64)
+    at = np.flatnonzero(indexed)
+    if not len(at):
+        return np.full(len(run), -1)
+    first = at[np.r_[True, np.diff(band[at]) != 0]]
+    place = np.minimum(np.searchsorted(band[first], band), len(first) - 1)
+    return np.where(band[first[place]] == band, first[place], -1)
+
+
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(a, b, votes, need) of classes that share a routing token, from rows sorted by (token, size, key)."""
     held, long_token = [np.empty(0, np.int64)] * 3, None
@@ -305,17 +395,24 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays([pa.array(a[first]), pa.array(b[first]), pa.array(np.add.reduceat(votes, first) if len(a) else votes), pa.array(need[first])], ["a", "b", "votes", "need"])
 
     for batch in batches:
-        cols = [np.r_[h, batch.column(i).to_numpy(zero_copy_only=False)] for i, h in enumerate(held)]
+        tied = np.asarray(batch.column(3).is_valid())
+        if tied.any():
+            key, to = (batch.column(i).to_numpy(zero_copy_only=False)[tied].astype(np.int64) for i in (1, 3))
+            yield made([np.minimum(key, to), np.maximum(key, to), np.full(len(key), ENOUGH), np.ones(len(key), np.int64)])
+        cols = [np.r_[h, batch.column(i).to_numpy(zero_copy_only=False)[~tied]] for i, h in enumerate(held)]
         if not len(cols[0]):
             continue
         again = (cols[0][1:] == cols[0][:-1]) & (cols[1][1:] == cols[1][:-1])
         token, key, size = (c[np.r_[True, ~again]] for c in cols)
-        # The last run may go on in the next batch: a short one waits, of a long one only its last indexed row does.
+        # The last run may go on in the next batch: a short one waits; of a long one the last indexed row and the
+        # centre of the last band do.
         last = int(np.searchsorted(token, token[-1]))
         if len(token) - last > RUN or token[-1] == long_token:
             yield made(_pairs(token, key, size, long_token))
             long_token = token[-1]
-            keep = last + np.flatnonzero((size[last:] & 1) == 0)[-1:]
+            indexed = (size[last:] & 1) == 0
+            centre = _centres(np.zeros(len(indexed), np.int64), size[last:] // 2, indexed)[-1:]
+            keep = last + np.unique(np.r_[centre[centre >= 0], np.flatnonzero(indexed)[-1:]])
         else:
             if last:
                 yield made(_pairs(token[:last], key[:last], size[:last], long_token))
@@ -325,32 +422,48 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield made(_pairs(*held, long_token))
 
 
-def _join_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links (a, b) of each group of rows (cluster, band, left, right, side, key, text), sorted by group, size and key."""
-    group, rows = None, []
+def _join_groups(secret: int) -> Callable:
+    """(a, b) for each member b of a group that links reach from its smallest member a, from rows (cluster, band, left,
+    right, side, rep, key, key2, text) sorted by group, size and rep."""
 
-    def close() -> list[tuple[int, int]]:
+    def close(group: list | None, rows: list[tuple]) -> list[tuple[int, int]]:
         # Texts travel, for they are smaller than their sets. A repeated id can bring a text of another set.
-        sets = shingle_sets([r[2] for r in rows])
-        kept = [k for k in range(len(rows)) if set_key(sets[k]) == rows[k][1]]
-        kept = [k for i, k in enumerate(kept) if not i or rows[k][1] != rows[kept[i - 1]][1]]
+        sets = shingle_sets([r[3] for r in rows], secret)
+        kept = [k for k in range(len(rows)) if set_key(sets[k]) == rows[k][2]]
+        kept = [k for i, k in enumerate(kept) if not i or rows[k][1:3] != rows[kept[i - 1]][1:3]]
         if len(kept) < 2:
             return []
         side = None if group[2] == group[3] else np.array([rows[k][0] for k in kept])
-        return [(rows[kept[i]][1], rows[kept[j]][1]) for i, j in cluster_links([sets[k] for k in kept], side)]
+        forest = cluster_links([sets[k] for k in kept], side, lambda q, r: same_words_link(rows[kept[q]][3], rows[kept[r]][3]))
+        root = {}
+
+        def top(x: int) -> int:
+            while (up := root.get(x, x)) != x:
+                root[x] = root.get(up, up)
+                x = up
+            return x
+
+        for i, j in forest:
+            a, b = sorted((top(rows[kept[i]][1]), top(rows[kept[j]][1])))
+            root[b] = a
+        return [(top(x), x) for x in root]
 
     def links_of(links: list[tuple[int, int]]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array([x[0] for x in links], pa.int64()), pa.array([x[1] for x in links], pa.int64())], ["a", "b"])
 
-    for batch in batches:
-        links, cols = [], [batch.column(i).to_pylist() for i in range(6)]
-        for k, (*now, side, key) in enumerate(zip(*cols)):
-            if now != group:
-                links += close()
-                group, rows = now, []
-            rows.append((side, key, batch.column(6)[k].as_py()))
-        yield links_of(links)
-    yield links_of(close())
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, rows = None, []
+        for batch in batches:
+            links, cols = [], [batch.column(i).to_pylist() for i in range(8)]
+            for k, (*now, side, rep, key, key2) in enumerate(zip(*cols)):
+                if now != group:
+                    links += close(group, rows)
+                    group, rows = now, []
+                rows.append((side, rep, (key, key2), batch.column(8)[k].as_py()))
+            yield links_of(links)
+        yield links_of(close(group, rows))
+
+    return run
 
 
 def maybe_in(df: DataFrame, col: str, ids: DataFrame, id_col: str, words: int = FILTER_WORDS) -> DataFrame:
@@ -363,7 +476,7 @@ def maybe_in(df: DataFrame, col: str, ids: DataFrame, id_col: str, words: int =
 
 
 def deal(members: DataFrame, cluster_limit: int, token_limit: int) -> DataFrame:
-    """Members (key, rep, n, cluster) with the groups (cluster, band, left, right) in which they meet their partners.
+    """Members (rep, key, key2, n, cluster) with the groups (cluster, band, left, right) in which they meet their partners.
 
     A cluster within the limits is one group. A larger one is cut into bands of sizes, which only meet themselves and
     the next band, and a band that is still too large into blocks, dealt by hash. Groups with left = right compare all
@@ -371,60 +484,67 @@ def deal(members: DataFrame, cluster_limit: int, token_limit: int) -> DataFrame:
     """
     count = [F.count(F.lit(1)).alias("m"), F.sum("n").alias("t")]
     blocks = F.ceil(F.greatest(F.col("m") / cluster_limit, F.col("t") / token_limit)).cast("int")
-    limits = members.groupBy("cluster").agg(*count).select("cluster", (blocks > 1).alias("over"))
-    # Linked sizes differ by a factor of DEN / NUM at most, so by one band at most; a little more guards the rounding.
-    banded = members.join(limits, "cluster").withColumn("band", F.when(F.col("over"), F.floor(F.log("n") / F.log(F.lit(DEN / NUM + 0.01)))).otherwise(0).cast("int"))
+    kept = ["rep", "key", "key2", "n", "cluster"]
+    over = members.groupBy("cluster").agg(*count).where(blocks > 1).select("cluster")
+    zero = [F.lit(0).alias(c) for c in ("band", "left", "right", "side")]
+    whole = members.join(over, "cluster", "left_anti").select(*kept, *zero)
+    banded = members.join(over, "cluster", "left_semi").withColumn("band", F.floor(F.log("n") / F.lit(_BAND)).cast("int"))
     units = banded.groupBy("cluster", "band").agg(*count).select("cluster", "band", blocks.alias("blocks"))
-    home = banded.join(units, ["cluster", "band"]).withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
-    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1)).alias("other")
-    kept = ["key", "rep", "n", "cluster"]
-    own = home.select(*kept, "band", "block", each("blocks")).select(*kept, "band", F.least("block", "other").alias("left"), F.greatest("block", "other").alias("right"), F.col("block").alias("side"))
-    big = home.where("over")
-    near = lambda step: units.select("cluster", (F.col("band") + step).alias("band"), F.col("blocks").alias("near"))
-    far = F.lit(1 << 20)  # numbers of blocks of the next band start here
-    split = (F.col("blocks") > 1) | (F.col("near") > 1)
-    low = big.join(near(-1), ["cluster", "band"]).where(split).select(*kept, "band", "block", each("near")).select(*kept, "band", F.col("block").alias("left"), (F.col("other") + far).alias("right"), F.lit(0).alias("side"))
-    guest = big.join(near(1), ["cluster", "band"])
-    high = guest.where(split).select(*kept, (F.col("band") - 1).alias("band"), "block", each("near")).select(*kept, "band", F.col("other").alias("left"), (F.col("block") + far).alias("right"), F.lit(1).alias("side"))
-    # Whole bands take the next band's members into their own group.
-    high = high.unionByName(guest.where(~split).select(*kept, (F.col("band") - 1).alias("band"), F.lit(0).alias("left"), F.lit(0).alias("right"), F.lit(1).alias("side")))
-    return own.unionByName(low).unionByName(high)
-
-
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", cluster_limit: int = CLUSTER, token_limit: int = TOKENS) -> DataFrame:
+    ahead = units.select("cluster", (F.col("band") - 1).alias("band"), F.col("blocks").alias("next"))
+    behind = units.select("cluster", (F.col("band") + 1).alias("band"), F.col("blocks").alias("prior"))
+    units = units.join(ahead, ["cluster", "band"], "left").join(behind, ["cluster", "band"], "left")
+    far = 1 << 20  # numbers of blocks of the next band start here
+    own, block = F.col("blocks"), F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
+    # A member meets every block of its own band, and every block of the bands on both sides. A whole band takes the
+    # next band's members into its own group.
+    at = lambda band, left, right, side: F.struct(band.cast("int").alias("band"), left.cast("int").alias("left"), right.cast("int").alias("right"), side.cast("int").alias("side"))
+    each = lambda n, f: F.transform(F.sequence(F.lit(0), n - 1), f)
+    none = F.array().cast("array<struct<band: int, left: int, right: int, side: int>>")
+    here = F.col("band")
+    homes = each(own, lambda o: at(here, F.least(F.col("block"), o), F.greatest(F.col("block"), o), F.col("block")))
+    after = F.col("next")
+    low = F.when((own > 1) | (after > 1), each(after, lambda o: at(here, F.col("block"), o + far, F.lit(0))))
+    prior = F.col("prior")
+    high = F.when((own > 1) | (prior > 1), each(prior, lambda o: at(here - 1, o, F.col("block") + far, F.lit(1)))).when(prior.isNotNull(), F.array(at(here - 1, F.lit(0), F.lit(0), F.lit(1))))
+    places = F.concat(homes, F.coalesce(low, none), F.coalesce(high, none))
+    dealt = banded.join(units, ["cluster", "band"]).withColumn("block", block).select(*kept, F.explode(places).alias("place")).select(*kept, "place.*")
+    return whole.unionByName(dealt)
+
+
+def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", cluster_limit: int = CLUSTER, token_limit: int = TOKENS, hot: int = HOT) -> DataFrame:
     """One row for each input row: doc_id, n_shingles, component_id."""
     spark: SparkSession = docs.sparkSession
-    scratch = Scratch(spark, "jaccard")
+    scratch, secret = Scratch(spark, "jaccard"), secrets.randbits(63)
     texts = _texts(docs, id_col, text_col)
-    survey = scratch.save(texts.mapInArrow(_survey, "doc_id long, n long, key long, token long, times long"), "survey")
-    slim = survey.where("token is null").select("doc_id", "n", "key")
+    survey = scratch.save(texts.mapInArrow(_survey(secret), "doc_id long, n long, key long, key2 long, token long, times long"), "survey")
+    slim = survey.where("token is null").select("doc_id", "n", "key", "key2")
 
     # The commonest tokens, as a list of at most COMMON entries: the order need not be exact, only the same for all.
     parts = 64
     ranked = survey.where("token is not null").groupBy("token").agg(F.sum("times").alias("times")).selectExpr("token", "times", f"row_number() over (partition by pmod(token, {parts}) order by times desc, token) as place")
     common = ranked.where(F.col("place") <= COMMON // parts).select("token", "times").toArrow()
     tokens, times = (np.array(common.column(c).to_numpy(), np.int64) for c in ("token", "times"))
-    tokens = tokens[np.lexsort((tokens, times))].view(np.uint64)
+    by_count = np.lexsort((tokens, times))
+    tokens, times = tokens[by_count].view(np.uint64), times[by_count]
     order = np.argsort(tokens)
 
-    routed = texts.mapInArrow(_router(tokens[order], order), "token long, key long, size long")
+    routed = texts.mapInArrow(_router(secret, tokens[order], order, times[order] >= hot), "token long, key long, size long, to long")
     edges = routed.repartition("token").sortWithinPartitions("token", "size", "key").mapInArrow(_meet, "a long, b long, votes long, need long")
     edges = edges.groupBy("a", "b").agg(F.sum("votes").alias("votes"), F.max("need").alias("need")).where("votes >= need").select("a", "b")
     clusters = components(edges, scratch, "cluster")
-    members = clusters.select(F.col("node").alias("key"), F.col("root").alias("cluster"))
-    members = members.unionByName(members.select(F.col("cluster").alias("key"), "cluster").distinct())
-    reps = slim.where("key is not null and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"))
-    members = scratch.save(members.join(reps, "key"), "members")
+    nodes = clusters.select(F.col("node").alias("key"), F.col("root").alias("cluster"))
+    nodes = nodes.unionByName(nodes.select(F.col("cluster").alias("key"), "cluster").distinct())
+    reps = scratch.save(slim.where("key is not null and doc_id is not null").groupBy("key", "key2").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n")), "reps")
+    members = scratch.save(nodes.join(reps, "key"), "members")
 
     dealt = deal(members, cluster_limit, token_limit)
     fetched = maybe_in(texts, "doc_id", members, "rep").withColumnRenamed("doc_id", "rep").join(dealt, "rep")
     group = ["cluster", "band", "left", "right"]
-    links = fetched.repartition(*group).sortWithinPartitions(*group, "n", "key").select(*group, "side", "key", "raw").mapInArrow(_join_groups, "a long, b long")
-    roots = components(links, scratch, "link").withColumnsRenamed({"node": "key", "root": "class"})
-
-    named = slim.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("least")).join(roots, "key", "left").withColumn("class", F.coalesce("class", "key"))
-    names = named.join(named.groupBy("class").agg(F.min("least").alias("component_id")), "class").select("key", "component_id")
-    out = slim.join(names, "key", "left")
+    links = fetched.repartition(*group).sortWithinPartitions(*group, "n", "rep", "key", "key2").select(*group, "side", "rep", "key", "key2", "raw").mapInArrow(_join_groups(secret), "a long, b long")
+    # A class goes by its smallest id, so the smallest class of a component names the component.
+    roots = components(links, scratch, "link").withColumnsRenamed({"node": "rep", "root": "component_id"})
+    names = reps.join(roots, "rep", "left").select("key", "key2", F.coalesce("component_id", "rep").alias("component_id"))
+    out = slim.join(names, ["key", "key2"], "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 

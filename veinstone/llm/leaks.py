@@ -4,14 +4,18 @@ Items are cut into units of at most UNIT words. Impacts are BM25 contributions d
 so a score is the share of a unit's weight that a passage holds, and one threshold serves all units. Every text is
 cut into overlapping passages that are twice as long as the longest unit, so each unit-long stretch lies whole
 inside one of them. A passage is searched only if its essential terms (those without which no unit can reach the
-threshold) weigh enough; the rest is skipped by an upper bound, as in WAND itself. Retrieved units are verified by
-the word shingles of their question and answer parts.
+threshold) weigh enough; the rest is skipped by an upper bound, as in WAND itself. An item is reported when one of its
+units is retrieved and the text holds OVERLAP of the word shingles of the whole item's question and of its answer.
 
 The index holds one shard of the items at a time (SHARD_BYTES of item text at most), so what is sent to executors
-is bounded; document frequencies cover all items.
-
-Defined cases: null and empty texts and items match nothing; equal items each match; repeated rows each get their
-own rows; several copies of an item in one text give one row with the best values; other columns are ignored.
+is bounded; document frequencies cover all items and are added up on the cluster, and a shard brings only its own
+terms' to the driver. Each shard reads the texts once more.
+
+Defined cases: null and empty texts and items match nothing; an item of fewer than SHINGLE words says too little to be
+found inside a text and matches texts that have just its words; equal items each match; texts and passages are never
+cut short, and of a very long text only the shingles that candidates ask for are kept; a score on a threshold counts as
+reached; repeated rows each get their own rows; several copies of an item in one text, or several units of it, give one
+row with the best score; an empty table of texts or items has no leaks; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,6 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .licenses import words_of
+from .scratch import Scratch
 
 K1, B = 1.2, 0.75
 UNIT, POSTINGS_BLOCK = 64, 32
@@ -50,34 +55,52 @@ def split_item(text: str) -> tuple[list[bytes], int]:
     return words, len(words) // 2
 
 
-class Unit:
-    """A piece of an item with its question and answer shingles."""
+class Item:
+    """An item with the shingles of its question and of its answer."""
 
     def __init__(self, item_id: int, words: list[bytes], cut: int):
-        self.item_id, self.words, self.terms = item_id, words, set(words)
-        self.question, self.answer = shingles(words[:cut]), shingles(words[cut:])
+        self.item_id = item_id
+        self.parts = [p for p in (shingles(words[:cut]), shingles(words[cut:])) if p]
+        self.has_question = cut > 0
 
     def overlap(self, found: set[tuple[bytes, ...]]) -> tuple[float, float]:
-        share = lambda part: len(part & found) / len(part) if part else 1.0
-        return share(self.question), share(self.answer)
+        """Shares of the question and of the answer; a part without words is held by any text."""
+        shares = [len(part & found) / len(part) for part in self.parts]
+        return (shares[0] if self.has_question else 1.0), shares[-1]
 
 
-def units_of(items: list[tuple[int, str]]) -> list[Unit]:
-    out = []
+class Unit:
+    """A piece of an item, by the item's place in its list."""
+
+    def __init__(self, item: int, words: list[bytes]):
+        self.item, self.words, self.terms = item, words, set(words)
+
+
+def cut_items(items: list[tuple[int, str]]) -> tuple[list[Item], list[Unit], dict[tuple[bytes, ...], list[int]]]:
+    """Items and their units, and the items that are too short for the index by their words."""
+    made, units, short = [], [], defaultdict(list)
     for item_id, text in items:
         words, cut = split_item(text or "")
+        if len(words) < SHINGLE:
+            if words:
+                short[tuple(words)].append(item_id)
+            continue
         pieces = max(1, round(len(words) / UNIT))
-        for k in range(pieces if words else 0):
-            a, b = k * len(words) // pieces, (k + 1) * len(words) // pieces
-            out.append(Unit(item_id, words[a:b], cut - a if pieces == 1 else (b - a) // 2))
-    return out
+        units += [Unit(len(made), words[k * len(words) // pieces : (k + 1) * len(words) // pieces]) for k in range(pieces)]
+        made.append(Item(item_id, words, cut))
+    return made, units, dict(short)
+
+
+def units_of(items: list[tuple[int, str]]) -> list[Unit]:
+    return cut_items(items)[1]
 
 
 class Index:
     """Postings sorted by unit, in blocks with their greatest impacts."""
 
     def __init__(self, items: list[tuple[int, str]], df: dict[bytes, int], n_units: int, mean_len: float, threshold: float = RETRIEVE):
-        self.units, self.threshold = units_of(items), threshold
+        self.threshold = threshold
+        self.items, self.units, self.short = cut_items(items)
         rows: dict[bytes, list[tuple[int, float]]] = defaultdict(list)
         essential: list[dict[bytes, float]] = []
         self.need: list[float] = []
@@ -177,37 +200,55 @@ class Index:
 
     def match(self, texts: list[list[bytes]]) -> Iterator[tuple[int, int, float, float, float]]:
         """(text, item, score, question overlap, answer overlap) of each verified item, best values first."""
+        for k, words in enumerate(texts if self.short else ()):
+            if len(words) < SHINGLE:
+                yield from ((k, item, 1.0, 1.0, 1.0) for item in sorted(set(self.short.get(tuple(words), ()))))
         for k, passages in self.screen(texts).items():
-            words, best = texts[k], {}
-            for p in sorted(passages):
-                part = words[p * self.span : (p + 2) * self.span]
-                for u, score in self.search(set(part)):
-                    unit = self.units[u]
-                    # Shingles of the whole stretch around the passage, so an item on its edge is seen whole.
-                    around = words[max(0, (p - 1) * self.span) : (p + 3) * self.span]
-                    lengths = {len(next(iter(s))) for s in (unit.question, unit.answer) if s}
-                    q, a = unit.overlap(set().union(*(shingles(around, n) for n in lengths)))
-                    if min(q, a) >= OVERLAP:
-                        best[unit.item_id] = max(best.get(unit.item_id, (0.0, 0.0, 0.0)), (score, q, a))
+            words, scores = texts[k], {}
+            for p in passages:
+                for u, score in self.search(set(words[p * self.span : (p + 2) * self.span])):
+                    at = self.units[u].item
+                    scores[at] = max(scores.get(at, 0.0), score)
+            asked: dict[int, set] = defaultdict(set)
+            for part in (part for at in scores for part in self.items[at].parts):
+                asked[len(next(iter(part)))] |= part
+            found = set().union(*(some.intersection(zip(*(words[j:] for j in range(n)))) for n, some in asked.items()))
+            best: dict[int, tuple] = {}
+            for at, score in scores.items():
+                q, a = self.items[at].overlap(found)
+                if min(q, a) >= OVERLAP:
+                    item = self.items[at].item_id
+                    best[item] = max(best.get(item, (0.0, 0.0, 0.0)), (score, q, a))
             for item, values in sorted(best.items()):
                 yield (k, item, *values)
 
 
+def _count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(term, units that hold it, 0) of each batch, and (null, units, their words)."""
+    for batch in batches:
+        units = units_of(list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())))
+        df = Counter(w for unit in units for w in unit.terms)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([None, *df], pa.binary()), pa.array([len(units), *df.values()], pa.int64()), pa.array([sum(len(u.words) for u in units)] + [0] * len(df), pa.int64())],
+            ["term", "n", "words"],
+        )
+
+
 def build_indexes(items: DataFrame, id_col: str = "item_id", text_col: str = "text") -> Iterator[Index]:
     """One index for each shard of the items. Statistics cover all items; a shard's text is bounded by SHARD_BYTES."""
+    scratch = Scratch(items.sparkSession, "leaks")
     rows = items.select(F.col(id_col).cast("long").alias("item_id"), F.col(text_col).cast("string").alias("text")).where("item_id is not null and text is not null")
-    size, n = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count(F.lit(1))).first()
-    shards = max(1, -(-size // SHARD_BYTES))
-    part = lambda k: [(r.item_id, r.text) for r in rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(shards)) == k).collect()]
-    df: Counter[bytes] = Counter()
-    n_units = n_words = 0
-    first = part(0)
-    for k in range(shards):  # on the driver: units of a shard, then their terms
-        for unit in units_of(first if k == 0 else part(k)):
-            df.update(unit.terms)
-            n_units, n_words = n_units + 1, n_words + len(unit.words)
-    for k in range(shards if n_units else 0):
-        yield Index(sorted(first if k == 0 else part(k)), df, n_units, n_words / n_units)
+    size = F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes")
+    rows, found = scratch.save_measured(rows, "items", size)
+    shards = max(1, -(-(found["bytes"] or 0) // SHARD_BYTES))
+    shape = "term binary, n long, words long"
+    terms = scratch.save(rows.mapInArrow(_count_terms, shape).groupBy("term").agg(F.sum("n").alias("n"), F.sum("words").alias("words")), "terms")
+    total = terms.where("term is null").first()
+    for k in range(shards if total else 0):
+        shard = rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(shards)) == k)
+        own = shard.mapInArrow(_count_terms, shape).where("term is not null").select("term").distinct()
+        df = {bytes(r.term): r.n for r in terms.join(own, "term", "left_semi").collect()}
+        yield Index(sorted((r.item_id, r.text) for r in shard.collect()), df, total.n, total.words / max(1, total.n))
 
 
 SCHEMA = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double"
@@ -240,9 +281,12 @@ def drop_leaks(docs: DataFrame, items: DataFrame, text_col: str = "text") -> Dat
     for index in build_indexes(items):
         sent = docs.sparkSession.sparkContext.broadcast(index)
 
-        @F.udf("boolean", useArrow=True)
-        def clean(text, sent=sent):
-            return next(sent.value.match([words_of((text or "").encode())]), None) is None
+        @F.arrow_udf("boolean")
+        def clean(texts: pa.Array, sent=sent) -> pa.Array:
+            out = np.ones(len(texts), bool)
+            for k in range(0, len(texts), 512):
+                out[[k + r[0] for r in sent.value.match([words_of(x.as_py()) for x in texts.slice(k, 512)])]] = False
+            return pa.array(out)
 
-        out = out.where(clean(F.col(text_col)))
+        out = out.where(clean(F.col(text_col).cast("string").cast("binary")))
     return out

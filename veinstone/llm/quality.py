@@ -202,8 +202,8 @@ def score(docs: DataFrame, model: OrdinalModel, id_col: str = "doc_id", text_col
 def select_quality(docs: DataFrame, model: OrdinalModel, text_col: str = "text") -> DataFrame:
     """The rows that the model keeps, with all their columns."""
 
-    @F.udf("boolean", useArrow=True)
-    def kept(text):
-        return bool(model.tails(model.score_rows([text_features(text)]))[0, -1] >= model.cut)
+    @F.arrow_udf("boolean")
+    def kept(texts: pa.Array) -> pa.Array:
+        return pa.array(_judge(model, texts)[2], pa.bool_())
 
-    return docs.where(kept(F.col(text_col)))
+    return docs.where(kept(F.col(text_col).cast("string")))

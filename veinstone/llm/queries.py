@@ -37,7 +37,9 @@ def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents"))
-    return mixed.select("doc_id", *(F.col(f"_{m}").alias(m) for m in mixing.MARGINS), F.col("_tokens").alias("tokens"), F.round("_rate", 6).alias("probability"), F.col("_keep").alias("keep"))
+    margins = [F.col(f"_{m}").alias(m) for m in mixing.MARGINS]
+    shown = [F.round("_expected", 6).alias("expected"), F.round("_rate", 6).alias("probability"), F.col("_keep").alias("keep"), F.col("_copies").alias("copies")]
+    return mixed.select("doc_id", *margins, F.col("_tokens").alias("tokens"), *shown)
 
 
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -130,11 +130,11 @@ def mask_text(text: str | None, mask: str = "[secret]") -> str | None:
 def mask_secrets(df: DataFrame, text_col: str = "text") -> DataFrame:
     """The same rows and columns with secrets masked in the text column."""
 
-    @F.udf(T.StringType(), useArrow=True)
-    def masked(text):
-        return mask_text(text)
+    @F.arrow_udf(T.StringType())
+    def masked(texts: pa.Array) -> pa.Array:
+        return pa.array([mask_text(t.as_py()) for t in texts], pa.string())
 
-    return df.withColumn(text_col, masked(F.col(text_col)))
+    return df.withColumn(text_col, masked(F.col(text_col).cast("string")))
 
 
 def mask_documents(df: DataFrame, text_col: str = "text", chars_col: str = "n_chars") -> DataFrame:
