@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from veinstone.llm import jaccard, leaks, mixing, quality, secrets
 from veinstone.llm.queries import table
-from veinstone.llm.scratch import Scratch
+from veinstone.llm.scratch import Scratch, made, release
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,7 +41,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows. Each stage's own intermediate tables go as soon as its rows are stored."""
     docs, scratch = table(spark, sf_dir, "documents"), Scratch(spark, "pipeline")
     for k, (_, stage) in enumerate(STAGES):
+        mark = made()
         docs = scratch.save(stage(spark, docs, sf_dir), f"stage{k}")
+        release(spark, mark)
+        if k:
+            scratch.drop(f"stage{k - 1}")
     return docs
