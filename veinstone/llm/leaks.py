@@ -275,18 +275,23 @@ def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
     return out if out is not None else texts.select(F.col("doc_id"), F.lit(0).cast("long").alias("item_id"), *(F.lit(0.0).alias(c) for c in ("score", "question_overlap", "answer_overlap"))).where("false")
 
 
+def _clean(sent):
+    """Whether each text holds no item of the index that was sent."""
+
+    @F.arrow_udf("boolean")
+    def clean(texts: pa.Array) -> pa.Array:
+        out = np.ones(len(texts), bool)
+        for k in range(0, len(texts), 512):
+            out[[k + r[0] for r in sent.value.match([words_of(x.as_py()) for x in texts.slice(k, 512)])]] = False
+        return pa.array(out)
+
+    return clean
+
+
 def drop_leaks(docs: DataFrame, items: DataFrame, text_col: str = "text") -> DataFrame:
     """The rows without any test item, with all their columns. Each row is judged on its own text, with no join."""
     out = docs
     for index in build_indexes(items):
-        sent = docs.sparkSession.sparkContext.broadcast(index)
-
-        @F.arrow_udf("boolean")
-        def clean(texts: pa.Array, sent=sent) -> pa.Array:
-            out = np.ones(len(texts), bool)
-            for k in range(0, len(texts), 512):
-                out[[k + r[0] for r in sent.value.match([words_of(x.as_py()) for x in texts.slice(k, 512)])]] = False
-            return pa.array(out)
-
-        out = out.where(clean(F.col(text_col).cast("string").cast("binary")))
+        sent = docs.sparkSession.sparkContext.broadcast(index)  # at most SHARD_BYTES of item text
+        out = out.where(_clean(sent)(F.col(text_col).cast("string").cast("binary")))
     return out
