@@ -243,6 +243,30 @@ def test_calibration_uses_all_grades():
     assert 0.6 < got.cut < 0.9 and got.rejected == {0: 1.0, 1: 0.5, 2: 0.0}
 
 
+def test_quality_objective_against_brute_force():
+    """The gradient against finite differences, and the fit against plain gradient descent on a dense table."""
+    rng = np.random.default_rng(6)
+    dense = rng.normal(size=(60, 5)) * (rng.random((60, 5)) < 0.6)
+    grades = np.clip(np.digitize(dense @ rng.normal(size=5) + rng.normal(size=60), [-0.5, 0.7]), 0, 2)
+    rows = [(np.flatnonzero(x), x[np.flatnonzero(x)].astype(np.float64)) for x in dense]
+    f = quality.Objective(rows, grades, 5, 3, 1e-2)
+
+    def dense_loss(x):
+        theta = np.array([x[5], x[5] + np.exp(x[6])])
+        cum = np.c_[np.zeros(60), 1 / (1 + np.exp(dense @ x[:5][:, None] - theta)), np.ones(60)]
+        p = np.diff(cum, axis=1)[np.arange(60), grades]
+        w = np.array([1 / np.sum(grades == g) ** 0.5 for g in range(3)])[grades]
+        return -np.sum(w * np.log(p)) / w.sum() + 1e-2 * x[:5] @ x[:5] / 2
+
+    x = rng.normal(size=7) * 0.3
+    slope = np.array([(dense_loss(x + d) - dense_loss(x - d)) / 2e-6 for d in np.eye(7) * 1e-6])
+    assert f(x)[0] == pytest.approx(dense_loss(x)) and np.allclose(f(x)[1], slope, atol=1e-6)
+    plain = np.zeros(7)
+    for _ in range(3000):
+        plain -= 1.0 * np.array([(dense_loss(plain + d) - dense_loss(plain - d)) / 2e-6 for d in np.eye(7) * 1e-6])
+    assert np.allclose(quality.minimise(f, np.zeros(7), 200), plain, atol=1e-3)
+
+
 def test_quality_edge_cases(spark):
     docs = spark.createDataFrame([(1, None, "x"), (2, "", "x"), (3, "w " * 60_000, "x"), (None, "a b", "x"), (3, "w", "x")], "doc_id long, text string, keep string")
     labels = spark.createDataFrame([(3, 1, None), (3, 0, 1), (None, 1, 0), (4, None, 0)], "doc_id long, quality int, toxic int")

@@ -7,7 +7,9 @@ Training reads at most SAMPLE labelled rows, those with the smallest hash of the
 
 Defined cases: a null text counts as empty; an empty text has no features and gets the thresholds' prior; without
 labelled rows every row is kept; different labels of one id each count, equal ones once, and of several texts of one
-labelled id the least is used; repeated rows each get their own row; null grades are not used; other columns are ignored by score() and kept by select_quality().
+labelled id the least is used; repeated rows each get their own row; null grades are not used; a tail probability on
+the cut is kept; a very long text is read whole; an empty table has no rows; other columns are ignored by score() and
+kept by select_quality().
 """
 
 from __future__ import annotations
@@ -19,9 +21,11 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 BITS, SAMPLE, GRADES, FOLDS = 17, 8000, 3, 5
+#: Steps of the optimiser and weight of the penalty.
+STEPS, DECAY = 80, 3e-4
 #: Share of good held-out rows that the decision keeps at least.
 KEEP_GOOD = 0.995
 _SIZE = 1 << BITS
@@ -78,57 +82,84 @@ class OrdinalModel:
         return np.array([float(self.weights[i] @ v) if len(i) else 0.0 for i, v in rows], np.float64)
 
 
-def fit(rows: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray, n_grades: int = GRADES, epochs: int = 200, batch: int = 128, decay: float = 3e-4) -> OrdinalModel:
-    """Minimises the ordinal negative log-likelihood with Adam. Gaps between thresholds are kept positive as exponents.
-
-    Slots of few rows keep weight 0: they would learn single documents by heart."""
-    rng = np.random.default_rng(0)
+class Objective:
+    """The weighted ordinal negative log-likelihood with a quadratic penalty, over a sparse table of features.
+
+    Parameters: the weights, the first threshold, and the logarithms of the gaps to the next ones, which keep them ordered.
+    """
+
+    def __init__(self, rows: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray, dim: int, n_grades: int, decay: float):
+        self.n, self.dim, self.decay, self.m, self.grades = len(rows), dim, decay, n_grades - 1, grades
+        self.own = np.repeat(np.arange(self.n), [len(i) for i, _ in rows])
+        self.idx, self.val = (np.concatenate([r[k] for r in rows]) for k in (0, 1))
+        by_slot = np.argsort(self.idx, kind="stable")
+        self.back_own, self.back_val = self.own[by_slot], self.val[by_slot]
+        self.slots, self.starts = np.unique(self.idx[by_slot], return_index=True)
+        rare = np.array([1 / max(1, np.sum(grades == k)) ** 0.5 for k in range(n_grades)])[grades]
+        self.weight = rare / rare.sum()
+
+    def __call__(self, x: np.ndarray) -> tuple[float, np.ndarray]:
+        w, raw = x[: self.dim], x[self.dim :]
+        s = np.bincount(self.own, w[self.idx] * self.val, self.n)
+        theta = raw[0] + np.concatenate([[0], np.cumsum(np.exp(raw[1:]))])
+        below = 1 / (1 + np.exp(np.clip(s[:, None] - theta[None], -30, 30)))  # P(grade <= k)
+        low, high = np.c_[np.zeros(self.n), below], np.c_[below, np.ones(self.n)]
+        y, at = self.grades, np.arange(self.n)
+        p = np.maximum(high[at, y] - low[at, y], 1e-9)
+        dh, dl = high[at, y] * (1 - high[at, y]), low[at, y] * (1 - low[at, y])
+        g = self.weight / p
+        dtheta = np.array([-np.sum(g * (dh * (y == j) - dl * (y == j + 1))) for j in range(self.m)])
+        graw = np.r_[dtheta.sum(), [dtheta[j + 1 :].sum() * np.exp(raw[j + 1]) for j in range(self.m - 1)]]
+        gw = self.decay * w
+        if len(self.slots):
+            gw[self.slots] += np.add.reduceat((g * (dh - dl))[self.back_own] * self.back_val, self.starts)
+        return float(-np.sum(self.weight * np.log(p)) + self.decay * (w @ w) / 2), np.concatenate([gw, graw])
+
+
+def minimise(f, x: np.ndarray, steps: int, memory: int = 8) -> np.ndarray:
+    """Limited-memory BFGS with backtracking."""
+    value, grad = f(x)
+    past: list[tuple[np.ndarray, np.ndarray]] = []
+    for _ in range(steps):
+        d, kept = -grad, []
+        for s, y in reversed(past):
+            kept.append((s @ d) / (s @ y))
+            d = d - kept[-1] * y
+        if past:
+            d = d * ((past[-1][0] @ past[-1][1]) / (past[-1][1] @ past[-1][1]))
+        for (s, y), a in zip(past, reversed(kept)):
+            d = d + (a - (y @ d) / (s @ y)) * s
+        slope, step = grad @ d, 1.0 if past else 1.0 / max(1.0, np.abs(grad).sum())
+        if slope > -1e-12:
+            break
+        for _ in range(30):
+            new_value, new_grad = f(x + step * d)
+            if new_value <= value + 1e-4 * step * slope:
+                break
+            step /= 2
+        else:
+            break
+        s, y = step * d, new_grad - grad
+        if s @ y > 1e-14:
+            past = [*past, (s, y)][-memory:]
+        x, value, grad = x + s, new_value, new_grad
+    return x
+
+
+def fit(rows: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray, n_grades: int = GRADES, steps: int = STEPS, decay: float = DECAY) -> OrdinalModel:
+    """Minimises the objective over the rows. Slots of few rows keep weight 0: they would learn single documents by heart."""
     full, m = _SIZE + _SHAPES + _OTHER, n_grades - 1
     used = np.flatnonzero(np.bincount(np.concatenate([i for i, _ in rows]), minlength=full) >= max(2, min(10, len(rows) // 300))) if len(rows) else np.empty(0, int)
     place, dim = np.full(full, -1), len(used)
     place[used] = np.arange(dim)
-    rows = [(place[i][on], v[on]) for i, v in rows for on in [place[i] >= 0]]
-    w = np.zeros(dim, np.float32)
     share = np.clip([np.mean(grades <= k) if len(grades) else 0.5 for k in range(m)], 0.01, 0.99)
     start = np.log(share / (1 - share))
-    raw = np.concatenate([start[:1], np.log(np.maximum(np.diff(start), 0.05))])
-    mw, vw, mr, vr = np.zeros(dim, np.float32), np.zeros(dim, np.float32), np.zeros(m), np.zeros(m)
-    step = 0
-    weight = np.zeros(n_grades)
-    for k in range(n_grades):
-        weight[k] = 1 / max(1, np.sum(grades == k)) ** 0.5
-    weight *= len(grades) / max(1e-9, weight[grades].sum()) if len(grades) else 1
-    for _ in range(epochs if len(rows) else 0):
-        order = rng.permutation(len(rows))
-        for k in range(0, len(order), batch):
-            some = order[k : k + batch]
-            idx = np.concatenate([rows[i][0] for i in some])
-            val = np.concatenate([rows[i][1] for i in some])
-            own = np.repeat(np.arange(len(some)), [len(rows[i][0]) for i in some])
-            s = np.bincount(own, w[idx] * val, len(some))
-            theta = raw[0] + np.concatenate([[0], np.cumsum(np.exp(raw[1:]))])
-            below = 1 / (1 + np.exp(np.clip(s[:, None] - theta[None], -30, 30)))  # P(grade <= k)
-            low, high = np.c_[np.zeros(len(s)), below], np.c_[below, np.ones(len(s))]
-            y = grades[some]
-            at = np.arange(len(s))
-            p = np.maximum(high[at, y] - low[at, y], 1e-9)
-            dh, dl = high[at, y] * (1 - high[at, y]), low[at, y] * (1 - low[at, y])
-            g = weight[y] / len(s)
-            ds = g * (dh - dl) / p
-            dtheta = np.zeros(m)
-            for j in range(m):
-                dtheta[j] = -np.sum(g * (dh * (y == j) - dl * (y == j + 1)) / p)
-            graw = np.r_[dtheta.sum(), [dtheta[j + 1 :].sum() * np.exp(raw[j + 1]) for j in range(m - 1)]]
-            gw = np.bincount(idx, ds[own] * val, dim).astype(np.float32) + decay * w
-            step += 1
-            rate = 0.02 * min(1, step / 20)
-            mw, vw = 0.9 * mw + 0.1 * gw, 0.999 * vw + 0.001 * gw * gw
-            mr, vr = 0.9 * mr + 0.1 * graw, 0.999 * vr + 0.001 * graw * graw
-            a, b = 1 - 0.9**step, 1 - 0.999**step
-            w -= (rate * (mw / a) / (np.sqrt(vw / b) + 1e-6)).astype(np.float32)
-            raw -= rate * (mr / a) / (np.sqrt(vr / b) + 1e-8)
-    weights = np.zeros(full, np.float32)
-    weights[used] = w
+    x = np.concatenate([np.zeros(dim), start[:1], np.log(np.maximum(np.diff(start), 0.05))])
+    if len(rows):
+        rows = [(place[i][on], v[on]) for i, v in rows for on in [place[i] >= 0]]
+        x = minimise(Objective(rows, grades, dim, n_grades, decay), x, steps)
+    weights, raw = np.zeros(full, np.float32), x[dim:]
+    weights[used] = x[:dim]
     return OrdinalModel(weights, raw[0] + np.concatenate([[0], np.cumsum(np.exp(raw[1:]))]))
 
 
@@ -145,15 +176,30 @@ def calibrate(model: OrdinalModel, tail: np.ndarray, grades: np.ndarray, top: in
     return model
 
 
-def held_out_tails(rows: list, grades: np.ndarray) -> np.ndarray:
-    """Each row's tail probability by a model that was fitted on the other folds."""
-    tail, fold = np.zeros(len(rows)), np.arange(len(rows)) % FOLDS
+def fit_folds(spark: SparkSession, rows: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray) -> tuple[OrdinalModel, np.ndarray]:
+    """The model of all rows, and each row's tail probability by a model that was fitted on the other folds.
+
+    Every model is a task of its own; the rows that are sent are bounded by the sample.
+    """
+    sent = spark.sparkContext.broadcast((rows, grades))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        some, known = sent.value
+        fold = np.arange(len(some)) % FOLDS
+        for batch in batches:
+            for k in batch.column(0).to_pylist():
+                model = fit([r for r, f in zip(some, fold) if f != k], known[fold != k])
+                held = [r for r, f in zip(some, fold) if f == k]
+                tail = model.tails(model.score_rows(held))[:, -1] if held else np.empty(0)
+                cols = [[k], [model.weights.tobytes() if k == FOLDS else None], [model.thresholds.tobytes()], [tail.tobytes()]]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.binary(), pa.binary(), pa.binary()))], ["k", "weights", "thresholds", "tail"])
+
+    got = {r.k: r for r in spark.range(0, FOLDS + 1, 1, FOLDS + 1).toDF("k").mapInArrow(run, "k long, weights binary, thresholds binary, tail binary").collect()}
+    sent.destroy()
+    tail = np.zeros(len(rows))
     for k in range(FOLDS):
-        some = [r for r, f in zip(rows, fold) if f == k]
-        if some:
-            model = fit([r for r, f in zip(rows, fold) if f != k], grades[fold != k])
-            tail[fold == k] = model.tails(model.score_rows(some))[:, -1]
-    return tail
+        tail[np.arange(len(rows)) % FOLDS == k] = np.frombuffer(got[k].tail)
+    return OrdinalModel(np.frombuffer(got[FOLDS].weights, np.float32), np.frombuffer(got[FOLDS].thresholds)), tail
 
 
 def grade_of(quality: Column, toxic: Column) -> Column:
@@ -177,7 +223,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str
     got = sorted(rated.mapInArrow(run, "_id long, grade int, slots binary, vals binary").collect(), key=lambda r: (zlib.crc32(str(r[0]).encode()), r[0], r[1]))
     rows = [(np.frombuffer(r.slots, np.int32), np.frombuffer(r.vals, np.float32)) for r in got]
     grades = np.array([r.grade for r in got], int)
-    return calibrate(fit(rows, grades), held_out_tails(rows, grades), grades)
+    model, tail = fit_folds(docs.sparkSession, rows, grades)
+    return calibrate(model, tail, grades)
 
 
 SCHEMA = "doc_id long, expected_grade double, tail_probability double, keep boolean"
