@@ -7,8 +7,9 @@ Two texts link when their sets of word shingles overlap by JACCARD or more (exac
 2.  Each class gives its rarest tokens (so many that linked partners must share a few of them, the more the larger
     they are) as routing rows; tokens that are common in some batch come last in the order. Classes that meet on enough
     tokens, or on one token that many have, and are near enough in size, are tied by an edge, and the components of
-    these edges are the clusters: no link leaves a cluster. Classes with a hot token (HOT times or more) are tied to a
-    node that stands for the token and a band of sizes, so that no task gathers all rows of such a token.
+    these edges are the clusters: no link leaves a cluster. The classes of a hot token (HOT times or more) are dealt to
+    parts of some HOT classes, and nodes that stand for the token and a band of sizes tie the parts, so that no task
+    gathers all rows of such a token.
 3.  In each cluster, tokens are hashed into groups and the group counts are points of an R-tree, which is packed by the
     coordinates that spread most and whose nodes hold the greatest counts below them. The sum of coordinate minima
     bounds the overlap with a node or point; what passes is verified on the hashed sets, and a link then on the words
@@ -41,7 +42,7 @@ WORDS = 5
 NUM, DEN = 75, 100
 #: Bytes of text hashed at once; common tokens kept as a fixed-size list; least count in one batch to be common.
 CHUNK, COMMON, REPEATED = 1 << 20, 1 << 18, 2
-#: Times that a token was seen among others of its batch from which on it is tied without meeting.
+#: Times that a token was seen among others of its batch from which on its classes are dealt to parts of that size.
 HOT = 2048
 #: Runs of a routing token up to this length give all pairs, which count their votes; longer ones give stars, whose edges always hold.
 RUN, ENOUGH = 8, 1 << 40
@@ -292,16 +293,16 @@ def _survey(secret: int) -> Callable:
     return run
 
 
-def _router(secret: int, common: np.ndarray, rank: np.ndarray, hot: np.ndarray) -> Callable:
-    """common: sorted tokens; rank: their places among the common ones, rarest first; hot: which of them are hot.
+def _router(secret: int, common: np.ndarray, rank: np.ndarray, parts: np.ndarray) -> Callable:
+    """common: sorted tokens; rank: their places among the common ones, rarest first; parts: into how many parts their
+    classes are dealt, a power of two, so that parts of several tokens hold the same classes.
 
-    Rows of (token, key, size) meet on their token. Rows with a node in `to` are edges already; their token is the
-    class's own key, which spreads them evenly.
+    Rows (token, key, size, hot): classes meet on a token, or on a part of a hot one, which hot names.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, sets in _batches(batches, secret):
-            seen, rows, ties = set(), [], []
+            seen, rows = set(), []
             for s in sets:
                 n = len(s)
                 if not n or (name := set_key(s)) in seen:
@@ -310,50 +311,36 @@ def _router(secret: int, common: np.ndarray, rank: np.ndarray, hot: np.ndarray)
                 key = name[0]
                 more = shared_at_least(n)
                 take, first = min(n, n - need_of(n) + more), n - need_of_smaller(n) + more
-                if not len(common):
-                    rows.append((s[:take], key, 2 * n + (np.arange(take) >= first)))
-                    continue
-                at = np.minimum(np.searchsorted(common, s), len(common) - 1)
-                hit = common[at] == s
-                if hit.any():
-                    order = np.argsort(rank[at[hit]], kind="stable")
-                    s = np.concatenate([s[~hit], s[hit][order]])
-                    is_hot = np.concatenate([np.zeros(n - len(order), bool), hot[at[hit]][order]])[:take]
-                else:
-                    is_hot = np.zeros(take, bool)
-                # size: twice the set's size, plus 1 where no larger partner needs to meet it
-                size = 2 * n + (np.arange(take) >= first)
-                rows.append((s[:take][~is_hot], key, size[~is_hot]))
-                # A linked pair shares a band of sizes: its own or the smaller one's next.
-                band = int(np.log(n) / _BAND)
-                ties += [(key, _mix(s[:take][is_hot] + np.uint64(b) * _LENGTH)) for b in (band, band + 1) if is_hot.any()]
-            keys = np.array([r[1] for r in rows] + [t[0] for t in ties], np.int64)
-            sizes = [len(r[0]) for r in rows] + [len(t[1]) for t in ties]
-            key, plain = np.repeat(keys, sizes), int(sum(len(r[0]) for r in rows))
-            if not len(key):
+                part = None
+                if len(common):
+                    at = np.minimum(np.searchsorted(common, s), len(common) - 1)
+                    hit = common[at] == s
+                    if hit.any():
+                        order = np.argsort(rank[at[hit]], kind="stable")
+                        s = np.concatenate([s[~hit], s[hit][order]])
+                        part = np.concatenate([np.ones(n - len(order), np.int64), parts[at[hit]][order]])[:take]
+                rows.append((s[:take], key, 2 * n, first, part))
+            if not rows:
                 continue
-            token = np.concatenate([*(r[0] for r in rows), np.empty(0, np.uint64)]).view(np.int64)
-            to = np.concatenate([*(t[1] for t in ties), np.empty(0, np.uint64)]).view(np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(np.r_[token, key[plain:]]),
-                    pa.array(key),
-                    pa.array(np.concatenate([*(r[2] for r in rows), np.zeros(len(to), np.int64)]).astype(np.int64)),
-                    pa.concat_arrays([pa.nulls(plain, pa.int64()), pa.array(to)]),
-                ],
-                ["token", "key", "size", "to"],
-            )
+            sizes = [len(r[0]) for r in rows]
+            token, key = np.concatenate([r[0] for r in rows]), np.repeat(np.array([r[1] for r in rows], np.int64), sizes)
+            # size: twice the set's size, plus 1 where no larger partner needs to meet it
+            size = np.concatenate([r[2] + (np.arange(k) >= r[3]) for r, k in zip(rows, sizes)]).astype(np.int64)
+            part = np.concatenate([np.ones(k, np.int64) if r[4] is None else r[4] for r, k in zip(rows, sizes)])
+            hot, met = part > 1, token.copy()
+            met[hot] = _mix(token[hot] + (key[hot] & (part[hot] - 1)).astype(np.uint64) * _LENGTH)
+            yield pa.RecordBatch.from_arrays([pa.array(met.view(np.int64)), pa.array(key), pa.array(size), pa.array(token.view(np.int64), mask=~hot)], ["token", "key", "size", "hot"])
 
     return run
 
 
-def _pairs(token: np.ndarray, key: np.ndarray, size: np.ndarray, long_token: int | None) -> list[np.ndarray]:
+def _pairs(token: np.ndarray, key: np.ndarray, size: np.ndarray, hot: np.ndarray, is_hot: np.ndarray, long_token: int | None) -> list[np.ndarray]:
     """Columns (a, b, votes, need) of complete runs of one token; size also says whether a row is indexed."""
     n, indexed = size // 2, (size & 1) == 0
     start = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
     length = np.diff(np.r_[start, len(token)])
     run, rows = np.repeat(np.arange(len(start)), length), np.arange(len(token))
-    is_long = (np.repeat(length, length) > RUN) | (token == long_token if long_token is not None else False)
+    is_long = is_hot | (np.repeat(length, length) > RUN) | (token == long_token if long_token is not None else False)
     low, high, votes = [], [], []
     for d in range(1, RUN):  # short runs: all pairs of an indexed row and a later one
         i = rows[: max(0, len(rows) - d)]
@@ -369,12 +356,42 @@ def _pairs(token: np.ndarray, key: np.ndarray, size: np.ndarray, long_token: int
     j = rows[own | (is_long & (prev >= 0) & (run[p] == run) & (DEN * n[p] >= NUM * n))]
     i = np.where(own, centre, p)[j]
     low, high, votes = np.concatenate([*low, i]), np.concatenate([*high, j]), np.concatenate([*votes, np.full(len(j), ENOUGH)])
-    return [np.minimum(key[low], key[high]), np.maximum(key[low], key[high]), votes, shared_at_least(n[low])]
+    a, b, need = key[low], key[high], shared_at_least(n[low])
+    # Parts of a hot token: what has no star in its part, and each star's centre, is tied to the nodes of two bands of
+    # sizes; a linked pair shares one, the larger one's.
+    lone = rows[is_hot & ~own]
+    for more in (0, 1):
+        node = _mix(hot[lone].view(np.uint64) + (_bands(n[lone]) + more).astype(np.uint64) * _LENGTH).view(np.int64)
+        a, b = np.r_[a, key[lone]], np.r_[b, node]
+        votes, need = np.r_[votes, np.full(len(lone), ENOUGH)], np.r_[need, np.ones(len(lone), np.int64)]
+    return [np.minimum(a, b), np.maximum(a, b), votes, need]
+
+
+def _stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(smallest node of the component, node) of each other node of these edges."""
+    nodes, place = np.unique(np.concatenate([a, b]), return_inverse=True)
+    u, v = np.split(place, 2)
+    label = np.arange(len(nodes))
+    while True:
+        low = np.minimum(label[u], label[v])
+        new = label.copy()
+        np.minimum.at(new, label[u], low)
+        np.minimum.at(new, label[v], low)
+        new = new[new]
+        if np.array_equal(new, label):
+            break
+        label = new
+    some = np.flatnonzero(label != np.arange(len(nodes)))
+    return nodes[label[some]], nodes[some]
+
+
+def _bands(n: np.ndarray) -> np.ndarray:
+    return (np.log(n) / _BAND).astype(np.int64)
 
 
 def _centres(run: np.ndarray, n: np.ndarray, indexed: np.ndarray) -> np.ndarray:
     """The first indexed row of each row's run and band of sizes; -1 where there is none."""
-    band = run * 4096 + (np.log(n) / _BAND).astype(np.int64)
+    band = run * 4096 + _bands(n)
     at = np.flatnonzero(indexed)
     if not len(at):
         return np.full(len(run), -1)
@@ -385,9 +402,15 @@ def _centres(run: np.ndarray, n: np.ndarray, indexed: np.ndarray) -> np.ndarray:
 
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(a, b, votes, need) of classes that share a routing token, from rows sorted by (token, size, key)."""
-    held, long_token = [np.empty(0, np.int64)] * 3, None
+    held, long_token = [*[np.empty(0, np.int64)] * 4, np.empty(0, bool)], None
 
     def made(cols: list[np.ndarray]) -> pa.RecordBatch:
+        # Edges that always hold shrink to stars of the same components, so that a group's many tokens bring few edges.
+        sure = cols[2] >= ENOUGH
+        if sure.any():
+            root, node = _stars(cols[0][sure], cols[1][sure])
+            new = [root, node, np.full(len(root), ENOUGH), np.ones(len(root), np.int64)]
+            cols = [np.r_[c[~sure], x] for c, x in zip(cols, new)]
         # Votes of one pair are added up here as far as they are in one batch.
         order = np.lexsort((cols[1], cols[0]))
         a, b, votes, need = (c[order] for c in cols)
@@ -395,29 +418,26 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays([pa.array(a[first]), pa.array(b[first]), pa.array(np.add.reduceat(votes, first) if len(a) else votes), pa.array(need[first])], ["a", "b", "votes", "need"])
 
     for batch in batches:
-        tied = np.asarray(batch.column(3).is_valid())
-        if tied.any():
-            key, to = (batch.column(i).to_numpy(zero_copy_only=False)[tied].astype(np.int64) for i in (1, 3))
-            yield made([np.minimum(key, to), np.maximum(key, to), np.full(len(key), ENOUGH), np.ones(len(key), np.int64)])
-        cols = [np.r_[h, batch.column(i).to_numpy(zero_copy_only=False)[~tied]] for i, h in enumerate(held)]
+        new = [*(batch.column(i).to_numpy(zero_copy_only=False) for i in range(3)), batch.column(3).fill_null(0).to_numpy(zero_copy_only=False), np.asarray(batch.column(3).is_valid())]
+        cols = [np.concatenate([h, c]) for h, c in zip(held, new)]
         if not len(cols[0]):
             continue
         again = (cols[0][1:] == cols[0][:-1]) & (cols[1][1:] == cols[1][:-1])
-        token, key, size = (c[np.r_[True, ~again]] for c in cols)
+        token, key, size, hot, is_hot = (c[np.r_[True, ~again]] for c in cols)
         # The last run may go on in the next batch: a short one waits; of a long one the last indexed row and the
         # centre of the last band do.
         last = int(np.searchsorted(token, token[-1]))
         if len(token) - last > RUN or token[-1] == long_token:
-            yield made(_pairs(token, key, size, long_token))
+            yield made(_pairs(token, key, size, hot, is_hot, long_token))
             long_token = token[-1]
             indexed = (size[last:] & 1) == 0
             centre = _centres(np.zeros(len(indexed), np.int64), size[last:] // 2, indexed)[-1:]
             keep = last + np.unique(np.r_[centre[centre >= 0], np.flatnonzero(indexed)[-1:]])
         else:
             if last:
-                yield made(_pairs(token[:last], key[:last], size[:last], long_token))
+                yield made(_pairs(token[:last], key[:last], size[:last], hot[:last], is_hot[:last], long_token))
             keep = np.arange(last, len(token))
-        held = [c[keep] for c in (token, key, size)]
+        held = [c[keep] for c in (token, key, size, hot, is_hot)]
     if len(held[0]):
         yield made(_pairs(*held, long_token))
 
@@ -528,7 +548,9 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     tokens, times = tokens[by_count].view(np.uint64), times[by_count]
     order = np.argsort(tokens)
 
-    routed = texts.mapInArrow(_router(secret, tokens[order], order, times[order] >= hot), "token long, key long, size long, to long")
+    shares = 2 ** np.ceil(np.log2(np.maximum(1, times[order] / hot))).astype(np.int64)
+    shares[times[order] >= hot] = np.maximum(2, shares[times[order] >= hot])
+    routed = texts.mapInArrow(_router(secret, tokens[order], order, shares), "token long, key long, size long, hot long")
     edges = routed.repartition("token").sortWithinPartitions("token", "size", "key").mapInArrow(_meet, "a long, b long, votes long, need long")
     edges = edges.groupBy("a", "b").agg(F.sum("votes").alias("votes"), F.max("need").alias("need")).where("votes >= need").select("a", "b")
     clusters = components(edges, scratch, "cluster")
