@@ -59,12 +59,37 @@ def test_secrets_whole_table(spark):
         ('title = "Zx81kLq90Pw3"', []),
         ('password = ""', []),
         ('a = "Zx81kLq90Pw3"; a = "hello"; token_value = a', []),
+        ('A = "Zx81kLq"; B = "90Pw3aa"\npassword = A+B', ["Zx81kLq", "90Pw3aa"]),
+        ('db_password = LATER\nLATER = "Zx81kLq90Pw3"', ["Zx81kLq90Pw3"]),
+        ('#define API_TOKEN "Zx81kLq90Pw3"', ["Zx81kLq90Pw3"]),
+        ("<passphrase>Zx81kLq90Pw3</passphrase>", ["Zx81kLq90Pw3"]),
+        ('password = """Zx81\nkLq90Pw3"""', ["Zx81\nkLq90Pw3"]),
+        ('x["signing_secret_salt"] = "Zx81kLq90Pw3"', ["Zx81kLq90Pw3"]),
+        ('{"db": {"client_secret": "Zx81kLq90Pw3", "user": "Zx81kLq90Pw3"}}', ["Zx81kLq90Pw3"]),
+        ('password: str = "Zx81kLq90Pw3"', ["Zx81kLq90Pw3"]),
+        ('secret = "Zx81kL"\nsecret += "q90Pw3"', ["Zx81kL", "q90Pw3"]),
+        ('password = os.getenv("DB_PASSWORD_Zx81")', []),
+        ("# passphrase: please rotate", []),
+        ("they don't say what the secret: it's hers", []),
+        ('password_hint = "please enter your password"', []),
     ],
 )
 def test_literals_follow_names(text, values):
     assert [text[a:b] for a, b in secrets.lex_literals(text)] == values
 
 
+def test_lexer_is_linear():
+    import time
+
+    def took(text):
+        start = time.perf_counter()
+        secrets.lex_literals(text)
+        return time.perf_counter() - start
+
+    for line in ('secret = secret + "Zx81kLq90Pw3"\n', "<a><b>x ", "'''a ", 'k: k = k + k\n', "<p>", "a=", "a:"):
+        assert took(line * 8000) < 8 * max(took(line * 2000), 0.02)
+
+
 def test_masking_keeps_columns(docs):
     out = secrets.mask_secrets(docs)
     assert out.columns == docs.columns

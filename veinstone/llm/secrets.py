@@ -1,11 +1,15 @@
 """Secret scans by assignment-aware lexing.
 
-Base patterns find assignments to well-known names, access keys and long hex runs. The lexer then reads
-``name = literal`` pairs of source and configuration syntax, follows constants through names and ``+``, and
-scores each literal by how sensitive its target name is.
+Base patterns find assignments to well-known names, access keys and long hex runs. The lexer then cuts source and
+configuration syntax into strings, names, operators and tags, reads ``target = value`` pairs from them (assignments,
+keys of maps, subscripts, #define, XML elements), and follows constants through names, ``+`` and ``+=`` in two passes,
+so that a constant may stand after its use. Each value is scored by how sensitive its target's name is and by how
+random the literals are that reach it.
 
-Defined cases: a null text counts as empty; an empty text has no spans; repeated rows each get their own row;
-other columns are ignored. Every pattern is linear in the text's length.
+Defined cases: a null text counts as empty; an empty text has no spans; a very long text is read whole, in time that is
+linear in its length; of several values of one name the last one before a use counts, else the first one after it;
+words of prose are no literals; equal spans count once; repeated rows each get their own row; an empty table has no
+rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -13,6 +17,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -29,11 +34,17 @@ SENSITIVE = {
     "auth": 0.6, "private": 0.5, "access": 0.4, "signing": 0.5, "encryption": 0.5, "key": 0.5, "salt": 0.5, "bearer": 0.7,
 }
 THRESHOLD = 1.4
+#: A text without any of these words has no sensitive name.
+_HINT = re.compile("|".join(sorted(SENSITIVE, key=len, reverse=True)) + "|api.?key", re.I)
 
-_STRING = r""""(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'"""
-_TERM = rf"(?:{_STRING}|[A-Za-z0-9+/_.=-]+)"
-_PAIR = re.compile(rf"""(?<![A-Za-z0-9_.\-])([A-Za-z_][A-Za-z0-9_.\-]*)["']?[\x20\t]*(?::=|=>|[:=])[\x20\t]*({_TERM}(?:[\x20\t]*\+[\x20\t]*{_TERM})*)""")
-_PART = re.compile(_TERM)
+_TOKEN = re.compile(
+    r'''(?P<s>"""[\s\S]*?"""|(?<!\w)\'\'\'[\s\S]*?\'\'\'|"(?:[^"\\\n]|\\.)*+"|(?<!\w)'(?:[^'\\\n]|\\.)*+'|`[^`\n]*+`)'''
+    r"|(?P<d>\#[ \t]*define[ \t]+)|(?P<x><(?P<tag>[A-Za-z][\w.:-]*)>[ \t]*(?P<body>[^<>\s]++)[ \t]*</(?P=tag)>)"
+    r"|(?P<n>[A-Za-z_$][A-Za-z0-9_$]*+(?:[.-][A-Za-z0-9_$]++)*+)|(?P<o>:=|=>|\+=|[=!<>]=|[=:+,;()\[\]{}\n])"
+)
+#: A value without quotes: one run of such characters that ends its line or its entry.
+_BARE = re.compile(r"[\x20\t]*([A-Za-z0-9+/_.@!$%^&*~-]++={0,2})[\x20\t]*(?=$|[\n,;}#]|//)")
+_ASSIGNS = frozenset((":=", "=>", "=", ":", "+="))
 _NAME = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
 
 
@@ -46,30 +57,133 @@ def name_score(name: str) -> float:
 
 def literal_score(value: str) -> float:
     """0 to 1 from length and entropy; short or wordlike values stay low."""
-    if len(value) < 6:
+    return _score(Counter(value), len(value.split()) > 2)
+
+
+def _score(counts: Counter, prose: bool) -> float:
+    n = sum(counts.values())
+    if n < 6:
         return 0.0
-    share = [value.count(c) / len(value) for c in set(value)]
-    bits = -sum(p * math.log2(p) for p in share)
-    mixed = bool(re.search(r"[0-9]", value)) + bool(re.search(r"[A-Z]", value)) + bool(re.search(r"[a-z]", value))
-    return min(1.0, bits / 5 + 0.1 * mixed)
+    bits = -sum(k / n * math.log2(k / n) for k in counts.values())
+    mixed = sum(any(a <= c <= b for c in counts) for a, b in ("09", "AZ", "az"))
+    return min(0.3 if prose else 1.0, bits / 5 + 0.1 * mixed)
+
+
+def _is_random(value: str) -> bool:
+    """Whether a run without quotes is no word: it has a digit, or capitals after small letters."""
+    return bool(re.search(r"[0-9]", value) or re.search(r"[a-z][A-Z]", value))
+
+
+class Pair:
+    """A target and what it is made of: parts are spans of literals and names of constants."""
+
+    __slots__ = ("target", "parts", "bare", "adds", "links", "spans", "counts", "prose")
+
+    def __init__(self, target: str, parts: list, bare: tuple[int, int] | None, adds: bool = False):
+        self.target, self.parts, self.bare, self.adds = target, parts, bare, adds
+        self.links: list[Pair] = []
+
+
+def read_pairs(text: str) -> list[Pair]:
+    """The target-value pairs in order."""
+    tokens = [(m.lastgroup if m.lastgroup not in ("tag", "body") else "x", m) for m in _TOKEN.finditer(text)]
+    out, k, n = [], 0, len(tokens)
+
+    def inside(m: re.Match) -> tuple[int, int]:
+        q = 3 if m[0][:3] in ('"""', "'''") and len(m[0]) >= 6 else 1
+        return m.start() + q, m.end() - q
+
+    def value(at: int, k: int) -> tuple[list, tuple[int, int] | None, int]:
+        """Parts of the expression whose first token is k, its text as one run, and the token after it."""
+        bare = _BARE.match(text, at)
+        parts, more = [], True
+        while k < n:
+            kind, m = tokens[k]
+            if kind == "o" and m[0] == "(" and not parts:
+                k += 1
+            elif kind == "s" and (more or parts and parts[-1][0] is None):
+                parts.append((None, *inside(m)))
+                k, more = k + 1, False
+            elif kind == "n" and more:
+                parts.append((m[0], m.start(), m.end()))
+                k, more = k + 1, False
+            elif kind == "o" and m[0] == "+" and not more:
+                k, more = k + 1, True
+            else:
+                break
+        if k < n and parts and parts[-1][0] is not None and tokens[k][0] == "o" and tokens[k][1][0] in ("(", "[") and tokens[k][1].start() == parts[-1][2]:
+            return [], None, k  # what a call or a subscript gives is unknown
+        return parts, bare.span(1) if bare else None, k
+
+    while k < n:
+        kind, m = tokens[k]
+        if kind == "x":
+            out.append(Pair(m["tag"], [(None, *m.span("body"))], None))
+            k += 1
+        elif kind == "d" and k + 1 < n and tokens[k + 1][0] == "n":
+            parts, bare, after = value(tokens[k + 1][1].end(), k + 2)
+            out.append(Pair(tokens[k + 1][1][0], parts, bare))
+            k = max(after, k + 2)
+        elif kind in "sn":
+            a, b = m.span() if kind == "n" else inside(m)
+            j = k + 1
+            if j + 1 < n and kind == "s" and tokens[j][1][0] == "]":
+                j += 1
+            # A type between the name and its value: name: type = value.
+            if j + 2 < n and [tokens[j][1][0], tokens[j + 1][0], tokens[j + 2][1][0]] == [":", "n", "="]:
+                j += 2
+            if j < n and tokens[j][0] == "o" and tokens[j][1][0] in _ASSIGNS:
+                op = tokens[j][1]
+                parts, bare, after = value(op.end(), j + 1)
+                out.append(Pair(text[a:b], parts, bare, op[0] == "+="))
+                # A name inside the value can be the next pair's target: read on behind the operator.
+                k = j + 1 if not parts or after < n and tokens[after][0] == "o" and tokens[after][1][0] in _ASSIGNS else after
+            else:
+                k += 1
+        else:
+            k += 1
+    return out
 
 
 def lex_literals(text: str) -> list[tuple[int, int]]:
     """Spans of the literals that reach a sensitive name, directly or through constants."""
-    known: dict[str, list[tuple[int, int]]] = {}
-    found: set[tuple[int, int]] = set()
-    for m in _PAIR.finditer(text):
-        spans: list[tuple[int, int]] = []
-        for part in _PART.finditer(text, m.start(2), m.end(2)):
-            if part[0][0] in "\"'":
-                spans.append((part.start() + 1, part.end() - 1))
-            elif part[0] != "+":
-                spans += known.get(part[0]) or [part.span()]
-        spans = [s for s in dict.fromkeys(spans) if s[1] > s[0]]
-        known[m[1]] = spans
-        if score := name_score(m[1]):
-            if score + literal_score("".join(text[a:b] for a, b in spans)) >= THRESHOLD:
-                found.update(spans)
+    pairs = read_pairs(text)
+    first: dict[str, Pair] = {}
+    for p in pairs:
+        first.setdefault(p.target, p)
+    last: dict[str, Pair] = {}
+    for p in pairs:
+        names = [x[0] for x in p.parts if x[0] is not None]
+        p.spans = [(a, b) for name, a, b in p.parts if name is None and b > a]
+        if p.bare and not p.spans and not all(x in first for x in names or [None]):
+            p.spans = [p.bare] if _is_random(text[slice(*p.bare)]) else []
+        else:
+            p.links = [q for x in names if (q := last.get(x) or first.get(x)) and q is not p]
+            if p.adds and p.target in last:
+                p.links.append(last[p.target])
+        last[p.target] = p
+    for p in pairs:
+        p.counts, p.prose = Counter(), any(len(text[a:b].split()) > 2 for a, b in p.spans)
+        for a, b in p.spans:
+            p.counts.update(text[a:b])
+    own = {id(p): p.counts for p in pairs}
+    done: set[int] = set()
+    for p in pairs:  # constants before their use are complete by now, later ones bring their own literals
+        counts = Counter(p.counts)
+        for q in p.links:
+            counts.update(q.counts if id(q) in done else own[id(q)])
+        p.counts = counts
+        done.add(id(p))
+    # From each pair that scores enough, everything that reaches it; what was reached once is not followed again.
+    todo = [p for p in pairs if (score := name_score(p.target)) and score + _score(p.counts, p.prose) >= THRESHOLD]
+    seen, found = {id(p) for p in todo}, set()
+    while todo:
+        p = todo.pop()
+        found.update(p.spans)
+        for q in p.links:
+            if id(q) not in seen:
+                seen.add(id(q))
+                todo.append(q)
     return sorted(found)
 
 
@@ -81,6 +195,7 @@ def scan_text(text: str | None) -> list[tuple[int, int, int]]:
         out += [(m.start(), 1, m.end()) for m in ACCESS.finditer(text)]
     if "=" in text or ":" in text:
         out += [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if len(m[2]) >= 6]
+    if _HINT.search(text):
         out += [(a, 3, b) for a, b in lex_literals(text)]
     return sorted(out)
 
