@@ -34,8 +34,9 @@ SENSITIVE = {
     "auth": 0.6, "private": 0.5, "access": 0.4, "signing": 0.5, "encryption": 0.5, "key": 0.5, "salt": 0.5, "bearer": 0.7,
 }
 THRESHOLD = 1.4
-#: A text without any of these words has no sensitive name.
-_HINT = re.compile("|".join(sorted(SENSITIVE, key=len, reverse=True)) + "|api.?key", re.I)
+_WORDS = "|".join(sorted(SENSITIVE, key=len, reverse=True)) + "|api.?key"
+#: A sensitive target: such a word in a name that an operator or a tag's end follows, or a definition. Other texts are not lexed.
+_HINT = re.compile(rf"""(?:{_WORDS})[A-Za-z0-9_$.-]{{0,200}}["'`]*\]?[\x20\t]*[:=>+]|\#[\x20\t]*define""", re.I)
 
 _TOKEN = re.compile(
     r'''(?P<s>"""[\s\S]*?"""|(?<!\w)\'\'\'[\s\S]*?\'\'\'|"(?:[^"\\\n]|\\.)*+"|(?<!\w)'(?:[^'\\\n]|\\.)*+'|`[^`\n]*+`)'''
