@@ -178,6 +178,12 @@ PROSE = "The cat is in the house and it was not on the mat when he had gone to t
         ("<ul><li><a href=a>one link</a></li></ul><p>a b c</p>", ""),
         ("<div class=ad>never closed <article><p>kept</p></article>", "kept"),
         (f"<article><p>{PROSE}</p><div class='comments'><article><p>{PROSE}</p></article></div></article>", PROSE),
+        (f"<div id='page' class='with-sidebar'><article><p>{PROSE}</p></article></div>", PROSE),
+        (f"<div class='sidebar'><div><article><p>{PROSE}</p></article></div></div>", PROSE),
+        (f"<article><p>{PROSE}</p><section id='legal'><p>{PROSE}</p></section><div class='post-form-content share'><p>Yes.</p></div><div class=share><p>Share it</p></div></article>", f"{PROSE}\n{PROSE}\nYes."),
+        (f"<article><script src=/a/>var x=1;</script><p>{PROSE}</p><ul><li><a href=x>{PROSE}</a></li></ul></article>", PROSE),
+        (f"<article><h2><a href=/t>teaser</a></h2></article><div><p>{PROSE}</p></div>", PROSE),
+        ("<div><p>" + "我们在这里的时候，他们也在那里了。" * 9 + "</p></div>", "我们在这里的时候，他们也在那里了。" * 9),
         ("<article>" + "<p>x y</p>" * 20_000 + "</article>", "\n".join(["x y"] * 20_000)),
     ],
 )
@@ -185,6 +191,77 @@ def test_main_text(page, text):
     assert html_text.main_text(page) == text
 
 
+def brute_article(page):
+    """Blocks of the article by a parser of its own, for pages whose article holds plain paragraphs."""
+    from html.parser import HTMLParser
+
+    blocks, state = [[]], {"in": 0}
+
+    class Reader(HTMLParser):
+        def handle_starttag(self, tag, attrs):
+            state["in"] += tag == "article"
+            if tag in ("article", "p", "h1", "h2", "div"):
+                blocks.append([])
+            if tag == "br" and state["in"]:
+                blocks[-1].append(" ")
+
+        def handle_endtag(self, tag):
+            state["in"] -= tag == "article"
+            if tag in ("article", "p", "h1", "h2", "div"):
+                blocks.append([])
+
+        def handle_data(self, data):
+            if state["in"]:
+                blocks[-1].append(data)
+
+    Reader(convert_charrefs=True).feed(page)
+    return "\n".join(t for b in blocks if (t := " ".join("".join(b).split())))
+
+
+def test_main_text_of_whole_table_against_another_parser(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    want = {r.page_id: brute_article(r.html) for r in pages.collect()}
+    assert {r.page_id: r.text for r in html_text.extract_pages(pages).collect()} == want
+
+
+def test_extraction_is_linear():
+    import time
+
+    def took(page):
+        start = time.perf_counter()
+        html_text.main_text(page)
+        return time.perf_counter() - start
+
+    for part in ("<nav><article>", "<div class=ad>", "<script>", "<p class='a' ", "<!-- ", "<div class=ad><div></div>"):
+        assert took(part * 8000) < 8 * max(took(part * 2000), 0.02)
+
+
+def brute_blocks(text, threshold=0.9):
+    """The best containment of each label over all windows."""
+    words, best = licenses.words_of(text.encode()), {}
+    for label, texts in licenses.TEMPLATES.items():
+        for t in texts:
+            tokens, size = set(licenses.words_of(t.encode())), -(-3 * len(licenses.words_of(t.encode())) // 2)
+            if len(tokens & set(words)) >= threshold * len(tokens) - 1e-9:
+                most = max(len(tokens & set(words[k : k + size])) for k in range(len(words)))
+                if most >= threshold * len(tokens) - 1e-9:
+                    best[label] = max(best.get(label, 0), most / len(tokens))
+    return best
+
+
+def test_licenses_on_whole_table_against_brute_force(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    want = {r.doc_id: brute_blocks(r.text or "") for r in docs.collect()}
+    for r in licenses.find_licenses(docs).collect():
+        blocks = [b.rsplit(":", 3) for b in r.blocks.split(",") if b]
+        got = {}
+        for label, start, end, share in blocks:
+            got[label] = max(got.get(label, 0), float(share))
+            assert 0 <= int(start) < int(end) <= r.n_words
+        assert got == pytest.approx(want[r.doc_id], abs=1e-5) and set(got) <= set(r.labels.split(","))
+    assert any(want.values())
+
+
 def test_pages_table(spark):
     df = spark.createDataFrame([(1, None, None, "a"), (None, "u", "<article>é</article>", "b"), (1, None, None, "a")], "page_id long, url string, html string, text string")
     rows = sorted(map(tuple, html_text.extract_pages(df).collect()), key=str)

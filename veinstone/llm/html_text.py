@@ -1,11 +1,15 @@
 """Main text of web pages by two-pass block rules.
 
 The markup is cut into blocks. The first pass decides a block by link density, stop-word density and length; the
-second lets ambiguous blocks inherit the label of their nearest decided neighbours. Elements that are boilerplate
-by name or role never give blocks, and an article or main element, where there is one, marks its blocks as decided.
-
-Defined cases: a null html counts as empty; a page without main text gives an empty string; unclosed elements end
-with the page; repeated rows each get their own row; other columns are ignored.
+second lets ambiguous blocks inherit the label of their nearest decided neighbours in the same container. The container
+says what its ends count as: an article or main element's ends are good neighbours, all others bad ones. Elements that
+are boilerplate by tag, role or an unmistakable name never give blocks, unless they hold most of the page's text or an
+article; a name that only hints at boilerplate makes a block that needs the densities to stay.
+
+Defined cases: a null html counts as empty; a page without main text gives an empty string; an unclosed boilerplate
+element ends before the next article or main element, other unclosed elements with the page; at equal distances the
+neighbour before counts; a very long page is read whole, in linear time; text without blanks between words is judged by
+its characters; repeated rows each get their own row; an empty table has no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,40 +28,58 @@ STOP_WORDS = frozenset(
     "le la les un une des du de et est en que qui dans pour par sur au aux avec ne pas ce il elle se son sa "
     "el los las una del y es por con para se su al lo como no más o pero sus".split()
 )
-SHORT, LONG, STOP_LOW, STOP_HIGH, LINKS = 70, 200, 0.30, 0.32, 0.2
-
-_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<[!?/a-zA-Z][^>]*+>|[^<]++|<""", re.S)
+#: Characters that play that part where words stand without blanks: fixed values.
+STOP_CHARACTERS = frozenset("的了是在不有和人这中大为上个我以要他时来用们の に は を た が で て と し れ さ も な".replace(" ", ""))
+#: Lengths in characters, stop-word densities, and the greatest link density outside and inside of an article.
+SHORT, LONG, STOP_LOW, STOP_HIGH, LINKS, ARTICLE_LINKS = 70, 200, 0.30, 0.32, 0.2, 0.5
+#: Share of a page's text from which on an element is a wrapper, whatever its name is.
+MOST = 0.5
+
+_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^<>"']++|"[^"]*+"|'[^']*+')*+)>|<[!?/a-zA-Z][^<>]*+>|[^<]++|<""", re.S)
 _RAW = frozenset("script style textarea title noscript template iframe xmp noembed noframes svg math".split())
+_CLOSERS = {tag: re.compile(rf"</{tag}\b[^>]*>?", re.I) for tag in _RAW}
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _BLOCK = frozenset("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 _SKIP = frozenset("aside button datalist dialog footer form header menu nav object audio video canvas map select label fieldset".split())
 _NAMED = re.compile(
     r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|advertising|sponsor|sponsored|promo|promotion|banner|cookies?|consent|gdpr|notices?|alerts?|popup|modal|overlay|newsletter|subscribe|subscription|paywall"
-    r"|sidebar|side-bar|rail|menu|navigation|nav|navbar|breadcrumbs?|header|masthead|topbar|footer|bottom|comments?|commentlist|disqus|respond|replies|reply|discussion"
-    r"|share|sharing|social|related|recommended|recommendations|widget|login|signin|signup|register|search|form|toolbar|pagination|pager|copyright|legal|skip)(?:$|[\s_-])",
+    r"|sidebar|side-bar|menu|navigation|nav|navbar|breadcrumbs?|masthead|topbar|footer|comments?|commentlist|disqus|respond|replies|reply|discussion"
+    r"|sharing|related|recommended|recommendations|login|signin|signup|pagination|pager|toolbar)(?:$|[\s_-])",
     re.I,
 )
+_HINTED = re.compile(r"(?:^|[\s_-])(?:rail|header|bottom|share|social|widget|register|search|form|copyright|legal|skip)(?:$|[\s_-])", re.I)
+_PROPER = re.compile(r"(?:^|[\s_-])(?:article|body|content|entry|main|post|story|text|with|has|no)(?:$|[\s_-])", re.I)
 _ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar".split())
 _ATTR = re.compile(r"""([a-zA-Z-]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 
 
-def _boilerplate(tag: str, attrs: str) -> bool:
+def _kind(tag: str, attrs: str) -> str:
+    """"gone" for elements that are never shown, "bad" for boilerplate, "hint" for what may be, else empty.
+
+    A class that also names content, such as post-form-content or with-sidebar, is no sign of boilerplate."""
     if tag in _SKIP:
-        return True
-    if tag in ("html", "body", "article", "main") and "comment" not in attrs or not attrs.strip():
-        return False
+        return "bad"
+    if not attrs.strip():
+        return ""
+    out = ""
     for m in _ATTR.finditer(attrs):
         name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
-        if name in ("class", "id") and _NAMED.search(value) or name == "role" and value.lower() in _ROLES:
-            return True
         if name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and re.search(r"display\s*:\s*none", value, re.I):
-            return True
-    return False
+            return "gone"
+        if name == "role" and value.lower() in _ROLES:
+            out = "bad"
+        if name in ("class", "id"):
+            words = [w for w in value.split() if not _PROPER.search(w)]
+            if any(map(_NAMED.search, words)) and (tag not in ("html", "body", "article", "main") or re.search(r"comment|repl", value, re.I)):
+                out = "bad"
+            elif any(map(_HINTED.search, words)) and not _PROPER.search(value):
+                out = out or "hint"
+    return out
 
 
 def _tokens(page: str) -> list[tuple[str, bool, str]]:
     """(tag or "", closing, attributes or text); comments, declarations and the content of raw elements are left out."""
-    out, at = [], 0
+    out, at, unclosed = [], 0, set()
     while m := _TOKEN.match(page, at):
         at = m.end()
         if m[2] is None:
@@ -66,115 +88,154 @@ def _tokens(page: str) -> list[tuple[str, bool, str]]:
             continue
         tag, closing = m[2].lower(), bool(m[1])
         if tag in _RAW and not closing:
-            if not m[3].endswith("/"):
-                end = re.compile(rf"</{tag}\b[^>]*>?", re.I).search(page, at)
+            # Only drawings and formulas can close themselves; an address that ends in a slash closes nothing.
+            if not (tag in ("svg", "math") and m[3].endswith("/")) and tag not in unclosed:
+                end = _CLOSERS[tag].search(page, at)
+                if not end:
+                    unclosed.add(tag)
                 at = end.end() if end else len(page)
             continue
         out.append((tag, closing, m[3]))
     return out
 
 
-def _after(tokens: list[tuple[str, bool, str]], k: int) -> int:
-    """Where the element that opens at k ends; one that is never closed ends before the next article or main element."""
-    tag, depth = tokens[k][0], 0
-    for j in range(k, len(tokens)):
-        if tokens[j][0] == tag:
-            depth += -1 if tokens[j][1] else 1
-            if depth == 0:
-                return j + 1
-    return next((j for j in range(k + 1, len(tokens)) if tokens[j][0] in ("article", "main") and not tokens[j][1]), len(tokens))
-
-
-def blocks_of(page: str) -> list[tuple[str, int, bool]]:
-    """(text, characters inside links, inside an article or main element) of each block outside boilerplate elements."""
-    out: list[tuple[str, int, bool]] = []
+def _ends(tokens: list[tuple[str, bool, str]]) -> tuple[list[int], list[int], list[int]]:
+    """For each token: where its element ends, or where the page would stop an unclosed one; text before it; articles before it."""
+    n = len(tokens)
+    end, chars, mains, open_at = [-1] * n, [0] * (n + 1), [0] * (n + 1), {}
+    for k, (tag, closing, rest) in enumerate(tokens):
+        chars[k + 1] = chars[k] + (0 if tag else len(rest.strip()))
+        mains[k + 1] = mains[k] + (tag in ("article", "main") and not closing)
+        if tag and closing:
+            if open_at.get(tag):
+                end[open_at[tag].pop()] = k + 1
+        elif tag and tag not in _VOID:
+            open_at.setdefault(tag, []).append(k)
+    after = n
+    for k in reversed(range(n)):
+        if end[k] < 0:
+            end[k] = after
+        if tokens[k][0] in ("article", "main") and not tokens[k][1]:
+            after = k
+    return end, chars, mains
+
+
+def blocks_of(page: str) -> list[tuple[str, int, bool, bool]]:
+    """(text, characters inside links, inside an article or main element, hinted) of each block outside boilerplate."""
+    out: list[tuple[str, int, bool, bool]] = []
     parts: list[str] = []
-    linked = anchors = mains = k = 0
+    linked = anchors = main = k = hinted = 0
     tokens = _tokens(page)
+    end, chars, mains = _ends(tokens)
 
     def flush() -> None:
         nonlocal linked
         if parts and (text := " ".join(entities.unescape("".join(parts)).split())):
-            out.append((text, min(linked, len(text)), mains > 0))
+            out.append((text, min(linked, len(text)), main > 0, k <= hinted))
         parts.clear()
         linked = 0
 
     while k < len(tokens):
         tag, closing, rest = tokens[k]
-        k += 1
         if not tag:
             parts.append(rest)
             linked += anchors * len(rest.strip())
+            k += 1
             continue
         if tag in _BLOCK or tag in _SKIP:
             flush()
             anchors = 0
+        kind = "" if closing or tag in _VOID else _kind(tag, rest)
+        if kind and kind != "gone":
+            most = chars[end[k]] - chars[k] > MOST * chars[-1]
+            # Only a wrapper around an article or around most of the text that is not the article itself stays.
+            if (mains[end[k]] > mains[k] + (tag in ("article", "main")) or most) and main == 0 and not re.search(r"comment|repl", rest, re.I):
+                kind = ""
+        if kind in ("gone", "bad"):
+            k = k + 1 if rest.endswith("/") and tag not in _BLOCK | _SKIP else max(k + 1, end[k])
+            continue
+        if kind == "hint":
+            hinted = max(hinted, end[k])
         if closing:
             anchors = 0 if tag == "a" else anchors
-            mains = max(0, mains - (tag in ("article", "main")))
-        elif tag not in _VOID and _boilerplate(tag, rest):
-            k = k if rest.endswith("/") else _after(tokens, k - 1)
+            main = max(0, main - (tag in ("article", "main")))
         elif tag == "a":
             anchors = 1
         elif tag in ("article", "main"):
-            mains += 1
+            main += 1
         elif tag == "br":
             parts.append("\n")
+        k += 1
     flush()
     return out
 
 
-def first_pass(text: str, linked: int) -> str:
+def _units(text: str) -> tuple[float, int]:
+    """Share of stop words, and the length in characters of a text with blanks."""
+    dense = sum("\u3040" <= c <= "\u9fff" or "\uac00" <= c <= "\ud7a3" for c in text)
+    if 2 * dense > len(text):
+        return min(1.0, 3 * sum(c in STOP_CHARACTERS for c in text) / len(text)), 3 * len(text)
+    words = text.lower().split()
+    return sum(w.strip(".,;:!?\"'()") in STOP_WORDS for w in words) / len(words), len(text)
+
+
+def first_pass(text: str, linked: int, inside: bool = False, hinted: bool = False) -> str:
     """good, bad, near (to good) or short."""
-    if linked > LINKS * len(text):
+    if linked > (ARTICLE_LINKS if inside else LINKS) * len(text):
         return "bad"
-    if len(text) < SHORT:
-        return "bad" if linked else "short"
-    words = text.lower().split()
-    stop = sum(w.strip(".,;:!?\"'()") in STOP_WORDS for w in words) / len(words)
+    stop, size = _units(text)
+    if size < SHORT:
+        return "bad" if linked and not inside or hinted else "short"
     if stop >= STOP_HIGH:
-        return "good" if len(text) > LONG else "near"
-    return "near" if stop >= STOP_LOW else "bad"
-
-
-def second_pass(labels: list[str]) -> list[bool]:
-    """Whether each block is main text: short and near ones inherit from the nearest decided blocks on both sides."""
-    n = len(labels)
-    before, after = [(0, "bad")] * n, [(0, "bad")] * n
-    seen = (n + 1, "bad")
-    for i in range(n):
-        before[i] = (i - seen[0] if seen[0] <= i else n + 1, seen[1])
-        if labels[i] in ("good", "bad"):
-            seen = (i, labels[i])
-    seen = (2 * n + 2, "bad")
-    for i in reversed(range(n)):
-        after[i] = (seen[0] - i, seen[1])
-        if labels[i] in ("good", "bad"):
-            seen = (i, labels[i])
-    out = []
-    for i, label in enumerate(labels):
-        (d1, a), (d2, b) = before[i], after[i]
-        if label in ("good", "bad"):
-            out.append(label == "good")
-        elif a == b:
-            out.append(a == "good" or label == "near" and d1 > n and d2 > n)
-        elif label == "near":
-            out.append(True)
-        else:
-            out.append((a if d1 <= d2 else b) == "good")
+        return "good" if size > LONG else "near"
+    return "near" if (stop >= STOP_LOW or inside) and not hinted else "bad"
+
+
+def second_pass(labels: list[str], inside: list[bool]) -> list[bool]:
+    """Whether each block is main text: short and near ones inherit from the nearest decided neighbours on both sides.
+
+    Neighbours are looked for in the same container; its ends are good neighbours inside an article, else bad ones.
+    """
+    out: list[bool] = []
+    k, n = 0, len(labels)
+    while k < n:
+        stop = k
+        while stop < n and inside[stop] == inside[k]:
+            stop += 1
+        edge = "good" if inside[k] else "bad"
+        before, seen = [], (k - 1, edge)
+        for i in range(k, stop):
+            before.append((i - seen[0], seen[1]))
+            if labels[i] in ("good", "bad"):
+                seen = (i, labels[i])
+        after, seen = [], (stop, edge)
+        for i in reversed(range(k, stop)):
+            after.append((seen[0] - i, seen[1]))
+            if labels[i] in ("good", "bad"):
+                seen = (i, labels[i])
+        lone = not any(x in ("good", "bad") for x in labels[k:stop])
+        for i, (d1, a), (d2, b) in zip(range(k, stop), before, reversed(after)):
+            if labels[i] in ("good", "bad"):
+                out.append(labels[i] == "good")
+            elif a == b:
+                out.append(a == "good" or labels[i] == "near" and lone)
+            else:
+                out.append(labels[i] == "near" or (a if d1 <= d2 else b) == "good")
+        k = stop
     return out
 
 
 def main_text(page: str | None) -> str:
     blocks = blocks_of(page or "")
-    inside = any(b[2] for b in blocks)
-    labels = []
-    for text, linked, main in blocks:
-        if inside:
-            labels.append("bad" if not main or 2 * linked > len(text) else "good")
-        else:
-            labels.append(first_pass(text, linked))
-    return "\n".join(b[0] for b, keep in zip(blocks, second_pass(labels)) if keep)
+    labels = [first_pass(*b) for b in blocks]
+    return "\n".join(b[0] for b, keep in zip(blocks, second_pass(labels, [b[2] for b in blocks])) if keep)
+
+
+def rules_used(page: str | None) -> list[tuple[str, bool]]:
+    """The first pass's label of each block and whether the block is kept, for reports."""
+    blocks = blocks_of(page or "")
+    labels = [first_pass(*b) for b in blocks]
+    return list(zip(labels, second_pass(labels, [b[2] for b in blocks])))
 
 
 SCHEMA = "page_id long, url string, text string, n_chars long"

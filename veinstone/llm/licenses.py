@@ -1,13 +1,16 @@
 """License scans by an exact set-similarity join of text blocks with license templates.
 
-A block is any run of BLOCK times a template's token count. Template tokens are ordered by their frequency over the
+A block is any run of BLOCK times a template's word count. Template tokens are ordered by their frequency over the
 whole corpus, rarest first. A block that contains THRESHOLD of a template holds at least one token of the template's
-prefix (prefix filter), is never longer than its window, and lies in a text that holds THRESHOLD of the template's
-tokens. What passes is counted exactly in one sweep over the places of the template's tokens; there is no positional
-filter. The best containment of each label is kept, not the places of the blocks.
-
-Defined cases: a null text counts as empty; an empty text has no words, null positions, empty labels and score 0;
-equal places of several phrases count each; repeated rows each get their own row; other columns are ignored.
+prefix (prefix filter), so only the stretches around such tokens are looked at. A stretch must hold as many different
+template tokens as are needed (length filter), and the prefix tokens that it lacks bound what it can hold at most
+(positional filter). What passes is counted exactly in one sweep over the places of the template's tokens. Blocks of
+one template that overlap are reported as one, from the first to the last template token, with their best containment.
+
+Defined cases: a null text counts as empty; an empty text has no words, null positions, empty labels and blocks and
+score 0; a very long text is read whole; equal places of several phrases count each; templates that tie are all
+reported; a template without words fits nothing; repeated rows each get their own row; an empty table has no rows; other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -55,41 +58,67 @@ class Matcher:
             for text in texts:
                 words = words_of(text.encode())
                 tokens = sorted(set(words), key=lambda w: (counts.get(w, 0), w))
-                need = math.ceil(threshold * len(tokens) - 1e-9)
+                need = max(1, math.ceil(threshold * len(tokens) - 1e-9))
                 for w in tokens[: len(tokens) - need + 1]:
                     self.prefix[w].append(len(self.items))
                 self.items.append((label, frozenset(tokens), need, math.ceil(BLOCK * len(words))))
 
-    def match(self, words: list[bytes]) -> dict[str, float]:
-        """The best containment of each label that some block reaches."""
-        best: dict[str, float] = {}
-        hits = defaultdict(list)
+    def blocks(self, words: list[bytes]) -> list[tuple[int, int, str, float]]:
+        """(start, end, label, containment) of all blocks that reach the threshold, in words, sorted."""
+        out = []
+        hits = defaultdict(set)
         for w in self.prefix.keys() & set(words):
             for t in self.prefix[w]:
-                hits[t].append(w)
-        for t, found in hits.items():
+                hits[t].add(w)
+        for t, seeds in hits.items():
             label, tokens, need, size = self.items[t]
-            if len(tokens.intersection(words)) < need:
-                continue
-            seeds = set(found)
             places = [(i, w) for i, w in enumerate(words) if w in tokens]
-            # One sweep over the places of the template's tokens; a block ends at each of them.
-            inside: Counter[bytes] = Counter()
-            left, most, seeded = 0, 0, 0
-            for i, w in places:
-                inside[w] += 1
-                seeded += w in seeds
-                while places[left][0] <= i - size:
-                    gone = places[left][1]
-                    inside[gone] -= 1
-                    seeded -= gone in seeds
-                    if not inside[gone]:
-                        del inside[gone]
-                    left += 1
-                if seeded:
-                    most = max(most, len(inside))
-            if most >= need:
-                best[label] = max(best.get(label, 0.0), most / len(tokens))
+            # Stretches of places that some block with a seed can reach.
+            reach = [i for i, w in places if w in seeds]
+            stretch: list[list[int]] = []
+            for i in reach:
+                if stretch and i - size < stretch[-1][1]:
+                    stretch[-1][1] = i + size
+                else:
+                    stretch.append([i - size + 1, i + size])
+            at, prefix = 0, len(tokens) - need + 1
+            for a, b in stretch:
+                while at < len(places) and places[at][0] < a:
+                    at += 1
+                some = []
+                while at < len(places) and places[at][0] < b:
+                    some.append(places[at])
+                    at += 1
+                held = {w for _, w in some}
+                if len(held) >= need and len(tokens) - (prefix - len(held & seeds)) >= need:
+                    out += [(x, y, label, most / len(tokens)) for x, y, most in self._sweep(some, need, size)]
+        return sorted(out)
+
+    @staticmethod
+    def _sweep(places: list[tuple[int, bytes]], need: int, size: int) -> list[tuple[int, int, int]]:
+        """(start, end, most different tokens) of merged blocks; a block ends at each place."""
+        inside: Counter[bytes] = Counter()
+        left, out = 0, []
+        for i, w in places:
+            inside[w] += 1
+            while places[left][0] <= i - size:
+                gone = places[left][1]
+                inside[gone] -= 1
+                if not inside[gone]:
+                    del inside[gone]
+                left += 1
+            if len(inside) >= need:
+                if out and places[left][0] < out[-1][1]:
+                    out[-1] = (out[-1][0], i + 1, max(out[-1][2], len(inside)))
+                else:
+                    out.append((places[left][0], i + 1, len(inside)))
+        return out
+
+    def match(self, words: list[bytes]) -> dict[str, float]:
+        """The best containment of each label that some block reaches."""
+        best: dict[str, float] = {}
+        for _, _, label, share in self.blocks(words):
+            best[label] = max(best.get(label, 0.0), share)
         return best
 
 
@@ -120,11 +149,12 @@ def token_counts(df: DataFrame, vocabulary: set[bytes], text_col: str = "text")
     return {bytes(r.token): r.n for r in rows.groupBy("token").agg(F.sum("n").alias("n")).collect()}
 
 
-SCHEMA = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double"
+SCHEMA = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, blocks string"
 
 
 def find_licenses(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: dict[str, list[str]] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
-    """One row for each input row with base phrase places, labels and the best containment."""
+    """One row for each input row with base phrase places, labels, the best containment and the blocks, each as
+    label:start:end:containment in words, end exclusive."""
     vocabulary = {w for texts in templates.values() for t in texts for w in words_of(t.encode())}
     matcher = Matcher(templates, token_counts(df, vocabulary, text_col), threshold)
 
@@ -133,10 +163,13 @@ def find_licenses(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             rows = []
             for doc, raw in zip(batch.column(0).to_pylist(), batch.column(1)):
                 words = words_of(raw.as_py())
-                base, more = base_places(words), matcher.match(words)
-                kinds = {label for _, label in base}
-                rows.append((doc, len(words), len(base), min((b[0] for b in base), default=None), max((b[0] for b in base), default=None), ",".join(sorted(kinds)), ",".join(sorted(kinds | more.keys())), max([1.0 if base else 0.0, *more.values()])))
-            types = [pa.int64()] * 5 + [pa.string()] * 2 + [pa.float64()]
+                base, blocks = base_places(words), matcher.blocks(words)
+                kinds, starts = {label for _, label in base}, [start for start, _ in base]
+                labels = kinds | {label for _, _, label, _ in blocks}
+                score = max([1.0 if base else 0.0, *(share for *_, share in blocks)])
+                listed = ",".join(f"{label}:{a}:{b}:{share:.6g}" for a, b, label, share in blocks)
+                rows.append((doc, len(words), len(base), min(starts, default=None), max(starts, default=None), ",".join(sorted(kinds)), ",".join(sorted(labels)), score, listed))
+            types = [pa.int64()] * 5 + [pa.string()] * 2 + [pa.float64(), pa.string()]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], [x.split()[0] for x in SCHEMA.split(", ")])
 
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").cast("binary").alias("raw")).mapInArrow(run, SCHEMA)

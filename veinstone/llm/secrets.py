@@ -34,9 +34,8 @@ SENSITIVE = {
     "auth": 0.6, "private": 0.5, "access": 0.4, "signing": 0.5, "encryption": 0.5, "key": 0.5, "salt": 0.5, "bearer": 0.7,
 }
 THRESHOLD = 1.4
-_WORDS = "|".join(sorted(SENSITIVE, key=len, reverse=True)) + "|api.?key"
-#: A sensitive target: such a word in a name that an operator or a tag's end follows, or a definition. Other texts are not lexed.
-_HINT = re.compile(rf"""(?:{_WORDS})[A-Za-z0-9_$.-]{{0,200}}["'`]*\]?[\x20\t]*[:=>+]|\#[\x20\t]*define""", re.I)
+#: What may stand between a sensitive word and the operator or tag's end that makes its name a target.
+_AFTER = re.compile(r"""[a-z0-9_$.-]{0,200}["'`]*\]?[\x20\t]*[:=>+]""")
 
 _TOKEN = re.compile(
     r'''(?P<s>"""[\s\S]*?"""|(?<!\w)\'\'\'[\s\S]*?\'\'\'|"(?:[^"\\\n]|\\.)*+"|(?<!\w)'(?:[^'\\\n]|\\.)*+'|`[^`\n]*+`)'''
@@ -188,6 +187,18 @@ def lex_literals(text: str) -> list[tuple[int, int]]:
     return sorted(found)
 
 
+def has_target(text: str) -> bool:
+    """Whether some name with a sensitive word is a target, or there is a definition; other texts are not lexed."""
+    low = text.lower()
+    for word in SENSITIVE:
+        at = low.find(word)
+        while at >= 0:
+            if _AFTER.match(low, at + len(word)):
+                return True
+            at = low.find(word, at + 1)
+    return "define" in low and "#" in low
+
+
 def scan_text(text: str | None) -> list[tuple[int, int, int]]:
     """All spans as (start, kind's number, end) in code points, sorted."""
     text = text or ""
@@ -196,7 +207,7 @@ def scan_text(text: str | None) -> list[tuple[int, int, int]]:
         out += [(m.start(), 1, m.end()) for m in ACCESS.finditer(text)]
     if "=" in text or ":" in text:
         out += [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if len(m[2]) >= 6]
-    if _HINT.search(text):
+    if has_target(text):
         out += [(a, 3, b) for a, b in lex_literals(text)]
     return sorted(out)
 
