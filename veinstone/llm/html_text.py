@@ -147,8 +147,8 @@ def blocks_of(page: str) -> list[tuple[str, int, bool, bool]]:
             anchors = 0
         kind = "" if closing or tag in _VOID else _kind(tag, rest)
         if kind and kind != "gone":
-            most = chars[end[k]] - chars[k] > MOST * chars[-1]
-            # Only a wrapper around an article or around most of the text that is not the article itself stays.
+            # A wrapper stays: around an article, or, on a page without one, around most of the text.
+            most = not mains[-1] and (tag == "form" or tag not in _SKIP) and chars[end[k]] - chars[k] > MOST * chars[-1]
             if (mains[end[k]] > mains[k] + (tag in ("article", "main")) or most) and main == 0 and not re.search(r"comment|repl", rest, re.I):
                 kind = ""
         if kind in ("gone", "bad"):
