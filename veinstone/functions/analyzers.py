@@ -89,9 +89,30 @@ def analyze_values(c: Column, chain: str = "text") -> Column:
     return F.flatten(each)
 
 
+#: Letters of the Latin blocks whose only difference from a plain letter is a mark, and that letter.
+_MARKED = {chr(c): base for c in range(0xC0, 0x250) if (base := unicodedata.normalize("NFKD", chr(c))[0].lower()).isascii() and base.isalpha() and len(unicodedata.normalize("NFKD", chr(c))) == 2 and unicodedata.combining(unicodedata.normalize("NFKD", chr(c))[1])}
+
+
+def fold_column(c: Column) -> Column:
+    """fold() as built-in expressions: small letters without marks."""
+    plain = F.translate(F.lower(c), "".join(_MARKED), "".join(_MARKED.values()))
+    return F.regexp_replace(plain, r"\p{M}", "")
+
+
+def stem_column(w: Column) -> Column:
+    """stem() as a built-in expression."""
+    before = lambda n: F.substring(w, -n, 1)
+    cut = lambda n: w.substr(F.lit(1), F.length(w) - n)
+    ies = F.when(before(4).isin("a", "e") & (F.length(w) > 3), w).otherwise(F.concat(cut(3), F.lit("y")))
+    es = F.when(before(3).isin("a", "e", "o"), w).otherwise(cut(1))
+    s = F.when(before(2).isin("u", "s"), w).otherwise(cut(1))
+    kept = (F.length(w) < 3) | ~w.endswith("s") | w.isin(*sorted(PROTECTED))
+    return F.when(kept, w).when(w.endswith("ies"), ies).when(w.endswith("es"), es).otherwise(s)
+
+
 def analyze_one(c: Column) -> Column:
-    """Lower-case words as built-in expressions, for plain ASCII text."""
-    return F.filter(F.split(F.lower(c), r"[^a-z0-9]+"), lambda w: w != "")
+    """Folded words of letters and digits as built-in expressions."""
+    return F.filter(F.split(fold_column(c), r"[^\p{L}\p{N}]+"), lambda w: w != "")
 
 
 def spell_tokens(c: Column) -> Column:

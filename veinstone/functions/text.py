@@ -121,7 +121,7 @@ def strip_tags(c: Column) -> Column:
 def truncate(c: Column, size: int, omission: str = "...") -> Column:
     """At most `size` characters with the omission, cut at a space where there is one."""
     head = F.substring(c, 1, size - len(omission) + 1)
-    return F.when(F.length(c) <= size, c).otherwise(F.concat(F.when(head.contains(" "), F.regexp_replace(head, r"\s\S*$", "")).otherwise(F.substring(c, 1, size - len(omission))), F.lit(omission)))
+    return F.when(F.length(c) <= size, c).otherwise(F.concat(F.when(head.contains(" "), F.regexp_replace(head, r"\s\S*\z", "")).otherwise(F.substring(c, 1, size - len(omission))), F.lit(omission)))
 
 
 def truncate_words(c: Column, words: int, separators: str = r"[\s,;]", omission: str = "...") -> Column:

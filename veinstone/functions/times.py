@@ -15,7 +15,9 @@ def seconds_until_next_half_hour(t: Column, least: int = 5, most: int = 1800) ->
 
 
 def open_now(hours: Column, now: Column, closed_note: Column) -> Column:
-    return F.when(closed_note.isNotNull(), False).otherwise(F.exists(hours, lambda h: h["open"] & (h["opens_at"] <= now) & (now <= h["closes_at"])))
+    """Whether the first entry is open now, both ends included; false without hours."""
+    first = F.get(hours, F.lit(0))
+    return F.coalesce(closed_note.isNull() & first["open"] & (first["opens_at"] <= now) & (now <= first["closes_at"]), F.lit(False))
 
 
 def next_open(hours: Column, now: Column, closed_note: Column) -> Column:

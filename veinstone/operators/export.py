@@ -66,7 +66,8 @@ def write_files(rows: DataFrame, directory: str, name: str = "file_name", conten
 
 # --- display of finding aids
 
-SERIES_LEVELS = ("series", "subseries", "recordgrp", "subgrp", "fonds", "class", "collection", "subfonds", "otherlevel", "file")
+#: Levels that are shown as series: fixed values.
+SERIES_LEVELS = ("subcollection", "subgrp", "series", "subseries", "collection", "fonds", "recordgrp", "subfonds", "class")
 ADMINISTRATIVE = ("accessrestrict", "userestrict", "custodhist", "accruals", "altformavail", "acqinfo", "processinfo", "appraisal", "originalsloc")
 SECTIONS = ("did", "bioghist", "scopecontent", "arrangement", "fileplan", *ADMINISTRATIVE, "relatedmaterial", "separatedmaterial", "controlaccess", "otherfindaid", "phystech", "odd", "bibliography", "index", "dsc")
 
@@ -77,7 +78,7 @@ def section_order(tag: Column) -> Column:
 
 
 def is_series(level: Column, has_container: Column) -> Column:
-    return F.coalesce(level.isin(*SERIES_LEVELS[:-2]), F.lit(False)) | ((level == "otherlevel") & ~has_container)
+    return F.coalesce(level.isin(*SERIES_LEVELS), F.lit(False)) | ((level == "otherlevel") & ~has_container)
 
 
 def component_title(title: Column, date: Column, date_type: Column, online: Column) -> Column:

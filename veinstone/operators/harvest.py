@@ -75,6 +75,11 @@ def source_plan(primary_type: str | None = "resource", published: bool = False,
     return json.dumps({"query": tree("AND", parts)}, separators=(",", ":"))
 
 
+def updated_since(last_run: Column, overlap: int = OVERLAP_DAYS) -> Column:
+    """The day after which changes are asked for: runs overlap, and what comes twice replaces itself."""
+    return F.date_sub(F.to_date(last_run), overlap)
+
+
 def restrict(rows: DataFrame, uris: DataFrame) -> DataFrame:
     """Rows whose uri is listed; a list of any size is a semi-join."""
     return rows.join(uris.select("uri"), "uri", "left_semi")
@@ -110,7 +115,8 @@ def changes(own: DataFrame, by_component: DataFrame, by_agent: DataFrame, dedupe
 
 def changes_or_all(own: DataFrame, by_component: DataFrame, by_agent: DataFrame, everything: DataFrame, most: int = MOST_URIS) -> tuple[DataFrame, bool]:
     """The changes, or everything where the source could not take the list; the flag says which."""
-    n = own.select("uri").limit(most).count()  # a bounded probe
+    listed = own.select("uri").unionByName(by_component.select("uri")).unionByName(by_agent.select("uri"))
+    n = listed.distinct().limit(most).count()  # all three lists travel; a bounded probe
     try:
         check_uris(n, most)
         return changes(own, by_component, by_agent), False

@@ -6,6 +6,7 @@ sides are broadcast by Spark only below its size threshold.
 
 from __future__ import annotations
 
+import tempfile
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -55,13 +56,33 @@ def children_of(docs: DataFrame, parent: str, offset: int = 0, rows: int = 50) -
     return docs.where(F.col("_nest_parent_") == parent).orderBy("sort_isi", "id").offset(offset).limit(rows)
 
 
-def ancestors(docs: DataFrame, depth: int = 13) -> DataFrame:
-    """(id, path): ancestors from the root down to the row. The depth of a block is bounded by its format."""
+def ancestors(docs: DataFrame) -> DataFrame:
+    """(id, path): ancestors from the root down to the row, at any depth.
+
+    Each round joins every path to its topmost row's path, so rounds grow with the logarithm of the depth; a table is
+    written between them. A parent that is missing ends the path, and so does one that stands in the path already.
+    """
     step = docs.select("id", F.array("id").alias("path"), F.col("_nest_parent_").alias("up"))
-    links = docs.select(F.col("id").alias("_id"), F.col("_nest_parent_").alias("_up"))
-    for _ in range(depth - 1):
-        step = step.join(links, step.up == links["_id"], "left").select("id", F.when(F.col("_id").isNotNull(), F.concat(F.array("_id"), "path")).otherwise(F.col("path")).alias("path"), F.col("_up").alias("up"))
-    return step.select("id", "path")
+    while True:
+        tops = step.select(F.col("id").alias("_id"), F.col("path").alias("_path"), F.col("up").alias("_up"))
+        more = step.join(tops, step.up == tops["_id"], "left")
+        path = F.when(F.col("_id").isNull(), F.col("path")).otherwise(F.concat(F.array_except("_path", "path"), "path"))
+        up = F.when(~F.array_contains("path", F.col("_up")) & ~F.array_contains("_path", F.col("_up")), F.col("_up"))
+        step = cut_lineage(more.select("id", path.alias("path"), up.alias("up")))
+        if step.where("up is not null").isEmpty():
+            return step.select("id", "path")
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """The rows from a checkpoint in the shared folder that the session names; a local session without one uses its own."""
+    spark = df.sparkSession
+    if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext.getCheckpointDir() is None:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="veinstone-"))
+    elif spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir"))
+    return df.checkpoint()
 
 
 def breadcrumbs(path: Column, grouped: Column, compact: Column) -> Column:

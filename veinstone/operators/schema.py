@@ -26,12 +26,12 @@ SUFFIXES = {
 }
 CORE = {"id": _S, "_version_": _LONG, "timestamp": T.TimestampType(), "text": _S, "_root_": _S, "_nest_parent_": _S, "_nest_path_": _S, "identifier_search": _S, "unitid_identifier_match": _S, "ead_identifier_match": _S}
 NOTES = "abstract accessrestrict accruals acqinfo altformavail appraisal arrangement bibliography bioghist custodhist did_note fileplan indexes materialspec note odd originalsloc physdesc physloc phystech processinfo relatedmaterial scopecontent separatedmaterial userestrict".split()
-#: source -> derived fields that copy it; copies are not copied on.
+#: Derived fields and the fields that they copy: fixed values. Copies are not copied on.
 COPIES = {
     "normalized_title_teim": ["normalized_title_ssm"], "place_teim": ["places_ssim"], "name_teim": ["names_ssim"], "subject_teim": ["access_subjects_ssim"], "container_teim": ["containers_ssim"],
     "identifier_search": ["id", "ead_ssi", "ref_ssm", "unitid_ssm"],
     "text": ["normalized_title_ssm", "places_ssim", "names_ssim", "access_subjects_ssim", "containers_ssim", *(f"{n}_tesim" for n in NOTES), "prefercite_tesim", "language_ssim", "parent_unittitles_tesim", "unitid_ssm"],
-    "suggest": ["access_subjects_ssim", "names_ssim", "places_ssim", "repository_ssim", "collection_ssim", "normalized_title_ssm"],
+    "suggest": ["normalized_title_ssm", "collection_ssim", "names_ssim", "repository_ssim", "places_ssim", "access_subjects_ssim"],
 }
 
 

@@ -177,7 +177,7 @@ HIERARCHY = "h as (select 'r' || r_regionkey id, null parent from region union a
 @query(f"with recursive {HIERARCHY}, t as (select id, [id] path from h where parent is null union all select h.id, list_append(t.path, h.id) from h join t on h.parent = t.id) select id, path from t")
 def j9_ancestors(spark, sf):
     make = lambda t, a, k, b, p: table(spark, sf, t).select(F.concat(F.lit(a), k).alias("id"), (F.concat(F.lit(b), p) if p else F.lit(None).cast("string")).alias("_nest_parent_"))
-    return R.ancestors(make("region", "r", "r_regionkey", "", None).unionByName(make("nation", "n", "n_nationkey", "r", "n_regionkey")).unionByName(make("supplier", "s", "s_suppkey", "n", "s_nationkey")), 4)
+    return R.ancestors(make("region", "r", "r_regionkey", "", None).unionByName(make("nation", "n", "n_nationkey", "r", "n_regionkey")).unionByName(make("supplier", "s", "s_suppkey", "n", "s_nationkey")))
 
 
 @query("select n_nationkey id, n_nationkey sort_isi from nation where n_regionkey = 1 order by 1 limit 50")
@@ -260,7 +260,7 @@ def o2_text_sort(spark, sf):
     return R.page(keyed, R.text_order("title_sort"), F.col("p_partkey"), rows=100)
 
 
-@query(f"with {BLOCKS} select id, _root_, sort_isi from b where _root_ <= (select min(o_orderkey) + 400 from orders) order by case when sort_isi = 0 then 0.0 else 1.0 / sort_isi end desc, _root_, id limit 200")
+@query(f"with {BLOCKS} select id, _root_, sort_isi from b order by case when sort_isi = 0 then 0.0 else 1.0 / sort_isi end desc, _root_, id limit 200")
 def o3_collection_last(spark, sf):
     return R.page(blocks(spark, sf).select("id", "_root_", "sort_isi"), R.collection_last(), F.col("_root_"), F.col("id"), rows=200)
 
@@ -310,9 +310,9 @@ def k2_delete_blocks(spark, sf):
     return R.delete_blocks(blocks(spark, sf), gone).groupBy("level").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("select page_id::varchar id, '' repository, '' collection_unitid, url ead_id, '' \"level\", regexp_replace(substr(html, 1, 300), '<[^>]*>', '', 'g') title, '' \"date\", 'a|b' containers, '' description, '' extent from pages")
+@query("select page_id::varchar id, '' repository, '' collection_unitid, url ead_id, '' \"level\", regexp_replace(html, '<[^>]*>', '', 'g') title, '' \"date\", 'a|b' containers, '' description, '' extent from pages")
 def k4_csv_rows(spark, sf):
-    p = table(spark, sf, "pages").select(F.col("page_id").cast("string").alias("id"), F.col("url").alias("ead_ssi"), F.array(F.substring("html", 1, 300)).alias("normalized_title_ssm"), F.array(F.lit("a"), F.lit("b")).alias("containers_ssim"))
+    p = table(spark, sf, "pages").select(F.col("page_id").cast("string").alias("id"), F.col("url").alias("ead_ssi"), F.array("html").alias("normalized_title_ssm"), F.array(F.lit("a"), F.lit("b")).alias("containers_ssim"))
     return E.csv_rows(p)
 
 
@@ -372,15 +372,17 @@ def f18_strip_tags(spark, sf):
     return table(spark, sf, "pages").select("page_id", S.strip_tags(F.col("html")).alias("text"))
 
 
-@query("select page_id, case when length(url) <= 30 then url else substr(url, 1, 27) || '...' end short from pages where url not like '% %'")
+@query(r"""select doc_id, case when length(t) <= 400 then t when contains(h, ' ') then regexp_replace(h, '\s\S*$', '') || '...' else substr(t, 1, 397) || '...' end short
+ from (select doc_id, regexp_replace(text, '<[^>]*>', '', 'g') t, substr(regexp_replace(text, '<[^>]*>', '', 'g'), 1, 398) h from documents)""")
 def f14_truncate(spark, sf):
-    return table(spark, sf, "pages").where("url not like '% %'").select("page_id", S.truncate(F.col("url"), 30).alias("short"))
+    return table(spark, sf, "documents").select("doc_id", S.truncate(S.strip_tags(F.col("text")), 400).alias("short"))
 
 
-@query("select p_partkey, p_name || '; ' || p_brand || '; ' || p_type extent from part where len(regexp_split_to_array(p_name || '; ' || p_brand || '; ' || p_type, '[\\s,;]')) <= 6")
+@query(r"""with x as (select p_partkey, p_name || '; ' || p_brand || '; ' || p_type || '; ' || p_container_like t from (select *, p_brand || ' ' || p_size as p_container_like from part)),
+ y as (select p_partkey, t, regexp_extract(t, '(?s)^((?:.+?[\s,;]){5}.+?)[\s,;].*$', 1) c from x) select p_partkey, case when c = '' then t else c || '...' end extent from y""")
 def f15_extent(spark, sf):
-    joined = F.concat_ws("; ", "p_name", "p_brand", "p_type")
-    return table(spark, sf, "part").where(F.size(F.split(joined, r"[\s,;]")) <= 6).select("p_partkey", S.extent(F.array("p_name", "p_brand", "p_type")).alias("extent"))
+    parts = F.array("p_name", "p_brand", "p_type", F.concat_ws(" ", "p_brand", "p_size"))
+    return table(spark, sf, "part").select("p_partkey", S.extent(parts).alias("extent"))
 
 
 @query("select n_nationkey, '/data/' || lower(n_name) || '/f' || n_nationkey || '.pdf' pdf, 'f' || n_nationkey || '.pdf' \"name\" from nation")
@@ -452,7 +454,7 @@ def w6_quarantine(spark, sf):
 # --- full text
 
 TERMS = ["the", "of", "and", "thinor", "reresh"]
-WORDS = "list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda w: w != '')"
+WORDS = r"list_filter(regexp_split_to_array(strip_accents(lower(text)), '[^\p{L}\p{N}]+'), lambda w: w != '')"
 
 
 @query(f"select doc_id, len(list_intersect(list_distinct({WORDS}), ['the', 'of', 'and', 'thinor', 'reresh']))::int n_terms from documents where len(list_intersect(list_distinct({WORDS}), ['the', 'of', 'and', 'thinor', 'reresh'])) >= 4")
@@ -468,7 +470,7 @@ def q2_dismax(spark, sf):
     return X.rank(index, ["thinor", "oranst", "hate"], Q.SearchRequest(qf={"text": 1}, pf={"text": 0}, mm="1")).select("id", F.round("score", 6).alias("score"), "n_terms")
 
 
-@query(f"select doc_id from documents where regexp_matches(lower(text), '(^|[^a-z0-9])of[^a-z0-9]+the([^a-z0-9]|$)')")
+@query(f"select doc_id from documents where contains(' ' || array_to_string({WORDS}, ' ') || ' ', ' of the ')")
 def q9_phrase(spark, sf):
     return table(spark, sf, "documents").where(Q.matches(Q.parse('"of the"'), A.analyze_one(F.col("text")))).select("doc_id")
 

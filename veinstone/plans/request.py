@@ -8,7 +8,7 @@ from functools import reduce
 
 from pyspark.sql import Column, functions as F
 
-from ..functions.analyzers import fold, query_terms, stem
+from ..functions.analyzers import fold, query_terms, stem, stem_column
 
 #: Fields and boosts of a query, and of its phrase: fixed values.
 QF = {"collection_title_tesim": 150, "title_tesim": 100, "normalized_title_teim": 100, "unitid_identifier_match": 40, "ead_identifier_match": 40, "name_teim": 10, "place_teim": 10, "subject_teim": 2, "identifier_search": 1, "container_teim": 1, "parent_unittitles_tesim": 1, "text": 1}
@@ -71,7 +71,7 @@ def fielded(r: SearchRequest) -> SearchRequest:
     return replace(r, qf={f: 1 for f in some}, pf={f: 2 for f in some}) if some else r
 
 
-REWRITES = (fielded, group_sort, online_sort, boolean_match)
+REWRITES = (default_grouping, fielded, group_sort, online_sort, boolean_match)
 
 
 def rewrite(r: SearchRequest) -> SearchRequest:
@@ -147,8 +147,9 @@ def matches(tree, tokens: Column) -> Column:
     if kind == "not":
         return ~matches(body, tokens)
     if kind == "phrase":
-        return F.concat(F.lit(" "), F.array_join(tokens, " "), F.lit(" ")).contains(f" {' '.join(body)} ")
+        stems = F.array_join(F.transform(tokens, stem_column), " ")
+        return F.concat(F.lit(" "), stems, F.lit(" ")).contains(f" {' '.join(map(stem, body))} ")
     if "*" in body or "?" in body:
         pattern = "^" + "".join(".*" if c == "*" else "." if c == "?" else re.escape(c) for c in body) + "$"
         return F.exists(tokens, lambda w: w.rlike(pattern))
-    return F.exists(tokens, lambda w: w.isin(*{body, stem(body), body + "s"}))
+    return F.exists(tokens, lambda w: (w == body) | (stem_column(w) == stem(body)))

@@ -57,7 +57,7 @@ def _years(did: ET.Element | None) -> list[int]:
     out: set[int] = set()
     for d in did.findall("unitdate") if did is not None else []:
         found = [int(y) for y in re.findall(r"(?:^|/)(\d{4})", d.get("normal", ""))]
-        if found and max(found) - min(found) < 3000:
+        if found:
             out.update(range(min(found), max(found) + 1))
     return sorted(out)
 
@@ -127,8 +127,27 @@ def documents_of(content: bytes, repository: str | None) -> list[dict]:
     return out
 
 
-def to_documents(files: DataFrame, repository: str | None = None) -> DataFrame:
-    """Index documents of files (path, content, repository); a given repository wins. Bad files fail with their path."""
+def bad_files(files: DataFrame) -> DataFrame:
+    """(path, error) of the files that give no documents."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for path, content in zip(batch.column(0).to_pylist(), batch.column(1)):
+                try:
+                    documents_of(content.as_py() or b"", None)
+                except (ValueError, ET.ParseError) as e:
+                    found.append((path, str(e)))
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.string()) for i in range(2)], ["path", "error"])
+
+    return files.select("path", "content").mapInArrow(run, "path string, error string")
+
+
+def to_documents(files: DataFrame, repository: str | None = None, skip_bad: bool = False) -> DataFrame:
+    """Index documents of files (path, content, repository); a given repository wins.
+
+    A bad file fails with its path, or gives no documents where bad ones are skipped; bad_files() lists those.
+    """
     types = [f.dataType for f in files.sparkSession.createDataFrame([], SCHEMA).schema]
     from pyspark.sql.pandas.types import to_arrow_type
 
@@ -140,6 +159,8 @@ def to_documents(files: DataFrame, repository: str | None = None) -> DataFrame:
                 try:
                     docs = documents_of(content.as_py(), repository or code.as_py())
                 except (ValueError, ET.ParseError) as e:
+                    if skip_bad:
+                        continue
                     raise ValueError(f"{path.as_py()}: {e}") from e
                 for k in range(0, len(docs), 1000):
                     part = docs[k : k + 1000]

@@ -7,6 +7,8 @@ import urllib.parse
 import urllib.request
 from collections.abc import Iterator
 
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
 
@@ -28,16 +30,31 @@ class Session:
 
     def __init__(self, options: dict):
         self.at, self.token = settings(options), ""
+        self.header, self.retries = options.get("sessionheader", "X-Session"), int(options.get("retries", 1))
 
     def send(self, method: str, path: str, form: dict | None = None) -> dict | list:
+        """The answer's JSON."""
+        return json.loads(self.fetch(method, path, form) or b"null")
+
+    def fetch(self, method: str, path: str, form: dict | None = None) -> bytes:
+        """The answer's body as it is, such as an XML file; a failed request is sent again `retries` times."""
+        for left in reversed(range(self.retries + 1)):
+            try:
+                return self._once(method, path, form)
+            except OSError:
+                if not left:
+                    raise
+        raise AssertionError
+
+    def _once(self, method: str, path: str, form: dict | None) -> bytes:
         if method not in ("GET", "POST"):
             raise ValueError(f"method {method} is not supported")
         body = urllib.parse.urlencode(form or {}, doseq=True).encode() if method == "POST" else None
-        request = urllib.request.Request(self.at["base"] + path, body, {"X-Session": self.token} if self.token else {}, method=method)
+        request = urllib.request.Request(self.at["base"] + path, body, {self.header: self.token} if self.token else {}, method=method)
         with urllib.request.urlopen(request, timeout=120) as answer:
             if answer.status != 200:
                 raise OSError(f"{method} {path}: {answer.status}")
-            return json.loads(answer.read() or b"null")
+            return answer.read()
 
     def login(self) -> "Session":
         self.token = self.send("POST", f"/users/{urllib.parse.quote(self.at['user'])}/login", {"password": self.at["password"]})["session"]
@@ -58,12 +75,12 @@ def description_path(uri: str | None) -> str:
 
 
 class Pages(InputPartition):
-    def __init__(self, first: int, last: int):
-        self.first, self.last = first, last
+    def __init__(self, first: int, last: int, open_end: bool):
+        self.first, self.last, self.open_end = first, last, open_end
 
 
 class PagedSource(DataSource):
-    """Options: url, user, password, path, query, pagesPerTask. Fields that a record lacks are null."""
+    """Options: url, user, password, path, query, pagesPerTask, sessionHeader, retries. Fields that a record lacks are null."""
 
     @classmethod
     def name(cls) -> str:
@@ -85,10 +102,52 @@ class PagedReader(DataSourceReader):
 
     def partitions(self) -> list[InputPartition]:
         last, step = max(1, self._page(Session(self.options).login(), 1)["last_page"]), int(self.options.get("pagespertask", 4))
-        return [Pages(k, min(last, k + step - 1)) for k in range(1, last + 1, step)]
+        return [Pages(k, min(last, k + step - 1), k + step > last) for k in range(1, last + 1, step)]
 
     def read(self, partition: Pages) -> Iterator[tuple]:
         session = Session(self.options).login()
-        for page in range(partition.first, partition.last + 1):
-            for row in self._page(session, page).get("results", []):
+        page, last = partition.first, partition.last
+        while page <= last:
+            answer = self._page(session, page)
+            for row in answer.get("results", []):
                 yield tuple(row.get(f) for f in self.fields)
+            if partition.open_end:  # pages that came up since the listing was planned
+                last = max(last, answer.get("last_page", last))
+            page += 1
+
+
+def repositories(options: dict) -> list[dict]:
+    """The service's repositories as records of code, uri and the ARK shoulder; codes are in small letters."""
+    rows = Session(options).login().send("GET", "/repositories")
+    return [{"code": (r.get("repo_code") or "").lower(), "uri": r.get("uri"), "ark_shoulder": r.get("ark_shoulder"), "key": r.get("key")} for r in rows]
+
+
+def fetch_descriptions(resources: DataFrame, options: dict) -> DataFrame:
+    """(uri, content, error) of resources by uri: one session for each task; a failed file does not stop the others."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        session = None
+        for batch in batches:
+            rows = []
+            for uri in batch.column(0).to_pylist():
+                try:
+                    session = session or Session(options).login()
+                    rows.append((uri, session.fetch("GET", description_path(uri)), None))
+                except (OSError, ValueError) as e:
+                    rows.append((uri, None, str(e)))
+            kinds = (pa.string(), pa.binary(), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], ["uri", "content", "error"])
+
+    return resources.select("uri").mapInArrow(run, "uri string, content binary, error string")
+
+
+def opening_hours(url: str, library: str, location: str, first: str, last: str) -> str:
+    """The hours feed's body for a span of days; an empty object where the service does not answer or answers no JSON."""
+    try:
+        query = urllib.parse.urlencode({"from": first, "to": last})
+        with urllib.request.urlopen(f"{url.rstrip('/')}/{library}/{location}?{query}", timeout=30) as answer:
+            body = answer.read().decode()
+        json.loads(body)
+        return body
+    except (OSError, ValueError):
+        return "{}"

@@ -23,10 +23,10 @@ def replace_blocks(docs: DataFrame, target: str) -> None:
 
 
 def harvest(spark: SparkSession, source: str, target: str, checkpoint: str) -> StreamingQuery:
-    """Takes what is new since the last run, then stops; a scheduler starts the next run."""
+    """Takes what is new since the last run, then stops; a scheduler starts the next run. Bad files hold up no others."""
 
     def batch(files: DataFrame, _: int) -> None:
-        replace_blocks(derive(to_documents(files)), target)
+        replace_blocks(derive(to_documents(files, skip_bad=True)), target)
 
     return stream_files(spark, source).writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
