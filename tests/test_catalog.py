@@ -7,7 +7,7 @@ import duckdb
 import pytest
 from conftest import SF
 
-from veinstone.plans import catalog
+from veinstone.plans import catalog, more_queries  # noqa: F401 more_queries adds to the catalog
 
 TABLES = "region nation customer supplier part orders lineitem events documents pages".split()
 

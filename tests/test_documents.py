@@ -7,8 +7,10 @@ import threading
 import pytest
 from pyspark.sql import functions as F
 
+from veinstone.functions import analyzers as A
+from veinstone.operators import records as V, relational as R
 from veinstone.operators.schema import derive
-from veinstone.plans import request as Q, search as X
+from veinstone.plans import execute as X2, request as Q, search as X
 from veinstone.sources import ead, paged
 from veinstone.streaming.harvest import harvest
 
@@ -114,3 +116,42 @@ def test_paged_source(spark):
         paged.settings({"url": "http://x.org"})
     assert paged.settings({"url": "https://u:p%40@x.org:8/a/"}) == {"base": "https://x.org:8/a", "user": "u", "password": "p@"}
     assert paged.description_path("/repositories/1/resources/2").startswith("/repositories/1/resource_descriptions/2.xml?")
+
+
+def test_search_path(spark):
+    docs = spark.createDataFrame(
+        [("c1", "c1", 0, "Collection", ["Café letters"], ["Le café noir"], ["c1"]), ("c1_1", "c1", 1, "File", ["One story"], ["many stories about boxes"], ["c1"]), ("c2", "c2", 0, "Collection", ["Boxes"], ["x", "red", "box"], ["c2"])],
+        "id string, _root_ string, sort_isi int, level_ssm string, title_tesim array<string>, text array<string>, collection_ssim array<string>",
+    )
+    ask = lambda **k: X2.search(docs, Q.SearchRequest(**k), marked="text")
+    ids = lambda found: [r.id for r in found.hits.collect()]
+    assert ids(ask(q="café")) == ["c1"] and ids(ask(q="cafe")) == ["c1"] and ids(ask(q="stories")) == ["c1_1"] == ids(ask(q="story"))
+    assert ids(ask(q='"one stories"')) == ["c1_1"] and ids(ask(q='"red box"')) == [] and ask(q="").total.first().hits == 3
+    assert ids(ask(q="boxes", group="false", per_page=1, page=2)) != ids(ask(q="boxes", group="false", per_page=1))
+    assert ids(X2.search(docs, X2.within(Q.SearchRequest(q="box"), "c2"))) == ["c2"] and X2.within(X2.within(Q.SearchRequest(), "c"), None).filters == {}
+    assert ask(q="story").hits.first().highlight == "many stories about boxes" or "<em>" in ask(q="stories").hits.first().highlight
+    assert [r.id for r in X2.resolve(docs.withColumn("ark_id_ssi", F.lit("ark:/1/c8aaaa")), F.lit("ark:/1/c8aaaa")).collect()] == ["c1"]
+
+
+def test_ancestors_at_any_depth(spark):
+    rows = [(f"n{k}", f"n{k - 1}" if k else None) for k in range(40)] + [("x", "lost"), ("p", "q"), ("q", "p")]
+    got = {r.id: r.path for r in R.ancestors(spark.createDataFrame(rows, "id string, _nest_parent_ string")).collect()}
+    assert got["n39"] == [f"n{k}" for k in range(40)] and got["n0"] == ["n0"] and got["x"] == ["x"] and set(got["p"]) <= {"p", "q"}
+
+
+def test_bad_files_hold_up_no_others(spark):
+    files = spark.createDataFrame([("a.xml", bytearray(AID), "ars"), ("b.xml", bytearray(b"<ead>"), "ars"), ("c.xml", None, "ars")], "path string, content binary, repository string")
+    assert sorted(r.path for r in ead.bad_files(files).collect()) == ["b.xml", "c.xml"]
+    assert ead.to_documents(files.where("content is not null"), skip_bad=True).count() == 15
+
+
+def test_convert_files(spark):
+    files = spark.createDataFrame([("a", bytearray(b"x")), ("b", bytearray(b"bad"))], "path string, content binary")
+    got = {r.path: r for r in V.convert_files(files, lambda data: data.upper(), lambda data: data != b"BAD").collect()}
+    assert bytes(got["a"].content) == b"X" and got["b"].error == "not valid"
+
+
+def test_analysis_columns_as_python(spark):
+    words = ["stories", "Box", "boxes", "gas", "bus", "glass", "ties", "aies", "is", "as", "Café", "naïve", "Über", "shoes", "trees", "dontstems", "ies", "es", "s"]
+    got = spark.createDataFrame([(w,) for w in words], "w string").select("w", A.fold_column(F.col("w")).alias("f"), A.stem_column(F.lower("w")).alias("s")).collect()
+    assert all(r.f == A.fold(r.w) and r.s == A.stem(r.w.lower()) for r in got)
