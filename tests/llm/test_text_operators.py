@@ -121,6 +121,37 @@ def test_resampling_against_direct_convolution():
     assert np.allclose(audio.resample(x), np.convolve(up, h)[: len(up) : audio.DOWN])
 
 
+def test_frames_and_segments_against_brute_force():
+    rng = np.random.default_rng(5)
+    y = rng.normal(size=1234)
+    n = 1 + -(-(len(y) - audio.WINDOW) // audio.HOP)
+    padded = np.concatenate([y, np.zeros(1000)])
+    k, t = np.arange(audio.FFT // 2 + 1)[:, None], np.arange(audio.WINDOW)[None]
+    wave = np.exp(-2j * np.pi * k * t / audio.FFT)
+    want = [np.log(np.abs(wave @ (padded[f * audio.HOP : f * audio.HOP + audio.WINDOW] * np.hanning(audio.WINDOW))) ** 2 @ audio._mel_bank() + 1e-6) for f in range(n)]
+    assert np.allclose(audio.log_mel(y), want)
+    for _ in range(50):
+        energy = rng.normal(size=40).cumsum()
+        z, on, spans = (energy - energy.mean()) / energy.std(), None, []
+        for i, v in enumerate([*z, -9.0]):
+            if on is None and v > audio.HIGH and i < 40:
+                on = i
+            elif on is not None and v < audio.LOW:
+                spans.append((on, i))
+                on = None
+        assert audio.segments(energy[:, None]) == spans
+
+
+def test_digest_holds_the_tensors(docs):
+    parts = {}
+    for r in audio.audio_tensors(docs).collect():
+        parts.setdefault(r.doc_id, []).append((r.part, r.start_ms, r.end_ms, list(r.tensor)))
+    for r in audio.audio_digest(docs).where("doc_id in (3, 4)").collect():
+        some = sorted(parts[r.doc_id])
+        assert r.tensor_spans == ",".join(f"{a}-{b}" for _, a, b, _ in some) and [list(t) for t in r.tensors] == [t for *_, t in some]
+        assert r.tensor_sha256 == hashlib.sha256(np.array(r.tensors, np.float32).tobytes()).hexdigest()
+
+
 def test_segments_have_hysteresis():
     energy = np.array([0, 0, 5, 5, 3, 3, 5, 0, 0, 0, 0.0])
     assert audio.segments(energy[:, None]) == [(2, 7)]

@@ -4,9 +4,9 @@ Each payload is stored losslessly as a WAV file of unsigned 8-bit samples and re
 polyphase resampler (2/3), overlapped log-mel filterbanks and hysteresis energy segmentation. Tensors have the fixed
 shape (FRAMES, MELS) with the time span that they cover.
 
-Defined cases: a null text counts as empty; an empty text becomes one padded block; long texts are processed in
-blocks of frames, so memory does not grow with the length of a row; repeated rows each get their own values, equal
-for equal payloads; other columns are ignored.
+Defined cases: a null text counts as empty; an empty text becomes one padded block; a very long text is processed
+whole, in some 30 bytes of memory for each of its bytes, one text at a time; frames of equal energy have no segments;
+repeated rows each get their own values, equal for equal payloads; an empty table has no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -172,23 +172,44 @@ def feature_string(mel: np.ndarray, segs: list[tuple[int, int]]) -> str:
     return f"frames={len(mel)};mean={tenths(mel.mean(axis=0))};dev={tenths(mel.std(axis=0))};segments={','.join(f'{ms(a)}-{ms(b)}' for a, b in segs)}"
 
 
-DIGEST = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+#: Payload bytes in one batch of results.
+BATCH_BYTES = 8 << 20
+DIGEST = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, tensor_spans string, tensor_sha256 string, tensors array<array<float>>"
 
 
 def audio_digest(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for each input row: sizes and digests of the stored file and what is read back, and its features."""
+    """One row for each input row: sizes and digests of the stored file and what is read back, its features, and its
+    tensors (FRAMES * MELS floats each, row-major) with the spans in ms that they cover."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [x.split()[0] for x in DIGEST.split(", ")]
+
+        def made(cols: list[list]) -> pa.RecordBatch:
+            plain = [pa.array(c, pa.string() if n.endswith(("sha256", "feature", "spans")) else pa.int64()) for n, c in zip(names, cols[:-1])]
+            each = pa.concat_arrays([t.storage for t in cols[-1]]).cast(pa.list_(pa.float32()))
+            offsets = np.cumsum([0] + [len(t) for t in cols[-1]]).astype(np.int32)
+            return pa.RecordBatch.from_arrays([*plain, pa.ListArray.from_arrays(offsets, each)], names)
+
         for batch in batches:
             cols: list[list] = [[] for _ in names]
+            held = 0
             for doc, raw in zip(batch.column(0).to_pylist(), batch.column(1)):
                 raw = raw.as_py()
                 stored = to_wav(pad(raw))
                 back = from_wav(stored)
-                row = (doc, len(raw), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-16:]), len(stored), hashlib.sha256(stored).hexdigest(), feature_string(*features(back)))
+                mel, segs = features(back)
+                parts = tensors(mel)
+                fixed = tensor_array([p for *_, p in parts])
+                spans = ",".join(f"{a}-{b}" for a, b, _ in parts)
+                digest = hashlib.sha256(fixed.storage.flatten().buffers()[1]).hexdigest()
+                row = (doc, len(raw), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-16:]), len(stored), hashlib.sha256(stored).hexdigest(), feature_string(mel, segs), spans, digest, fixed)
                 for col, v in zip(cols, row):
                     col.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string() if n in ("payload_sha256", "media_sha256", "feature") else pa.int64()) for n, c in zip(names, cols)], names)
+                held += len(back)
+                if held > BATCH_BYTES:
+                    yield made(cols)
+                    cols, held = [[] for _ in names], 0
+            if cols[0]:
+                yield made(cols)
 
     return _rows(df, id_col, text_col).mapInArrow(run, DIGEST)

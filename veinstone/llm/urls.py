@@ -85,13 +85,14 @@ def judge_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     counts = scratch.save(grams.groupBy(ctx.alias("ctx"), "ch").agg(F.sum("a").alias("a"), F.sum("b").alias("b")), "counts")
     ratios = scratch.save(_log_ratios(counts), "ratios")
     # A url's characters travel as two numbers each; its class counts come along once.
-    coded = grams.select(F.xxhash64("line").alias("key"), F.xxhash64(ctx, F.col("ch")).alias("gram"))
-    means = coded.join(ratios, "gram").groupBy("key").agg(F.avg("ratio").alias("score"))
-    scores = scratch.save(means.join(lines.select(F.xxhash64("line").alias("key"), "a", "b"), "key"), "scores")
+    name = [F.xxhash64("line").alias("key"), F.xxhash64(F.lit(1), "line", F.length("line")).alias("key2")]
+    coded = grams.select(*name, F.xxhash64(ctx, F.col("ch")).alias("gram"))
+    means = coded.join(ratios, "gram").groupBy("key", "key2").agg(F.avg("ratio").alias("score"))
+    scores = scratch.save(means.join(lines.select("line", *name, "a", "b"), ["key", "key2"]).drop("key", "key2"), "scores")
     mean = lambda times: F.try_divide(F.sum(F.col("score") * F.col(times)), F.sum(times))
     cut = scores.agg(((mean("a") + mean("b")) / 2).alias("cut")).scalar()  # null where either class has no examples
-    judged = scores.select("key", (F.col("score") < cut).alias("bad"))
-    out = rows.join(judged, F.xxhash64(rows.line) == judged.key, "left")
+    judged = scores.select(F.col("line").alias("_line"), (F.col("score") < cut).alias("bad"))
+    out = rows.join(judged, rows.line == judged["_line"], "left")  # by the url itself: no hash can double a row
     return out.select("page_id", "host", "path", "rule", F.coalesce("ruled", F.when(F.col("bad"), "block").otherwise("allow")).alias("verdict"))
 
 
