@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import analyzers as A, text as S, times as T
 from ..operators import export as E, harvest as H, relational as R
-from . import request as Q, search as X
+from . import execute as P, request as Q, search as X
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -462,12 +462,13 @@ def q5_min_match(spark, sf):
     return X.enough_terms(table(spark, sf, "documents"), TERMS, "4<90%", "text").select("doc_id", "n_terms")
 
 
-@query(f"""with w as (select doc_id, {WORDS} words from documents), t as (select doc_id id, len(words) n, unnest(words) term from w), tf as (select id, n, term, count(*) tf from t group by all),
+@query(f"""with w as (select doc_id, {WORDS} words from documents), t as (select doc_id id, len(words) n, regexp_replace(unnest(words), '^(thinor|oranst|hate)s$', '\\1') term from w), tf as (select id, n, term, count(*) tf from t group by all),
  s as (select count(distinct id) docs, sum(tf) / count(distinct id) mean_len from tf), h as (select * from tf where term in ('thinor', 'oranst', 'hate')), d as (select term, count(*) df from h group by 1)
  select id, round(sum(ln(1 + (docs - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * n / mean_len))), 6) score, count(*) n_terms from h join d using (term) cross join s group by 1""")
 def q2_dismax(spark, sf):
-    index = X.postings(table(spark, sf, "documents"), {"text": "text"}, "doc_id")
-    return X.rank(index, ["thinor", "oranst", "hate"], Q.SearchRequest(qf={"text": 1}, pf={"text": 0}, mm="1")).select("id", F.round("score", 6).alias("score"), "n_terms")
+    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text")
+    request = Q.SearchRequest(q="thinor oranst hate", qf={"text": 1}, pf={}, mm="1")
+    return P.dismax(docs, request).select("id", F.round("score", 6).alias("score"), "n_terms")
 
 
 @query(f"select doc_id from documents where contains(' ' || array_to_string({WORDS}, ' ') || ' ', ' of the ')")
