@@ -50,6 +50,7 @@ _NAMED = re.compile(
 _HINTED = re.compile(r"(?:^|[\s_-])(?:rail|header|bottom|share|social|widget|register|search|form|copyright|legal|skip)(?:$|[\s_-])", re.I)
 _PROPER = re.compile(r"(?:^|[\s_-])(?:article|body|content|entry|main|post|story|text|with|has|no)(?:$|[\s_-])", re.I)
 _ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar".split())
+_DENSE = re.compile("[\u3040-\u9fff\uac00-\ud7a3]")
 _ATTR = re.compile(r"""([a-zA-Z-]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 
 
@@ -145,7 +146,7 @@ def blocks_of(page: str) -> list[tuple[str, int, bool, bool]]:
         if tag in _BLOCK or tag in _SKIP:
             flush()
             anchors = 0
-        kind = "" if closing or tag in _VOID else _kind(tag, rest)
+        kind = "" if closing or tag in _VOID or not rest and tag not in _SKIP else _kind(tag, rest)
         if kind and kind != "gone":
             # A wrapper stays: around an article, or, on a page without one, around most of the text.
             most = not mains[-1] and (tag == "form" or tag not in _SKIP) and chars[end[k]] - chars[k] > MOST * chars[-1]
@@ -172,8 +173,7 @@ def blocks_of(page: str) -> list[tuple[str, int, bool, bool]]:
 
 def _units(text: str) -> tuple[float, int]:
     """Share of stop words, and the length in characters of a text with blanks."""
-    dense = sum("\u3040" <= c <= "\u9fff" or "\uac00" <= c <= "\ud7a3" for c in text)
-    if 2 * dense > len(text):
+    if not text.isascii() and 2 * len(_DENSE.findall(text)) > len(text):
         return min(1.0, 3 * sum(c in STOP_CHARACTERS for c in text) / len(text)), 3 * len(text)
     words = text.lower().split()
     return sum(w.strip(".,;:!?\"'()") in STOP_WORDS for w in words) / len(words), len(text)
