@@ -275,3 +275,28 @@ def test_quality_edge_cases(spark):
         assert quality.score(docs, model).count() == 5 and quality.select_quality(docs, model).columns == docs.columns
     assert quality.select_quality(docs, quality.train(docs, labels.limit(0))).count() == 5
     assert quality.score(docs.limit(0), model).count() == 0
+
+
+def test_components_of_stars_and_chains(spark):
+    """A node with a third of all edges, chains, a clique, equal edges, loops and null ends."""
+    from random import Random
+
+    from veinstone.llm.scratch import Scratch
+
+    rng = Random(3)
+    edges = [(7, 1000 + k) for k in range(700)] + [(5000 + k, 5001 + k) for k in range(300)] + [(9000 + i, 9000 + j) for i in range(12) for j in range(i)]
+    edges += [(rng.randrange(20_000, 21_000), rng.randrange(20_000, 21_000)) for _ in range(600)] + [(-3, 1000), (7, 1000), (4, 4), (None, 4), (4, None)]
+    rng.shuffle(edges)
+    root = {}
+
+    def top(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        if a is not None and b is not None:
+            a, b = sorted((top(a), top(b)))
+            root[b] = a
+    got = components(spark.createDataFrame(edges, "a long, b long"), Scratch(spark, "test"), "c").collect()
+    assert sorted(map(tuple, got)) == sorted((x, top(x)) for x in root if top(x) != x)
