@@ -2,13 +2,13 @@
 
 Urls that a rule accepts and urls that a rule rejects train one variable-order Markov model each (orders 0 to ORDER,
 each smoothed with the next shorter one). A url that no rule fits is judged by its length-normalised log-likelihood
-difference against a cut halfway between the mean differences of the accepted and the rejected urls. Everything is
-DataFrame operations: characters become rows, counts and models are tables, and joins go by context and character,
+difference against a cut halfway between the mean differences of accepted and rejected urls that the models have not
+seen: a quarter of the urls, told by their MD5, is held out of the training for this. Everything is DataFrame operations: characters become rows, counts and models are tables, and joins go by context and character,
 so no part is held in one task.
 
 Defined cases: a null url, or one without "://", has an empty host and path and no text to score, and is allowed,
-as is every url when either class has no examples; an empty host fits no rule; repeated rows each get their own row
-and count in training as often as they occur; equal scores get equal verdicts, and a score on the cut is allowed;
+as is every url when either class has no examples; a class without held-out urls is calibrated on all of its urls; an empty host fits no rule; repeated rows each get their own row
+and count in training or calibration as often as they occur; equal scores get equal verdicts, and a score on the cut is allowed;
 other columns are ignored.
 """
 
@@ -25,6 +25,8 @@ RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "exa
 ORDER, SMOOTH, ALPHABET = 3, 4.0, 256.0
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _PAD = "\u0002" * ORDER
+#: First MD5 digits of the urls that calibrate the cut instead of training the models.
+HELD = "0123"
 
 
 def host_of(url: Column) -> Column:
@@ -77,8 +79,11 @@ def judge_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     rule, verdict = fitting_rule(F.col("host"), F.col("path"), rules)
     rows = rows.withColumns({"rule": rule, "ruled": verdict})
 
-    # Equal urls have equal rules, so each is scored once; a and b say how often it trains either model.
-    lines = rows.where("line is not null and line != ''").groupBy("line").agg(F.sum(F.when(F.col("ruled") == "allow", 1).otherwise(0)).alias("a"), F.sum(F.when(F.col("ruled") == "block", 1).otherwise(0)).alias("b"))
+    # Equal urls have equal rules, so each is scored once; accepted and rejected say how often it occurs as either, a and b
+    # how often it trains either model.
+    lines = rows.where("line is not null and line != ''").groupBy("line").agg(F.sum(F.when(F.col("ruled") == "allow", 1).otherwise(0)).alias("accepted"), F.sum(F.when(F.col("ruled") == "block", 1).otherwise(0)).alias("rejected"))
+    held = F.substring(F.md5("line"), 1, 1).isin(*HELD)
+    lines = lines.withColumn("held", held).withColumns({"a": F.when(~F.col("held"), F.col("accepted")).otherwise(0), "b": F.when(~F.col("held"), F.col("rejected")).otherwise(0)})
     padded = F.concat(F.lit(_PAD), F.col("line"))
     grams = lines.select("line", "a", "b", F.posexplode(F.split("line", "")).alias("i", "ch")).where("ch != ''")
     ctx = padded.substr(F.col("i") + 1, F.lit(ORDER))
@@ -88,9 +93,10 @@ def judge_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     name = [F.xxhash64("line").alias("key"), F.xxhash64(F.lit(1), "line", F.length("line")).alias("key2")]
     coded = grams.select(*name, F.xxhash64(ctx, F.col("ch")).alias("gram"))
     means = coded.join(ratios, "gram").groupBy("key", "key2").agg(F.avg("ratio").alias("score"))
-    scores = scratch.save(means.join(lines.select("line", *name, "a", "b"), ["key", "key2"]).drop("key", "key2"), "scores")
-    mean = lambda times: F.try_divide(F.sum(F.col("score") * F.col(times)), F.sum(times))
-    cut = scores.agg(((mean("a") + mean("b")) / 2).alias("cut")).scalar()  # null where either class has no examples
+    scores = scratch.save(means.join(lines.select("line", *name, "held", "accepted", "rejected"), ["key", "key2"]).drop("key", "key2"), "scores")
+    mean = lambda times: F.try_divide(F.sum(F.col("score") * times), F.sum(times))
+    unseen = lambda c: F.coalesce(mean(F.when(F.col("held"), F.col(c))), mean(F.col(c)))
+    cut = scores.agg(((unseen("accepted") + unseen("rejected")) / 2).alias("cut")).scalar()  # null where either class has no examples
     judged = scores.select(F.col("line").alias("_line"), (F.col("score") < cut).alias("bad"))
     out = rows.join(judged, rows.line == judged["_line"], "left")  # by the url itself: no hash can double a row
     return out.select("page_id", "host", "path", "rule", F.coalesce("ruled", F.when(F.col("bad"), "block").otherwise("allow")).alias("verdict"))
@@ -118,11 +124,14 @@ def oracle_sql(rules=RULES) -> str:
 with r as (select page_id, case when strpos(url, '://') > 0 then substr(url, strpos(url, '://') + 3) end rest from pages),
 h as (select page_id, coalesce({lower % "regexp_extract(rest, '^([^/?#]*)', 1)"}, '') host, coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') path, {lower % 'rest'} line from r),
 f as (select *, {case(1)} "rule", {case(0)} ruled from h),
-lines as (select line, count(*) filter (ruled = 'allow') a, count(*) filter (ruled = 'block') b from f where line != '' group by 1),
+urls as (select line, substr(md5(line), 1, 1) <= '{HELD[-1]}' held, count(*) filter (ruled = 'allow') accepted, count(*) filter (ruled = 'block') rejected from f where line != '' group by 1),
+lines as (select line, case when held then 0 else accepted end a, case when held then 0 else rejected end b from urls),
 pos as (select line, a, b, unnest(range(1, length(line) + 1)) i from lines),
 grams as (select line, a, b, substr(repeat(chr(2), {ORDER}) || line, i, {ORDER}) ctx, substr(line, i, 1) ch from pos),
 {", ".join(parts)},
-s as (select line, any_value(g.a) a, any_value(g.b) b, avg(ln(pa) - ln(pb)) score from grams g join {prev} m on m.ctx = g.ctx and m.ch = g.ch group by 1),
-cut as (select (sum(score * a) / nullif(sum(a), 0) + sum(score * b) / nullif(sum(b), 0)) / 2 cut from s)
+s as (select line, avg(ln(pa) - ln(pb)) score from grams g join {prev} m on m.ctx = g.ctx and m.ch = g.ch group by 1),
+means as (select sum(score * accepted) filter (held) / nullif(sum(accepted) filter (held), 0) ha, sum(score * rejected) filter (held) / nullif(sum(rejected) filter (held), 0) hr,
+  sum(score * accepted) / nullif(sum(accepted), 0) a, sum(score * rejected) / nullif(sum(rejected), 0) r from s join urls using (line)),
+cut as (select (coalesce(ha, a) + coalesce(hr, r)) / 2 cut from means)
 select page_id, host, path, "rule", coalesce(ruled, case when score < cut then 'block' else 'allow' end) verdict
 from f left join s on f.line = s.line cross join cut"""
