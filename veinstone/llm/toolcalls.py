@@ -8,7 +8,8 @@ one canonical JSON text (keys sorted, no spaces). All steps are DataFrame operat
 Plain conversation turns take part as calls of the tool "reply": a user turn is the call turn:<n>, and the
 assistant's turn n + 1 is its result. Turns whose text is a JSON object with tool_calls or tool_call_id bring their own.
 
-Defined cases: turns with a null conversation or turn number are left out; a null or empty text is an empty prompt,
+Defined cases: turns with a null conversation or turn number are left out, and plain turns of roles other than user and
+assistant, and calls without an identifier, give no row; a null or empty text is an empty prompt,
 which fails validation; a call without a result, and a result without a call, keep a row of their own; equal rows
 count once, and of different calls or results with one identifier the first by turn and content counts and the row
 says duplicate; an unknown tool or malformed arguments are invalid; other columns are ignored.
