@@ -2,6 +2,7 @@
 
 import http.server
 import json
+import shutil
 import threading
 
 import pytest
@@ -12,7 +13,7 @@ from veinstone.operators import records as V, relational as R
 from veinstone.operators.schema import derive
 from veinstone.plans import execute as X2, request as Q, search as X
 from veinstone.sources import ead, paged
-from veinstone.streaming.harvest import harvest
+from veinstone.streaming.harvest import harvest, replace_blocks
 
 
 def deep(n):
@@ -59,6 +60,26 @@ def test_harvest_stream(spark, tmp_path):
     assert got.where("sort_isi = 0").first().title_sort == "lettersoftom196319651964"
 
 
+def test_replaced_blocks_survive_an_interruption(spark, tmp_path):
+    target = str(tmp_path / "t")
+    rows = lambda *pairs: spark.createDataFrame(list(pairs), "_root_ string, v long")
+    held = lambda: sorted(map(tuple, spark.read.parquet(target).select("_root_", "v").collect()), key=repr)
+    replace_blocks(rows(*[(f"r{k}", k) for k in range(50)], (None, -1), (None, -1)), target, buckets=4)
+    assert sorted(p.name for p in (tmp_path / "t").glob("bucket=*")) == [f"bucket={k}" for k in range(4)]
+    replace_blocks(rows(("r7", 70), ("r7", 71), (None, -2)), target, buckets=4)
+    want = sorted([*((f"r{k}", k) for k in range(50) if k != 7), ("r7", 70), ("r7", 71), (None, -2)], key=repr)
+    assert held() == want
+    replace_blocks(rows().limit(0), target, buckets=4)
+    assert held() == want
+    # A run that ended after its merged folders were stored, when the old ones were gone already.
+    held_rows = spark.read.parquet(target).where("bucket = 1").select("_root_", "v", "bucket")
+    held_rows.write.parquet(f"{target}.merged")
+    shutil.rmtree(f"{target}/bucket=1")
+    replace_blocks(rows(("r3", 33)), target, buckets=4)
+    assert held() == sorted([x if x != ("r3", 3) else ("r3", 33) for x in want], key=repr)
+    assert not (tmp_path / "t.merged").exists() and not (tmp_path / "t.new").exists()
+
+
 @pytest.mark.parametrize("n, least", [(1, 1), (4, 4), (5, 4), (10, 9), (11, 9), (20, 18), (21, 18)])
 def test_least_terms(n, least):
     assert Q.least_terms(n, "4<90%") == least
