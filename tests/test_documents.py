@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from veinstone.functions import analyzers as A
-from veinstone.operators import records as V, relational as R
+from veinstone.operators import export as E, harvest as H, records as V, relational as R
 from veinstone.operators.schema import derive
 from veinstone.plans import execute as X2, request as Q, search as X
 from veinstone.sources import ead, paged
@@ -176,3 +176,20 @@ def test_analysis_columns_as_python(spark):
     words = ["stories", "Box", "boxes", "gas", "bus", "glass", "ties", "aies", "is", "as", "Café", "naïve", "Über", "shoes", "trees", "dontstems", "ies", "es", "s"]
     got = spark.createDataFrame([(w,) for w in words], "w string").select("w", A.fold_column(F.col("w")).alias("f"), A.stem_column(F.lower("w")).alias("s")).collect()
     assert all(r.f == A.fold(r.w) and r.s == A.stem(r.w.lower()) for r in got)
+
+
+def test_written_files(spark, tmp_path):
+    rows = spark.createDataFrame([("a/x.xml", bytearray(b"<x/>")), ("a/y.xml", bytearray()), ("z.xml", bytearray(b"zz"))], "file_name string, content binary")
+    for _ in range(2):  # a second attempt writes the same files
+        got = sorted(tuple(r) for r in E.write_files(rows, f"file://{tmp_path}/out").collect())
+        assert got == [("a/x.xml", 4), ("a/y.xml", 0), ("z.xml", 2)]
+    assert (tmp_path / "out/a/x.xml").read_bytes() == b"<x/>" and (tmp_path / "out/z.xml").read_bytes() == b"zz"
+
+
+def test_checked_deletes(spark):
+    rows = spark.range(10)
+    assert H.checked_deletes(rows.limit(3), rows, most=3).count() == 3
+    assert H.checked_deletes(rows.limit(0), rows.limit(0)).count() == 0
+    for stale, most in ((rows.limit(4), 3), (rows, 100)):
+        with pytest.raises(ValueError):
+            H.checked_deletes(stale, rows, most)

@@ -87,6 +87,8 @@ def test_analyzers(spark):
     assert A.text_tokens("Études' Box-files") == [(0, "etudes"), (0, "etude"), (1, "box"), (2, "files"), (2, "file")]
     assert {t for _, t in A.english_tokens("WiFi TV's 4K")} >= {"wi", "fi", "tv", "television", "4", "k"}
     assert A.identifier_tokens("SC0097.xml") == ["sc", "0097", "sc0097"]
+    assert A.word_parts("PowerShot-TVs_Café12 XMLFile") == ["Power", "Shot", "TVs", "Café", "12", "XMLFile"]
+    assert [t for _, t in A.english_tokens("Café Éclair")] == ["cafe", "eclair"]
     assert A.query_terms("letters - 1900 .") == ["letters", "1900"]
     got = value(spark, A.analyze_values(F.col("a")), a=["one two", "three"])
     assert [(r.pos, r.token) for r in got] == [(0, "one"), (1, "two"), (100, "three")]

@@ -9,8 +9,11 @@ from __future__ import annotations
 import re
 import unicodedata
 
+import pyarrow as pa
 from pyspark.sql import Column, functions as F, types as T
 
+from .batches import batched
+
 #: Words and signs that carry no meaning for their chains: fixed values.
 STOP_WORDS = "a an and are as at be but by for if in into is it no not of on or s such t that the their then there these they this to was will with".split()
 PUNCTUATION = ": ; & / = > < , . ( ) … » § • · -".split()
@@ -21,7 +24,7 @@ PROTECTED = frozenset({"dontstems", "zwhacky"})
 GAP = 100
 
 _WORD = re.compile(r"\w+(?:['’]\w+)*")
-_PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+|[^\W\d_]+")
+_RUNS = re.compile(r"\d+|[^\W\d_]+")
 
 
 def fold(text: str) -> str:
@@ -49,11 +52,20 @@ def text_tokens(text: str | None) -> list[tuple[int, str]]:
     return [(k, t) for k, m in enumerate(_WORD.finditer(text or "")) for t in _with_stem(fold(m[0]).replace("’", "'").removesuffix("'s"))]
 
 
+def word_parts(word: str) -> list[str]:
+    """Runs of letters and of digits; letters are cut where a small one meets a capital, so TVs stays whole."""
+    out = []
+    for run in _RUNS.findall(unicodedata.normalize("NFKC", word)):
+        cuts = [0, *(k for k in range(1, len(run)) if run[k - 1].islower() and run[k].isupper()), len(run)]
+        out += [run[a:b] for a, b in zip(cuts, cuts[1:])]
+    return out
+
+
 def english_tokens(text: str | None) -> list[tuple[int, str]]:
     """General text in which words are also cut at case changes, digits and signs, and synonyms share a position."""
     out, at = [], 0
     for word in (text or "").split():
-        parts = [fold(p) for p in _PARTS.findall(re.sub(r"['’]s\b", "", word))]
+        parts = [fold(p) for p in word_parts(re.sub(r"['’]s\b", "", word))]
         for part in parts:
             group = next((g for g in SYNONYMS if part in g), REWRITES.get(part, (part,)))
             out += [(at, t) for t in dict.fromkeys(s for g in group for s in _with_stem(g))]
@@ -65,17 +77,18 @@ def identifier_tokens(text: str | None) -> list[str]:
     """Parts, joined neighbours of one kind, and the whole of each identifier; file endings do not count."""
     out: list[str] = []
     for word in re.sub(r"\.?(xml|XML|sgm|SGM)", " ", text or "").split():
-        parts = _PARTS.findall(word)
-        runs = re.findall(r"[^\W\d_]+|\d+", "".join(parts))
+        parts = word_parts(word)
+        runs = _RUNS.findall("".join(parts))
         out += [fold(t) for t in [*parts, *runs, "".join(parts)] if t]
     return list(dict.fromkeys(out))
 
 
 _TOKENS = T.ArrayType(T.StructType().add("pos", T.IntegerType()).add("token", T.StringType()))
-_tokens = F.udf(text_tokens, _TOKENS, useArrow=True)
-_english = F.udf(english_tokens, _TOKENS, useArrow=True)
-identifier_match = F.udf(identifier_tokens, T.ArrayType(T.StringType()), useArrow=True)
-nfc = F.udf(lambda s: None if s is None else unicodedata.normalize("NFC", s), T.StringType(), useArrow=True)
+_positions = lambda f: lambda v: [{"pos": p, "token": t} for p, t in f(v)]
+_tokens = batched(_positions(text_tokens), _TOKENS, pa.list_(pa.struct([("pos", pa.int32()), ("token", pa.string())])))
+_english = batched(_positions(english_tokens), _TOKENS, pa.list_(pa.struct([("pos", pa.int32()), ("token", pa.string())])))
+identifier_match = batched(identifier_tokens, T.ArrayType(T.StringType()), pa.list_(pa.string()))
+nfc = batched(lambda s: None if s is None else unicodedata.normalize("NFC", s), T.StringType(), pa.string())
 
 
 def analyze(c: Column, chain: str = "text") -> Column:

@@ -10,9 +10,12 @@ import re
 import unicodedata
 from collections.abc import Iterable
 
+import pyarrow as pa
 from pyspark.sql import Column, functions as F
 from pyspark.sql.types import StringType
 
+from .batches import batched
+
 NO_TITLE = "[NO TITLE PROVIDED]"
 #: Letters in front of a file identifier that name a sub-collection: fixed values.
 RARE_BOOKS = ("amernews", "comics", "macweek", "pn", "sanitary")
@@ -41,14 +44,8 @@ def identifier_text(values: Iterable[str | None], words: int = 5) -> str | None:
     return None
 
 
-@F.udf(StringType(), useArrow=True)
-def parameterize(value):
-    return None if value is None else parameterize_text(value)
-
-
-@F.udf(StringType(), useArrow=True)
-def identifier_udf(values):
-    return identifier_text(values)
+parameterize = batched(lambda value: None if value is None else parameterize_text(value), StringType(), pa.string())
+identifier_udf = batched(identifier_text, StringType(), pa.string())
 
 
 def identifier(*values: Column) -> Column:

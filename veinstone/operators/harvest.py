@@ -26,6 +26,14 @@ def check_deletes(delete_count: int, index_count: int, most: int = MOST_DELETES)
         raise ValueError("every indexed document would be deleted")
 
 
+def checked_deletes(stale: DataFrame, indexed: DataFrame, most: int = MOST_DELETES) -> DataFrame:
+    """The rows to delete, once both checks of check_deletes() hold; no more than most + 1 rows of either are counted."""
+    n = stale.limit(most + 1).count()
+    if n:
+        check_deletes(n, indexed.limit(most + 1).count(), most)
+    return stale
+
+
 def source_filter(primary_type: str | None = "resource", types: str | None = None, published: bool = False, suppressed: bool = False, strict: bool = False, updated_after: str | None = None, contains: tuple[str, ...] = (), exclude: dict[str, list] | None = None, uris: list[str] | None = None) -> Column:
     """The AND of the clauses that are asked for.
 
