@@ -168,10 +168,10 @@ def n2_source_plan(spark, sf):
     return table(spark, sf, "nation").select("n_nationkey", F.lit(plan).alias("plan"))
 
 
-@query("select p_partkey id from part where p_size = 7 and (select count(*) from part where p_size = 7) between 1 and 100")
+@query("select n_nationkey id from nation where n_regionkey = 3 and (select count(*) from nation where n_regionkey = 3) between 1 and 100")
 def m1_checked_deletes(spark, sf):
-    indexed = table(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.col("p_partkey").alias("ead_ssi"), "p_size")
-    return H.checked_deletes(R.stale(indexed, indexed.where("p_size != 7"), "ead_ssi").select("id"), indexed, most=max(100, indexed.where("p_size = 7").limit(10_000).count()))
+    indexed = table(spark, sf, "nation").select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("ead_ssi"), "n_regionkey")
+    return H.checked_deletes(R.stale(indexed, indexed.where("n_regionkey != 3"), "ead_ssi").select("id"), indexed)
 
 
 @query("select o_orderkey uri from orders where o_orderdate >= timestamp '2001-06-01' or (select count(*) >= 900 from (select o_orderkey from orders where o_orderdate >= timestamp '2001-06-01'))")
