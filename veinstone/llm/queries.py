@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import audio, html_text, jaccard, leaks, licenses, mixing, quality, secrets, toolcalls, urls
+from . import audio, html_text, jaccard, leaks, licenses, mixing, quality, repeats, secrets, toolcalls, urls
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,5 +55,9 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, quality.train(docs, table(spark, sf_dir, "labels")))
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_audio_features, op3_decontamination, op4_license_scan, op5_tool_calls, op6_jaccard_join, op7_source_mix, op8_url_filter, op9_main_text, op10_quality)}
+def op13_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(table(spark, sf_dir, "documents")).drop("spans")
+
+
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_audio_features, op3_decontamination, op4_license_scan, op5_tool_calls, op6_jaccard_join, op7_source_mix, op8_url_filter, op9_main_text, op10_quality, op13_suffix_dedup)}
 ORACLE_SQL = {"op5_tool_calls": toolcalls.ORACLE_SQL, "op7_source_mix": mixing.oracle_sql(), "op8_url_filter": urls.oracle_sql()}
