@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import audio, html_text, jaccard, leaks, licenses, mixing, prefix_trie, quality, repeats, secrets, toolcalls, urls
+from . import audio, html_text, jaccard, leaks, licenses, mixing, prefix_trie, quality, repeats, secrets, toolcalls, urls, whitening
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,6 +55,10 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, quality.train(docs, table(spark, sf_dir, "labels")))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"))
 
@@ -63,5 +67,5 @@ def op13_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.remove_repeats(table(spark, sf_dir, "documents")).drop("spans")
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_audio_features, op3_decontamination, op4_license_scan, op5_tool_calls, op6_jaccard_join, op7_source_mix, op8_url_filter, op9_main_text, op10_quality, op12_prefix_trie, op13_suffix_dedup)}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_audio_features, op3_decontamination, op4_license_scan, op5_tool_calls, op6_jaccard_join, op7_source_mix, op8_url_filter, op9_main_text, op10_quality, op11_whitening, op12_prefix_trie, op13_suffix_dedup)}
 ORACLE_SQL = {"op5_tool_calls": toolcalls.ORACLE_SQL, "op7_source_mix": mixing.oracle_sql(), "op8_url_filter": urls.oracle_sql(), "op12_prefix_trie": prefix_trie.ORACLE_SQL}
