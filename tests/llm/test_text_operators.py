@@ -78,6 +78,18 @@ def test_literals_follow_names(text, values):
     assert [text[a:b] for a, b in secrets.lex_literals(text)] == values
 
 
+def test_constants_over_any_steps():
+    literal = "Zx81kLq90Pw3"
+    chain = ["passphrase = A0", *(f"A{k} = A{k + 1}" for k in range(30)), f'A30 = "{literal}"']
+    for lines in (chain, chain[::-1], chain[10:] + chain[:10], [*chain, "A30b = A0", "A0c = A30"]):
+        text = "\n".join(lines)
+        assert [text[a:b] for a, b in secrets.lex_literals(text)] == [literal]
+    for text in (f'passphrase = f"{literal}"', f"passphrase = rb'{literal}'", f'<passphrase type="x">{literal}</passphrase>', "secret" + 150 * "_a" + f' = "{literal}"'):
+        assert [text[a:b] for a, k, b in secrets.scan_text(text) if k == 3] == [literal], text
+    cycle = f'passphrase = B\nB = C\nC = B + "{literal}"\n'
+    assert [cycle[a:b] for a, b in secrets.lex_literals(cycle)] == [literal]
+
+
 def test_lexer_is_linear():
     import time
 
@@ -86,7 +98,7 @@ def test_lexer_is_linear():
         secrets.lex_literals(text)
         return time.perf_counter() - start
 
-    for line in ('secret = secret + "Zx81kLq90Pw3"\n', "<a><b>x ", "'''a ", 'k: k = k + k\n', "<p>", "a=", "a:"):
+    for line in ('secret = secret + "Zx81kLq90Pw3"\n', "<a><b>x ", "'''a ", 'k: k = k + k\n', "<p>", "a=", "a:", "secret", '"\\"', 'a\\"', "</token", "<a b ", "c = c2 c2 = c "):
         assert took(line * 8000) < 8 * max(took(line * 2000), 0.02)
 
 
@@ -215,6 +227,11 @@ PROSE = "The cat is in the house and it was not on the mat when he had gone to t
         (f"<article><script src=/a/>var x=1;</script><p>{PROSE}</p><ul><li><a href=x>{PROSE}</a></li></ul></article>", PROSE),
         (f"<article><h2><a href=/t>teaser</a></h2></article><div><p>{PROSE}</p></div>", PROSE),
         ("<div><p>" + "我们在这里的时候，他们也在那里了。" * 9 + "</p></div>", "我们在这里的时候，他们也在那里了。" * 9),
+        *((f"<article><p>{PROSE}</p><div class='{name}'><p>{PROSE}</p></div></article>", PROSE) for name in ("article-comments", "post-comments", "main-sidebar", "content-sidebar", "entry-footer", "site-header", "cookieBanner", "adbox", "siteFooter")),
+        *((f"<article><p>{PROSE}</p><div class='{name}'><p>{PROSE}</p></div></article>", f"{PROSE}\n{PROSE}") for name in ("entry-content", "no-sidebar", "articleBody", "article-header", "hasComments")),
+        (f"<article><h1><a href=/t>A title</a></h1><p>{PROSE}</p></article>", f"A title\n{PROSE}"),
+        (f"<h2>Of cats</h2><div><p>{PROSE}</p></div><h3>Shop</h3><p><a href=/b>Buy it now</a></p>", f"Of cats\n{PROSE}"),
+        ("<div><p>" + "zyx wvu tsr " * 20 + "</p></div>", ("zyx wvu tsr " * 20).strip()),
         ("<article>" + "<p>x y</p>" * 20_000 + "</article>", "\n".join(["x y"] * 20_000)),
     ],
 )

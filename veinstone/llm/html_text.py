@@ -4,7 +4,8 @@ The markup is cut into blocks. The first pass decides a block by link density, s
 second lets ambiguous blocks inherit the label of their nearest decided neighbours in the same container. The container
 says what its ends count as: an article or main element's ends are good neighbours, all others bad ones. Elements that
 are boilerplate by tag, role or an unmistakable name never give blocks, unless they hold most of the page's text or an
-article; a name that only hints at boilerplate makes a block that needs the densities to stay.
+article; a name that only hints at boilerplate makes a block that needs the densities to stay. A heading shares the fate of
+the block below it.
 
 Defined cases: a null html counts as empty; a page without main text gives an empty string; an unclosed boilerplate
 element ends before the next article or main element, other unclosed elements with the page; at equal distances the
@@ -40,24 +41,38 @@ _RAW = frozenset("script style textarea title noscript template iframe xmp noemb
 _CLOSERS = {tag: re.compile(rf"</{tag}\b[^>]*>?", re.I) for tag in _RAW}
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _BLOCK = frozenset("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _SKIP = frozenset("aside button datalist dialog footer form header menu nav object audio video canvas map select label fieldset".split())
+#: Words of class and id names: boilerplate, what may be boilerplate, content, and signs that something else is meant.
 _NAMED = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|advertising|sponsor|sponsored|promo|promotion|banner|cookies?|consent|gdpr|notices?|alerts?|popup|modal|overlay|newsletter|subscribe|subscription|paywall"
-    r"|sidebar|side-bar|menu|navigation|nav|navbar|breadcrumbs?|masthead|topbar|footer|comments?|commentlist|disqus|respond|replies|reply|discussion"
-    r"|sharing|related|recommended|recommendations|login|signin|signup|pagination|pager|toolbar)(?:$|[\s_-])",
-    re.I,
+    r"ads?|ad(?:box|slot|unit|space|zone|block|banner|container|wrapper|sense)s?|adverts?|advertisement|advertising|sponsor|sponsored|promo|promotion|banner|cookies?|consent|gdpr|notices?|alerts?|popup|modal|overlay"
+    r"|newsletter|subscribe|subscription|paywall|sidebar|menu|navigation|nav|navbar|breadcrumbs?|masthead|topbar|footer|comments?|commentlist|disqus|respond|replies|reply|discussion"
+    r"|sharing|related|recommended|recommendations|login|signin|signup|pagination|pager|toolbar"
 )
-_HINTED = re.compile(r"(?:^|[\s_-])(?:rail|header|bottom|share|social|widget|register|search|form|copyright|legal|skip)(?:$|[\s_-])", re.I)
-_PROPER = re.compile(r"(?:^|[\s_-])(?:article|body|content|entry|main|post|story|text|with|has|no)(?:$|[\s_-])", re.I)
+_HINTED = re.compile(r"rail|header|bottom|share|social|widget|register|search|form|copyright|legal|skip")
+_PROPER = re.compile(r"article|body|content|entry|main|post|story|text|with|has|no")
+_WITH, _SITE = frozenset("with has no without".split()), frozenset("site page global top".split())
+_WORDS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
 _ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar".split())
 _DENSE = re.compile("[\u3040-\u9fff\uac00-\ud7a3]")
 _ATTR = re.compile(r"""([a-zA-Z-]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 
 
-def _kind(tag: str, attrs: str) -> str:
-    """"gone" for elements that are never shown, "bad" for boilerplate, "hint" for what may be, else empty.
+def _name_kind(name: str) -> str:
+    """What one class or id says. The last word of a compound says what the thing is, so article-comments and cookieBanner
+    are boilerplate; other words count unless some word names content, as in post-form-content or with-sidebar."""
+    words = [w.lower() for w in _WORDS.findall(name)]
+    if not words or not _WITH.isdisjoint(words):
+        return ""
+    if _NAMED.fullmatch(words[-1]) or words[-2:] == ["side", "bar"] or words[-1] == "header" and not _SITE.isdisjoint(words):
+        return "bad"
+    if any(map(_PROPER.fullmatch, words)):
+        return "proper"
+    return "bad" if any(map(_NAMED.fullmatch, words)) else "hint" if any(map(_HINTED.fullmatch, words)) else ""
 
-    A class that also names content, such as post-form-content or with-sidebar, is no sign of boilerplate."""
+
+def _kind(tag: str, attrs: str) -> str:
+    """"gone" for elements that are never shown, "bad" for boilerplate, "hint" for what may be, else empty."""
     if tag in _SKIP:
         return "bad"
     if not attrs.strip():
@@ -70,10 +85,10 @@ def _kind(tag: str, attrs: str) -> str:
         if name == "role" and value.lower() in _ROLES:
             out = "bad"
         if name in ("class", "id"):
-            words = [w for w in value.split() if not _PROPER.search(w)]
-            if any(map(_NAMED.search, words)) and (tag not in ("html", "body", "article", "main") or re.search(r"comment|repl", value, re.I)):
+            kinds = set(map(_name_kind, value.split()))
+            if "bad" in kinds and (tag not in ("html", "body", "article", "main") or re.search(r"comment|repl", value, re.I)):
                 out = "bad"
-            elif any(map(_HINTED.search, words)) and not _PROPER.search(value):
+            elif "hint" in kinds and "proper" not in kinds:
                 out = out or "hint"
     return out
 
@@ -121,18 +136,19 @@ def _ends(tokens: list[tuple[str, bool, str]]) -> tuple[list[int], list[int], li
     return end, chars, mains
 
 
-def blocks_of(page: str) -> list[tuple[str, int, bool, bool]]:
-    """(text, characters inside links, inside an article or main element, hinted) of each block outside boilerplate."""
-    out: list[tuple[str, int, bool, bool]] = []
+def blocks_of(page: str) -> list[tuple[str, int, bool, bool, bool]]:
+    """(text, characters inside links, inside an article or main element, hinted, a heading) of each block outside boilerplate."""
+    out: list[tuple[str, int, bool, bool, bool]] = []
     parts: list[str] = []
     linked = anchors = main = k = hinted = 0
+    heading = False
     tokens = _tokens(page)
     end, chars, mains = _ends(tokens)
 
     def flush() -> None:
         nonlocal linked
         if parts and (text := " ".join(entities.unescape("".join(parts)).split())):
-            out.append((text, min(linked, len(text)), main > 0, k <= hinted))
+            out.append((text, min(linked, len(text)), main > 0, k <= hinted, heading))
         parts.clear()
         linked = 0
 
@@ -145,7 +161,7 @@ def blocks_of(page: str) -> list[tuple[str, int, bool, bool]]:
             continue
         if tag in _BLOCK or tag in _SKIP:
             flush()
-            anchors = 0
+            anchors, heading = 0, not closing and tag in _HEADINGS
         kind = "" if closing or tag in _VOID or not rest and tag not in _SKIP else _kind(tag, rest)
         if kind and kind != "gone":
             # A wrapper stays: around an article, or, on a page without one, around most of the text.
@@ -179,8 +195,10 @@ def _units(text: str) -> tuple[float, int]:
     return sum(w.strip(".,;:!?\"'()") in STOP_WORDS for w in words) / len(words), len(text)
 
 
-def first_pass(text: str, linked: int, inside: bool = False, hinted: bool = False) -> str:
-    """good, bad, near (to good) or short."""
+def first_pass(text: str, linked: int, inside: bool = False, hinted: bool = False, heading: bool = False) -> str:
+    """good, bad, near (to good), short, heading or teaser, which is a heading that is a link."""
+    if heading and not hinted:
+        return "teaser" if linked > ARTICLE_LINKS * len(text) else "heading"
     if linked > (ARTICLE_LINKS if inside else LINKS) * len(text):
         return "bad"
     stop, size = _units(text)
@@ -192,7 +210,8 @@ def first_pass(text: str, linked: int, inside: bool = False, hinted: bool = Fals
 
 
 def second_pass(labels: list[str], inside: list[bool]) -> list[bool]:
-    """Whether each block is main text: short and near ones inherit from the nearest decided neighbours on both sides.
+    """Whether each block is main text: short and near ones inherit from the nearest decided neighbours on both sides,
+    headings from what they stand above.
 
     Neighbours are looked for in the same container; its ends are good neighbours inside an article, else bad ones.
     """
@@ -221,20 +240,31 @@ def second_pass(labels: list[str], inside: list[bool]) -> list[bool]:
                 out.append(a == "good" or labels[i] == "near" and lone)
             else:
                 out.append(labels[i] == "near" or (a if d1 <= d2 else b) == "good")
+        for i in reversed(range(k, stop)):
+            if labels[i] in ("heading", "teaser"):
+                out[i] = out[i + 1] if i + 1 < stop else edge == "good" and labels[i] == "heading"
         k = stop
     return out
 
 
+def labels_of(blocks: list[tuple[str, int, bool, bool, bool]]) -> list[str]:
+    """The first pass over a page. Where no block has enough stop words, the page's language is unknown and long blocks
+    with few links are good."""
+    labels = [first_pass(*b) for b in blocks]
+    if "good" not in labels and "near" not in labels:
+        labels = ["good" if x == "bad" and len(b[0]) > LONG and b[1] <= LINKS * len(b[0]) and not b[3] else x for x, b in zip(labels, blocks)]
+    return labels
+
+
 def main_text(page: str | None) -> str:
     blocks = blocks_of(page or "")
-    labels = [first_pass(*b) for b in blocks]
-    return "\n".join(b[0] for b, keep in zip(blocks, second_pass(labels, [b[2] for b in blocks])) if keep)
+    return "\n".join(b[0] for b, keep in zip(blocks, second_pass(labels_of(blocks), [b[2] for b in blocks])) if keep)
 
 
 def rules_used(page: str | None) -> list[tuple[str, bool]]:
     """The first pass's label of each block and whether the block is kept, for reports."""
     blocks = blocks_of(page or "")
-    labels = [first_pass(*b) for b in blocks]
+    labels = labels_of(blocks)
     return list(zip(labels, second_pass(labels, [b[2] for b in blocks])))
 
 

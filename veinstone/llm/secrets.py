@@ -2,8 +2,8 @@
 
 Base patterns find assignments to well-known names, access keys and long hex runs. The lexer then cuts source and
 configuration syntax into strings, names, operators and tags, reads ``target = value`` pairs from them (assignments,
-keys of maps, subscripts, #define, XML elements), and follows constants through names, ``+`` and ``+=`` in two passes,
-so that a constant may stand after its use. Each value is scored by how sensitive its target's name is and by how
+keys of maps, subscripts, #define, XML elements with or without attributes), and follows constants through names, ``+``
+and ``+=`` over any number of steps, whether a constant stands before or after its use. Each value is scored by how sensitive its target's name is and by how
 random the literals are that reach it.
 
 Defined cases: a null text counts as empty; an empty text has no spans; a very long text is read whole, in time that is
@@ -34,12 +34,14 @@ SENSITIVE = {
     "auth": 0.6, "private": 0.5, "access": 0.4, "signing": 0.5, "encryption": 0.5, "key": 0.5, "salt": 0.5, "bearer": 0.7,
 }
 THRESHOLD = 1.4
-#: What may stand between a sensitive word and the operator or tag's end that makes its name a target.
-_AFTER = re.compile(r"""[a-z0-9_$.-]{0,200}["'`]*\]?[\x20\t]*[:=>+]""")
+#: The rest of a name behind a sensitive word, what makes the name a target, and a closing tag with such a word.
+_REST = re.compile(r"[a-z0-9_$.-]*+")
+_AFTER = re.compile(r"""["'`]*+\]?[\x20\t]*+[:=>+]""")
+_CLOSING = re.compile(rf"</[a-z0-9_.:-]*?(?:{'|'.join(SENSITIVE)})")
 
 _TOKEN = re.compile(
-    r'''(?P<s>"""[\s\S]*?"""|(?<!\w)\'\'\'[\s\S]*?\'\'\'|"(?:[^"\\\n]|\\.)*+"|(?<!\w)'(?:[^'\\\n]|\\.)*+'|`[^`\n]*+`)'''
-    r"|(?P<d>\#[ \t]*define[ \t]+)|(?P<x><(?P<tag>[A-Za-z][\w.:-]*)>[ \t]*(?P<body>[^<>\s]++)[ \t]*</(?P=tag)>)"
+    r'''(?P<s>(?:(?<![\w$.-])[bBfFrRuU]{1,2})?(?:"""[\s\S]*?"""|(?<!\\)"(?:[^"\\\n]|\\.)*+")|(?<![\w\\])(?:[bBfFrRuU]{1,2})?(?:\'\'\'[\s\S]*?\'\'\'|'(?:[^'\\\n]|\\.)*+')|`[^`\n]*+`)'''
+    r"|(?P<d>\#[ \t]*define[ \t]+)|(?P<x><(?P<tag>[A-Za-z][\w.:-]*+)(?:[ \t][^<>\n]*+)?>[ \t]*(?P<body>[^<>\s]++)[ \t]*</(?P=tag)>)"
     r"|(?P<n>[A-Za-z_$][A-Za-z0-9_$]*+(?:[.-][A-Za-z0-9_$]++)*+)|(?P<o>:=|=>|\+=|[=!<>]=|[=:+,;()\[\]{}\n])"
 )
 #: A value without quotes: one run of such characters that ends its line or its entry.
@@ -90,8 +92,9 @@ def read_pairs(text: str) -> list[Pair]:
     out, k, n = [], 0, len(tokens)
 
     def inside(m: re.Match) -> tuple[int, int]:
-        q = 3 if m[0][:3] in ('"""', "'''") and len(m[0]) >= 6 else 1
-        return m.start() + q, m.end() - q
+        prefix = len(m[0]) - len(m[0].lstrip("bBfFrRuU"))
+        q = 3 if m[0][prefix : prefix + 3] in ('"""', "'''") and len(m[0]) >= prefix + 6 else 1
+        return m.start() + prefix + q, m.end() - q
 
     def value(at: int, k: int) -> tuple[list, tuple[int, int] | None, int]:
         """Parts of the expression whose first token is k, its text as one run, and the token after it."""
@@ -145,6 +148,27 @@ def read_pairs(text: str) -> list[Pair]:
     return out
 
 
+def _gather(pairs: list[Pair]) -> None:
+    """Adds to each pair's counts those of everything it is linked to, at any distance; inside a cycle each pair that is
+    still open gives its own literals only."""
+    own = {id(p): p.counts for p in pairs}
+    state: dict[int, int] = {}
+    for root in pairs:
+        todo = [root]
+        while todo:
+            p = todo[-1]
+            if state.get(id(p)) is None:
+                state[id(p)] = 0
+                todo += [q for q in p.links if id(q) not in state]
+                continue
+            todo.pop()
+            if not state[id(p)]:
+                counts = Counter(own[id(p)])
+                for q in p.links:
+                    counts.update(q.counts if state[id(q)] else own[id(q)])
+                p.counts, state[id(p)] = counts, 1
+
+
 def lex_literals(text: str) -> list[tuple[int, int]]:
     """Spans of the literals that reach a sensitive name, directly or through constants."""
     pairs = read_pairs(text)
@@ -166,14 +190,7 @@ def lex_literals(text: str) -> list[tuple[int, int]]:
         p.counts, p.prose = Counter(), any(len(text[a:b].split()) > 2 for a, b in p.spans)
         for a, b in p.spans:
             p.counts.update(text[a:b])
-    own = {id(p): p.counts for p in pairs}
-    done: set[int] = set()
-    for p in pairs:  # constants before their use are complete by now, later ones bring their own literals
-        counts = Counter(p.counts)
-        for q in p.links:
-            counts.update(q.counts if id(q) in done else own[id(q)])
-        p.counts = counts
-        done.add(id(p))
+    _gather(pairs)
     # From each pair that scores enough, everything that reaches it; what was reached once is not followed again.
     todo = [p for p in pairs if (score := name_score(p.target)) and score + _score(p.counts, p.prose) >= THRESHOLD]
     seen, found = {id(p) for p in todo}, set()
@@ -193,10 +210,11 @@ def has_target(text: str) -> bool:
     for word in SENSITIVE:
         at = low.find(word)
         while at >= 0:
-            if _AFTER.match(low, at + len(word)):
+            end = _REST.match(low, at + len(word)).end()
+            if _AFTER.match(low, end):
                 return True
-            at = low.find(word, at + 1)
-    return "define" in low and "#" in low
+            at = low.find(word, end)
+    return "define" in low and "#" in low or "</" in low and bool(_CLOSING.search(low))
 
 
 def scan_text(text: str | None) -> list[tuple[int, int, int]]:
