@@ -43,6 +43,11 @@ def stem(word: str) -> str:
     return word if word[-2] in "us" else word[:-1]
 
 
+def stem_forms(stemmed: str) -> list[str]:
+    """All words of this stem."""
+    return [w for w in dict.fromkeys((stemmed, stemmed + "s", stemmed[:-1] + "ies")) if stem(w) == stemmed]
+
+
 def _with_stem(word: str) -> list[str]:
     return list(dict.fromkeys((word, stem(word))))
 

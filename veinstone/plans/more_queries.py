@@ -12,14 +12,14 @@ from .request import SearchRequest
 
 # --- one search path
 
-PARTS = "d as (select p_partkey id, p_name, string_split(p_name, ' ') nw, [lower(p_type)] tw, p_brand from part where p_brand not in ('Brand#2', 'Brand#4'))"
+PARTS = "d as (select p_partkey id, p_name, string_split(p_name, ' ') nw, [lower(p_type)] tw, p_brand from part)"
 RANKED = f"""{PARTS}, v as (select unnest(['small', 'ring']) t),
  a as (select id, 'name' f, len(nw) n, t, len(list_filter(nw, lambda w: w = t)) tf from d, v union all select id, 'type', len(tw), t, len(list_filter(tw, lambda w: w = t)) from d, v),
  h as (select * from a where tf > 0), s as (select 'name' f, count(*) docs, avg(len(nw)) mean from d union all select 'type', count(*), avg(len(tw)) from d),
  k as (select f, t, count(*) df from h group by all),
  w as (select id, t, case f when 'name' then 100.0 else 10.0 end * ln(1 + (docs - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * n / mean)) w from h join s using (f) join k using (f, t)),
  b as (select id, t, max(w) + 0.01 * (sum(w) - max(w)) w from w group by all),
- r as (select id, sum(w) + case when list_has_all(any_value(nw), ['small', 'ring']) then 200.0 else 0.0 end score, count(*) n_terms from b join d using (id) group by id having count(*) >= 2)"""
+ r as (select id, sum(w) + case when list_has_all(any_value(nw), ['small', 'ring']) then 200.0 else 0.0 end score, count(*) n_terms from b join d using (id) where p_brand not in ('Brand#2', 'Brand#4') group by id having count(*) >= 2)"""
 REQUEST = SearchRequest(q="small rings", qf={"name": 100, "type": 10}, pf={"name": 200}, filters={"-brand": ["Brand#2", "Brand#4"]}, group="false", per_page=20)
 
 

@@ -8,7 +8,7 @@ from functools import reduce
 
 from pyspark.sql import Column, functions as F
 
-from ..functions.analyzers import fold, query_terms, stem, stem_column
+from ..functions.analyzers import fold, query_terms, stem, stem_forms
 
 #: Fields and boosts of a query, and of its phrase: fixed values.
 QF = {"collection_title_tesim": 150, "title_tesim": 100, "normalized_title_teim": 100, "unitid_identifier_match": 40, "ead_identifier_match": 40, "name_teim": 10, "place_teim": 10, "subject_teim": 2, "identifier_search": 1, "container_teim": 1, "parent_unittitles_tesim": 1, "text": 1}
@@ -32,12 +32,13 @@ class SearchRequest:
     mm: str = "4<90%"
     order: str = ""
     group_order: str = ""
+    range: dict = field(default_factory=dict)
 
 
 def from_params(params: dict) -> SearchRequest:
     """Known parameters only."""
     p = {k: v for k, v in params.items() if k in PARAMETERS}
-    return SearchRequest(q=p.get("q") or "", filters=p.get("f") or {}, search_field=p.get("search_field") or "keyword", sort=p.get("sort") or "", group=str(p.get("group") or ""), page=int(p.get("page") or 1), per_page=int(p.get("per_page") or 10))
+    return SearchRequest(q=p.get("q") or "", filters=p.get("f") or {}, range=p.get("range") or {}, search_field=p.get("search_field") or "keyword", sort=p.get("sort") or "", group=str(p.get("group") or ""), page=int(p.get("page") or 1), per_page=int(p.get("per_page") or 10))
 
 
 def default_grouping(r: SearchRequest) -> SearchRequest:
@@ -139,6 +140,39 @@ def parse(query: str):
     return either()
 
 
+def has_syntax(query: str) -> bool:
+    """Whether a query has operators, quotes, parentheses or wildcards."""
+    return bool(re.search(r'(?:^|\s)(?:AND|OR|NOT)(?=\s|$)|["()*?]|(?:^|[\s(])[+-](?=[^\s-])', query))
+
+
+def is_pattern(word: str) -> bool:
+    return "*" in word or "?" in word
+
+
+def leaves(tree, denied: bool = False) -> list[tuple]:
+    """(kind, stem, list of stems or pattern, whether it is denied) of each leaf."""
+    kind, body = tree
+    if kind in ("and", "or"):
+        return [x for part in body for x in leaves(part, denied)]
+    if kind == "not":
+        return leaves(body, not denied)
+    if kind == "phrase":
+        return [(kind, [stem(w) for w in body], denied)]
+    return [("pattern", body, denied) if is_pattern(body) else ("term", stem(body), denied)]
+
+
+def holds(tree, leaf, both, either, no):
+    """A tree's value over labels: a stem, a pattern, or a phrase's stems behind a quote."""
+    kind, body = tree
+    if kind in ("and", "or"):
+        return reduce(both if kind == "and" else either, [holds(p, leaf, both, either, no) for p in body])
+    if kind == "not":
+        return no(holds(body, leaf, both, either, no))
+    if kind == "phrase":
+        return leaf(" ".join(['"', *map(stem, body)]))
+    return leaf(body if is_pattern(body) else stem(body))
+
+
 def matches(tree, tokens: Column) -> Column:
     """A boolean query over an array of folded words in order; * and ? are wildcards, plural and singular meet."""
     kind, body = tree
@@ -147,9 +181,9 @@ def matches(tree, tokens: Column) -> Column:
     if kind == "not":
         return ~matches(body, tokens)
     if kind == "phrase":
-        stems = F.array_join(F.transform(tokens, stem_column), " ")
-        return F.concat(F.lit(" "), stems, F.lit(" ")).contains(f" {' '.join(map(stem, body))} ")
-    if "*" in body or "?" in body:
+        some = [f"(?:{'|'.join(map(re.escape, stem_forms(stem(w))))})" for w in body]
+        return F.concat(F.lit(" "), F.array_join(tokens, " "), F.lit(" ")).rlike(f" {' '.join(some)} ")
+    if is_pattern(body):
         pattern = "^" + "".join(".*" if c == "*" else "." if c == "?" else re.escape(c) for c in body) + "$"
         return F.exists(tokens, lambda w: w.rlike(pattern))
-    return F.exists(tokens, lambda w: (w == body) | (stem_column(w) == stem(body)))
+    return F.arrays_overlap(tokens, F.array(*map(F.lit, dict.fromkeys([body, *stem_forms(stem(body))]))))
