@@ -46,16 +46,25 @@ def test_anchors_depend_on_the_window_alone(monkeypatch):
     rng = random.Random(7)
     data = bytes(rng.choices(b"abcd ", k=700)) + b"x" * 900 + bytes(rng.choices(b"abcd ", k=300)) * 2
     whole = {}
-    h, first, end = repeats.anchors(np.frombuffer(data, np.uint8))
-    assert first.tolist() == [0, *end[:-1].tolist()] and end[-1] == len(data) - repeats.WINDOW + 1 and (end - first).max() <= repeats.PIECE
+    one = np.array([0, len(data)])
+    text, h, first, end = repeats.anchors(np.frombuffer(data, np.uint8), one)
+    assert not text.any() and first.tolist() == [0, *end[:-1].tolist()] and end[-1] == len(data) - repeats.WINDOW + 1 and (end - first).max() <= repeats.PIECE
     for a, lo, hi in zip(h.tolist(), first.tolist(), end.tolist()):
         for k in range(lo, hi):
             assert whole.setdefault(data[k : k + repeats.WINDOW], a) == a
     monkeypatch.setattr(repeats, "SLAB", 64)
-    h, first, end = repeats.anchors(np.frombuffer(data, np.uint8))
+    _, h, first, end = repeats.anchors(np.frombuffer(data, np.uint8), one)
     assert all(whole[data[k : k + repeats.WINDOW]] == a for a, lo, hi in zip(h.tolist(), first.tolist(), end.tolist()) for k in range(lo, hi))
 
 
+    bounds = np.array([0, 3, 60, 60, 110, 159, len(data)])
+    text, h, first, end = repeats.anchors(np.frombuffer(data, np.uint8), bounds)
+    for k in range(6):
+        own = text == k
+        assert (end - first)[own].sum() == max(0, bounds[k + 1] - bounds[k] - repeats.WINDOW + 1)
+        assert all(whole[data[bounds[k] + j : bounds[k] + j + repeats.WINDOW]] == a for a, lo, hi in zip(h[own].tolist(), first[own].tolist(), end[own].tolist()) for j in range(lo, hi))
+
+
 def brute_repeats(rows, width=50):
     least = {}
     for i, text in rows:
@@ -104,8 +113,9 @@ def test_repeats_with_disk_and_recursion(spark, monkeypatch):
     words = ["".join(rng.choices("abc", k=4)) for _ in range(6)]
     rows = [(k, " ".join(rng.choices(words, k=60))) for k in range(30)]
     monkeypatch.setattr(repeats, "Induced", lambda text: Induced(text, 16, 16))
-    batch = repeats.pa.RecordBatch.from_pylist([{"key": bytes([k]), "context": t.encode(), "low": k, "high": k} for k, t in rows], repeats.pa.schema([("key", repeats.pa.binary()), ("context", repeats.pa.binary()), ("low", repeats.pa.int64()), ("high", repeats.pa.int64())]))
-    found = {(r["key"][0], w): r["least"] for b in repeats._decide([batch]) for r in b.to_pylist() for w in range(r["a"], r["b"] + 1)}
+    batch = repeats.pa.RecordBatch.from_pylist([{"context": t.encode(), "low": k, "high": k} for k, t in rows], repeats.pa.schema([("context", repeats.pa.binary()), ("low", repeats.pa.int64()), ("high", repeats.pa.int64())]))
+    number = {repeats._key(t.encode()): k for k, t in rows}
+    found = {(number[r["key"]], w): r["least"] for b in repeats._decide([batch]) for r in b.to_pylist() for w in range(r["a"], r["b"] + 1)}
     least = {}
     for k, t in rows:
         for w in range(len(t) - 49):

@@ -7,7 +7,7 @@
    same are named in one round. Equal names of one depth are one node, known by its smallest conversation and its depth.
 4. Sums over subtrees double their reach as well: what is known of nodes less than 2^k below is added to the node 2^k above.
 
-Names that many rows bear are joined by broadcast (at most HEAVY of them), so no name's rows gather in one task.
+Names that many rows bear are joined by broadcast (joins.join_counted), so no name's rows gather in one task.
 
 Null roles and texts count as empty, rows without a conversation are left out, turns of equal number come in the order of
 role and text, and repeated rows are turns of their own. Texts of any length enter as digests (SHA-256 of role and text).
@@ -22,30 +22,23 @@ from functools import reduce
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from .joins import join_counted
 from .scratch import Scratch
 
-HEAVY = 512
 #: Bytes of conversation numbers in one row on the way to a node's digest.
 CHUNK = 4096
 
 
-def join_counted(rows: DataFrame, facts: DataFrame, keys: list[str], total: int, count: str = "n_rows") -> DataFrame:
-    """rows with the facts of their key. facts has one row for each key and in `count` how many rows bear it; keys that bear
-    more than 1 / HEAVY of all rows, of which there are fewer than HEAVY, come by broadcast."""
-    heavy, light = facts.where(F.col(count) > total // HEAVY), facts.where(F.col(count) <= total // HEAVY)
-    return rows.join(F.broadcast(heavy), keys).unionByName(rows.join(light, keys))
-
-
-def dense_names(rows: DataFrame, keys: list[str], scratch: Scratch, label: str) -> tuple[DataFrame, int]:
-    """(keys, name, rep, n_rows) with names from 0 without gaps, the smallest conversation and the number of rows; all rows' number."""
+def dense_names(rows: DataFrame, keys: list[str], scratch: Scratch, label: str) -> tuple[DataFrame, dict]:
+    """(keys, name, rep, n_rows) with names from 0 without gaps, the smallest conversation and the number of rows; the total and the most of these."""
     groups = rows.groupBy(*keys).agg(F.min("conv").alias("rep"), F.count(F.lit(1)).alias("n_rows")).withColumn("id", F.monotonically_increasing_id())
-    stored, seen = scratch.save_measured(groups, label, F.sum("n_rows").alias("total"))
+    stored, seen = scratch.save_measured(groups, label, F.sum("n_rows").alias("total"), F.max("n_rows").alias("most"))
     part = F.shiftright("id", 33).alias("part")
     # One row for each partition of the stored table.
     sizes = stored.groupBy(part).agg(F.count(F.lit(1)).alias("n"))
     before = sizes.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
     named = stored.withColumn("part", part).join(F.broadcast(before), "part")
-    return named.select(*keys, (F.col("before") + F.col("id") - F.shiftleft("part", 33)).alias("name"), "rep", "n_rows"), seen["total"] or 0
+    return named.select(*keys, (F.col("before") + F.col("id") - F.shiftleft("part", 33)).alias("name"), "rep", "n_rows"), seen
 
 
 def head_turns(conv: Column) -> Column:
@@ -76,8 +69,8 @@ def rebuilt(turns: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame, d
     taken = F.least("head", F.coalesce("n_base", F.lit(0)))
     facts = sizes.select("conv", "n", head_turns(F.col("conv")).alias("head"), base.alias("base")).join(sizes.select(F.col("conv").alias("base"), F.col("n").alias("n_base")), "base", "left")
     facts = facts.select("conv", "n", "head", "base", taken.alias("taken"), (taken + F.greatest(F.col("n") - F.col("head"), F.lit(0))).alias("n_rebuilt"))
-    convs, seen = scratch.save_measured(facts, "convs", F.min("conv").alias("first"), F.count(F.lit(1)).alias("n_convs"), F.sum("n").alias("n_turns"), F.max("n_rebuilt").alias("depth"))
-    kept = join_counted(own, convs.select("conv", "n", "head", "taken"), ["conv"], seen["n_turns"] or 0, "n").where("pos >= head").select("conv", (F.col("pos") - F.col("head") + F.col("taken")).alias("pos"), "turn", "size")
+    convs, seen = scratch.save_measured(facts, "convs", F.min("conv").alias("first"), F.count(F.lit(1)).alias("n_convs"), F.sum("n").alias("n_turns"), F.max("n_rebuilt").alias("depth"), F.max("n").alias("most"))
+    kept = join_counted(own, convs.select("conv", "n", "head", "taken"), ["conv"], seen["n_turns"], seen["most"], "n").where("pos >= head").select("conv", (F.col("pos") - F.col("head") + F.col("taken")).alias("pos"), "turn", "size")
     least, most = F.lit(-(2**63) + 4), F.lit(2**63 - 5)
     near = F.sequence(F.greatest("conv", least) - 4, F.least("conv", most) + 4)
     heads = own.where((F.col("conv") % 5 == 0) & (F.col("pos") < 8)).select(F.col("conv").alias("from"), "pos", "turn", "size", F.explode(near).alias("conv")).where(F.col("from") == base)
@@ -93,8 +86,8 @@ def blocks(turns: DataFrame, depth: int, scratch: Scratch) -> list[DataFrame]:
             half = lambda odd: F.max(F.when(F.col("i") % 2 == odd, F.col("name")))
             rows = scratch.save(out[-1].groupBy("conv", F.shiftright("i", 1).alias("i2")).agg(half(0).alias("a"), half(1).alias("b")).where("b is not null").withColumnRenamed("i2", "i"), f"pairs{k}")
         keys = ["a", "b"] if k else ["turn"]
-        names, total = dense_names(rows, keys, scratch, f"names{k}")
-        out.append(scratch.save(join_counted(rows, names.drop("rep"), keys, total).select("conv", "i", "name"), f"blocks{k}"))
+        names, seen = dense_names(rows, keys, scratch, f"names{k}")
+        out.append(scratch.save(join_counted(rows, names.drop("rep"), keys, seen["total"], seen["most"]).select("conv", "i", "name"), f"blocks{k}"))
     return out
 
 
@@ -108,8 +101,8 @@ def prefixes(levels: list[DataFrame], scratch: Scratch) -> tuple[DataFrame | Non
         known = reduce(DataFrame.unionByName, done).select("conv", F.col("d").alias("start"), F.col("name").alias("a")) if done else None
         rows = rows.join(known, ["conv", "start"], "left") if done else rows.withColumn("a", F.lit(None).cast("long"))
         rows = scratch.save(rows.select("conv", (F.col("start") + size).alias("d"), F.coalesce("a", F.lit(-1)).alias("a"), "b"), f"splits{k}")
-        names, total = dense_names(rows, ["d", "a", "b"], scratch, f"prefix_names{k}")
-        done.append(scratch.save(join_counted(rows, names, ["d", "a", "b"], total).select("conv", "d", "name", "rep"), f"prefixes{k}"))
+        names, seen = dense_names(rows, ["d", "a", "b"], scratch, f"prefix_names{k}")
+        done.append(scratch.save(join_counted(rows, names, ["d", "a", "b"], seen["total"], seen["most"]).select("conv", "d", "name", "rep"), f"prefixes{k}"))
         nodes.append(names.select("d", "rep", F.col("n_rows").alias("n_convs")))
     return (reduce(DataFrame.unionByName, done), reduce(DataFrame.unionByName, nodes)) if done else (None, None)
 

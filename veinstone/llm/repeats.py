@@ -2,6 +2,7 @@
 
 1. Anchors. A window's anchor is the least hash of its GRAM-byte parts, so equal windows have equal anchors wherever they
    stand, and one anchor serves a run of windows. Only anchors that occur in two documents or more go on.
+   Texts that another document has as a whole are out before: one text stands for all equal ones.
 2. Contexts. Around each such anchor the bytes of its run of windows are cut out; equal contexts become one, with the
    smallest and largest id of their documents. All contexts of an anchor come to one shard.
 3. Suffix order. Each shard sorts the suffixes of its contexts by external induced sorting (suffixes.Induced). Suffixes
@@ -23,14 +24,17 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
+from .joins import join_counted
 from .scratch import Scratch
 from .suffixes import Induced, Spill
 
 WINDOW, GRAM = 50, 19
 #: Windows of one context at most, and bytes that are hashed at once; longer runs and texts come in several pieces.
 PIECE, SLAB = 512, 1 << 22
+#: Bytes of text that a task handles at once.
+PIECE_BYTES = 1 << 22
 #: Bytes of text for each shard and each bucket of anchors.
-SHARD, BUCKET = 1 << 24, 1 << 22
+SHARD, BUCKET = 1 << 23, 1 << 22
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _TABLE = np.array([int.from_bytes(hashlib.blake2b(bytes([b]), digest_size=8).digest(), "little") for b in range(256)], np.uint64)
@@ -64,21 +68,35 @@ def _least(h: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(out[: len(out) - rest], out[rest:]) if rest else out
 
 
-def anchors(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(anchor, first window, end of windows) of each run of windows, at most PIECE windows long."""
-    found = [[np.empty(0, np.int64)] * 3]
+def anchors(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(text, anchor, first window, end of windows) of each run of windows, at most PIECE windows long; data holds all texts,
+    text k from bounds[k] to bounds[k + 1], and windows are counted from the text's start."""
+    found = [[np.empty(0, np.int64)] * 4]
+    breaks = np.unique(np.concatenate([bounds, np.maximum(bounds[1:] - WINDOW + 1, bounds[:-1])]))
     for start in range(0, len(data) - WINDOW + 1, SLAB):
         least = _least(_gram_hashes(data[start : start + SLAB + WINDOW - 1]), WINDOW - GRAM + 1)
-        cut = np.flatnonzero(np.r_[True, least[1:] != least[:-1]])
+        change = np.r_[True, least[1:] != least[:-1]]
+        change[breaks[np.searchsorted(breaks, start) : np.searchsorted(breaks, start + len(least))] - start] = True
+        cut = np.flatnonzero(change)
         size = np.diff(np.r_[cut, len(least)])
+        text = np.searchsorted(bounds, cut + start, side="right") - 1
+        whole = cut + start + WINDOW <= bounds[text + 1]
+        cut, size, text = cut[whole], size[whole], text[whole]
         pieces = -(-size // PIECE)
         within = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
         first = np.repeat(cut, pieces) + within * PIECE
-        end = np.minimum(first + PIECE, np.repeat(cut + size, pieces))
-        found.append([least[first].view(np.int64), first + start, end + start])
+        end, text = np.minimum(first + PIECE, np.repeat(cut + size, pieces)), np.repeat(text, pieces)
+        found.append([text, least[first].view(np.int64), first + start - bounds[text], end + start - bounds[text]])
     return tuple(np.concatenate(x) for x in zip(*found))
 
 
+def _joined_texts(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """A batch's texts in one array, and where each begins."""
+    column = batch["text"]
+    bounds = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    return np.frombuffer(column.buffers()[2] or b"", np.uint8)[bounds[0] : bounds[-1]], bounds - bounds[0]
+
+
 def _bytes_of(column: pa.Array) -> Iterator[np.ndarray]:
     return (np.frombuffer(x.as_buffer() or b"", np.uint8) if x.is_valid else np.empty(0, np.uint8) for x in column)
 
@@ -89,32 +107,42 @@ def _split(values: np.ndarray, at: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.large_binary(), len(at) - 1, [None, pa.py_buffer((at * size).astype(np.int64)), pa.py_buffer(values)])
 
 
+def _pieces(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch of about PIECE_BYTES of text, at least one row each; the texts are not null."""
+    size = np.cumsum(pc.fill_null(pc.binary_length(batch["text"]), 0).to_numpy(zero_copy_only=False))
+    cut = [0, *(np.flatnonzero(np.diff(size // PIECE_BYTES)) + 1).tolist(), batch.num_rows]
+    return (batch.slice(a, b - a) for a, b in zip(cut, cut[1:]))
+
+
 def _spread(n_buckets: int):
     """Anchors of a batch. One that several documents of the batch share is known, so its documents need no comparison with others."""
 
     def run(batches):
-        for batch in batches:
-            each = [np.unique(anchors(d)[0]) if len(d) >= WINDOW else np.empty(0, np.int64) for d in _bytes_of(batch["text"])]
-            if not sum(map(len, each)):
+        for batch in (piece for whole in batches for piece in _pieces(whole)):
+            row, h, _, _ = anchors(*_joined_texts(batch))
+            if not len(h):
                 continue
-            size = [len(x) for x in each]
-            h, doc, tag = np.concatenate(each), np.repeat(batch["doc"].to_numpy(), size), np.repeat(batch["tag"].to_numpy(), size)
-            o = np.lexsort((tag, doc, h))
-            h, doc, tag = h[o], doc[o], tag[o]
-            new = np.r_[True, (h[1:] != h[:-1]) | (doc[1:] != doc[:-1]) | (tag[1:] != tag[:-1])]
-            h, doc, tag = h[new], doc[new], tag[new]
-            cut = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
-            size = np.diff(np.r_[cut, len(h)])
-            known = np.repeat(doc[cut] != doc[cut + size - 1], size)
-            first = np.zeros(len(h), bool)
-            first[cut] = True
+            doc, tag = batch["doc"].to_numpy()[row], batch["tag"].to_numpy()[row]
+            o = np.argsort(h, kind="stable")
+            sh, sd, st = h[o], doc[o], tag[o]
+            change = np.r_[True, sh[1:] != sh[:-1]]
+            new = change.copy()
+            new[1:] |= (sd[1:] != sd[:-1]) | (st[1:] != st[:-1])
+            cut = np.flatnonzero(change)
+            several = np.minimum.reduceat(sd, cut) != np.maximum.reduceat(sd, cut)
+            # Back in the order of the texts, in which ids repeat.
+            known, sent = np.zeros(len(h), bool), np.zeros(len(h), bool)
+            group = np.repeat(several, np.diff(np.r_[cut, len(h)]))
+            known[o[new & group]] = True
+            sent[o[new & ~group]] = True
+            sent[o[cut]] = True
             yield from _direct(h[known], doc[known], tag[known])
-            sent = ~known | first
-            h, doc, tag, known = h[sent], doc[sent], tag[sent], known[sent]
-            bucket = (h.view(np.uint64) % np.uint64(n_buckets)).astype(np.int64)
-            o = np.lexsort((tag, doc, bucket))
+            known = known[sent]
+            h, doc, tag = h[sent], doc[sent], tag[sent]
+            bucket = (h.view(np.uint64) % np.uint64(n_buckets)).astype(np.uint16 if n_buckets <= 1 << 16 else np.int64)
+            o = np.argsort(bucket, kind="stable")
             at = np.flatnonzero(np.r_[True, bucket[o][1:] != bucket[o][:-1], True])
-            columns = [pa.array(bucket[o][at[:-1]]), pa.nulls(len(at) - 1, pa.int64()), pa.nulls(len(at) - 1, pa.int64())]
+            columns = [pa.array(bucket[o][at[:-1]].astype(np.int64)), pa.nulls(len(at) - 1, pa.int64()), pa.nulls(len(at) - 1, pa.int64())]
             yield pa.RecordBatch.from_arrays(columns + [_split(x[o], at).cast(pa.binary()) for x in (h, doc, tag, known.astype(np.uint8))], names=_SPREAD_NAMES)
 
     return run
@@ -125,9 +153,9 @@ _SPREAD = "bucket long, doc long, tag long, h binary, docs binary, tags binary,
 
 
 def _direct(h: np.ndarray, doc: np.ndarray, tag: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """One row for each document with its shared anchors."""
+    """One row for each document with its shared anchors, or several rows."""
     if len(h):
-        o = np.lexsort((tag, doc))
+        o = np.argsort(doc, kind="stable")
         h, doc, tag = h[o], doc[o], tag[o]
         at = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (tag[1:] != tag[:-1]), True])
         n = len(at) - 1
@@ -148,37 +176,50 @@ def _shared(batches):
     if not held["h"]:
         return
     h, doc, tag, known = (np.concatenate(held.pop(k)) for k in ("h", "docs", "tags", "known"))
-    o = np.lexsort((doc, h))
+    o = np.argsort(h, kind="stable")
     h, doc, tag, known = h[o], doc[o], tag[o], known[o]
     cut = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
-    size = np.diff(np.r_[cut, len(h)])
-    some = (doc[cut] != doc[cut + size - 1]) | (np.maximum.reduceat(known, cut) > 0)
-    keep = np.repeat(some, size)
+    some = (np.minimum.reduceat(doc, cut) != np.maximum.reduceat(doc, cut)) | (np.maximum.reduceat(known, cut) > 0)
+    keep = np.repeat(some, np.diff(np.r_[cut, len(h)]))
     yield from _direct(h[keep], doc[keep], tag[keep])
 
 
 _CONTEXTS = "h long, key binary, context binary, docs array<long>, tags array<long>, starts array<int>"
 
 
+def _key(context: bytes) -> bytes:
+    """A context's name; two different ones share it with a chance of 2^-128."""
+    return hashlib.blake2b(context, digest_size=16).digest()
+
+
 def _contexts(batches):
     """Different contexts of a batch with their places."""
-    for batch in batches:
-        found: dict[bytes, list] = {}
-        for data, shared, doc, tag in zip(_bytes_of(batch["text"]), batch["shared"], batch["doc"].to_pylist(), batch["tag"].to_pylist()):
+    for batch in (piece for whole in batches for piece in _pieces(whole)):
+        found: dict[bytes, int] = {}
+        owner, starts, rows, ids = [], [], [], []
+        data, bounds = _joined_texts(batch)
+        text, h, first, end = anchors(data, bounds)
+        runs = np.searchsorted(text, np.arange(batch.num_rows + 1))
+        raw = data.tobytes()
+        for row, shared in enumerate(batch["shared"]):
             wanted = np.unique(np.concatenate([np.frombuffer(x.as_buffer(), np.int64) for x in shared.values]))
-            h, first, end = anchors(data)
-            at = np.minimum(np.searchsorted(wanted, h), len(wanted) - 1)
-            hit, raw = wanted[at] == h, data.tobytes()
-            for a, lo, hi in zip(h[hit].tolist(), first[hit].tolist(), end[hit].tolist()):
-                _, docs, tags, starts = found.setdefault(raw[lo : hi + WINDOW - 1], (a, [], [], []))
-                docs.append(doc)
-                tags.append(tag)
-                starts.append(lo)
+            own = slice(runs[row], runs[row + 1])
+            hit = np.flatnonzero(wanted[np.minimum(np.searchsorted(wanted, h[own]), len(wanted) - 1)] == h[own]) + runs[row]
+            lo = first[hit]
+            before = len(found)
+            made = np.array([found.setdefault(raw[a:b], len(found)) for a, b in zip((lo + bounds[row]).tolist(), (end[hit] + bounds[row] + WINDOW - 1).tolist())], np.int64)
+            fresh = np.flatnonzero(made >= before)
+            ids.append(h[hit][fresh[np.unique(made[fresh], return_index=True)[1]]])
+            owner.append(made)
+            starts.append(lo)
+            rows.append(np.full(len(lo), row))
         if found:
-            h, docs, tags, starts = zip(*found.values())
-            keys = [hashlib.blake2b(c, digest_size=16).digest() for c in found]
-            columns = [pa.array(h, pa.int64()), pa.array(keys, pa.binary()), pa.array(list(found), pa.binary()), pa.array(docs, pa.list_(pa.int64())), pa.array(tags, pa.list_(pa.int64())), pa.array(starts, pa.list_(pa.int32()))]
-            yield pa.RecordBatch.from_arrays(columns, names=["h", "key", "context", "docs", "tags", "starts"])
+            owner, starts, rows = np.concatenate(owner), np.concatenate(starts).astype(np.int32), np.concatenate(rows)
+            o = np.argsort(owner, kind="stable")
+            at = pa.array(np.searchsorted(owner[o], np.arange(len(found) + 1)).astype(np.int32))
+            nested = [pa.ListArray.from_arrays(at, pa.array(x[o])) for x in (batch["doc"].to_numpy()[rows], batch["tag"].to_numpy()[rows], starts)]
+            keys = [_key(c) for c in found]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(ids)), pa.array(keys, pa.binary()), pa.array(list(found), pa.binary()), *nested], names=["h", "key", "context", "docs", "tags", "starts"])
 
 
 def _decide(batches):
@@ -192,7 +233,7 @@ def _decide(batches):
         symbols = np.zeros(length.sum() + len(length), np.uint16)
         symbols[np.arange(length.sum()) + np.repeat(np.arange(len(length)), length)] = raw[first : first + length.sum()].astype(np.uint16) + 1
         text.append(symbols)
-        keys += batch["key"].to_pylist()
+        keys += map(_key, contexts.to_pylist())
         low.append(batch["low"].to_numpy())
         high.append(batch["high"].to_numpy())
         sizes.append(length + 1)
@@ -215,17 +256,19 @@ def _decide(batches):
             least.append(mins)
             n_classes += len(mins)
     least = np.concatenate(least)
-    start = ends - sizes
-    at = np.flatnonzero(np.arange(n) + WINDOW < ends[owner])
-    m, own = least[cls[at]], owner[at]
-    cut = np.flatnonzero(np.r_[True, (own[1:] != own[:-1]) | (m[1:] != m[:-1])])
-    stop = np.r_[cut[1:], len(at)] - 1
-    m, own, a, b = m[cut], own[cut], at[cut], at[stop]
-    hit = m < high[own]
-    m, own, a, b = m[hit], own[hit], a[hit] - start[own[hit]], b[hit] - start[own[hit]]
-    for k in range(0, len(m), 50_000):
-        part = slice(k, k + 50_000)
-        yield pa.RecordBatch.from_arrays([pa.array([keys[x] for x in own[part].tolist()], pa.binary()), pa.array(a[part], pa.int32()), pa.array(b[part], pa.int32()), pa.array(m[part], pa.int64())], names=["key", "a", "b", "least"])
+    for k in range(0, len(sizes), 8192):  # contexts at a time
+        begin, stop = int(ends[k] - sizes[k]), int(ends[min(k + 8192, len(sizes)) - 1])
+        own = owner[begin:stop]
+        at = np.arange(begin, stop)
+        whole = at + WINDOW < ends[own]
+        at, own = at[whole], own[whole]
+        m = least[cls[at]]
+        cut = np.flatnonzero(np.r_[True, (own[1:] != own[:-1]) | (m[1:] != m[:-1])])
+        last = np.r_[cut[1:], len(at)] - 1
+        m, own, a, b = m[cut], own[cut], at[cut], at[last]
+        hit = m < high[own]
+        m, own, first = m[hit], own[hit], (ends - sizes)[own[hit]]
+        yield pa.RecordBatch.from_arrays([pa.array([keys[x] for x in own.tolist()], pa.binary()), pa.array((a[hit] - first).astype(np.int32)), pa.array((b[hit] - first).astype(np.int32)), pa.array(m)], names=["key", "a", "b", "least"])
 
 
 def _cut(with_text: bool):
@@ -251,22 +294,53 @@ def _cut(with_text: bool):
     return run
 
 
+def _equal_texts(rows: DataFrame, scratch: Scratch) -> tuple[DataFrame, int]:
+    """(doc, tag, n) of texts that a document of a smaller id has as a whole; the bytes of all texts."""
+    narrow, seen = scratch.save_measured(rows.select("doc", "tag", F.sha2("text", 256).alias("digest"), F.octet_length("text").alias("n")), "digests", F.sum("n").alias("bytes"), F.count(F.lit(1)).alias("rows"))
+    narrow = narrow.where("doc is not null")
+    groups = narrow.groupBy("digest").agg(F.min("doc").alias("low"), F.max("doc").alias("high"), F.count(F.lit(1)).alias("n_rows")).where("low < high")
+    return scratch.save(join_counted(narrow, groups, ["digest"], seen["rows"], seen["rows"]).where("doc > low").select("doc", "tag", "n").distinct(), "equal"), seen["bytes"] or 0
+
+
+def _shared_anchors(rows: DataFrame, total: int) -> DataFrame:
+    """(doc, tag, shared): the anchors that a document shares with others."""
+    spread = rows.mapInArrow(_spread(total // BUCKET + 64), _SPREAD).repartition(total // SHARD + 3, F.coalesce("bucket", "tag"))
+    return spread.mapInArrow(_shared, _SPREAD).groupBy("doc", "tag").agg(F.collect_list("h").alias("shared"))
+
+
+def _repeated_windows(contexts: DataFrame, total: int) -> DataFrame:
+    """(key, a, b, least) of contexts: windows a to b also start in the document `least`."""
+    n, low = total // SHARD + 3, F.array_min("docs")
+    # What is sent is small: a shard's number instead of the anchor, many to a partition, and both ids' difference, mostly 0.
+    sent = contexts.select(F.pmod("h", F.lit(32 * n)).cast("int").alias("shard"), "context", low.alias("low"), low.bitwiseXOR(F.array_max("docs")).alias("more")).repartition(n, "shard")
+    same = sent.groupBy("shard", "context").agg(F.min("low").alias("low"), F.max(F.col("low").bitwiseXOR(F.col("more"))).alias("high"))
+    return same.mapInArrow(_decide, "key binary, a int, b int, least long")
+
+
+def _spans(contexts: DataFrame, runs: DataFrame) -> DataFrame:
+    """(doc, tag, spans) of the places of the decided windows."""
+    places = contexts.select("key", F.arrays_zip("docs", "tags", "starts").alias("places")).join(runs, "key").select(F.explode(F.filter("places", lambda p: p["docs"] > F.col("least"))).alias("p"), "a", "b")
+    spans = places.select(F.col("p.docs").alias("doc"), F.col("p.tags").alias("tag"), F.struct((F.col("p.starts") + F.col("a")).alias("s"), (F.col("p.starts") + F.col("b") + WINDOW).alias("e")).alias("span"))
+    return spans.groupBy("doc", "tag").agg(F.collect_set("span").alias("spans"))
+
+
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
     """(id, n_bytes, n_removed, n_spans, kept_sha256, spans) of each row, and the bytes that are left (kept) if asked for."""
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "repeats")
+    scratch = Scratch(docs.sparkSession, "repeats")
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.xxhash64(text).alias("tag"), text.cast("binary").alias("text"))
-    total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    shards, buckets = total // SHARD + 1, total // BUCKET + 64
+    equal, total = _equal_texts(rows, scratch)
     long_enough = rows.where(F.col("doc").isNotNull() & (F.octet_length("text") >= WINDOW))
-    spread = long_enough.mapInArrow(_spread(buckets), _SPREAD).repartition(shards + 3, F.coalesce("bucket", "tag"))
-    shared = spread.mapInArrow(_shared, _SPREAD).groupBy("doc", "tag").agg(F.collect_list("h").alias("shared"))
-    contexts = scratch.save(long_enough.join(shared, ["doc", "tag"]).mapInArrow(_contexts, _CONTEXTS), "contexts")
-    distinct = contexts.select("h", "key", "context", F.array_min("docs").alias("low"), F.array_max("docs").alias("high")).repartition(shards + 3, "h").groupBy("h", "key", "context").agg(F.min("low").alias("low"), F.max("high").alias("high"))
-    runs = distinct.mapInArrow(_decide, "key binary, a int, b int, least long")
-    places = contexts.select("key", F.arrays_zip("docs", "tags", "starts").alias("places")).join(runs, "key").select(F.explode(F.filter("places", lambda p: p["docs"] > F.col("least"))).alias("p"), "a", "b")
-    spans = places.select(F.col("p.docs").alias("doc"), F.col("p.tags").alias("tag"), F.struct((F.col("p.starts") + F.col("a")).alias("s"), (F.col("p.starts") + F.col("b") + WINDOW).alias("e")).alias("span"))
-    found = scratch.save(spans.groupBy("doc", "tag").agg(F.collect_set("span").alias("spans")), "spans")
+    shared = scratch.save(_shared_anchors(long_enough, total), "shared")
+    scratch.sweep()
+    contexts = scratch.save(long_enough.join(shared.join(equal, ["doc", "tag"], "left_anti"), ["doc", "tag"]).mapInArrow(_contexts, _CONTEXTS), "contexts", codec="zstd")
+    scratch.drop("shared")
+    scratch.sweep()
+    runs = scratch.save(_repeated_windows(contexts, total), "runs")
+    scratch.sweep()
+    found = scratch.save(_spans(contexts, runs), "spans")
+    scratch.drop("contexts", "runs")
+    scratch.sweep()
+    whole = equal.where(F.col("n") >= WINDOW).select("doc", "tag", F.array(F.struct(F.lit(0).alias("s"), F.col("n").alias("e"))).alias("spans"))
     result = "doc long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:int,end:int>>" + ", kept binary" * with_text
-    return rows.join(found, ["doc", "tag"], "left").select("doc", "text", "spans").mapInArrow(_cut(with_text), result).withColumnRenamed("doc", id_col)
+    return rows.join(found.unionByName(whole), ["doc", "tag"], "left").select("doc", "text", "spans").mapInArrow(_cut(with_text), result).withColumnRenamed("doc", id_col)

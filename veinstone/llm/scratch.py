@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -35,9 +36,9 @@ class Scratch:
         self.spark, self.root = spark, f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
         _made.append(self.root)
 
-    def save(self, df: DataFrame, name: str) -> DataFrame:
+    def save(self, df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
         path = f"{self.root}/{name}"
-        df.write.parquet(path)
+        df.write.option("compression", codec).parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def save_measured(self, df: DataFrame, name: str, *measures: Column) -> tuple[DataFrame, dict]:
@@ -46,6 +47,11 @@ class Scratch:
         out = self.save(df.observe(seen, *measures), name)
         return out, seen.get
 
+    def sweep(self) -> None:
+        """Lets Spark delete the shuffle files of finished jobs now, not when the driver happens to collect its garbage."""
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
+
     def drop(self, *names: str) -> None:
         """Deletes tables that no live result reads."""
         for name in names:

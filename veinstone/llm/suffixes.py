@@ -40,7 +40,7 @@ class Spill:
 
     def mapped(self, dtype, n: int) -> np.ndarray:
         self.file.flush()
-        return np.memmap(self.file, dtype, "r+", shape=(n,)) if n else np.empty(0, dtype)
+        return np.asarray(np.memmap(self.file, dtype, "r+", shape=(n,))) if n else np.empty(0, dtype)
 
 
 class Queue:
@@ -91,7 +91,13 @@ class Queue:
 
 def refine(rank: np.ndarray, live: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Splits groups of equal rank (a rank is the number of smaller ones) by a key; what is still tied, and its ranks' starts."""
-    o = np.lexsort((key, rank[live]))
+    now = rank[live]
+    if now.max() == now.min():
+        o = np.argsort(key)
+    elif len(rank) < 1 << 31 and key.max() < 1 << 32:
+        o = np.argsort((now.astype(np.uint64) << np.uint64(32)) | key.astype(np.uint64))
+    else:
+        o = np.lexsort((key, now))
     live, key = live[o], key[o]
     old, at = rank[live], np.arange(len(live))
     change = np.r_[True, old[1:] != old[:-1]]
@@ -138,11 +144,11 @@ class Induced:
 
     def __init__(self, text: np.ndarray, memory: int = QUEUED, base: int = BASE, prefixes: bool = True):
         self.text, self.memory, self.base, self.prefixes = text, memory, base, prefixes
-        n, at = len(text), np.arange(len(text))
+        n, at = len(text), np.arange(len(text), dtype=np.int32)
         end = text == 0
         # An end counts as smaller than what follows it; a run of one symbol takes the type of its last one.
         rises, differs = np.r_[text[:-1] < text[1:], True] | end, np.r_[text[:-1] != text[1:], True] | end
-        follow = np.minimum.accumulate(np.where(differs, at, n - 1)[::-1])[::-1]
+        follow = np.minimum.accumulate(np.where(differs, at, np.int32(n - 1))[::-1])[::-1]
         self.small = rises[follow]
         is_star = self.small & ~np.r_[True, self.small[:-1]]
         self.stars = np.flatnonzero(is_star)
