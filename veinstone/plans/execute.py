@@ -15,9 +15,10 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.analyzers import fold, query_terms, stem, stem_forms
 from ..operators import relational as R
+from .fragments import fragments
 from .index import TermIndex, pattern_regex, placed_words
 from .request import SLOP, TIE, SearchRequest, has_syntax, holds, least_terms, leaves, parse, rewrite
-from .search import B, K1, highlight
+from .search import B, K1
 
 #: Filters by the request's names: document field. Values that stand for another one: fixed values.
 FILTERS = {"collection": "collection_ssim", "level": "level_ssm", "access": "has_online_content_ssim", "repository": "repository_ssim", "creators": "creator_ssim", "names": "names_ssim", "places": "geogname_ssim", "access_subjects": "access_subjects_ssim"}
@@ -182,9 +183,6 @@ def search(docs: DataFrame, request: SearchRequest, facets: list[str] | None = N
     else:
         ranked = dismax(rows, r, id_col)
     found = rows.join(ranked.withColumnRenamed("id", id_col), id_col)
-    if marked:
-        words = [fold(t) for t in query_terms(r.q.replace('"', " ").replace("(", " ").replace(")", " "))]
-        found = found.withColumn("highlight", highlight(F.concat_ws(" ", marked), words) if words else F.lit(None).cast("string"))
     if r.sort in SORTS and SORTS[r.sort][0] in docs.columns:
         field, way = SORTS[r.sort]
         order = [F.asc_nulls_last(field) if way == "asc" else F.desc_nulls_last(field), F.asc(id_col)]
@@ -200,6 +198,10 @@ def search(docs: DataFrame, request: SearchRequest, facets: list[str] | None = N
         hits = R.group_top(found.join(top.select("_root_"), "_root_", "left_semi"), "_root_", *order).join(top, "_root_").orderBy(*by_best, "place")
     else:
         hits = R.page(found, *order, start=start, rows=r.per_page)
+    if marked:
+        words = [w for kind, body, denied in leaves(tree) if not denied and kind != "pattern" for w in ([body] if kind == "term" else body)] if tree else [fold(t) for t in query_terms(r.q)]
+        values = F.col(marked) if docs.schema[marked].dataType.typeName() == "array" else F.array(marked)
+        hits = hits.withColumn("highlight", F.get(fragments(values, words), 0) if words else F.lit(None).cast("string"))
     return Found(hits, found.agg(F.count(F.lit(1)).alias("hits")), R.facet_page(found, facets) if facets else None, ranked)
 
 

@@ -9,7 +9,9 @@ from . import execute as X
 from .catalog import STEMS, WORDS, query, table
 from .index import TermIndex
 from .more_queries import RANKED, REQUEST, parts
+from .fragments import fragments
 from .request import SearchRequest
+from .suggestions import Spelling, Suggestions
 
 _built: dict[tuple, TermIndex] = {}
 
@@ -172,3 +174,66 @@ def i2_index_words(spark, sf):
     changed = docs.where("id % 3 = 1 and id % 5 != 2").withColumn("name", F.array(F.lit("violet ring")))
     index.update(changed, ["name"], block_col="id", removed=docs.where("id % 5 = 2").select("id")).compact().clean()
     return index.dictionary()
+
+
+# --- highlights, spelling, suggestions
+
+WORD = "[\\p{L}\\p{N}\\p{M}]+"
+
+
+@query(f"""with d as (select doc_id, regexp_extract_all(text, '{WORD}') w, regexp_split_to_array(text, '{WORD}') g from documents where regexp_matches(text, '{WORD}')),
+ f as (select *, unnest(range(0, ((len(w) + 19) // 20)::bigint)) k from d),
+ s as (select *, list_transform(list_filter(list_transform(w[k * 20 + 1 : k * 20 + 20], lambda x: strip_accents(lower(x))), lambda x: x in ('thinor', 'thinors', 'hate', 'hates')), lambda x: regexp_replace(x, 's$', '')) h from f),
+ t as (select doc_id, row_number() over (partition by doc_id order by len(list_distinct(h)) desc, len(h) desc, k) place,
+  trim(case when k = 0 then g[1] else '' end || array_to_string(list_transform(range(k * 20 + 1, least(k * 20 + 20, len(w)) + 1), lambda i: case when strip_accents(lower(w[i])) in ('thinor', 'thinors', 'hate', 'hates') then '<em>' || w[i] || '</em>' else w[i] end || g[i + 1]), '')) fragment from s where len(h) > 0)
+ select doc_id, fragment from t where place = 1""")
+def q12_fragments(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", F.get(fragments(F.array("text"), ["thinor", "hates"]), 0).alias("fragment"))
+    return docs.where("fragment is not null")
+
+
+def spelling_of(spark, sf) -> Spelling:
+    key = (spark.sparkContext.applicationId, sf, "spelling")
+    if key not in _built:
+        _built[key] = Spelling(text_index(spark, sf), new_folder(spark, "spelling")).build()
+    return _built[key]
+
+
+NEAR = f"""with t as (select unnest(list_distinct({WORDS})) term from documents), f as (select term, count(*) freq from t group by 1), o as (select coalesce(max(freq), 0) own from f where term = 'thinr')
+ select term, freq, round(1 - levenshtein(term, 'thinr') / greatest(length(term), 5), 6) accuracy from f cross join o where term != 'thinr' and levenshtein(term, 'thinr') <= 2 and 1 - levenshtein(term, 'thinr') / greatest(length(term), 5) >= 0.5"""
+
+
+@query(f"{NEAR} and freq > own order by accuracy desc, freq desc, term limit 5")
+def q13_near_words(spark, sf):
+    return spelling_of(spark, sf).near("thinr", accuracy=0.5)
+
+
+@query(f"{NEAR} order by accuracy desc, freq desc, term limit 50")
+def q13_near_any_frequency(spark, sf):
+    return spelling_of(spark, sf).near("thinr", count=50, accuracy=0.5, only_more_popular=False)
+
+
+@query(f"""with t as (select unnest(list_distinct({WORDS})) term from documents), f as (select term, count(*) freq from t group by 1),
+ s as (select 'ofthe' written, substr('ofthe', 1, k) a, substr('ofthe', k + 1) b from range(1, 5) r(k))
+ select written, a || ' ' || b meant, least(x.freq, y.freq) freq from s join f x on x.term = a join f y on y.term = b
+ union all select 'th at', term, freq from f where term = 'that' union all select written || ' at', term, freq from f, (values ('zz')) v(written) where term = 'zzat'""")
+def q13_word_breaks(spark, sf):
+    spelling = spelling_of(spark, sf)
+    return spelling.breaks(["ofthe"]).unionByName(spelling.breaks(["th", "at"]).where("written = 'th at'"))
+
+
+def suggestions_of(spark, sf) -> Suggestions:
+    key = (spark.sparkContext.applicationId, sf, "suggestions")
+    if key not in _built:
+        _built[key] = Suggestions(spark, new_folder(spark, "suggestions")).build(table(spark, sf, "part"), "p_name")
+    return _built[key]
+
+
+@query("select p_name \"value\", count(*) weight from part where regexp_matches(p_name, '\\bri') group by 1 order by weight desc, length(p_name), p_name limit 5")
+def q14_beginnings(spark, sf):
+    return suggestions_of(spark, sf).suggest("RI")
+
+
+@query("select p_name \"value\", count(*) weight from part where regexp_matches(p_name, '\\bsmall\\b') and regexp_matches(p_name, '\\br') group by 1 order by weight desc, length(p_name), p_name limit 3")
+def q14_several_words(spark, sf):
+    return suggestions_of(spark, sf).suggest("small r", 3)
