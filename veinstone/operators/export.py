@@ -105,14 +105,21 @@ def indent(depth: Column, step: int = 8) -> Column:
     return F.least(F.greatest(depth, F.lit(1)), F.lit(12)) * step
 
 
+#: Roman signs, the largest first: fixed values.
+ROMAN = ((1000, "m"), (900, "cm"), (500, "d"), (400, "cd"), (100, "c"), (90, "xc"), (50, "l"), (40, "xl"), (10, "x"), (9, "ix"), (5, "v"), (4, "iv"), (1, "i"))
+
+
 def list_number(n: Column, style: Column) -> Column:
     """A list item's mark: arabic, letters or roman numerals, else a bullet."""
-    roman = F.lit("")
-    rest = n
-    for value, mark in ((10, "x"), (9, "ix"), (5, "v"), (4, "iv"), (1, "i")):
-        times = F.floor(rest / value) if value in (10, 1) else (rest >= value).cast("int")
-        roman, rest = F.concat(roman, F.repeat(F.lit(mark), times.cast("int"))), rest - times * value
-    letter = F.char((n - 1) % 26 + 97)
+    roman, rest = F.lit(""), n
+    for value, mark in ROMAN:
+        times = F.floor(rest / value)
+        roman, rest = F.concat(roman, F.repeat(F.lit(mark), times.cast("int"))), rest % value
+    # Letters count without a zero: z is followed by aa. A long has at most 14 of them.
+    letter, rest = F.lit(""), n
+    for _ in range(14):
+        letter = F.when(rest > 0, F.concat(F.char((rest - 1) % 26 + 97), letter)).otherwise(letter)
+        rest = F.floor((rest - 1) / 26)
     return F.when(style == "arabic", n.cast("string")).when(style == "upperalpha", F.upper(letter)).when(style == "loweralpha", letter).when(style == "upperroman", F.upper(roman)).when(style == "lowerroman", roman).otherwise("•")
 
 

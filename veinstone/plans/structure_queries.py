@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..operators import cursors as C, intervals as I, networks as N, ranges as Y
+from ..operators import cursors as C, export as E, intervals as I, networks as N, ranges as Y
 from .catalog import query, table
 
 #: Orders as collections, and their lines as components of three levels, in pre-order.
@@ -107,3 +107,14 @@ def p30_longest_prefix(spark, sf):
     word = n.cast("string")
     net = F.when(n % 5 == 0, F.concat(F.lit("10."), word, F.lit(".0.0/16"))).when(n % 5 == 1, F.concat(F.lit("10."), F.floor(n / 2).cast("string"), F.lit("."), word, F.lit(".0/24"))).when(n % 5 == 2, F.concat(F.lit("fd00:"), word, F.lit("::/32"))).when(n % 5 == 3, F.lit("10.0.0.0/8")).otherwise("x/8")
     return N.longest_prefix(customers, "address", table(spark, sf, "nation").select(net.alias("net")), "net").select("c_custkey", "network")
+
+
+# --- list numbers
+
+ROMAN = "array_to_string([repeat('c', n // 100), ['', 'x', 'xx', 'xxx', 'xl', 'l', 'lx', 'lxx', 'lxxx', 'xc'][n // 10 % 10 + 1], ['', 'i', 'ii', 'iii', 'iv', 'v', 'vi', 'vii', 'viii', 'ix'][n % 10 + 1]], '')"
+
+
+@query(f"with p as (select p_partkey, p_partkey % 200 + 1 n from part) select p_partkey, {ROMAN} roman, case when n > 26 then chr((96 + (n - 1) // 26)::int) else '' end || chr((97 + (n - 1) % 26)::int) letter from p")
+def x13_long_lists(spark, sf):
+    n = (F.col("p_partkey") % 200 + 1).cast("int")
+    return table(spark, sf, "part").select("p_partkey", E.list_number(n, F.lit("lowerroman")).alias("roman"), E.list_number(n, F.lit("loweralpha")).alias("letter"))
