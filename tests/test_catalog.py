@@ -7,7 +7,7 @@ import duckdb
 import pytest
 from conftest import SF
 
-from veinstone.plans import catalog, more_queries, rule_queries, search_queries, structure_queries  # noqa: F401 the others add to the catalog
+from veinstone.plans import catalog, lookup_queries, more_queries, rule_queries, search_queries, structure_queries  # noqa: F401 the others add to the catalog
 
 TABLES = "region nation customer supplier part orders lineitem events documents pages".split()
 

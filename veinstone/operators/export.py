@@ -116,10 +116,11 @@ def list_number(n: Column, style: Column) -> Column:
         times = F.floor(rest / value)
         roman, rest = F.concat(roman, F.repeat(F.lit(mark), times.cast("int"))), rest % value
     # Letters count without a zero: z is followed by aa. A long has at most 14 of them.
-    letter, rest = F.lit(""), n
+    signs, rest = [], n.cast("long")
     for _ in range(14):
-        letter = F.when(rest > 0, F.concat(F.char((rest - 1) % 26 + 97), letter)).otherwise(letter)
+        signs.append(F.when(rest > 0, F.char((rest - 1) % 26 + 97)).otherwise(""))
         rest = F.floor((rest - 1) / 26)
+    letter = F.concat(*reversed(signs))
     return F.when(style == "arabic", n.cast("string")).when(style == "upperalpha", F.upper(letter)).when(style == "loweralpha", letter).when(style == "upperroman", F.upper(roman)).when(style == "lowerroman", roman).otherwise("•")
 
 

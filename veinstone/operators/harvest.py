@@ -83,6 +83,19 @@ def source_plan(primary_type: str | None = "resource", published: bool = False,
     return json.dumps({"query": tree("AND", parts)}, separators=(",", ":"))
 
 
+def source_plan_of(updated_after: Column, primary_type: Column, published: bool = False, suppressed: Column | None = None) -> Column:
+    """The plan as a column, with each row's own day and type; a null day or type asks for nothing."""
+    leaf = lambda field, value: F.struct(F.lit(field).alias("field"), value.alias("value"), F.lit("field_query").alias("jsonmodel_type"), F.lit(True).alias("literal"))
+    day = F.struct(F.lit("system_mtime").alias("field"), F.date_format(updated_after, "yyyy-MM-dd").alias("value"), F.lit("greater_than").alias("comparator"), F.lit("day").alias("precision"), F.lit("date_field_query").alias("jsonmodel_type"))
+    parts = []
+    if suppressed is not None:
+        parts.append(F.when(suppressed.isNotNull(), F.to_json(leaf("suppressed", suppressed))))
+    if published:
+        parts.append(F.to_json(leaf("publish", F.lit(True))))
+    parts += [F.when(updated_after.isNotNull(), F.to_json(day)), F.when(primary_type.isNotNull(), F.to_json(leaf("primary_type", primary_type)))]
+    return F.concat(F.lit('{"query":{"jsonmodel_type":"boolean_query","op":"AND","subqueries":['), F.array_join(F.array_compact(F.array(*parts)), ","), F.lit("]}}"))
+
+
 def updated_since(last_run: Column, overlap: int = OVERLAP_DAYS) -> Column:
     """The day after which changes are asked for: runs overlap, and what comes twice replaces itself."""
     return F.date_sub(F.to_date(last_run), overlap)

@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import analyzers as A, text as S, times as T
-from ..operators import export as E, harvest as H, relational as R
+from ..operators import export as E, harvest as H, lookups as L, relational as R
 from . import execute as P, request as Q, search as X
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -52,8 +52,8 @@ def s11_filtered_scan(spark, sf):
 
 @query("select o_orderkey, o_totalprice from orders where o_orderkey = (select min(o_orderkey) from orders) limit 1")
 def s12_point_lookup(spark, sf):
-    first = table(spark, sf, "orders").agg(F.min("o_orderkey").alias("k"))
-    return table(spark, sf, "orders").join(first, F.col("o_orderkey") == F.col("k"), "left_semi").select("o_orderkey", "o_totalprice").limit(1)
+    first = table(spark, sf, "orders").agg(F.min("o_orderkey")).first()[0]
+    return L.document(table(spark, sf, "orders"), first, "o_orderkey").select("o_orderkey", "o_totalprice")
 
 
 @query("select p_partkey, string_split(p_name, ' ') words from part where list_contains(string_split(p_name, ' '), string_split(p_name, ' ')[1]) and p_size > 10")
@@ -132,8 +132,9 @@ def j1_root_subquery(spark, sf):
 
 @query("select c_custkey, n_name, r_name from customer left join nation on c_nationkey = n_nationkey left join region on n_regionkey = r_regionkey")
 def j2_dimension_lookup(spark, sf):
-    n, r = table(spark, sf, "nation"), table(spark, sf, "region")
-    return table(spark, sf, "customer").join(n, F.col("c_nationkey") == n.n_nationkey, "left").join(r, F.col("n_regionkey") == r.r_regionkey, "left").select("c_custkey", "n_name", "r_name")
+    settings = table(spark, sf, "nation").join(table(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey"), "left").select("n_nationkey", "n_name", "r_name")
+    found = L.with_repository(table(spark, sf, "customer"), settings, "c_nationkey", ("n_nationkey",))
+    return found.select("c_custkey", F.col("repository_n_name").alias("n_name"), F.col("repository_r_name").alias("r_name"))
 
 
 @query("select o_orderkey ark, max(o_custkey) id from orders where o_orderkey not in (select l_orderkey from lineitem) group by 1")
@@ -168,7 +169,7 @@ def j7_prune_guests(spark, sf):
 
 @query("select o_orderkey, o_custkey, c_name from orders join customer on o_custkey = c_custkey where o_totalprice > 300000")
 def j8_bookmarks(spark, sf):
-    return table(spark, sf, "orders").where("o_totalprice > 300000").join(table(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", "o_custkey", "c_name")
+    return L.bookmarked(table(spark, sf, "orders").where("o_totalprice > 300000"), table(spark, sf, "customer"), "o_custkey", "c_custkey").select("o_orderkey", "o_custkey", "c_name")
 
 
 HIERARCHY = "h as (select 'r' || r_regionkey id, null parent from region union all select 'n' || n_nationkey, 'r' || n_regionkey from nation union all select 's' || s_suppkey, 'n' || s_nationkey from supplier)"
@@ -208,7 +209,7 @@ def g2_facet_top10(spark, sf):
 
 @query("select count(*) filter (p_type = 'PROMO' or p_size > 40) online, count(*) total from part")
 def g3_facet_query(spark, sf):
-    return table(spark, sf, "part").agg(F.count_if((F.col("p_type") == "PROMO") | (F.col("p_size") > 40)).alias("online"), F.count(F.lit(1)).alias("total"))
+    return L.query_counts(table(spark, sf, "part"), online=(F.col("p_type") == "PROMO") | (F.col("p_size") > 40), total=F.lit(True))
 
 
 @query('select (floor(year(o_orderdate) / 2.0) * 2)::int bucket, count(*) "count" from orders group by 1')
@@ -218,24 +219,23 @@ def g4_range_histogram(spark, sf):
 
 @query("select count(*) hits from orders where o_orderpriority like '1%'")
 def g5_hits(spark, sf):
-    return table(spark, sf, "orders").where("o_orderpriority like '1%'").agg(F.count(F.lit(1)).alias("hits"))
+    return L.hits(table(spark, sf, "orders").where("o_orderpriority like '1%'"))
 
 
 @query(f"with {BLOCKS} select count(*) collections from b where level = 'Collection'")
 def g6_collections(spark, sf):
-    return blocks(spark, sf).where("level = 'Collection'").agg(F.count(F.lit(1)).alias("collections"))
+    return L.collections(blocks(spark, sf))
 
 
 @query("select n_name repository, count(c_custkey) n, format('{:,}', count(c_custkey)) || ' ' || case when count(c_custkey) = 1 then 'collection' else 'collections' end label from nation left join customer on c_nationkey = n_nationkey group by 1")
 def g7_per_repository(spark, sf):
-    counts = table(spark, sf, "customer").groupBy(F.col("c_nationkey").alias("n_nationkey")).agg(F.count(F.lit(1)).alias("n"))
-    n = F.coalesce("n", F.lit(0))
-    return table(spark, sf, "nation").join(counts, "n_nationkey", "left").select(F.col("n_name").alias("repository"), n.alias("n"), S.counted(n, "collection", "collections").alias("label"))
+    nations = table(spark, sf, "nation").select("n_nationkey", F.col("n_name").alias("repository"))
+    return L.per_repository(nations, table(spark, sf, "customer").select(F.col("c_nationkey").alias("n_nationkey")), "n_nationkey").select("repository", "n", "label")
 
 
 @query("select l_orderkey _root_, count(*) components, count(*) filter (l_returnflag = 'R') online, max(l_shipdate)::date last_indexed from lineitem group by 1")
 def g8_root_totals(spark, sf):
-    return table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("_root_")).agg(F.count(F.lit(1)).alias("components"), F.count_if(F.col("l_returnflag") == "R").alias("online"), F.to_date(F.max("l_shipdate")).alias("last_indexed"))
+    return L.collection_totals(table(spark, sf, "lineitem"), F.col("l_returnflag") == "R", "l_shipdate", "l_orderkey")
 
 
 @query("""select l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, place::int place, group_total from (select *, count(*) over (partition by l_orderkey) group_total,
@@ -277,12 +277,13 @@ def o10_custom_order(spark, sf):
 
 @query("select o_custkey k from orders except select c_custkey from customer where c_acctbal > 0")
 def o14_except(spark, sf):
-    return table(spark, sf, "orders").select(F.col("o_custkey").alias("k")).subtract(table(spark, sf, "customer").where("c_acctbal > 0").select("c_custkey"))
+    return L.unpublished(table(spark, sf, "orders").select(F.col("o_custkey").alias("k")), table(spark, sf, "customer").where("c_acctbal > 0").select("c_custkey"), "k")
 
 
 @query("select 'c' kind, c_nationkey nation from customer union all select 's', s_nationkey from supplier")
 def o15_union_all(spark, sf):
-    return table(spark, sf, "customer").select(F.lit("c").alias("kind"), F.col("c_nationkey").alias("nation")).unionByName(table(spark, sf, "supplier").select(F.lit("s").alias("kind"), F.col("s_nationkey").alias("nation")))
+    kind = lambda t, name, key: table(spark, sf, t).select(F.lit(name).alias("kind"), F.col(key).alias("nation"))
+    return L.together(kind("customer", "c", "c_nationkey"), kind("supplier", "s", "s_nationkey"))
 
 
 @query('select (k // 3)::int chunk, list(n_name order by n_name) "values" from (select n_name, row_number() over (order by n_name) - 1 k from nation) group by 1')
@@ -352,7 +353,7 @@ def f9_ark(spark, sf):
 
 @query("select n_nationkey, md5(n_name) hashed_id from nation")
 def f8_md5(spark, sf):
-    return table(spark, sf, "nation").select("n_nationkey", F.md5("n_name").alias("hashed_id"))
+    return table(spark, sf, "nation").select("n_nationkey", L.digest("n_name").alias("hashed_id"))
 
 
 @query("""select p_partkey, case when p_size % 3 = 0 then 'edu' when x in ('amernews', 'comics', 'macweek', 'pn', 'sanitary') then 'rarebooks' when x in ('a', 'f', 'pc', 'sc', 'scm', 'v') then 'uarc' else 'manuscripts' end code
@@ -414,7 +415,7 @@ def t9_long_date(spark, sf):
 
 @query("select event_id, cast(json_extract_string(props, '$.k') as bigint) k from events")
 def n1_json_dig(spark, sf):
-    return table(spark, sf, "events").select("event_id", F.from_json("props", "k long")["k"].alias("k"))
+    return table(spark, sf, "events").select("event_id", L.dig(F.col("props"), "$.k", "long").alias("k"))
 
 
 @query("""select l_orderkey, run::bigint run, count(*) n from (select l_orderkey, sum(case when l_returnflag = 'R' then 1 else 0 end) over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_extendedprice rows unbounded preceding) run from lineitem) group by all""")
