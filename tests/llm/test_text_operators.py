@@ -206,6 +206,17 @@ def test_license_blocks_against_brute_force():
         assert matcher.match(text) == ({"x": best / 11} if best >= 9 else {})
 
 
+def test_each_license_filter_drops_what_the_others_keep():
+    template = "rare1 rare2 mid1 mid2 mid3 often1 often2 often3 often4 often5"
+    counts = {w.encode(): k for k, w in enumerate(template.split())}
+    matcher = licenses.Matcher({"x": [template]}, counts, 0.8)
+    assert matcher.match(b"rare1 mid1 mid2".split()) == {} and matcher.dropped == {"length": 1}
+    text = [b"rare1", *[b"z%d" % k for k in range(40)]]
+    assert matcher.match(text) == {} and matcher.dropped == {"length": 1, "position": 1}
+    assert matcher.match(template.encode().split()[1:]) == {"x": 0.9} and sum(matcher.dropped.values()) == 2
+    assert matcher.match([b"often1"] * 40) == {} and sum(matcher.dropped.values()) == 2  # no token of the prefix
+
+
 PROSE = "The cat is in the house and it was not on the mat when he had gone to the shop for some milk and bread for the evening with her, as they had done in all of the years before, and it is a long one to be sure of that."
 
 

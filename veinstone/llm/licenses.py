@@ -2,9 +2,11 @@
 
 A block is any run of BLOCK times a template's word count. Template tokens are ordered by their frequency over the
 whole corpus, rarest first. A block that contains THRESHOLD of a template holds at least one token of the template's
-prefix (prefix filter), so only the stretches around such tokens are looked at. A stretch must hold as many different
-template tokens as are needed (length filter), and the prefix tokens that it lacks bound what it can hold at most
-(positional filter). What passes is counted exactly in one sweep over the places of the template's tokens. Blocks of
+prefix (prefix filter), so only the stretches around such tokens are looked at. A stretch must have as many words as are
+needed (length filter). Then the template's tokens are looked up in their order: behind each of them, those found so far
+and all that stand behind bound what the stretch can hold, and it is dropped where that is too little (positional
+filter). What passes is counted exactly in one sweep over the places of the template's tokens. Matcher.dropped counts
+what each filter drops. Blocks of
 one template that overlap are reported as one, from the first to the last template token, with their best containment.
 
 Defined cases: a null text counts as empty; an empty text has no words, null positions, empty labels and blocks and
@@ -52,7 +54,8 @@ class Matcher:
 
     def __init__(self, templates: dict[str, list[str]], counts: dict[bytes, int], threshold: float = THRESHOLD):
         self.threshold = threshold
-        self.items: list[tuple[str, frozenset[bytes], int, int]] = []  # label, tokens, tokens needed, block length
+        self.items: list[tuple[str, dict[bytes, int], int, int]] = []  # label, tokens by place in the order, tokens needed, block length
+        self.dropped: Counter[str] = Counter()
         self.prefix: dict[bytes, list[int]] = defaultdict(list)
         for label, texts in templates.items():
             for text in texts:
@@ -61,7 +64,7 @@ class Matcher:
                 need = max(1, math.ceil(threshold * len(tokens) - 1e-9))
                 for w in tokens[: len(tokens) - need + 1]:
                     self.prefix[w].append(len(self.items))
-                self.items.append((label, frozenset(tokens), need, math.ceil(BLOCK * len(words))))
+                self.items.append((label, {w: k for k, w in enumerate(tokens)}, need, math.ceil(BLOCK * len(words))))
 
     def blocks(self, words: list[bytes]) -> list[tuple[int, int, str, float]]:
         """(start, end, label, containment) of all blocks that reach the threshold, in words, sorted."""
@@ -81,7 +84,7 @@ class Matcher:
                     stretch[-1][1] = i + size
                 else:
                     stretch.append([i - size + 1, i + size])
-            at, prefix = 0, len(tokens) - need + 1
+            at = 0
             for a, b in stretch:
                 while at < len(places) and places[at][0] < a:
                     at += 1
@@ -89,11 +92,24 @@ class Matcher:
                 while at < len(places) and places[at][0] < b:
                     some.append(places[at])
                     at += 1
-                held = {w for _, w in some}
-                if len(held) >= need and len(tokens) - (prefix - len(held & seeds)) >= need:
+                if min(b, len(words)) - max(a, 0) < need:
+                    self.dropped["length"] += 1
+                elif not self._can_hold({w for _, w in some}, tokens, need):
+                    self.dropped["position"] += 1
+                else:
                     out += [(x, y, label, most / len(tokens)) for x, y, most in self._sweep(some, need, size)]
         return sorted(out)
 
+    @staticmethod
+    def _can_hold(held: set[bytes], tokens: dict[bytes, int], need: int) -> bool:
+        """Whether what is found up to each place of the order, and everything behind it, is enough."""
+        found = 0
+        for w, place in tokens.items():
+            found += w in held
+            if found + len(tokens) - place - 1 < need:
+                return False
+        return True
+
     @staticmethod
     def _sweep(places: list[tuple[int, bytes]], need: int, size: int) -> list[tuple[int, int, int]]:
         """(start, end, most different tokens) of merged blocks; a block ends at each place."""
