@@ -15,19 +15,26 @@ def _cut(text: Column, terms: list[str], size: int) -> Column:
     forms = [f for t in dict.fromkeys(map(stem, terms)) for f in stem_forms(t)]
     numbers = F.create_map(*[F.lit(x) for k, t in enumerate(dict.fromkeys(map(stem, terms))) for f in stem_forms(t) for x in (f, k)])
     word = r"[\p{L}\p{N}\p{M}]+"
-    words = F.regexp_extract_all(text, F.lit(f"({word})"), 1)
-    gaps = F.split(text, word)  # one more than there are words
-    parts = F.zip_with(F.transform(words, lambda w: F.struct(w.alias("w"), fold_column(w).alias("f"))), F.slice(gaps, 2, F.greatest(F.size(words), F.lit(1))), lambda x, g: F.struct(x["w"].alias("w"), x["f"].alias("f"), g.alias("gap")))
-    marked = F.transform(parts, lambda x: F.concat(F.when(x["f"].isin(*forms), F.concat(F.lit("<em>"), x["w"], F.lit("</em>"))).otherwise(x["w"]), x["gap"]))
-    n = F.size(words)
-
-    def fragment(k: Column) -> Column:
-        own = F.slice(parts, k * size + 1, F.lit(size))
-        found = F.filter(F.transform(own, lambda x: numbers[x["f"]]), lambda m: m.isNotNull())
-        body = F.concat(F.when(k == 0, gaps[0]).otherwise(""), F.array_join(F.slice(marked, k * size + 1, F.lit(size)), ""))
-        return F.struct(F.size(F.array_distinct(found)).alias("score"), F.size(found).alias("hits"), (-k).alias("k"), F.trim(body).alias("text"))
-
-    return F.when(n > 0, F.transform(F.sequence(F.lit(0), F.floor((n - 1) / size).cast("int")), fragment)).otherwise(F.array())
+
+    def once(value: Column, body) -> Column:
+        """The array that body makes of a value; the value is computed once, not at each place where body names it."""
+        return F.flatten(F.transform(F.array(value), body))
+
+    def marked(x: Column, gap: Column) -> Column:
+        hit = x["f"].isin(*forms)
+        return F.struct(F.concat(F.when(hit, F.concat(F.lit("<em>"), x["w"], F.lit("</em>"))).otherwise(x["w"]), gap).alias("t"), F.when(hit, numbers[x["f"]]).alias("m"))
+
+    def fragment(parts: Column, lead: Column, k: Column) -> Column:
+        return F.transform(F.array(F.slice(parts, k * size + 1, F.lit(size))), lambda own: F.struct(
+            F.size(F.array_distinct(F.array_compact(own["m"]))).alias("score"), F.size(F.array_compact(own["m"])).alias("hits"), (-k).alias("k"),
+            F.trim(F.concat(F.when(k == 0, lead).otherwise(""), F.array_join(own["t"], ""))).alias("text")))[0]
+
+    def cut(b: Column) -> Column:
+        gaps = b["gaps"]  # one more than there are words
+        return once(F.zip_with(b["words"], F.slice(gaps, 2, F.size(gaps)), marked), lambda parts: F.when(F.size(parts) > 0, F.transform(F.sequence(F.lit(0), F.floor((F.size(parts) - 1) / size).cast("int")), lambda k: fragment(parts, gaps[0], k))).otherwise(F.array()))
+
+    words = F.transform(F.regexp_extract_all(text, F.lit(f"({word})"), 1), lambda w: F.struct(w.alias("w"), fold_column(w).alias("f")))
+    return once(F.struct(words.alias("words"), F.split(text, word).alias("gaps")), cut)
 
 
 def fragments(values: Column, terms: list[str], size: int = SIZE, count: int = COUNT) -> Column:
