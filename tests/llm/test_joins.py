@@ -1,6 +1,7 @@
 """Joins, searches and the classifier against brute force."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from veinstone.llm import jaccard, leaks, quality
@@ -300,3 +301,12 @@ def test_components_of_stars_and_chains(spark):
             root[b] = a
     got = components(spark.createDataFrame(edges, "a long, b long"), Scratch(spark, "test"), "c").collect()
     assert sorted(map(tuple, got)) == sorted((x, top(x)) for x in root if top(x) != x)
+
+
+def test_a_token_of_some_large_classes_alone_ties_nothing():
+    """20 classes of 640 shingles that meet on one token: it is one vote of the 11 that a linked pair has at least."""
+    n, key = 640, np.arange(1, 21, dtype=np.int64)
+    rows = [np.full(20, 7, np.int64), key, np.full(20, 2 * n, np.int64)]
+    batch = pa.RecordBatch.from_arrays([*map(pa.array, rows), pa.nulls(20, pa.int64())], ["token", "key", "size", "hot"])
+    made = pa.Table.from_batches(jaccard._meet(iter([batch]))).to_pydict()
+    assert len(made["a"]) == 190 and set(made["votes"]) == {1} and set(made["need"]) == {11}

@@ -34,6 +34,7 @@ def components(edges: DataFrame, scratch: Scratch, name: str, a: str = "a", b: s
     state = [F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x")]
     first = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where(f"{a} is not null and {b} is not null and u != v")
     now, found = scratch.save_measured(first, f"{name}0", *state)
+    scratch.sweep()  # what made the edges is much larger than they are
     k, seen = 0, None
     while found != seen and found["n"]:
         k, seen = k + 1, found

@@ -45,7 +45,9 @@ CHUNK, COMMON, REPEATED = 1 << 20, 1 << 18, 2
 #: Times that a token was seen among others of its batch from which on its classes are dealt to parts of that size.
 HOT = 2048
 #: Runs of a routing token up to this length give all pairs, which count their votes; longer ones give stars, whose edges always hold.
-RUN, ENOUGH = 8, 1 << 40
+#: A token that chance brings into some classes grows with the corpus: where its run makes a star, unrelated classes come
+#: into one cluster, so only runs far beyond what chance brings may do so.
+RUN, ENOUGH = 64, 1 << 40
 #: Size limits of one group in one task, and rows in an R-tree leaf.
 CLUSTER, TOKENS, LEAF = 512, 1 << 22, 32
 #: 64-bit words of the fixed-size filter in front of the join that fetches sets.
@@ -342,9 +344,13 @@ def _pairs(token: np.ndarray, key: np.ndarray, size: np.ndarray, hot: np.ndarray
     run, rows = np.repeat(np.arange(len(start)), length), np.arange(len(token))
     is_long = is_hot | (np.repeat(length, length) > RUN) | (token == long_token if long_token is not None else False)
     low, high, votes = [], [], []
-    for d in range(1, RUN):  # short runs: all pairs of an indexed row and a later one
-        i = rows[: max(0, len(rows) - d)]
-        i = i[(run[i] == run[i + d]) & ~is_long[i] & indexed[i] & (DEN * n[i] >= NUM * n[i + d])]
+    # Short runs: all pairs of an indexed row and a later one. Rows stand by size, so what is too large stays so.
+    end, i = np.repeat(start + length, length), rows[~is_long & indexed]
+    for d in range(1, RUN):
+        i = i[i + d < end[i]]
+        i = i[DEN * n[i] >= NUM * n[i + d]]
+        if not len(i):
+            break
         low, high, votes = [*low, i], [*high, i + d], [*votes, np.ones(len(i), np.int64)]
     # Long runs: a star around the first indexed row of each band of sizes, and an edge to the band before it. A row
     # before its band's star, if any, is tied to the last indexed row before it.
@@ -554,10 +560,12 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     edges = routed.repartition("token").sortWithinPartitions("token", "size", "key").mapInArrow(_meet, "a long, b long, votes long, need long")
     edges = edges.groupBy("a", "b").agg(F.sum("votes").alias("votes"), F.max("need").alias("need")).where("votes >= need").select("a", "b")
     clusters = components(edges, scratch, "cluster")
+    scratch.sweep()
     nodes = clusters.select(F.col("node").alias("key"), F.col("root").alias("cluster"))
     nodes = nodes.unionByName(nodes.select(F.col("cluster").alias("key"), "cluster").distinct())
     reps = scratch.save(slim.where("key is not null and doc_id is not null").groupBy("key", "key2").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n")), "reps")
     members = scratch.save(nodes.join(reps, "key"), "members")
+    scratch.sweep()
 
     dealt = deal(members, cluster_limit, token_limit)
     fetched = maybe_in(texts, "doc_id", members, "rep").withColumnRenamed("doc_id", "rep").join(dealt, "rep")
@@ -565,6 +573,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     links = fetched.repartition(*group).sortWithinPartitions(*group, "n", "rep", "key", "key2").select(*group, "side", "rep", "key", "key2", "raw").mapInArrow(_join_groups(secret), "a long, b long")
     # A class goes by its smallest id, so the smallest class of a component names the component.
     roots = components(links, scratch, "link").withColumnsRenamed({"node": "rep", "root": "component_id"})
+    scratch.sweep()
     names = reps.join(roots, "rep", "left").select("key", "key2", F.coalesce("component_id", "rep").alias("component_id"))
     out = slim.join(names, ["key", "key2"], "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
