@@ -174,3 +174,27 @@ def test_fragments_against_brute_force(spark):
 
     got = {r.id: r.f for r in spark.createDataFrame(rows, "id int, v array<string>").select("id", fragments.fragments(F.col("v"), terms, 6, 2).alias("f")).collect()}
     assert got == {k: brute(v) for k, v in rows}
+
+
+def test_postings_are_packed_and_a_long_text_takes_linear_time(spark, tmp_path):
+    words = [f"w{k}" for k in range(300)]
+    docs = spark.createDataFrame([(k, k, " ".join(words)) for k in range(50)], "id long, _root_ long, text string").coalesce(1)
+    index = TermIndex(spark, str(tmp_path)).update(docs, ["text"], grams=False)
+    assert index._rows("postings").count() <= 300 * 4  # 15000 postings, in packs of a task
+    assert sorted((int(r.id), r["at"]) for r in index.hits(["w7"], [], ["text"]).collect()) == [(k, [7]) for k in range(50)]
+    assert sorted(r.word for r in index.words_like("w29?").collect()) == [f"w29{k}" for k in range(10)]
+
+
+def test_a_scan_reads_the_texts_once(spark, docs):
+    source = X.Scan(docs)
+    plans = [df._jdf.queryExecution().optimizedPlan().toString() for df in (source.hits(["ring"], [], ["title", "text"]), source.sizes(["title", "text"]))]
+    assert all("translate" not in p and "split" not in p for p in plans)
+
+
+def test_long_words_are_kept_under_few_forms(spark):
+    made = spark.createDataFrame([("thingerbly",), ("short",)], "w string").select("w", F.size(suggestions.kept_forms(F.col("w"))).alias("n")).collect()
+    assert {r.w: r.n for r in made} == {"thingerbly": 10, "short": 16}
+    rng = random.Random(4)
+    words = ["".join(rng.choices("ab", k=rng.randint(4, 11))) for _ in range(250)]
+    kept = {r.w: set(r.f) for r in spark.createDataFrame([(w,) for w in words], "w string").select("w", suggestions.kept_forms(F.col("w")).alias("f")).collect()}
+    assert all(kept[b] & set(suggestions.asked_forms(a)) for a in words for b in words if edits(a, b) <= 2)

@@ -12,6 +12,9 @@ from .index import BUCKETS, TermIndex, bucket_of
 #: Letters of a word's start whose shortened forms are kept, and the greatest number of edits. Words within EDITS edits have
 #: starts of this length which share what is left after EDITS deletions each, so no near word is missed.
 START, EDITS = 8, 2
+#: Letters of a half. A word of two halves or more is kept under forms of its first and its last letters instead: of two
+#: edits one half has at most one, so one of the two has a form in common, and 10 forms do where the whole start has 37.
+HALF = 4
 #: Dictionaries by name: the index fields that they cover; none stands for all fields.
 DICTIONARIES = {"default": None, "author": ["name_teim"], "subject": ["subject_teim"], "title": ["title_tesim", "normalized_title_teim"]}
 #: Letters up to which every beginning of a word has its best values listed, and how many.
@@ -27,12 +30,29 @@ def shortened(word: str) -> list[str]:
     return sorted(keep)
 
 
+def _less(w: Column) -> Column:
+    """The word without each of its letters."""
+    return F.transform(F.filter(F.sequence(F.lit(0), F.length(w)), lambda i: i > 0), lambda i: F.concat(F.substring(w, F.lit(1), i - 1), w.substr(i + 1, F.length(w))))
+
+
 def shortened_column(word: Column) -> Column:
     """shortened() as built-in expressions."""
-    less = lambda w: F.transform(F.filter(F.sequence(F.lit(0), F.length(w)), lambda i: i > 0), lambda i: F.concat(F.substring(w, F.lit(1), i - 1), w.substr(i + 1, F.length(w))))
     start = F.substring(word, F.lit(1), F.lit(START))
-    one = less(start)
-    return F.array_distinct(F.concat(F.array(start), one, F.flatten(F.transform(one, less))))
+    one = _less(start)
+    return F.array_distinct(F.concat(F.array(start), one, F.flatten(F.transform(one, _less))))
+
+
+def asked_forms(word: str) -> list[str]:
+    """All forms under which a near word can stand, short or long."""
+    once = lambda w: {w} | {w[:i] + w[i + 1 :] for i in range(len(w))}
+    return sorted({*shortened(word), *("^" + f for f in once(word[:HALF])), *("$" + f for f in once(word[-HALF:]))})
+
+
+def kept_forms(word: Column) -> Column:
+    """The forms under which a word is kept."""
+    once = lambda w, mark: F.transform(F.array_distinct(F.concat(F.array(w), _less(w))), lambda f: F.concat(F.lit(mark), f))
+    halves = F.concat(once(F.substring(word, 1, HALF), "^"), once(F.substring(word, -HALF, HALF), "$"))
+    return F.when(F.length(word) < 2 * HALF, shortened_column(word)).otherwise(halves)
 
 
 class Spelling:
@@ -44,13 +64,13 @@ class Spelling:
     def build(self) -> Spelling:
         """form -> word, for every word of the index."""
         words = self.index.dictionary().select(F.col("term").alias("word"))
-        forms = words.select("word", F.explode(shortened_column(F.col("word"))).alias("form"))
+        forms = words.select("word", F.explode(kept_forms(F.col("word"))).alias("form"))
         forms.withColumn("bucket", bucket_of(F.col("form"))).repartition(BUCKETS, "bucket").sortWithinPartitions("bucket", "form").write.mode("overwrite").partitionBy("bucket").parquet(self.root)
         return self
 
     def near(self, word: str, dictionary: str = "default", count: int = 5, accuracy: float = 0.7, only_more_popular: bool = True) -> DataFrame:
         """(term, freq, accuracy): words within EDITS edits, best first; only_more_popular leaves out rarer ones than the word itself."""
-        forms = shortened(word)
+        forms = asked_forms(word)
         rows = self.index.spark.read.parquet(self.root).where(F.col("bucket").isin(*(bucket_of(F.lit(f)) for f in forms)) & F.col("form").isin(*forms))
         edits = F.levenshtein("word", F.lit(word))
         close = 1 - edits / F.greatest(F.length("word"), F.lit(len(word)))
