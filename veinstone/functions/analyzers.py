@@ -114,7 +114,8 @@ _MARKED = {chr(c): base for c in range(0xC0, 0x250) if (base := unicodedata.norm
 def fold_column(c: Column) -> Column:
     """fold() as built-in expressions: small letters without marks."""
     plain = F.translate(F.lower(c), "".join(_MARKED), "".join(_MARKED.values()))
-    return F.regexp_replace(plain, r"\p{M}", "")
+    ascii = F.octet_length(c) == F.length(c)  # nothing to fold, and much of a corpus
+    return F.when(ascii, F.lower(c)).otherwise(F.regexp_replace(plain, r"\p{M}", ""))
 
 
 def stem_column(w: Column) -> Column:

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.analyzers import fold, query_terms, stem, stem_forms
 from ..operators import relational as R
+from ..operators.shared import new_folder
 from .fragments import fragments
 from .index import TermIndex, pattern_regex, placed_words
 from .request import SLOP, TIE, SearchRequest, has_syntax, holds, least_terms, leaves, parse, rewrite
@@ -71,10 +72,12 @@ def _some_year(field: str, low, high) -> Column:
 
 
 class Scan:
-    """Hits and statistics from the documents' own text: one pass for the statistics and one for the hits, without a shuffle."""
+    """Hits and statistics from the documents' own text: one pass without a shuffle, whose narrow rows are stored, for
+    scores read them several times."""
 
     def __init__(self, docs: DataFrame, id_col: str = "id"):
         self.docs, self.id_col = docs, id_col
+        self.sized: tuple[list[str], DataFrame] | None = None
 
     def _placed(self, fields: list[str]) -> DataFrame:
         return self.docs.select(F.col(self.id_col).alias("id"), *(placed_words(self.docs, f).alias(f"_w_{f}") for f in fields))
@@ -89,16 +92,22 @@ class Scan:
         made += [hit(f, p, lambda w, p=p: w.rlike(pattern_regex(p))) for f in fields for p in patterns]
         if not made:
             return self._placed(fields).where("false").selectExpr("id", "'' as field", "0 as len", "'' as term", "array(0) as at")
-        return self._placed(fields).select("id", F.explode(F.filter(F.array(*made), lambda h: F.size(h["at"]) > 0)).alias("h")).select("id", "h.*")
+        sizes = F.array(*(F.size(f"_w_{f}") for f in fields))
+        at = new_folder(self.docs.sparkSession, "scan")
+        self._placed(fields).select("id", sizes.alias("sizes"), F.filter(F.array(*made), lambda h: F.size(h["at"]) > 0).alias("hits")).write.parquet(at)
+        rows = self.docs.sparkSession.read.parquet(at)
+        self.sized = fields, rows.select(*(F.col("sizes")[k].alias(f"_n_{f}") for k, f in enumerate(fields)))
+        return rows.select("id", F.explode("hits").alias("h")).select("id", "h.*")
 
     def sizes(self, fields: list[str]) -> DataFrame:
         """(field, n, mean): the documents that have words in a field and their mean number."""
         out = []
         for f in fields:
-            n = F.size(f"_w_{f}")
+            n = F.col(f"_n_{f}")
             out += [F.count_if(n > 0).alias(f"n_{f}"), F.try_divide(F.sum(n), F.count_if(n > 0)).alias(f"mean_{f}")]
         one = F.array(*(F.struct(F.lit(f).alias("field"), F.col(f"n_{f}").alias("n"), F.col(f"mean_{f}").alias("mean")) for f in fields))
-        return self._placed(fields).agg(*out).select(F.explode(one).alias("s")).select("s.*")
+        sized = self.sized[1] if self.sized and self.sized[0] == fields else self._placed(fields).select(*(F.size(f"_w_{f}").alias(f"_n_{f}") for f in fields))
+        return sized.agg(*out).select(F.explode(one).alias("s")).select("s.*")
 
 
 def _together(hits: DataFrame, terms: list[str], apart: int) -> DataFrame:
