@@ -6,6 +6,7 @@ from datetime import date
 import pytest
 from pyspark.sql import functions as F
 
+from veinstone.operators import harvest
 from veinstone.operators import cursors, intervals, networks, ranges
 
 
@@ -110,3 +111,12 @@ def test_networks_of_both_kinds(spark):
     found = networks.longest_prefix(df, "a", spark.createDataFrame([(n,) for n in nets], "n string"), "n")
     assert {r.a: r.network for r in found.collect()} == {a: best(a) for a in v4 + v6 + odd}
     assert found.count() == len(v4 + v6 + odd) and networks.longest_prefix(df, "a", spark.createDataFrame([("x",)], "n string"), "n").where("network is not null").count() == 0
+
+
+def test_linked_resources_are_dealt_by_their_rows(spark, monkeypatch):
+    monkeypatch.setattr(harvest, "TASK_ROWS", 10)
+    links = spark.range(100).selectExpr("id % 7 agent", "id record").unionByName(spark.createDataFrame([(3, 500), (4, 501)], "agent long, record long"))
+    parents = spark.range(100).selectExpr("id record", "id div 4 resource")
+    found = harvest.linked_resources(spark.createDataFrame([(3,), (3,)], "agent long"), links, parents)
+    assert "REPARTITION_BY_NUM" in found._jdf.queryExecution().toString()
+    assert sorted(r.uri for r in found.collect()) == [*sorted({k // 4 for k in range(3, 100, 7)}), 500]

@@ -7,6 +7,8 @@ import json
 from pyspark.sql import Column, DataFrame, functions as F
 
 MOST_URIS, MOST_DELETES, OVERLAP_DAYS = 900, 100, 2
+#: Rows that a task of a large join gets.
+TASK_ROWS = 1 << 20
 
 
 class TooManyUris(ValueError):
@@ -120,8 +122,12 @@ def linked_resources(agents: DataFrame, agent_links: DataFrame, record_parents:
     """Resources that name changed agents, directly or through one of their records.
 
     agents (agent), agent_links (agent, record), record_parents (record, resource); a record of its own is a resource.
+    Large tables are dealt to tasks of about TASK_ROWS rows, so that what a task sorts does not grow with them.
     """
-    records = agent_links.join(agents, "agent", "left_semi").select("record").distinct()
+    records = agent_links.join(agents, "agent", "left_semi").select("record")
+    n = record_parents.count() // TASK_ROWS + 1  # for files, from their footers
+    if n > int(agents.sparkSession.conf.get("spark.sql.shuffle.partitions")):
+        records, record_parents = records.repartition(n, "record"), record_parents.repartition(n, "record")
     through = record_parents.join(records, "record", "left_semi").select(F.col("resource").alias("uri"))
     return through.union(records.join(record_parents, "record", "left_anti").select(F.col("record").alias("uri"))).distinct()
 
