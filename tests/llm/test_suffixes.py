@@ -121,3 +121,49 @@ def test_repeats_with_disk_and_recursion(spark, monkeypatch):
         for w in range(len(t) - 49):
             least.setdefault(t[w : w + 50], k)
     assert found == {(k, w): least[t[w : w + 50]] for k, t in rows for w in range(len(t) - 49) if least[t[w : w + 50]] < k}
+
+
+def test_order_with_all_bytes_and_long_common_prefixes():
+    rng = random.Random(13)
+    base = bytes(rng.choices(range(256), k=120))
+    for letters in (bytes(range(256)), bytes(range(254)), b"\x00\xff"):
+        strings = [letters, *(base[k:] for k in range(0, 24)), *(base[:k] for k in range(1, 70, 3)), bytes(rng.choices(letters, k=90))]
+        text = joined(strings)
+        blocks = list(Induced(text, 50, 50).scan())
+        order, common = brute_order(text)
+        assert np.concatenate([b["at"] for b in blocks])[::-1].tolist() == order
+        assert np.concatenate([b["lcp"] for b in blocks])[1:][::-1].tolist() == common[1:]
+
+
+def test_anchors_of_equal_texts_alone_do_not_go_on(spark, monkeypatch):
+    """Before, every context of a text with copies was cut out, sent and sorted, though nothing else shares it."""
+    rng = random.Random(17)
+    part = lambda n: "".join(rng.choices("abcdefgh ", k=n))
+    copied, passage, seen, save = part(3000), part(200), {}, repeats.Scratch.save
+
+    def counted(self, df, name, **options):
+        out = save(self, df, name, **options)
+        seen[name] = out.count()
+        return out
+
+    monkeypatch.setattr(repeats.Scratch, "save", counted)
+    schema = T.StructType().add("doc_id", T.LongType()).add("text", T.StringType())
+    rows = [(k, copied) for k in range(9)] + [(20 + k, part(400)) for k in range(4)]
+    assert result(repeats.remove_repeats(spark.createDataFrame(rows, schema).repartition(3))) == brute_repeats(rows)
+    assert seen["contexts"] == 0
+    rows += [(3, passage + part(90)), (30, part(80) + passage), (31, copied[1000:1300] + part(50)), (2, copied[:1200] + part(10))]
+    assert result(repeats.remove_repeats(spark.createDataFrame(rows, schema).repartition(3))) == brute_repeats(rows)
+    assert seen["contexts"] > 0
+
+
+def test_texts_that_share_a_name_get_others(spark, monkeypatch):
+    tag, salts = repeats._tag, []
+
+    def clashing(digest, salt):
+        salts.append(salt)
+        return repeats.F.lit(7).cast("long") if salt == 0 else tag(digest, salt)
+
+    monkeypatch.setattr(repeats, "_tag", clashing)
+    rows = [(1, "a passage that stands in two documents, whatever their names may be. " + "x" * 9), (2, "a passage that stands in two documents, whatever their names may be. " + "y" * 70), (3, "z" * 80)]
+    assert result(repeats.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"))) == brute_repeats(rows)
+    assert salts == [0, 1]

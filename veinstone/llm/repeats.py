@@ -1,7 +1,7 @@
 """Repeated passages: every byte that a string of WINDOW bytes covers which also starts in a document of a smaller id.
 
 1. Anchors. A window's anchor is the least hash of its GRAM-byte parts, so equal windows have equal anchors wherever they
-   stand, and one anchor serves a run of windows. Only anchors that occur in two documents or more go on.
+   stand, and one anchor serves a run of windows. Only anchors that occur in two different texts or more go on.
    Texts that another document has as a whole are out before: one text stands for all equal ones.
 2. Contexts. Around each such anchor the bytes of its run of windows are cut out; equal contexts become one, with the
    smallest and largest id of their documents. All contexts of an anchor come to one shard.
@@ -22,7 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from .joins import join_counted
 from .scratch import Scratch
@@ -33,6 +33,8 @@ WINDOW, GRAM = 50, 19
 PIECE, SLAB = 512, 1 << 22
 #: Bytes of text that a task handles at once.
 PIECE_BYTES = 1 << 22
+#: Keys that are tried until no two texts share a name.
+SALTS = 4
 #: Bytes of text for each shard and each bucket of anchors.
 SHARD, BUCKET = 1 << 23, 1 << 22
 
@@ -114,74 +116,79 @@ def _pieces(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     return (batch.slice(a, b - a) for a, b in zip(cut, cut[1:]))
 
 
+def _one_of_each(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """Of equal texts of a batch the one with the smallest id, in the order of the batch."""
+    tag, doc = batch["tag"].to_numpy(), batch["doc"].to_numpy()
+    o = np.lexsort((doc, tag))
+    first = np.r_[True, tag[o][1:] != tag[o][:-1]]
+    return batch if first.all() else batch.take(pa.array(np.sort(o[first])))
+
+
 def _spread(n_buckets: int):
-    """Anchors of a batch. One that several documents of the batch share is known, so its documents need no comparison with others."""
+    """Anchors of a batch. One that several texts of the batch share is known, so its texts need no comparison with others."""
 
     def run(batches):
-        for batch in (piece for whole in batches for piece in _pieces(whole)):
+        for batch in (_one_of_each(piece) for whole in batches for piece in _pieces(whole)):
             row, h, _, _ = anchors(*_joined_texts(batch))
             if not len(h):
                 continue
-            doc, tag = batch["doc"].to_numpy()[row], batch["tag"].to_numpy()[row]
             o = np.argsort(h, kind="stable")
-            sh, sd, st = h[o], doc[o], tag[o]
+            sh, sr = h[o], row[o]
             change = np.r_[True, sh[1:] != sh[:-1]]
             new = change.copy()
-            new[1:] |= (sd[1:] != sd[:-1]) | (st[1:] != st[:-1])
+            new[1:] |= sr[1:] != sr[:-1]
             cut = np.flatnonzero(change)
-            several = np.minimum.reduceat(sd, cut) != np.maximum.reduceat(sd, cut)
-            # Back in the order of the texts, in which ids repeat.
-            known, sent = np.zeros(len(h), bool), np.zeros(len(h), bool)
-            group = np.repeat(several, np.diff(np.r_[cut, len(h)]))
-            known[o[new & group]] = True
-            sent[o[new & ~group]] = True
-            sent[o[cut]] = True
-            yield from _direct(h[known], doc[known], tag[known])
-            known = known[sent]
-            h, doc, tag = h[sent], doc[sent], tag[sent]
+            # Rows ascend within an anchor, and each has a text of its own.
+            several = np.repeat(np.minimum.reduceat(sr, cut) != np.maximum.reduceat(sr, cut), np.diff(np.r_[cut, len(h)]))
+            known, first = np.flatnonzero(new & several), np.flatnonzero(np.where(several, change, new))
+            tags, docs = batch["tag"].to_numpy(), batch["doc"].to_numpy()
+            yield from _direct(sh[known], tags[sr[known]], docs[sr[known]])
+            h, tag, known = sh[first], tags[sr[first]], several[first]
             bucket = (h.view(np.uint64) % np.uint64(n_buckets)).astype(np.uint16 if n_buckets <= 1 << 16 else np.int64)
             o = np.argsort(bucket, kind="stable")
             at = np.flatnonzero(np.r_[True, bucket[o][1:] != bucket[o][:-1], True])
             columns = [pa.array(bucket[o][at[:-1]].astype(np.int64)), pa.nulls(len(at) - 1, pa.int64()), pa.nulls(len(at) - 1, pa.int64())]
-            yield pa.RecordBatch.from_arrays(columns + [_split(x[o], at).cast(pa.binary()) for x in (h, doc, tag, known.astype(np.uint8))], names=_SPREAD_NAMES)
+            yield pa.RecordBatch.from_arrays(columns + [_split(x[o], at).cast(pa.binary()) for x in (h, tag, known.astype(np.uint8))], names=_SPREAD_NAMES)
 
     return run
 
 
-_SPREAD_NAMES = ["bucket", "doc", "tag", "h", "docs", "tags", "known"]
-_SPREAD = "bucket long, doc long, tag long, h binary, docs binary, tags binary, known binary"
+_SPREAD_NAMES = ["bucket", "doc", "tag", "h", "tags", "known"]
+_SPREAD = "bucket long, doc long, tag long, h binary, tags binary, known binary"
 
 
-def _direct(h: np.ndarray, doc: np.ndarray, tag: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """One row for each document with its shared anchors, or several rows."""
+def _direct(h: np.ndarray, tag: np.ndarray, doc: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
+    """One row for each text with its shared anchors, once each; h ascends. doc: where they were found, if in one document each."""
     if len(h):
-        o = np.argsort(doc, kind="stable")
-        h, doc, tag = h[o], doc[o], tag[o]
-        at = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (tag[1:] != tag[:-1]), True])
+        o = np.argsort(tag, kind="stable")
+        h, tag = h[o], tag[o]
+        once = np.r_[True, (tag[1:] != tag[:-1]) | (h[1:] != h[:-1])]
+        h, tag = h[once], tag[once]
+        at = np.flatnonzero(np.r_[True, tag[1:] != tag[:-1], True])
         n = len(at) - 1
-        blank = [pa.nulls(n, pa.binary())] * 3
-        yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), pa.array(doc[at[:-1]]), pa.array(tag[at[:-1]]), _split(h, at).cast(pa.binary()), *blank], names=_SPREAD_NAMES)
+        docs = pa.nulls(n, pa.int64()) if doc is None else pa.array(doc[o][once][at[:-1]])
+        yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), docs, pa.array(tag[at[:-1]]), _split(h, at).cast(pa.binary()), *[pa.nulls(n, pa.binary())] * 2], names=_SPREAD_NAMES)
 
 
 def _shared(batches):
-    """Of a partition's anchors those of two documents or more, as one row for each document."""
-    held: dict[str, list] = {k: [] for k in ("h", "docs", "tags", "known")}
+    """Of a partition's anchors those of two texts or more, as one row for each text."""
+    held: dict[str, list] = {k: [] for k in ("h", "tags", "known")}
     for batch in batches:
         direct = batch.filter(pc.is_null(batch["bucket"]))
         if direct.num_rows:
             yield direct
         for row in batch.filter(pc.is_valid(batch["bucket"])).select(list(held)).to_pylist():
-            for k, kind in (("h", np.int64), ("docs", np.int64), ("tags", np.int64), ("known", np.uint8)):
+            for k, kind in (("h", np.int64), ("tags", np.int64), ("known", np.uint8)):
                 held[k].append(np.frombuffer(row[k], kind))
     if not held["h"]:
         return
-    h, doc, tag, known = (np.concatenate(held.pop(k)) for k in ("h", "docs", "tags", "known"))
+    h, tag, known = (np.concatenate(held.pop(k)) for k in ("h", "tags", "known"))
     o = np.argsort(h, kind="stable")
-    h, doc, tag, known = h[o], doc[o], tag[o], known[o]
+    h, tag, known = h[o], tag[o], known[o]
     cut = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
-    some = (np.minimum.reduceat(doc, cut) != np.maximum.reduceat(doc, cut)) | (np.maximum.reduceat(known, cut) > 0)
+    some = (np.minimum.reduceat(tag, cut) != np.maximum.reduceat(tag, cut)) | (np.maximum.reduceat(known, cut) > 0)
     keep = np.repeat(some, np.diff(np.r_[cut, len(h)]))
-    yield from _direct(h[keep], doc[keep], tag[keep])
+    yield from _direct(h[keep], tag[keep])
 
 
 _CONTEXTS = "h long, key binary, context binary, docs array<long>, tags array<long>, starts array<int>"
@@ -243,9 +250,15 @@ def _decide(batches):
     ends = np.cumsum(sizes)
     n = int(ends[-1])
     owner = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
+    # The suffixes of less than WINDOW bytes are ordered, too, but are no windows; each has a smaller prefix in common with both neighbours.
+    window = np.arange(n, dtype=np.int32) < (ends - WINDOW).astype(np.int32)[owner]
     cls, least, n_classes = np.zeros(n, np.int32), [], 0
     for block in Induced(text.mapped(np.uint16, n)).scan():
+        block = block[window.take(block["at"])]
+        if not len(block):
+            continue
         at, ids, new = block["at"], low[owner[block["at"]]], block["lcp"] < WINDOW
+        new[0] |= not least
         cls[at] = n_classes - 1 + np.cumsum(new)
         cut = np.flatnonzero(np.r_[True, new[1:]])
         mins = np.minimum.reduceat(ids, cut)
@@ -258,10 +271,8 @@ def _decide(batches):
     least = np.concatenate(least)
     for k in range(0, len(sizes), 8192):  # contexts at a time
         begin, stop = int(ends[k] - sizes[k]), int(ends[min(k + 8192, len(sizes)) - 1])
-        own = owner[begin:stop]
-        at = np.arange(begin, stop)
-        whole = at + WINDOW < ends[own]
-        at, own = at[whole], own[whole]
+        at = begin + np.flatnonzero(window[begin:stop])
+        own = owner[at]
         m = least[cls[at]]
         cut = np.flatnonzero(np.r_[True, (own[1:] != own[:-1]) | (m[1:] != m[:-1])])
         last = np.r_[cut[1:], len(at)] - 1
@@ -294,18 +305,35 @@ def _cut(with_text: bool):
     return run
 
 
-def _equal_texts(rows: DataFrame, scratch: Scratch) -> tuple[DataFrame, int]:
-    """(doc, tag, n) of texts that a document of a smaller id has as a whole; the bytes of all texts."""
-    narrow, seen = scratch.save_measured(rows.select("doc", "tag", F.sha2("text", 256).alias("digest"), F.octet_length("text").alias("n")), "digests", F.sum("n").alias("bytes"), F.count(F.lit(1)).alias("rows"))
-    narrow = narrow.where("doc is not null")
-    groups = narrow.groupBy("digest").agg(F.min("doc").alias("low"), F.max("doc").alias("high"), F.count(F.lit(1)).alias("n_rows")).where("low < high")
-    return scratch.save(join_counted(narrow, groups, ["digest"], seen["rows"], seen["rows"]).where("doc > low").select("doc", "tag", "n").distinct(), "equal"), seen["bytes"] or 0
-
-
-def _shared_anchors(rows: DataFrame, total: int) -> DataFrame:
-    """(doc, tag, shared): the anchors that a document shares with others."""
+def _tag(digest: Column, salt: int) -> Column:
+    """A text's name in 64 bits, from its SHA-256. _texts() sees to it that no two texts of a call share one."""
+    return F.xxhash64(F.lit(salt), digest)
+
+
+def _texts(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame, DataFrame, int]:
+    """The rows (doc, tag, text); (tag, doc) of each text with the smallest id that has it; (doc, tag, n) of texts that a
+    document of a smaller id has as a whole; the bytes of all texts."""
+    for salt in range(SALTS):
+        digest = F.sha2("text", 256)
+        rows = docs.select("doc", _tag(digest, salt).alias("tag"), "text")
+        measured = rows.select("doc", "tag", F.xxhash64(digest).alias("check"), F.octet_length("text").alias("n"))
+        narrow, seen = scratch.save_measured(measured, f"digests{salt}", F.sum("n").alias("bytes"), F.count(F.lit(1)).alias("rows"))
+        narrow = narrow.where("doc is not null")
+        groups = narrow.groupBy("tag").agg(F.min("doc").alias("low"), F.max("doc").alias("high"), F.count(F.lit(1)).alias("n_rows"), (F.min("check") < F.max("check")).alias("clash"))
+        texts, facts = scratch.save_measured(groups, f"texts{salt}", F.max("clash").alias("clash"), F.max(F.when(F.col("low") < F.col("high"), F.col("n_rows"))).alias("most"))
+        if not facts["clash"]:
+            break
+    else:
+        raise ValueError(f"different texts share a name under each of {SALTS} keys")
+    equal = join_counted(narrow, texts.where("low < high"), ["tag"], seen["rows"], facts["most"]).where("doc > low").select("doc", "tag", "n").distinct()
+    return rows, texts.select("tag", F.col("low").alias("holder")), scratch.save(equal, "equal"), seen["bytes"] or 0
+
+
+def _shared_anchors(rows: DataFrame, holders: DataFrame, total: int) -> DataFrame:
+    """(doc, tag, shared): the anchors that a text shares with other texts, where doc has the smallest id of those with the text."""
     spread = rows.mapInArrow(_spread(total // BUCKET + 64), _SPREAD).repartition(total // SHARD + 3, F.coalesce("bucket", "tag"))
-    return spread.mapInArrow(_shared, _SPREAD).groupBy("doc", "tag").agg(F.collect_list("h").alias("shared"))
+    found = spread.mapInArrow(_shared, _SPREAD).select("doc", "tag", "h").join(holders, "tag").where("doc is null or doc = holder")
+    return found.groupBy("tag", "holder").agg(F.collect_list("h").alias("shared")).select(F.col("holder").alias("doc"), "tag", "shared")
 
 
 def _repeated_windows(contexts: DataFrame, total: int) -> DataFrame:
@@ -328,12 +356,12 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """(id, n_bytes, n_removed, n_spans, kept_sha256, spans) of each row, and the bytes that are left (kept) if asked for."""
     scratch = Scratch(docs.sparkSession, "repeats")
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.xxhash64(text).alias("tag"), text.cast("binary").alias("text"))
-    equal, total = _equal_texts(rows, scratch)
+    docs = docs.select(F.col(id_col).cast("long").alias("doc"), text.cast("binary").alias("text"))
+    rows, holders, equal, total = _texts(docs, scratch)
     long_enough = rows.where(F.col("doc").isNotNull() & (F.octet_length("text") >= WINDOW))
-    shared = scratch.save(_shared_anchors(long_enough, total), "shared")
+    shared = scratch.save(_shared_anchors(long_enough, holders, total), "shared")
     scratch.sweep()
-    contexts = scratch.save(long_enough.join(shared.join(equal, ["doc", "tag"], "left_anti"), ["doc", "tag"]).mapInArrow(_contexts, _CONTEXTS), "contexts", codec="zstd")
+    contexts = scratch.save(long_enough.join(shared, ["doc", "tag"]).mapInArrow(_contexts, _CONTEXTS), "contexts", codec="zstd")
     scratch.drop("shared")
     scratch.sweep()
     runs = scratch.save(_repeated_windows(contexts, total), "runs")

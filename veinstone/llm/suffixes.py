@@ -20,6 +20,8 @@ import numpy as np
 CAP = 50
 #: Names that are sorted in memory, without another level of recursion (some 100 MB), and tuples of a queue in memory.
 BASE, QUEUED = 1 << 22, 1 << 19
+#: Symbols that are counted at once.
+SLICE = 1 << 20
 _TUPLE = np.dtype([("at", "<i4"), ("lcp", "u1")])
 
 
@@ -109,18 +111,53 @@ def refine(rank: np.ndarray, live: np.ndarray, key: np.ndarray) -> tuple[np.ndar
     return live[tied], change[tied]
 
 
-def names(text: np.ndarray, stars: np.ndarray, length: np.ndarray) -> np.ndarray:
+def symbols_of(text: np.ndarray) -> np.ndarray:
+    """A text's different symbols in their order."""
+    if text.dtype.itemsize > 2:
+        return np.unique(text)
+    count = np.zeros(1 << 8 * text.dtype.itemsize, np.int64)
+    for k in range(0, len(text), SLICE):
+        count += np.bincount(text[k : k + SLICE], minlength=len(count))
+    return np.flatnonzero(count).astype(text.dtype)
+
+
+def dense(text: np.ndarray) -> np.ndarray:
+    """The text with its symbols renumbered in their order, in one byte each, if they are few enough to leave 255 free."""
+    if text.dtype.itemsize > 2:
+        return text
+    used = np.zeros(1 << 8 * text.dtype.itemsize, bool)
+    used[symbols_of(text)] = used[0] = True
+    return (np.cumsum(used) - 1).astype(np.uint8)[text] if used.sum() < 256 else text
+
+
+class Words:
+    """The symbols from any position on, as many as 64 bits hold, the first in the highest bits; zeros behind the text."""
+
+    def __init__(self, text: np.ndarray):
+        size = text.dtype.itemsize
+        self.bits, self.each = size * 8, 8 // size
+        padded = np.zeros((len(text) // self.each + 2) * self.each + (CAP // self.each + 1) * self.each, f">u{size}")
+        padded[: len(text)] = text
+        self.aligned = padded.view(">u8").astype(np.uint64)
+
+    def at(self, position: np.ndarray) -> np.ndarray:
+        power = self.each.bit_length() - 1
+        shift = ((position & (self.each - 1)) * self.bits).astype(np.uint64)
+        i = position >> power
+        return (self.aligned.take(i) << shift) | (self.aligned.take(i + 1) >> np.uint64(1) >> (np.uint64(63) - shift))
+
+
+def names(words: Words, stars: np.ndarray, length: np.ndarray) -> np.ndarray:
     """Ranks of the substrings of these lengths, equal for equal ones; behind its end a substring counts as larger than any symbol."""
-    bits = text.dtype.itemsize * 8
-    each, pad = 64 // bits, (1 << bits) - 1
+    full = np.uint64((1 << 64) - 1)
     rank, live, done = np.zeros(len(stars), np.int64), np.arange(len(stars)), 0
     while len(live):
-        word = np.zeros(len(live), np.uint64)
-        for j in range(done, done + each):
-            inside = length[live] > j
-            symbol = np.where(inside, text[np.where(inside, stars[live] + j, 0)], pad).astype(np.uint64)
-            word = (word << np.uint64(bits)) | symbol
-        done += each
+        inside = np.clip(length[live] - done, 0, words.each)
+        # A substring that has ended needs no symbols, and some that have are far from the text's end.
+        word = words.at(np.where(inside > 0, stars[live] + done, 0))
+        short = np.flatnonzero(inside < words.each)
+        word[short] |= full >> (inside[short] * words.bits).astype(np.uint64)
+        done += words.each
         live, change = refine(rank, live, word)
         if len(live):
             more = np.logical_or.reduceat(length[live] > done, np.flatnonzero(change))
@@ -143,7 +180,8 @@ class Induced:
     """One level of the recursion: scan() gives blocks (positions, common prefix with the one before) from the largest suffix down."""
 
     def __init__(self, text: np.ndarray, memory: int = QUEUED, base: int = BASE, prefixes: bool = True):
-        self.text, self.memory, self.base, self.prefixes = text, memory, base, prefixes
+        self.text = text = dense(text)
+        self.words, self.memory, self.base, self.prefixes = Words(text), memory, base, prefixes
         n, at = len(text), np.arange(len(text), dtype=np.int32)
         end = text == 0
         # An end counts as smaller than what follows it; a run of one symbol takes the type of its last one.
@@ -162,7 +200,7 @@ class Induced:
         behind = np.r_[stars[1:], 0]
         rank = np.empty(len(stars), np.int64)
         rank[ends] = np.arange(n_ends)
-        rank[inner] = n_ends + names(self.text, stars[inner], behind[inner] - stars[inner] + 1)
+        rank[inner] = n_ends + names(self.words, stars[inner], behind[inner] - stars[inner] + 1)
         if len(stars) > self.base and len(np.unique(rank)) < len(rank):
             upper = Induced(np.where(ends, 0, rank - n_ends + 1).astype(np.uint32), self.memory, self.base, prefixes=False)
             order = np.concatenate([np.flatnonzero(ends), np.concatenate([[], *(b["at"] for b in upper.scan())]).astype(np.int64)[::-1]])
@@ -175,31 +213,46 @@ class Induced:
             self.star_lcp[n_ends + 1 :] = self._common(self.stars[n_ends:-1], self.stars[n_ends + 1 :])
 
     def _common(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        bits, each = self.words.bits, self.words.each
+        ones = np.uint64(sum(1 << bits * j for j in range(each)))
+        tops = ones << np.uint64(bits - 1)
         out, live = np.zeros(len(a), np.uint8), np.arange(len(a))
-        for k in range(CAP):
-            x = self.text[a[live] + k]
-            live = live[(x == self.text[b[live] + k]) & (x != 0)]
+        for k in range(0, CAP, each):
+            x = self.words.at(a[live] + k)
+            differs = x ^ self.words.at(b[live] + k)
+            ends = (differs != 0) | (((x - ones) & ~x & tops) != 0)  # a difference, or a symbol 0
+            last = np.flatnonzero(ends)
+            x, differs, same = x[last], differs[last], np.ones(len(last), bool)
+            for j in range(1, each):
+                shift = np.uint64(64 - bits * j)
+                same &= ((differs >> shift) == 0) & ((x >> shift) << np.uint64(64 - bits) != 0)
+                out[live[last]] += same
+            live = live[~ends]
+            out[live] += each
             if not len(live):
                 break
-            out[live] += 1
-        return out
+        return np.minimum(out, CAP)
 
     def _seam(self, a: int | None, b: int) -> int:
         return 0 if a is None or not self.prefixes else int(self._common(np.array([a]), np.array([b]))[0])
 
     def _begin(self, small: bool) -> Queue:
-        self.want, self.seen, self.least = small, np.zeros(int(self.text.max(initial=0)) + 1, bool), np.full(int(self.text.max(initial=0)) + 1, 255, np.uint8)
+        # The symbol to the left of each suffix where it is of the wanted type, else 0.
+        self.left = np.zeros_like(self.text)
+        np.multiply(self.text[:-1], self.small[:-1] == small, out=self.left[1:])
+        self.seen, self.least = np.zeros(int(self.text.max(initial=0)) + 1, bool), np.full(int(self.text.max(initial=0)) + 1, 255, np.uint8)
         self.queue = Queue(self.memory)
         return self.queue
 
     def _induce(self, at: np.ndarray, lcp: np.ndarray) -> None:
         """Pushes the suffixes one symbol further left that are of the wanted type."""
-        before = np.maximum(at - 1, 0)
-        symbol = self.text[before]
-        source = np.flatnonzero((at > 0) & (self.small[before] == self.want) & (symbol != 0))
-        source = source[np.argsort(symbol[source], kind="stable")]
-        symbol, new = symbol[source], np.empty(len(source), _TUPLE)
-        new["at"], new["lcp"] = before[source], 0
+        symbol = self.left.take(at)
+        source = np.flatnonzero(symbol)
+        symbol = symbol[source]
+        order = np.argsort(symbol, kind="stable")
+        source, symbol = source[order], symbol[order]
+        new = np.empty(len(source), _TUPLE)
+        new["at"], new["lcp"] = at[source] - 1, 0
         if self.prefixes:
             self._carry(lcp, source, symbol, new)
         self.queue.push(symbol, new)
@@ -225,7 +278,7 @@ class Induced:
             self.seen[symbol[last]] = True
 
     def scan(self) -> Iterator[np.ndarray]:
-        symbols = np.unique(self.text)
+        symbols = symbols_of(self.text)
         bounds = np.searchsorted(self.text[self.stars], np.append(symbols, symbols[-1:] + 1)) if len(symbols) else []
         large, waiting = Queue(self.memory), self._begin(small=False)
         for k, symbol in enumerate(symbols.tolist()):
