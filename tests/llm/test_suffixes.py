@@ -1,7 +1,9 @@
 """Induced sorting and repeated passages against brute force."""
 
+import glob
 import hashlib
 import random
+import time
 
 import numpy as np
 from pyspark.sql import types as T
@@ -167,3 +169,17 @@ def test_texts_that_share_a_name_get_others(spark, monkeypatch):
     rows = [(1, "a passage that stands in two documents, whatever their names may be. " + "x" * 9), (2, "a passage that stands in two documents, whatever their names may be. " + "y" * 70), (3, "z" * 80)]
     assert result(repeats.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"))) == brute_repeats(rows)
     assert salts == [0, 1]
+
+
+def test_shuffle_files_go_as_soon_as_a_table_is_written(spark):
+    """Before, they stayed until a later collection of the JVM's garbage found nothing that held them."""
+    folders = [str(d) for d in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()]
+    files = lambda: {f for d in folders for f in glob.glob(f"{d}/*/shuffle_*.data")}
+    before, passage = files(), "one passage that stands in every one of these few documents, " * 2
+    rows = [(k, f"{k} {passage} {k * k}") for k in range(9)]
+    made = repeats.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    end = time.time() + 5
+    while files() - before and time.time() < end:
+        time.sleep(0.1)
+    assert not files() - before
+    assert result(made) == brute_repeats(rows) == result(made)

@@ -354,21 +354,17 @@ def _spans(contexts: DataFrame, runs: DataFrame) -> DataFrame:
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
     """(id, n_bytes, n_removed, n_spans, kept_sha256, spans) of each row, and the bytes that are left (kept) if asked for."""
-    scratch = Scratch(docs.sparkSession, "repeats")
+    scratch = Scratch(docs.sparkSession, "repeats", tidy=True)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     docs = docs.select(F.col(id_col).cast("long").alias("doc"), text.cast("binary").alias("text"))
     rows, holders, equal, total = _texts(docs, scratch)
     long_enough = rows.where(F.col("doc").isNotNull() & (F.octet_length("text") >= WINDOW))
     shared = scratch.save(_shared_anchors(long_enough, holders, total), "shared")
-    scratch.sweep()
     contexts = scratch.save(long_enough.join(shared, ["doc", "tag"]).mapInArrow(_contexts, _CONTEXTS), "contexts", codec="zstd")
     scratch.drop("shared")
-    scratch.sweep()
     runs = scratch.save(_repeated_windows(contexts, total), "runs")
-    scratch.sweep()
     found = scratch.save(_spans(contexts, runs), "spans")
     scratch.drop("contexts", "runs")
-    scratch.sweep()
     whole = equal.where(F.col("n") >= WINDOW).select("doc", "tag", F.array(F.struct(F.lit(0).alias("s"), F.col("n").alias("e"))).alias("spans"))
     result = "doc long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:int,end:int>>" + ", kept binary" * with_text
     return rows.join(found.unionByName(whole), ["doc", "tag"], "left").select("doc", "text", "spans").mapInArrow(_cut(with_text), result).withColumnRenamed("doc", id_col)

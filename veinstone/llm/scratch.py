@@ -8,6 +8,8 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 _made: list[str] = []
 
 
@@ -32,13 +34,23 @@ def _delete(spark: SparkSession, at: str) -> None:
 class Scratch:
     """Written tables that cut lineage. Each is rebuilt from files, so a lost executor costs only its tasks."""
 
-    def __init__(self, spark: SparkSession, label: str):
-        self.spark, self.root = spark, f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    def __init__(self, spark: SparkSession, label: str, tidy: bool = False):
+        """tidy: the shuffle files of a table are deleted as soon as it is written; its plan is not run again."""
+        self.spark, self.tidy, self.root = spark, tidy, f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
         _made.append(self.root)
 
     def save(self, df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
         path = f"{self.root}/{name}"
-        df.write.option("compression", codec).parquet(path)
+        before = self.spark.conf.get(_CLEANUP, None)
+        if self.tidy:
+            self.spark.conf.set(_CLEANUP, "true")
+        try:
+            df.write.option("compression", codec).parquet(path)
+        finally:
+            if self.tidy and before is None:
+                self.spark.conf.unset(_CLEANUP)
+            elif self.tidy:
+                self.spark.conf.set(_CLEANUP, before)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def save_measured(self, df: DataFrame, name: str, *measures: Column) -> tuple[DataFrame, dict]:
