@@ -1,5 +1,8 @@
 """Joins, searches and the classifier against brute force."""
 
+import tracemalloc
+from collections import Counter
+
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -310,3 +313,42 @@ def test_a_token_of_some_large_classes_alone_ties_nothing():
     batch = pa.RecordBatch.from_arrays([*map(pa.array, rows), pa.nulls(20, pa.int64())], ["token", "key", "size", "hot"])
     made = pa.Table.from_batches(jaccard._meet(iter([batch]))).to_pydict()
     assert len(made["a"]) == 190 and set(made["votes"]) == {1} and set(made["need"]) == {11}
+
+
+def text_batch(texts):
+    return pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array([t if t is None else t.encode() for t in texts], pa.binary())], ["doc_id", "raw"])
+
+
+def test_a_batch_is_hashed_by_pieces(monkeypatch):
+    """Pieces of any size give the same rows: the survey's names and counts, and routing rows, copies in other pieces included."""
+    rng = np.random.default_rng(12)
+    texts = [None, "", *(" ".join(f"w{x}" for x in rng.integers(0, 30, int(rng.integers(1, 90)))) for _ in range(60)), "one long text " * 300]
+    batch = text_batch([*texts, *texts[:20]])
+    sets = jaccard.shingle_sets([t and t.encode() for t in texts], 5)
+    seen = Counter(x for s in {jaccard.set_key(s): s for s in sets}.values() for x in s.tolist())
+    common = np.array(sorted(seen)[::7], np.uint64)
+    route = jaccard._router(5, common, rng.permutation(len(common)), np.ones(len(common), np.int64))
+    made = []
+    for size in (1 << 20, 500, 1):
+        monkeypatch.setattr(jaccard, "CHUNK", size)
+        survey = pa.Table.from_batches(jaccard._survey(5)(iter([batch, batch.slice(0, 0)]))).to_pylist()
+        assert {r["token"] % 2**64: r["times"] for r in survey if r["token"] is not None} == {x: n for x, n in seen.items() if n > 1}
+        assert [(r["doc_id"], r["n"], r["key"], r["key2"]) for r in survey if r["token"] is None] == [(k, len(s), *jaccard.set_key(s)) for k, s in enumerate([*sets, *sets[:20]])]
+        made.append(pa.Table.from_batches(route(iter([batch]))).to_pylist())
+    assert made[0] == made[1] == made[2] and made[0]
+
+
+def test_memory_of_a_python_worker():
+    """A batch takes a few times its text, and what a worker keeps for later tasks is bounded: both count in an executor's memory."""
+    texts = [" ".join(f"word{k * 7919 + j}" for j in range(900)) for k in range(600)]
+    batch, rare = text_batch(texts), np.arange(1, dtype=np.uint64)
+    for run in (jaccard._survey(3), jaccard._router(3, rare, np.zeros(1, np.int64), np.ones(1, np.int64))):
+        tracemalloc.start()
+        n = sum(out.num_rows for out in run(iter([batch])))
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        print("peak as a multiple of the text", most / batch.nbytes)
+        assert n and most < 3.3 * batch.nbytes
+    for text in texts:
+        quality.text_features(text)
+    assert len(quality._cache) < 100_000

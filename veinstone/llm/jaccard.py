@@ -32,6 +32,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .graph import components
@@ -42,6 +43,8 @@ WORDS = 5
 NUM, DEN = 75, 100
 #: Bytes of text hashed at once; common tokens kept as a fixed-size list; least count in one batch to be common.
 CHUNK, COMMON, REPEATED = 1 << 20, 1 << 18, 2
+#: Ranges of tokens, by their highest bits, that are counted one after the other.
+RANGES = 16
 #: Times that a token was seen among others of its batch from which on its classes are dealt to parts of that size.
 HOT = 2048
 #: Runs of a routing token up to this length give all pairs, which count their votes; longer ones give stars, whose edges always hold.
@@ -266,31 +269,46 @@ def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").cast("binary").alias("raw"))
 
 
-def _batches(batches: Iterator[pa.RecordBatch], key: int) -> Iterator[tuple[pa.Array, list[np.ndarray]]]:
-    for batch in batches:
-        yield batch.column(0), shingle_sets(batch.column(1).to_pylist(), key)
+def _pieces(batch: pa.RecordBatch, key: int) -> Iterator[tuple[pa.Array, list[np.ndarray]]]:
+    """Ids and shingle sets of stretches of CHUNK bytes of text, or of one text that is longer: a batch's texts are not
+    all copied at once."""
+    ends, at = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(), dtype=np.int64), 0
+    while at < batch.num_rows:
+        stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + CHUNK, side="right")))
+        piece = batch.slice(at, stop - at)
+        yield piece.column(0), shingle_sets(piece.column(1).to_pylist(), key)
+        at = stop
+
+
+def repeated_tokens(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Tokens that REPEATED or more of the sorted sets hold, ascending, and in how many; counted range by range, so that
+    all the sets' tokens are not copied at once."""
+    starts = np.arange(RANGES, dtype=np.uint64) * np.uint64(2**64 // RANGES)
+    cuts = [np.r_[np.searchsorted(s, starts), len(s)] for s in sets]
+    tokens, times = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
+    for k in range(RANGES if sets else 0):
+        token, n = np.unique(np.concatenate([s[c[k] : c[k + 1]] for s, c in zip(sets, cuts)]), return_counts=True)
+        tokens.append(token[n >= REPEATED])
+        times.append(n[n >= REPEATED].astype(np.int64))
+    return np.concatenate(tokens), np.concatenate(times)
 
 
 def _survey(secret: int) -> Callable:
     """Rows of (doc_id, n, key, key2), and rows of (token, times) for tokens that several texts of a batch share."""
 
+    def rows(*cols: pa.Array) -> pa.RecordBatch:
+        n = max(len(c) for c in cols if c is not None)
+        return pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()) if c is None else c for c in cols], ["doc_id", "n", "key", "key2", "token", "times"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, sets in _batches(batches, secret):
-            keys = [set_key(s) for s in sets]
-            once = {key: s for key, s in zip(keys, sets)}  # copies do not make a token common
-            token, times = np.unique(np.concatenate(list(once.values())), return_counts=True) if sets else (np.empty(0, np.uint64), np.empty(0, int))
-            token, times = token[times >= REPEATED].view(np.int64), times[times >= REPEATED]
-            n, t = len(sets), len(token)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.concat_arrays([ids, pa.nulls(t, pa.int64())]),
-                    pa.array([len(s) for s in sets] + [None] * t, pa.int64()),
-                    *(pa.array([k[i] for k in keys] + [None] * t, pa.int64()) for i in (0, 1)),
-                    pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array(token)]),
-                    pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array(times.astype(np.int64))]),
-                ],
-                ["doc_id", "n", "key", "key2", "token", "times"],
-            )
+        for batch in batches:
+            once = {}  # copies do not make a token common
+            for ids, sets in _pieces(batch, secret):
+                keys = [set_key(s) for s in sets]
+                once.update(zip(keys, sets))
+                yield rows(ids, pa.array(map(len, sets), pa.int64()), *(pa.array([k[i] for k in keys], pa.int64()) for i in (0, 1)), None, None)
+            token, times = repeated_tokens(list(once.values()))
+            yield rows(None, None, None, None, pa.array(token.view(np.int64)), pa.array(times))
 
     return run
 
@@ -303,8 +321,8 @@ def _router(secret: int, common: np.ndarray, rank: np.ndarray, parts: np.ndarray
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, sets in _batches(batches, secret):
-            seen, rows = set(), []
+        for seen, (_, sets) in ((seen, piece) for batch in batches for seen in [set()] for piece in _pieces(batch, secret)):
+            rows = []
             for s in sets:
                 n = len(s)
                 if not n or (name := set_key(s)) in seen:

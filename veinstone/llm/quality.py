@@ -16,7 +16,7 @@ from __future__ import annotations
 
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -42,6 +42,8 @@ def _shape(word: str) -> int:
     return _SIZE + zlib.crc32("".join(out).encode()) % _SHAPES
 
 
+#: Words whose slots are kept. A worker process lives on after its task, so what it keeps adds to all later stages' memory.
+CACHED = 1 << 16
 _cache: dict[str, tuple[int, int]] = {}
 
 
@@ -51,10 +53,10 @@ def text_features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     if not words:
         return np.empty(0, np.int32), np.empty(0, np.float32)
     counts, values = Counter(words), {}
-    if len(_cache) > 400_000:
-        _cache.clear()
     for w, n in counts.items():
         if (slots := _cache.get(w)) is None:
+            if len(_cache) >= CACHED:
+                _cache.clear()
             slots = _cache[w] = (zlib.crc32(w.lower().strip(".,;:!?").encode()) & (_SIZE - 1), _shape(w))
         values[slots[0]] = 0.2
         values[slots[1]] = values.get(slots[1], 0.0) + 4.0 * n / len(words)
@@ -78,7 +80,7 @@ class OrdinalModel:
         """P(grade >= k) for k = 1, 2, ... of each score."""
         return 1 / (1 + np.exp(np.clip(self.thresholds[None] - score[:, None], -30, 30)))
 
-    def score_rows(self, rows: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    def score_rows(self, rows: Iterable[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
         return np.array([float(self.weights[i] @ v) if len(i) else 0.0 for i, v in rows], np.float64)
 
 
@@ -231,7 +233,7 @@ SCHEMA = "doc_id long, expected_grade double, tail_probability double, keep bool
 
 
 def _judge(model: OrdinalModel, texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    tails = model.tails(model.score_rows([text_features(x.as_py()) for x in texts]))
+    tails = model.tails(model.score_rows(text_features(x.as_py()) for x in texts))
     return tails.sum(axis=1), tails[:, -1], tails[:, -1] >= model.cut
 
 
